@@ -12,6 +12,21 @@ from shirabe.llm.storage import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.encoding import public_path
+    from shirabe.llm.packing import pack_digests
+
+    return pack_digests(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.encoding import public_path
+    from shirabe.llm.tokenfile import write_and_read
+
+    read = write_and_read(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=2)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shirabe.llm.mixing import mix
 
@@ -57,6 +72,8 @@ FROM q
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_packing": op1_packing,
+        "op8_token_files": op8_token_files,
         "op10_mixing": op10_mixing,
     }
 
