@@ -19,6 +19,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.quality import cascade
+
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = cascade(docs, base).drop("text").withColumnsRenamed({f"ql_{m}": m for m in base})
+    failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
+    return judged.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("ql_rejected_by").isNull()).alias("kept"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shirabe.llm.encoding import public_path
     from shirabe.llm.tokenfile import write_and_read
@@ -70,9 +80,41 @@ FROM q
 """
 
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         regexp_split_to_array(COALESCE(text, ''), '\n') AS raw
+  FROM documents),
+l AS (
+  SELECT *, list_filter(raw, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (
+  SELECT doc_id, i, list_aggregate(ws[i:i+7], 'string_agg', chr(1)) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
+r AS (
+  SELECT doc_id, COUNT(DISTINCT w) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS w FROM (
+      SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+m AS (
+  SELECT l.doc_id, len(ws)::BIGINT AS n_words, COALESCE(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines,
+    COALESCE(r.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_echo,
+    len(regexp_extract_all(t, '[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]'))::BIGINT AS up,
+    len(regexp_extract_all(t, '[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]'))::BIGINT AS low
+  FROM l LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (100 * n_symbols > 30 * n_words OR up > low OR 100 * n_echo > 30 * n_words OR (n_dup_lines >= 5 AND 2 * n_dup_lines > n_lines)
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+FROM b
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op6_quality": op6_quality,
         "op8_token_files": op8_token_files,
         "op10_mixing": op10_mixing,
     }
@@ -80,5 +122,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_quality": OP6_SQL,
         "op10_mixing": OP10_SQL,
     }
