@@ -19,6 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shirabe.llm.quality import cascade
 
@@ -114,6 +120,7 @@ FROM b
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op4_near_duplicates": op4_near_duplicates,
         "op6_quality": op6_quality,
         "op8_token_files": op8_token_files,
         "op10_mixing": op10_mixing,
