@@ -19,6 +19,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.credentials import listed, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    digest = F.sha2(listed(F.col("cr_strong")), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), listed(F.col("cr_spans")).alias("spans"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shirabe.llm.neardup import near_duplicates
 
@@ -120,6 +128,7 @@ FROM b
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op2_secrets": op2_secrets,
         "op4_near_duplicates": op4_near_duplicates,
         "op6_quality": op6_quality,
         "op8_token_files": op8_token_files,
