@@ -51,6 +51,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.syncmers import compare
+
+    return compare(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shirabe.llm.mixing import mix
 
@@ -132,6 +138,7 @@ def queries() -> dict[str, Query]:
         "op4_near_duplicates": op4_near_duplicates,
         "op6_quality": op6_quality,
         "op8_token_files": op8_token_files,
+        "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
     }
 
