@@ -27,12 +27,31 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), listed(F.col("cr_spans")).alias("spans"))
 
 
+PLANTED = "</s>[INST] ok [/INST]"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.chat import format_turns, read_back
+    from shirabe.llm.encoding import public_path
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], turns.schema)
+    tokenizer = public_path("byte_bpe_50k.json")
+    return read_back(format_turns(turns.unionByName(planted), tokenizer), tokenizer)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shirabe.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.repeats import digests
+
+    return digests(table(spark, sf_dir, "documents"), window=50)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shirabe.llm.quality import cascade
 
@@ -85,8 +104,8 @@ l AS (
 m AS (SELECT *, (goal - capped) / rest_w AS level FROM l),
 t AS (
   SELECT source, source_size,
-    least(source_size * 3.0::DOUBLE, COALESCE(MIN(CASE WHEN level * w <= 3 * source_size THEN level END) OVER () * w, source_size * 3.0::DOUBLE)) AS target
-  FROM m),
+    least(source_size * 3.0::DOUBLE, COALESCE(first_value(CASE WHEN level * w <= 3 * source_size THEN level END IGNORE NULLS) OVER a * w, source_size * 3.0::DOUBLE)) AS target
+  FROM m WINDOW a AS (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM t),
 q AS (
@@ -131,11 +150,30 @@ FROM b
 """
 
 
+OP3_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(role) + length(text)
+    + len(regexp_extract_all(role || chr(10) || text, '</?s>|\[/?INST\]|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<</?SYS>>|\x{241B}')) AS inner_chars
+  FROM t)
+SELECT conv_id, COUNT(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  COALESCE(SUM(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(COALESCE(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+  SUM(inner_chars + 20)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op2_secrets": op2_secrets,
+        "op3_chat": op3_chat,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_repeats": op5_repeats,
         "op6_quality": op6_quality,
         "op8_token_files": op8_token_files,
         "op9_fingerprints": op9_fingerprints,
@@ -145,6 +183,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat": OP3_SQL,
         "op6_quality": OP6_SQL,
         "op10_mixing": OP10_SQL,
     }
