@@ -65,7 +65,9 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[i
         .withColumn("mx_level", (F.col("mx_goal") - F.col("mx_capped")) / F.col("mx_left"))
         .withColumn("mx_free", F.col("mx_level") * F.col("mx_w") <= F.lit(cap) * F.col("mx_size"))
     )
-    level = F.min(F.when(F.col("mx_free"), F.col("mx_level"))).over(every)
+    # The first that stays below its cap has the level; behind it the sums mean nothing.
+    whole = reach.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    level = F.first(F.when(F.col("mx_free"), F.col("mx_level")), ignorenulls=True).over(whole)
     goal = F.least(F.col("mx_size") * F.lit(float(cap)), F.coalesce(level * F.col("mx_w"), F.col("mx_size") * F.lit(float(cap))))
     return per.select("mx_source", "mx_size", goal.alias("mx_target"))
 
