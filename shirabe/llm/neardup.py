@@ -72,7 +72,7 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, m: int = M) -> np.ndarr
     elems = elements
     perm = None
     for j in range(m):
-        random = W.mix(elems + np.uint64(j + 1) * _GOLD)
+        random = W.mix(elems + np.uint64((j + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
         pick = j + (((random >> np.uint64(32)) * np.uint64(m - j)) >> np.uint64(32)).astype(np.int64)
         value = (np.uint64(j) << np.uint64(32)) | (random & np.uint64(0xFFFFFFFF))
         if perm is None:
