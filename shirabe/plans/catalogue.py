@@ -1,11 +1,22 @@
-"""The catalogue of registered queries."""
+"""The catalogue of registered queries: each with the SQL its result is held against."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shirabe.config import CATEGORIES, SETTINGS
+from shirabe.functions import dual as D
+from shirabe.functions import text as T
+from shirabe.functions import urls as U
+from shirabe.operators import compare, crawl, report, robots, rules, scoring, site, store
+from shirabe.plans.mutations import mutated, mutated_sql
+from shirabe.sources import facts as X
 
 
 @dataclass(frozen=True)
@@ -15,3 +26,535 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(name: str, sql: str | None = None):  # noqa: ANN201
+    def add(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = Query(run, sql)
+        return run
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.facts(mutated(spark, sf_dir))
+
+
+PAGES = f"pages_facts AS MATERIALIZED ({X.facts_sql(mutated_sql())})"
+RAW = "(SELECT page_id, url, html, 200 AS status, 0.2 AS elapsed, 1 AS hops FROM pages)"
+
+
+def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.facts(table(spark, sf_dir, "pages").selectExpr("page_id", "url", "html", "200 AS status", "0.2D AS elapsed", "1 AS hops"))
+
+
+def _keep(path_name: str) -> Callable[[DataFrame], DataFrame]:
+    """Writes a table to the shared folder (a temporary one where none is set) and reads it back."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/shirabe-plans"
+        path = f"{folder.rstrip('/')}/{path_name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
+# --- extraction ------------------------------------------------------------------------------
+
+_EXTRACT = "page_id, title, title_width, charset, lang, h1_count, h1_first, text_length, html_bytes, link_count, internal_link_count, url_scheme, url_host"
+
+
+@query("q_page_extract", f"SELECT {_EXTRACT} FROM ({X.facts_sql(RAW)})")
+def q_page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_pages(spark, sf_dir).selectExpr(*_EXTRACT.split(", "))
+
+
+_META = "page_id, description, description_width, robots_meta, viewport, canonical, canonical_conflict, noindex, nofollow, fullwidth, heading_jumps, blocking_scripts, mixed_content, images_total, images_without_alt"
+
+
+@query("q_page_meta", f"WITH {PAGES} SELECT {_META} FROM pages_facts")
+def q_page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).selectExpr(*_META.split(", "))
+
+
+@query("q_title_width", f"WITH {PAGES} SELECT page_id, title, title_width FROM pages_facts")
+def q_title_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", "title", "title_width")
+
+
+@query("q_has_japanese", f"WITH {PAGES} SELECT page_id, has_ja, lang FROM pages_facts")
+def q_has_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", "has_ja", "lang")
+
+
+@query("q_mojibake", f"WITH {PAGES} SELECT page_id, mojibake FROM pages_facts WHERE mojibake <> ''")
+def q_mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).filter("mojibake <> ''").select("page_id", "mojibake")
+
+
+@query("q_fullwidth_title", f"WITH {PAGES} SELECT page_id, fullwidth FROM pages_facts WHERE fullwidth <> ''")
+def q_fullwidth_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).filter("fullwidth <> ''").select("page_id", "fullwidth")
+
+
+@query("q_heading_jumps", f"WITH {PAGES} SELECT page_id, heading_jumps FROM pages_facts WHERE heading_jumps <> ''")
+def q_heading_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).filter("heading_jumps <> ''").select("page_id", "heading_jumps")
+
+
+@query("q_jsonld_types", f"WITH {PAGES} SELECT page_id, jsonld_list, jsonld_count, jsonld_invalid, has_breadcrumb FROM pages_facts")
+def q_jsonld_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", "jsonld_list", "jsonld_count", "jsonld_invalid", "has_breadcrumb")
+
+
+@query("q_og_missing", f"WITH {PAGES} SELECT page_id, og_missing FROM pages_facts")
+def q_og_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", "og_missing")
+
+
+@query("q_page_summary", f"WITH {PAGES} SELECT page_id, url, status, floor(elapsed * 1000 + 0.5) / 1000 AS elapsed, title, title_width, description_width, h1_count, text_length, jsonld_list, images_total, images_without_alt, link_count, internal_link_count, viewport, lang, charset FROM pages_facts")
+def q_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = "page_id url status title title_width description_width h1_count text_length jsonld_list images_total images_without_alt link_count internal_link_count viewport lang charset"
+    return pages(spark, sf_dir).select(*names.split(), F.expr("floor(elapsed * 1000 + 0.5) / 1000").alias("elapsed"))
+
+
+# --- rules and scores ------------------------------------------------------------------------
+
+_KEYS = ["url_host", "page_id", "url"]
+
+
+def _category_query(category: str) -> None:
+    own = rules.by_category(category)
+    sql = f"WITH {PAGES} {rules.findings_sql('pages_facts', ['page_id'], own)}"
+    at = {r.id: i for i, r in enumerate(own)}
+
+    @query(f"q_rules_{category}", sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        assert at
+        return rules.findings(pages(spark, sf_dir), ["page_id"], own)
+
+
+for _c, _ in CATEGORIES:
+    _category_query(_c)
+
+FINDINGS = f"{PAGES}, found AS MATERIALIZED ({rules.findings_sql('pages_facts', _KEYS)})"
+AUDITS = "audits AS (SELECT url_host, COUNT(*) AS pages FROM pages_facts GROUP BY url_host)"
+
+
+def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, audits): an audit is a host."""
+    facts = pages(spark, sf_dir)
+    return rules.findings(facts, _KEYS), facts.groupBy("url_host").agg(F.count("*").alias("pages"))
+
+
+@query("q_findings_all", f"WITH {FINDINGS} SELECT page_id, rule_ord, rule, category, severity, evidence FROM found")
+def q_findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir)[0].select("page_id", "rule_ord", "rule", "category", "severity", "evidence")
+
+
+_CATEGORY_VALUES = ", ".join(f"({i}, '{c}', '{n}')" for i, (c, n) in enumerate(CATEGORIES))
+CATEGORY_SQL = (
+    f"cats AS (SELECT * FROM (VALUES {_CATEGORY_VALUES}) v(place, category, label)), points AS (SELECT url_host, category, SUM({scoring.WEIGHT_SQL}) AS p FROM found GROUP BY ALL),"
+    f" scores AS (SELECT a.url_host, c.place, c.category, c.label, {scoring.SCORE_SQL.format('p.p', 'a.pages')} AS score FROM audits a CROSS JOIN cats c LEFT JOIN points p ON p.url_host = a.url_host AND p.category = c.category)"
+)
+
+
+@query("q_score_category", f"WITH {FINDINGS}, {AUDITS}, {CATEGORY_SQL} SELECT url_host, category, label, score FROM scores")
+def q_score_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, a = found(spark, sf_dir)
+    return scoring.category_scores(f, a, ["url_host"])
+
+
+OVERALL_SQL = (
+    f"overall AS (SELECT a.url_host, {scoring.SCORE_SQL.format(f'SUM({scoring.WEIGHT_SQL})', 'any_value(a.pages)')} AS overall, COUNT(*) FILTER (severity = 'critical') AS critical,"
+    " COUNT(*) FILTER (severity = 'warning') AS warning, COUNT(*) FILTER (severity = 'info') AS info, COUNT(severity) AS total, any_value(a.pages) AS pages"
+    " FROM audits a LEFT JOIN found f ON f.url_host = a.url_host GROUP BY a.url_host)"
+)
+
+
+@query("q_score_overall", f"WITH {FINDINGS}, {AUDITS}, {OVERALL_SQL} SELECT * FROM overall")
+def q_score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, a = found(spark, sf_dir)
+    return scoring.overall_scores(f, a, ["url_host"])
+
+
+@query("q_severity_counts", f"WITH {FINDINGS} SELECT severity, category, COUNT(*) AS n FROM found GROUP BY ALL")
+def q_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir)[0].groupBy("severity", "category").agg(F.count("*").alias("n"))
+
+
+@query("q_verdict_bands", f"WITH {FINDINGS}, {AUDITS}, {OVERALL_SQL} SELECT url_host, overall, {scoring.VERDICT_SQL.format('overall')} AS verdict, CASE WHEN overall >= 90 THEN 'good' WHEN overall >= 70 THEN 'mid' ELSE 'bad' END AS band FROM overall")
+def q_verdict_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, a = found(spark, sf_dir)
+    o = scoring.overall_scores(f, a, ["url_host"])
+    return o.select("url_host", "overall", scoring.verdict(F.col("overall")).alias("verdict"), scoring.score_class(F.col("overall")).alias("band"))
+
+
+_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
+ORDERED_SQL = f"ordered AS (SELECT *, row_number() OVER (PARTITION BY url_host ORDER BY {_RANK}, category, rule, page_id, rule_ord) AS number FROM found)"
+TOP_SQL = f"top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url_host ORDER BY {_RANK}, page_id, rule_ord) AS number FROM found) WHERE number <= {SETTINGS.prompt_findings})"
+
+
+@query("q_findings_ordered", f"WITH {FINDINGS}, {ORDERED_SQL} SELECT url_host, number, page_id, rule, severity FROM ordered")
+def q_findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.ordered(found(spark, sf_dir)[0], ["url_host"], ["page_id", "rule_ord"]).select("url_host", "number", "page_id", "rule", "severity")
+
+
+@query("q_top_findings", f"WITH {FINDINGS}, {TOP_SQL} SELECT url_host, number, page_id, rule, severity FROM top")
+def q_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.top(found(spark, sf_dir)[0], ["url_host"], ["page_id", "rule_ord"]).select("url_host", "number", "page_id", "rule", "severity")
+
+
+# --- site rules ------------------------------------------------------------------------------
+
+
+def _dup_sql(value: str) -> str:
+    return f"""WITH {PAGES}, g AS (
+      SELECT url_host AS site, {value} AS value, COUNT(*) AS n, min_by(url, page_id) AS first_url, list(url ORDER BY page_id) AS urls
+      FROM pages_facts WHERE {value} <> '' GROUP BY ALL HAVING COUNT(*) > 1)
+    SELECT site, value, n, first_url, array_to_string(urls[1:3], ', ') AS first_urls FROM g"""
+
+
+@query("q_dup_titles", _dup_sql("title"))
+def q_dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.duplicates(pages(spark, sf_dir), "url_host", "title", "url", "page_id")
+
+
+@query("q_dup_descriptions", _dup_sql("description"))
+def q_dup_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.duplicates(pages(spark, sf_dir), "url_host", "description", "url", "page_id")
+
+
+@query("q_dup_findings", f"SELECT site, 'meta.title.duplicate' AS rule, 'meta' AS category, 'warning' AS severity, first_url AS url, substring(value, 1, 50) || ': ' || first_urls || CASE WHEN n > 3 THEN ' and more' ELSE '' END AS evidence FROM ({_dup_sql('title')})")
+def q_dup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site.duplicate_findings(q_dup_titles(spark, sf_dir), "meta.title.duplicate")
+
+
+_SITES = """SELECT * FROM (VALUES
+ ('https://a.jp', 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || 'Sitemap: https://a.jp/s.xml # x'),
+ ('https://b.jp', 'User-agent: bot' || chr(10) || 'Disallow: /' || chr(10) || 'sitemap:https://b.jp/1.xml' || chr(10) || 'SITEMAP: https://b.jp/2.xml'),
+ ('https://c.jp', 'user-agent: *' || chr(13) || chr(10) || 'User-Agent: bot' || chr(13) || chr(10) || 'disallow: /'),
+ ('https://d.jp', ''), ('https://e.jp', NULL),
+ ('https://f.jp', '# none' || chr(10) || 'User-agent: bot' || chr(10) || 'User-agent : *' || chr(10) || ' Disallow : / # all' || chr(10) || 'no colon')) v(site, body)"""
+_ROBOTS = f"""r AS ({_SITES}),
+ l AS (SELECT site, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS raw FROM (SELECT site, string_split(regexp_replace(body, '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM r WHERE body IS NOT NULL)),
+ k AS (SELECT site, pos, lower(trim(regexp_extract(s, '^([^:]*):', 1), ' ')) AS key, trim(regexp_extract(s, '^[^:]*:(.*)$', 1), ' ') AS value FROM (SELECT site, pos, trim(regexp_replace(raw, '#.*$', ''), ' ') AS s FROM l)),
+ u AS (SELECT *, COALESCE(last_value(CASE WHEN key = 'user-agent' THEN value = '*' END IGNORE NULLS) OVER (PARTITION BY site ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS star FROM k),
+ p AS (SELECT site, bool_or(key = 'disallow' AND star AND value = '/') AS blocks_all, COALESCE(min_by(value, pos) FILTER (key = 'sitemap' AND value <> ''), '') AS sitemap FROM u GROUP BY site)"""
+
+
+@query("q_robots_parse", f"WITH {_ROBOTS} SELECT * FROM p")
+def q_robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robots.parse_robots(spark.sql(_SITES))
+
+
+_SITE_FACTS = f"WITH {_ROBOTS} SELECT r.site AS base_url, r.body AS robots_txt, COALESCE(p.blocks_all, false) AS robots_blocks_all, COALESCE(p.sitemap, '') AS robots_sitemap, r.site < 'https://d' AS sitemap_found, CASE WHEN r.site > 'https://c' THEN 'https://x(404)' ELSE '' END AS broken FROM r LEFT JOIN p USING (site)"
+
+
+@query("q_rules_site", f"WITH site_facts AS ({_SITE_FACTS}) {rules.findings_sql('site_facts', ['base_url'], site.SITE_RULES)}")
+def q_rules_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = spark.sql(_SITES)
+    parsed = robots.parse_robots(bodies)
+    facts = bodies.join(parsed, "site", "left").selectExpr(
+        "site AS base_url", "body AS robots_txt", "coalesce(blocks_all, false) AS robots_blocks_all", "coalesce(sitemap, '') AS robots_sitemap",
+        "site < 'https://d' AS sitemap_found", "CASE WHEN site > 'https://c' THEN 'https://x(404)' ELSE '' END AS broken",
+    )
+    return rules.findings(facts, ["base_url"], site.SITE_RULES)
+
+
+_XML = """SELECT * FROM (VALUES
+ ('https://a.jp', '<urlset xmlns="x"><url><loc> https://a.jp/1 </loc></url><url><loc><![CDATA[https://a.jp/2?a=1&b=2]]></loc></url></urlset>'),
+ ('https://b.jp', '<sm:urlset><sm:url><sm:loc>https://b.jp/x&amp;y</sm:loc></sm:url><sm:url><sm:loc>https://b.jp/old.xml</sm:loc></sm:url></sm:urlset>'),
+ ('https://c.jp', '<sitemapindex><sitemap><loc>https://c.jp/a.xml</loc></sitemap><sitemap><loc>https://c.jp/b.xml.gz</loc></sitemap></sitemapindex>'),
+ ('https://d.jp', '<urlset><url><loc>https://d.jp/1'), ('https://e.jp', '')) v(site, body)"""
+_CHILDREN = "SELECT * FROM (VALUES ('https://c.jp/a.xml', '<urlset><url><loc>https://c.jp/deep</loc></url></urlset>'), ('https://z.jp/a.xml', '<urlset><loc>https://z.jp/no</loc></urlset>')) v(url, body)"
+_LOCS = "list_transform(regexp_extract_all(body, {p}, 1), lambda x: replace(x, '&amp;', '&'))".format(p=D.quote(robots._LOC))
+
+
+@query(
+    "q_sitemap_urls",
+    f"""WITH t AS ({_XML}), c AS ({_CHILDREN}),
+ a AS (SELECT site, regexp_matches(body, '(?i)<(?:[A-Za-z0-9]+:)?sitemapindex\\b') AS idx, {_LOCS} AS locs FROM t),
+ own AS (SELECT site, unnest(locs) AS url FROM a WHERE NOT idx), kids AS (SELECT site, unnest(locs[1:5]) AS child FROM a WHERE idx),
+ deep AS (SELECT k.site, unnest(d.locs) AS url FROM kids k JOIN (SELECT url, {_LOCS} AS locs FROM c) d ON d.url = k.child)
+SELECT DISTINCT site, url FROM (SELECT * FROM own UNION ALL SELECT * FROM deep) WHERE NOT regexp_matches(url, '(?i)\\.xml(?:\\.gz)?$') AND url <> ''""",
+)
+def q_sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robots.sitemap_urls(spark.sql(_XML), spark.sql(_CHILDREN))
+
+
+# --- links and crawling ----------------------------------------------------------------------
+
+_HREF = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_EDGES = f"""edge AS MATERIALIZED (
+  SELECT page_id, url_host, pos, {U.normalize(D.name("absolute")).sql} AS target FROM (
+    SELECT page_id, url_host, pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN url_scheme || ':' || href WHEN starts_with(href, '/') THEN {_HREF} || href END AS absolute
+    FROM (SELECT page_id, url, url_host, url_scheme, unnest(range(0, len(links))) AS pos, unnest(links) AS href FROM pages_facts))
+  WHERE absolute IS NOT NULL AND {U.host(D.name("absolute")).sql} = url_host)"""
+
+
+@query("q_url_normalize", f"SELECT page_id, {U.normalize(D.name('url')).sql} AS normal, {U.host(D.name('url')).sql} AS host, {U.scheme(D.name('url')).sql} AS scheme FROM pages")
+def q_url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = D.name("url")
+    return table(spark, sf_dir, "pages").select("page_id", U.normalize(u).col.alias("normal"), U.host(u).col.alias("host"), U.scheme(u).col.alias("scheme"))
+
+
+_URLS = "SELECT * FROM (VALUES ('https://a.jp/x/#top'), ('https://A.jp'), ('https://a.jp/'), ('https://a.jp/index.html'), ('https://a.jp/sub/index.php?q=1#f'), ('https://a.jp//'), ('https://a.jp/a;v=1'), ('https://a.jp/default.html'), ('https://a.jp/my-index.html'), ('http://u:p@b.jp:8080/c/'), ('https://a.jp/%E3%81%82+b'), ('https://a.jp/%zz')) v(url)"
+
+
+@query("q_url_cases", f"SELECT url, {U.normalize(D.name('url')).sql} AS normal, {U.host(D.name('url')).sql} AS host, {U.port(D.name('url')).sql} AS port, {U.percent_decode(D.name('url')).sql} AS decoded FROM ({_URLS})")
+def q_url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = D.name("url")
+    return spark.sql(_URLS).select("url", U.normalize(u).col.alias("normal"), U.host(u).col.alias("host"), U.port(u).col.alias("port"), U.percent_decode(u).col.alias("decoded"))
+
+
+@query("q_host_groups", f"SELECT {U.host(D.name('url')).sql} AS host, COUNT(*) AS pages, COUNT(*) FILTER ({U.scheme(D.name('url')).sql} = 'https') AS https FROM pages GROUP BY 1")
+def q_host_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = D.name("url")
+    return table(spark, sf_dir, "pages").groupBy(U.host(u).col.alias("host")).agg(F.count("*").alias("pages"), F.count_if(U.scheme(u).col == "https").alias("https"))
+
+
+@query("q_links_edges", f"WITH {PAGES}, {_EDGES} SELECT page_id, pos, target FROM edge")
+def q_links_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.edges(pages(spark, sf_dir)).select("page_id", "pos", "target")
+
+
+@query("q_internal_links", f"WITH {PAGES}, {_EDGES} SELECT url_host, COUNT(*) AS links, COUNT(DISTINCT target) AS targets FROM edge GROUP BY url_host")
+def q_internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.edges(pages(spark, sf_dir)).groupBy("url_host").agg(F.count("*").alias("links"), F.countDistinct("target").alias("targets"))
+
+
+@query(
+    "q_broken_candidates",
+    f"""WITH {PAGES}, {_EDGES}, fresh AS (
+  SELECT url_host, target, MIN((page_id, pos)) AS first_at FROM edge e WHERE NOT EXISTS (SELECT 1 FROM pages_facts p WHERE p.url_normal = e.target) GROUP BY ALL)
+SELECT * FROM (SELECT url_host, target, row_number() OVER (PARTITION BY url_host ORDER BY first_at, target)::INT AS pos FROM fresh) WHERE pos <= {SETTINGS.probes}""",
+)
+def q_broken_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = pages(spark, sf_dir)
+    return crawl.candidates(crawl.edges(facts), facts.select(F.col("url_normal").alias("url")), "url_host", ["page_id", "pos"], SETTINGS.probes)
+
+
+@query(
+    "q_broken_links",
+    "WITH t AS (SELECT c_nationkey AS site, c_custkey AS pos, 'https://x/' || c_custkey AS url, CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 404 ELSE 200 END AS status FROM customer), b AS (SELECT * FROM t WHERE status = 0 OR status >= 400)"
+    " SELECT site, COUNT(*) AS n, array_to_string((list(url || '(' || status || ')' ORDER BY pos))[1:3], ', ') AS broken FROM b GROUP BY site",
+)
+def q_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS site", "c_custkey AS pos", "concat('https://x/', c_custkey) AS url", "CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 404 ELSE 200 END AS status")
+    return site.broken_links(probes)
+
+
+_GRAPH = "SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) AS dst, unnest([0, 1, 2]) AS pos FROM pages"
+
+
+@query(
+    "q_crawl_bfs",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_GRAPH}) WHERE dst IN (SELECT page_id FROM pages)),
+ walk(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 16)
+SELECT node, MIN(depth)::INT AS depth FROM walk GROUP BY node""",
+)
+def q_crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id")
+    links = p.selectExpr("page_id AS src", "posexplode(array(2 * page_id + 1, 2 * page_id + 2, page_id div 3)) AS (pos, dst)")
+    links = _keep("links")(links.join(p.select(F.col("page_id").alias("dst")), "dst", "left_semi"))
+    seeds = spark.sql("SELECT CAST(0 AS BIGINT) AS node, 0 AS pos")
+    return crawl.breadth_first(links, seeds, 1_000_000, _keep("level")).select("node", "depth")
+
+
+_ADDRESSES = "SELECT * FROM (VALUES ('http://127.0.0.1:8000/'), ('http://localhost/'), ('https://192.168.1.1:22/'), ('http://169.254.169.254/x'), ('https://10.0.0.1'), ('file:///etc/passwd'), ('ftp://example.com/'), ('example.com'), ('https://8.8.8.8/'), ('https://example.com:6379/'), ('https://172.20.1.1/'), ('https://172.32.1.1/'), ('http://224.0.0.1/'), ('http://0.0.0.0/'), ('https://a.jp:443/x')) v(raw)"
+
+
+@query("q_ssrf_literals", f"SELECT raw, {U.with_scheme(D.name('raw')).sql} AS url, {U.public_literal(U.with_scheme(D.name('raw'))).sql} AS accepted FROM ({_ADDRESSES})")
+def q_ssrf_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = U.with_scheme(D.name("raw"))
+    return spark.sql(_ADDRESSES).select("raw", u.col.alias("url"), U.public_literal(u).col.alias("accepted"))
+
+
+# --- store -----------------------------------------------------------------------------------
+
+_AUDIT_LOG = "(SELECT o_custkey AS site_id, o_orderkey AS audit_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS created_at, o_totalprice AS total FROM orders)"
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey AS site_id", "o_orderkey AS audit_id", "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status", "o_orderdate AS created_at", "o_totalprice AS total")
+
+
+@query(
+    "q_latest_done_audit",
+    f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, audit_id DESC) AS r FROM {_AUDIT_LOG}),
+ d AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, audit_id DESC) AS r2 FROM h WHERE r <= 50 AND status = 'done')
+SELECT site_id, audit_id, total FROM d WHERE r2 = 1""",
+)
+def q_latest_done_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.latest_done(audit_log(spark, sf_dir), "site_id", "audit_id", "status", "created_at").select("site_id", "audit_id", "total")
+
+
+@query(
+    "q_sites_with_latest",
+    f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, audit_id DESC) AS r FROM {_AUDIT_LOG} WHERE status = 'done')
+SELECT c_custkey AS site_id, c_name AS name, audit_id AS latest_audit, total AS latest_total FROM customer LEFT JOIN h ON site_id = c_custkey AND r = 1""",
+)
+def q_sites_with_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = store.latest_done(audit_log(spark, sf_dir), "site_id", "audit_id", "status", "created_at")
+    sites = table(spark, sf_dir, "customer").selectExpr("c_custkey AS site_id", "c_name AS name")
+    return sites.join(last, "site_id", "left").select("site_id", "name", F.col("audit_id").alias("latest_audit"), F.col("total").alias("latest_total"))
+
+
+@query("q_audit_history", f"SELECT site_id, audit_id, number FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, audit_id DESC) AS number FROM {_AUDIT_LOG}) WHERE number <= 5")
+def q_audit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.newest(audit_log(spark, sf_dir), ["site_id"], [F.col("created_at").desc(), F.col("audit_id").desc()], 5).select("site_id", "audit_id", F.col("rank").alias("number"))
+
+
+_USAGE = "SELECT user_id AS owner, event_type AS kind, date_trunc('month', ts)::DATE AS month, COUNT(*) AS used FROM events GROUP BY ALL"
+_LIMITS = {"view": SETTINGS.free_audits, "click": SETTINGS.free_advice}
+
+
+@query("q_usage_month", _USAGE)
+def q_usage_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.usage_by_month(table(spark, sf_dir, "events"), "user_id", "event_type", "ts")
+
+
+@query("q_quota_exceeded", f"SELECT owner, kind, month, used, lim AS \"limit\", COALESCE(used >= lim, false) AS exceeded FROM (SELECT *, CASE kind WHEN 'view' THEN {SETTINGS.free_audits} WHEN 'click' THEN {SETTINGS.free_advice} END AS lim FROM ({_USAGE}))")
+def q_quota_exceeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.over_quota(q_usage_month(spark, sf_dir), _LIMITS)
+
+
+@query("q_site_counts", "SELECT c_mktsegment AS owner, COUNT(*) AS sites FROM customer GROUP BY 1")
+def q_site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("owner")).agg(F.count("*").alias("sites"))
+
+
+@query(
+    "q_cascade_delete",
+    "WITH a AS (SELECT * FROM orders WHERE o_custkey % 10 <> 3) SELECT 'sites' AS name, COUNT(*) AS rows_left FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT 'audits', COUNT(*) FROM a"
+    " UNION ALL SELECT 'findings', COUNT(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3)",
+)
+def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {
+        "sites": table(spark, sf_dir, "customer").selectExpr("c_custkey AS id"),
+        "audits": table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS site_id"),
+        "findings": table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS audit_id", "l_linenumber AS seq"),
+    }
+    left = store.delete_sites(tables, tables["sites"].filter("id % 10 = 3"))
+    one = [df.agg(F.count("*").alias("rows_left")).select(F.lit(n).alias("name"), "rows_left") for n, df in left.items()]
+    return one[0].unionByName(one[1]).unionByName(one[2])
+
+
+@query("q_retention_newest_n", f"SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT {SETTINGS.documents_kept}")
+def q_retention_newest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderdate AS created_at")
+    return rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(SETTINGS.documents_kept)
+
+
+_TIMES = "SELECT * FROM (VALUES ('2024-01-31T15:00:00+00:00'), ('2024-02-29T23:59:59'), ('soon'), (NULL), ('2023-12-31T14:59:00Z')) v(raw)"
+
+
+@query("q_jst_format", f"SELECT raw, CASE WHEN raw IS NULL THEN '-' ELSE COALESCE(strftime(TRY_CAST(raw AS TIMESTAMPTZ) AT TIME ZONE 'UTC' + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M JST'), raw) END AS jst FROM ({_TIMES})")
+def q_jst_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_TIMES).select("raw", store.to_jst(F.col("raw")).alias("jst"))
+
+
+_NAMES = "SELECT * FROM (VALUES (' @Taro '), ('@@JIRO'), ('hana@ko'), (''), ('@')) v(raw)"
+
+
+@query("q_username_norm", f"SELECT raw, {T.username(D.name('raw')).sql} AS name FROM ({_NAMES})")
+def q_username_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_NAMES).select("raw", T.username(D.name("raw")).col.alias("name"))
+
+
+_WIDTHS = "SELECT * FROM (VALUES ('ＡＢＣＤＥ'), ('abcdefghij'), ('AI活用'), (''), ('ｱｲｳ é①'), ('𠮷野家 — …')) v(raw)"
+
+
+@query("q_width_cases", f"SELECT raw, {T.visible_length(D.name('raw')).sql} AS width, {T.has_japanese(D.name('raw')).sql} AS ja FROM ({_WIDTHS})")
+def q_width_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = D.name("raw")
+    return spark.sql(_WIDTHS).select("raw", T.visible_length(r).col.alias("width"), T.has_japanese(r).col.alias("ja"))
+
+
+@query("q_audit_id_format", f"SELECT o_orderkey AS id, regexp_matches(raw, '{store.AUDIT_ID}') AS valid FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d-%H%M%S-') || CASE WHEN o_orderkey % 3 = 0 THEN 'XYZ' ELSE substring(md5(o_orderkey::VARCHAR), 1, 8) END AS raw FROM orders)")
+def q_audit_id_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.date_format("o_orderdate", "yyyyMMdd-HHmmss-"), F.when(F.col("o_orderkey") % 3 == 0, "XYZ").otherwise(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 8)))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), raw.rlike(store.AUDIT_ID).alias("valid"))
+
+
+# --- reports ---------------------------------------------------------------------------------
+
+_LINES = (
+    "SELECT url_host, string_agg(line, chr(10) ORDER BY section, place) AS body FROM lines GROUP BY url_host"
+)
+_HEAD = f"WITH {FINDINGS}, {AUDITS}, {OVERALL_SQL}, {CATEGORY_SQL}, {ORDERED_SQL}, {TOP_SQL}, seqs AS (SELECT url_host, url, title_width, text_length, row_number() OVER (PARTITION BY url_host ORDER BY page_id) AS seq, CASE WHEN status >= 400 THEN 'error' ELSE '' END AS error FROM pages_facts)"
+_NL = "chr(10)"
+_MARKDOWN = f"""{_HEAD}, lines AS (
+ SELECT url_host, 0 AS section, 0 AS place, '# Audit of ' || url_host || {_NL} || {_NL} || '- Pages: ' || pages || {_NL} || '- Score: **' || overall || '** / 100' || {_NL} || {_NL} || {scoring.VERDICT_SQL.format('overall')} || {_NL} AS line FROM overall
+ UNION ALL SELECT url_host, 1, 0, '## Findings by severity' || {_NL} || {_NL} || '- Critical: ' || critical || {_NL} || '- Warning: ' || warning || {_NL} || '- Info: ' || info || {_NL} FROM overall
+ UNION ALL SELECT url_host, 2, 0, '## Scores by category' || {_NL} FROM overall
+ UNION ALL SELECT url_host, 3, place, '- ' || label || ': ' || score FROM scores
+ UNION ALL SELECT url_host, 4, number, CASE WHEN number = 1 THEN {_NL} || '## Findings' || {_NL} || {_NL} ELSE '' END || '### ' || number || '. [' || severity || '] ' || rule || {_NL} || {_NL} || '- Page: ' || url || {_NL} || '- Measured: ' || evidence || {_NL} FROM ordered
+ UNION ALL SELECT url_host, 5, seq, '### ' || url || {_NL} || {_NL} || '- Title: ' || title_width || ' cells' || {_NL} || '- Text: ' || text_length || ' characters' || {_NL} FROM seqs WHERE error = ''
+ UNION ALL SELECT url_host, 6, 0, '---' || {_NL} || {_NL} || 'Every finding is a measured value; nothing is guessed.' FROM overall) {_LINES}"""
+_PROMPT = f"""{_HEAD}, lines AS (
+ SELECT url_host, 0 AS section, 0 AS place, 'Site: ' || url_host || {_NL} || 'Score: ' || overall || ' / pages: ' || pages || {_NL} || {_NL} || 'Scores:' AS line FROM overall
+ UNION ALL SELECT url_host, 1, place, '- ' || label || ': ' || score FROM scores
+ UNION ALL SELECT url_host, 2, 0, {_NL} || 'Findings:' FROM overall
+ UNION ALL SELECT url_host, 3, number, '- [' || severity || '] ' || rule || ' / ' || substring(evidence, 1, {SETTINGS.evidence_chars}) FROM top
+ UNION ALL SELECT url_host, 4, 0, {_NL} || 'Pages:' FROM overall
+ UNION ALL SELECT url_host, 5, seq, '- ' || url || ' (' || title_width || ' cells, ' || text_length || ' characters)' FROM seqs WHERE seq <= {SETTINGS.prompt_pages} AND error = '') {_LINES}"""
+
+
+def _report_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    from pyspark.sql import Window
+
+    facts = pages(spark, sf_dir)
+    f, a = found(spark, sf_dir)
+    o = scoring.overall_scores(f, a, ["url_host"])
+    heads = o.select("url_host", F.col("url_host").alias("name"), "overall", F.col("pages").alias("page_count"), "critical", "warning", "info", scoring.verdict(F.col("overall")).alias("verdict"))
+    places = F.element_at(F.create_map(*[F.lit(x) for i, (c, _) in enumerate(CATEGORIES) for x in (c, i)]), F.col("category"))
+    cats = scoring.category_scores(f, a, ["url_host"]).withColumn("place", places)
+    seq = F.row_number().over(Window.partitionBy("url_host").orderBy("page_id"))
+    own = facts.select("url_host", "url", "title_width", "text_length", seq.alias("seq"), F.when(F.col("status") >= 400, "error").otherwise("").alias("error"))
+    return heads, cats, f, own
+
+
+@query("q_report_markdown", _MARKDOWN)
+def q_report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads, cats, f, own = _report_parts(spark, sf_dir)
+    return report.markdown(heads, cats, report.ordered(f, ["url_host"], ["page_id", "rule_ord"]), own, "url_host")
+
+
+@query("q_prompt_text", _PROMPT)
+def q_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads, cats, f, own = _report_parts(spark, sf_dir)
+    return report.prompt(heads, cats, report.top(f, ["url_host"], ["page_id", "rule_ord"]), own, "url_host")
+
+
+# --- differences and documents ---------------------------------------------------------------
+
+
+@query("q_impl_diff", f"WITH {PAGES} SELECT 'rows' AS side, COUNT(*) AS n FROM pages_facts")
+def q_impl_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser against the expressions: rows that differ (expected none) and the count of rows."""
+    from shirabe.sources.html import extract
+
+    names = ["page_id", "title", "description", "viewport", "charset", "canonical", "h1_count", "text_length", "images_total", "images_without_alt", "link_count", "internal_link_count", "blocking_scripts", "jsonld_invalid"]
+    base = mutated(spark, sf_dir)
+    parsed, told = extract(base).select(*names), X.facts(base).select(*[F.col(n).cast(t) for n, t in extract(base).select(*names).dtypes])
+    diff = compare.both_ways(parsed, told).groupBy("side").agg(F.count("*").alias("n"))
+    return diff.unionByName(told.agg(F.count("*").alias("n")).select(F.lit("rows").alias("side"), "n"))
+
+
+@query("q_doc_thin", f"SELECT doc_id, length(regexp_replace(text, '{T.SPACE}+', '', 'g'))::INT AS text_length FROM documents WHERE length(regexp_replace(text, '{T.SPACE}+', '', 'g')) < 300")
+def q_doc_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = D.length(D.sub(D.name("text"), T.SPACE + "+", "")).col
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("text_length")).filter("text_length < 300")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overall score, counts and verdict of each host."""
+    return q_score_overall(spark, sf_dir).withColumn("verdict", scoring.verdict(F.col("overall")))
