@@ -62,6 +62,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("ql_rejected_by").isNull()).alias("kept"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shirabe.llm.encoding import public_path
     from shirabe.llm.tokenfile import write_and_read
@@ -175,6 +181,7 @@ def queries() -> dict[str, Query]:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_repeats": op5_repeats,
         "op6_quality": op6_quality,
+        "op7_licenses": op7_licenses,
         "op8_token_files": op8_token_files,
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
