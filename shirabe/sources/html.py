@@ -194,3 +194,38 @@ def extract(pages: DataFrame) -> DataFrame:
 
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + [f"{n} {t}" for n, t, _ in FIELDS])
     return pages.select(*kept, "html").mapInArrow(run, schema)
+
+
+def rule_facts(parsed: DataFrame) -> DataFrame:
+    """What `extract` gives, with the columns that rules read (status, elapsed and hops are the
+    fetch's)."""
+    from pyspark.sql import functions as F
+
+    from shirabe.functions import dual as D
+    from shirabe.functions import text as T
+    from shirabe.functions import urls as U
+
+    og = {k: F.map_contains_key("og", F.lit(f"og:{k}")) for k in ("title", "description", "image")}
+    missing = F.concat_ws(", ", *[F.when(~has, f"og:{k}") for k, has in og.items()])
+    normal = [U.normalize(U.percent_decode(D.name(c))).col for c in ("canonical", "url")]
+    return parsed.withColumns(
+        {
+            **{f"og_{k}": has for k, has in og.items()},
+            "og_missing": missing,
+            "jsonld_list": F.array_join("jsonld_types", ", "),
+            "jsonld_count": F.size("jsonld_types"),
+            "has_breadcrumb": F.array_contains("jsonld_types", "BreadcrumbList"),
+            "heading_jumps": F.array_join(F.slice("heading_jumps", 1, 3), ", "),
+            "h1_first": F.coalesce(F.get("h1_texts", 0), F.lit("")),
+            "title_width": T.visible_length(D.name("title")).col,
+            "description_width": T.visible_length(D.name("description")).col,
+            "fullwidth": T.first_matches(D.name("title"), T.FULLWIDTH).col,
+            "noindex": F.lower("robots_meta").contains("noindex"),
+            "nofollow": F.lower("robots_meta").contains("nofollow"),
+            "canonical_conflict": (F.col("canonical") != "") & (normal[0] != normal[1]),
+            "has_ja": T.has_japanese(D.name("text_sample")).col,
+            "mojibake": T.mojibake(D.name("text_sample")).col,
+            "url_scheme": U.scheme(D.name("url")).col,
+            "url_host": U.host(D.name("url")).col,
+        }
+    )
