@@ -7,10 +7,11 @@
 2. Documents with equal sets are one class from here on, named by the smallest doc_id.
 3. Bands of rows of the signature give buckets. With 32 bands of 4 rows a pair of similarity 0.8
    shares no bucket with a probability of 5e-8.
-4. In each bucket every class is paired with a pivot, sets are compared in full, and the links
-   are grouped. Then only buckets whose members lie in different groups are left; each round pairs
-   members with another pivot, and once few pairs remain, all pairs across groups are compared.
-   So no candidate is dropped, and a bucket of copies never emits all its pairs.
+4. In each bucket every class is paired with two pivots (the class that meets most others, and the
+   smallest id), sets are compared in full, and the links are grouped. Then only buckets whose
+   members lie in different groups are left; each round pairs members with two other pivots of
+   each of their buckets, and once few pairs remain, all pairs across groups are compared. So no
+   candidate is dropped, and a bucket of copies never emits all its pairs.
 5. Grouping joins components by repeated hooking of the smaller label and pointer jumping
    (union-find in rounds), on tables in the shared folder.
 
@@ -32,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.llm import words as W
-from shirabe.llm.storage import store
+from shirabe.llm.storage import small, store
 
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 #: Rounds of pivots go on while more pairs than this for each class would be left to compare.
-PAIRS_EACH = 4
+PAIRS_EACH = 1
 ROUNDS = 6
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -170,17 +171,33 @@ def components(edges: DataFrame) -> DataFrame:
     """node and label (smallest node reachable) of the nodes in edges (a, b)."""
     both = store(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = store(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
+    n = labels.count()
     while True:
         # Hooking: the smallest label among a node's neighbours.
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        near = both.join(small(labels, n), both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        hooked = near.join(small(labels, n), labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         # Jumping: the label of the label.
-        up = labels.select(F.col("node").alias("up"), F.col("label").alias("next"))
+        up = small(labels.select(F.col("node").alias("up"), F.col("label").alias("next")), n)
         stepped = hooked.join(up, hooked["label"] == up["up"]).select("node", "was", F.least("label", "next").alias("label"))
-        stepped = store(stepped, "labels")
-        if not stepped.filter("label != was").limit(1).count():
-            return stepped.select("node", "label")
+        stepped = store(stepped, "labels", n)
         labels = stepped.select("node", "label")
+        if not stepped.filter("label != was").limit(1).count():
+            return labels
+
+
+def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Labels after more edges: only the groups that the edges touch are joined anew."""
+    if labels is None:
+        return components(edges)
+    n = labels.count()
+    old = small(labels, n)
+    over = edges.join(old, edges["a"] == labels["node"], "left").select(F.coalesce("label", "a").alias("a"), "b")
+    over = over.join(old, over["b"] == labels["node"], "left").select("a", F.coalesce("label", "b").alias("b")).filter("a != b")
+    new = components(over).select(F.col("node").alias("from"), F.col("label").alias("to"))
+    m = new.count()
+    moved = labels.join(small(new, m), labels["label"] == new["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = new.join(old, new["from"] == labels["node"], "left_anti").select(F.col("from").alias("node"), F.col("to").alias("label"))
+    return store(moved.unionByName(fresh), "labels", n + m)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,39 +207,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     classes = full.groupBy("nd_n", "nd_a", "nd_b").agg(F.min(F.struct("nd_doc", "nd_bands")).alias("r"))
     classes = store(classes.select("nd_n", "nd_a", "nd_b", F.col("r.nd_doc").alias("rep"), F.col("r.nd_bands").alias("bands")), "neardup-classes")
     buckets = classes.select("rep", F.col("nd_n").alias("n"), F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high").select("bucket")
-    buckets = store(buckets.join(shared, "bucket"), "neardup-buckets")
-    near_size = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    ids = buckets.select(F.col("rep").alias("doc")).distinct()
-    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(ids, "doc", "left_semi")
+    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).filter("low != high").select("bucket", "size")
+    buckets = store(buckets.join(shared, "bucket"), "neardup-shared")
+    # How many meet a class in its buckets: highest for the middle of a group of near copies.
+    degree = buckets.groupBy("rep").agg(F.sum("size").alias("degree"))
+    members = degree.count()
+    buckets = store(buckets.drop("size").join(small(degree, members), "rep"), "neardup-buckets")
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(degree.select(F.col("rep").alias("doc")), "doc", "left_semi")
     # Rows that share an id may have different texts; one set for each is enough.
     sets = store(_sets(texts, shingle).distinct(), "neardup-sets")
-    many = classes.count()
-    edges, links, labels = None, None, None
+    near_size = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
+    labels: DataFrame | None = None
     for turn in range(ROUNDS):
-        # A pivot for each bucket: the smallest id at first, later the smallest of another order.
-        order = F.struct(F.lit(0).alias("o"), "rep", "n") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "n")
         if labels is None:
+            # First the middle of each bucket and its smallest id are pivots.
             open_ = buckets.withColumn("label", F.col("rep"))
+            orders = [(-F.col("degree")).alias("o"), F.lit(0).cast("long").alias("o")]
         else:
-            named = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-            apart = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("bucket")
-            open_ = store(named.join(apart, "bucket"), "neardup-open")
-            sums = open_.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+            known = small(labels, labels.count())
+            named = buckets.join(known, buckets["rep"] == labels["node"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+            sums = named.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
+            sums = sums.agg(F.count("*").alias("groups"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("groups > 1")
+            sums = store(sums, "neardup-apart")
             left = sums.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if left <= PAIRS_EACH * many + 1000 or turn == ROUNDS - 1:
+            if not left:
+                break
+            open_ = named.join(sums.select("bucket"), "bucket")
+            if left <= PAIRS_EACH * members + 1000 or turn == ROUNDS - 1:
                 mine = open_.select("bucket", F.col("rep").alias("a"), "n", F.col("label").alias("la"))
                 other = open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
-                pairs = mine.join(other, "bucket").filter("la < lb").filter(near_size).select("a", "b").distinct()
-                last = _verified(pairs, sets, percent)
-                edges = last if edges is None else edges.union(last)
-                labels = components(edges)
+                pairs = mine.join(other, (mine["bucket"] == other["bucket"]) & (F.col("la") < F.col("lb")) & near_size).select("a", "b").distinct()
+                labels = _merged(labels, store(_verified(pairs, sets, percent), "neardup-links", members))
                 break
-        pivot = open_.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("m"))
-        pairs = open_.join(pivot, "bucket").filter("rep != b").filter(near_size).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        found = store(_verified(pairs, sets, percent), "neardup-links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+            open_ = store(open_, "neardup-open")
+            # Then others, another in each bucket, so that a class meets many.
+            orders = [F.xxhash64("rep", "bucket", F.lit(2 * turn + i)).alias("o") for i in (0, 1)]
+        pivots = open_.groupBy("bucket").agg(*[F.min(F.struct(o, "rep", "n", "label")).alias(f"p{i}") for i, o in enumerate(orders)])
+        both = [F.struct(F.col(f"p{i}.rep").alias("b"), F.col(f"p{i}.n").alias("m"), F.col(f"p{i}.label").alias("lb")) for i in (0, 1)]
+        pivots = pivots.select("bucket", F.explode(F.array_distinct(F.array(*both))).alias("p")).select("bucket", "p.*")
+        pairs = open_.join(pivots, "bucket").filter("label != lb").filter(near_size)
+        pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+        labels = _merged(labels, store(_verified(pairs, sets, percent), "neardup-links", members))
+    assert labels is not None
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("nd_n", "nd_a", "nd_b", F.coalesce("label", "rep").alias("component"))
     named = sketch.drop("nd_bands").join(named, ["nd_n", "nd_a", "nd_b"], "left")
     component = F.when(F.col("nd_n") > 0, F.col("component")).otherwise(F.col("nd_doc"))

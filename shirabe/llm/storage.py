@@ -7,6 +7,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+ROWS_A_FILE = 250_000
+#: Narrow rows (two numbers) up to which a counted table is broadcast; about 4 MB.
+MOST_BROADCAST = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast where its count of narrow rows is low; else joins shuffle it."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,11 +35,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df once and read it back: cuts the lineage, survives lost executors, and lets
-    later reads pick columns."""
+    later reads pick columns. rows: a bound on its (narrow) rows, for fewer files where it is low."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None and rows // ROWS_A_FILE < 64:
+        df = df.coalesce(6 + rows // ROWS_A_FILE)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
