@@ -76,12 +76,12 @@ def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
 
 
 def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """sy_id, sy_tag, sy_chars, sy_print and the same (but the print) of the document before in order of ids (of the last,
+    """sy_id, sy_tag, sy_chars and the same of the document before in order of ids (of the last,
     for the first): narrow rows, in order by one range shuffle and numbered by partition counts."""
-    own = docs.select(F.col(doc_id).alias("sy_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("sy_tag"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("sy_chars"), fingerprint(F.col(text)).alias("sy_print"))
+    own = docs.select(F.col(doc_id).alias("sy_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("sy_tag"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("sy_chars"))
     own = store(own, "syncmer-ids")
     order = [F.col("sy_id").asc_nulls_last(), F.col("sy_tag")]
-    rows = own.groupBy("sy_id", "sy_tag").agg(F.max("sy_chars").alias("sy_chars"), F.max("sy_print").alias("sy_print"), F.count("*").alias("sy_n"))
+    rows = own.groupBy("sy_id", "sy_tag").agg(F.max("sy_chars").alias("sy_chars"), F.count("*").alias("sy_n"))
     rows = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("sy_at", F.monotonically_increasing_id()), "syncmer-order")
     parts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright("sy_at", 33).alias("p")).count().collect())  # a row a partition
     total = sum(n for _, n in parts)
@@ -93,7 +93,7 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     firsts = spark.createDataFrame(list(first.items()) or [(0, 0)], "p bigint, first bigint")
     # As many rows as partitions of the shuffle, whatever the input.
     rows = rows.join(F.broadcast(firsts), F.shiftright("sy_at", 33) == F.col("p")).withColumn("pos", F.col("first") + F.col("sy_at").bitwiseAND((1 << 33) - 1))
-    rows = rows.select("pos", "sy_id", "sy_tag", "sy_chars", "sy_print", "sy_n")
+    rows = rows.select("pos", "sy_id", "sy_tag", "sy_chars", "sy_n")
     prior = rows.select((F.col("pos") + 1).alias("pos"), F.col("sy_id").alias("sy_prev"), F.col("sy_tag").alias("sy_prev_tag"), F.col("sy_chars").alias("sy_prev_chars"))
     prior = prior.withColumn("pos", F.when(F.col("pos") == total, F.lit(0)).otherwise(F.col("pos")).cast("long"))
     return rows.join(prior, "pos").drop("pos")
@@ -107,14 +107,14 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: i
     if places.filter("sy_n > 1").limit(1).count():
         own = own.dropDuplicates(["doc", "tag"])
     own = own.join(places, own["doc"].eqNullSafe(places["sy_id"]) & (own["tag"] == places["sy_tag"]))
-    mine = own.select("doc", "tag", "body", "sy_chars", "sy_print")
+    mine = own.select("doc", "tag", "body", "sy_chars")
     # What a document gives to the one before it: the head that is taken, and its fingerprint.
     head = F.substring("body", F.lit(1), F.floor(F.col("sy_prev_chars") / share).cast("int"))
-    given = own.select(F.col("sy_prev").alias("to"), F.col("sy_prev_tag").alias("to_tag"), head.alias("head"), F.col("sy_print").alias("next_print"))
+    given = own.select(F.col("sy_prev").alias("to"), F.col("sy_prev_tag").alias("to_tag"), head.alias("head"), fingerprint(F.col("body")).alias("next_print"))
     both = mine.join(given, mine["doc"].eqNullSafe(given["to"]) & (mine["tag"] == given["to_tag"]))
     kept = (F.col("sy_chars") - F.floor(F.col("sy_chars") / share)).cast("int")
     text_edited = F.concat(F.substring("body", F.lit(1), kept), F.col("head"))
-    return both.select(F.col("doc").alias("doc_id"), F.col("body").alias("text"), F.col("sy_chars").alias("n_chars"), text_edited.alias("edited"), F.col("sy_print").alias("fingerprint"), "next_print")
+    return both.select(F.col("doc").alias("doc_id"), F.col("body").alias("text"), F.col("sy_chars").alias("n_chars"), text_edited.alias("edited"), fingerprint(F.col("body")).alias("fingerprint"), "next_print")
 
 
 def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
