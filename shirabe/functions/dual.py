@@ -7,14 +7,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from shirabe.functions.lazy import F, ready
 
 
 @dataclass(frozen=True)
 class Dual:
-    col: Column
+    made: Column
     sql: str
 
+    @property
+    def col(self) -> Column:
+        return ready(self.made)
+
 
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from functools import cache
 
-from pyspark.sql import functions as F
+from shirabe.functions.lazy import F
 
 from shirabe.config import THRESHOLDS
 from shirabe.functions import dual as D

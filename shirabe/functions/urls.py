@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import urljoin
 
-from pyspark.sql import functions as F
+from shirabe.functions.lazy import F
 
 from shirabe.functions import dual as D
 from shirabe.functions.dual import Dual

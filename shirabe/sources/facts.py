@@ -8,7 +8,7 @@ same definitions make the Spark plan and the oracle's SQL."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from shirabe.functions.lazy import F
 
 from shirabe.config import SETTINGS
 from shirabe.functions import dual as D
