@@ -3,17 +3,19 @@
 Templates and texts are sequences of normal words (lower-case, marks at the ends dropped). Every GRAM
 words of a template are hashed, and of each WINDOW hashes in a row the smallest is a fingerprint. The
 inverted index of all fingerprints, whose size is that of the templates and never of the corpus, goes
-to the executors. A text's grams that are in the index vote for a template and a diagonal band; bands
-with votes are candidates. A candidate's stretch of text is aligned with the template in a band around
-its diagonal (longest common subsequence), which tolerates added, missing and changed words. A match
-is reported when it covers LEAST of the template's words, with the span of the words it aligned.
+to the executors. A text with a gram of the index, and with enough of a template's words in any order,
+is aligned with the template: for each word where an alignment can end, the one with the highest
+2 * words matched - words added between them, of equals that with more words. This tolerates added,
+missing and changed words, and never joins two copies into one. Alignments that cover LEAST of the
+template's words are matches, with the span of the words they aligned; where they overlap, the better
+one stays, and the words between those that stay are aligned again until no alignment is left.
 
 The few templates here are short notices and the opening words of common licenses; `templates` takes
 any others.
 
 Cases: null and empty text have no match; repeated rows are scanned each; of overlapping
 matches the one with most words stays, of equals that of the shorter template, then the first; a very
-long text is scanned in linear time and only its candidates are aligned; an empty table gives an empty
+long text is aligned in time linear in its words that the template has; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 
 from shirabe.llm import words as W
 
-GRAM, WINDOW, BAND, LEAST = 3, 2, 8, 0.8
+GRAM, WINDOW, LEAST = 3, 2, 0.8
+_SHIFT = 1 << 31  # a score and a first word in one number
 
 #: Short notices and opening words of public license texts.
 TEMPLATES: dict[str, str] = {
@@ -76,68 +79,76 @@ class Index:
     def __init__(self, templates: Mapping[str, str]) -> None:
         self.names = list(templates)
         self.words: list[np.ndarray] = []
-        keys, owners, places = [], [], []
+        keys = []
         for n, text in enumerate(templates.values()):
             (w,) = W.word_chunks(pa.array([text]), lower=True, hashed=False)
             self.words.append(_trimmed(w).hashes)
-            k, at = _winnow(self.words[n])
-            keys.append(k)
-            owners.append(np.full(len(k), n))
-            places.append(at)
-        order = np.argsort(k := np.concatenate(keys), kind="stable")
-        self.keys, self.owners, self.places = k[order], np.concatenate(owners)[order], np.concatenate(places)[order]
-
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
-        """(template, first word of the text) of the diagonals that fingerprints vote for, BAND words
-        apart at least."""
-        grams = W.gram_hashes(hashes, GRAM, GRAM)
-        # A template may have as few words as a gram; shorter ones can't be found.
-        lo, hi = np.searchsorted(self.keys, grams, "left"), np.searchsorted(self.keys, grams, "right")
-        out: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(hi > lo):
-            for j in range(lo[i], hi[i]):
-                start = int(i - self.places[j])
-                n = int(self.owners[j])
-                if not any((n, start + d) in out for d in range(-BAND, BAND + 1)):
-                    out.add((n, start))
-        return out
+            keys.append(_winnow(self.words[n])[0])
+        self.keys = np.unique(np.concatenate(keys))
+        self.sets = [np.unique(w) for w in self.words]
+        self.vocabulary = np.unique(np.concatenate(self.words))
+        self.bags = [(np.searchsorted(self.vocabulary, v), n) for v, n in (np.unique(w, return_counts=True) for w in self.words)]
+        self.places = [{int(x): np.flatnonzero(w == x) if len(w) > 64 else np.flatnonzero(w == x)[::-1].tolist() for x in np.unique(w)} for w in self.words]
+
+    def present(self, hashes: np.ndarray, least: float = LEAST) -> list[int]:
+        """The templates of which a text has enough words, whatever their order."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        counts = np.bincount(at[self.vocabulary[at] == hashes], minlength=len(self.vocabulary))
+        return [t for t, (ids, n) in enumerate(self.bags) if np.minimum(counts[ids], n).sum() >= least * len(self.words[t])]
+
+    def ends(self, template: int, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(words matched, first, last) of the best alignment that ends at each word of the text that
+        the template has. best[i] is the best with the template's first i words: 3 * matched + first
+        orders alignments as 2 * matched - added does wherever they end, and of equals the one with
+        more words has the earlier first word."""
+        at, m = self.places[template], len(self.words[template])
+        long = m > 64
+        best = np.full(m + 1, -_SHIFT, np.int64) if long else [-_SHIFT] * (m + 1)
+        for p in np.flatnonzero(np.isin(hashes, self.sets[template])).tolist():
+            fresh = (3 + p) * _SHIFT + _SHIFT - 1 - p
+            where = at[int(hashes[p])]
+            if long:
+                values = np.maximum(best[where] + 3 * _SHIFT, fresh)
+                best[where + 1] = np.maximum(best[where + 1], values)
+                rest = best[where[0] + 1 :]
+                np.maximum.accumulate(rest, out=rest)
+                top = int(values.max())
+            else:
+                top = fresh
+                for i in where:  # from the last place: each takes the values before this word
+                    value = max(best[i] + 3 * _SHIFT, fresh)
+                    top = max(top, value)
+                    while i < m and best[i + 1] < value:
+                        i += 1
+                        best[i] = value
+            first = _SHIFT - 1 - top % _SHIFT
+            yield (top // _SHIFT - first) // 3, first, p
 
     def align(self, template: int, hashes: np.ndarray, start: int) -> tuple[int, int, int]:
-        """(words matched, first, last) of the longest common subsequence of the template and the
-        text from start, within 2 * BAND words of the diagonal."""
-        t = self.words[template]
-        width = 2 * BAND
-        row: dict[int, tuple[int, int, int]] = {}
-        for i, x in enumerate(t):
-            new: dict[int, tuple[int, int, int]] = {}
-            for p in range(start + i - width, start + i + width + 1):
-                if p < 0 or p >= len(hashes):
-                    continue
-                best = max(row.get(p, (0, 0, 0)), new.get(p - 1, (0, 0, 0)), key=_rank)
-                if hashes[p] == x:
-                    n, a, _ = row.get(p - 1, (0, 0, 0))
-                    best = max(best, (n + 1, a if n else p, p), key=_rank)
-                new[p] = best
-            row = new
-        return max(row.values(), key=_rank, default=(0, 0, 0))
-
-
-def _rank(m: tuple[int, int, int]) -> tuple[int, int]:
-    """More words first, then the shorter stretch."""
-    return m[0], m[1] - m[2]
+        """(words matched, first, last) of the alignment with most words in the text from start."""
+        found = [(n, a + start, b + start) for n, a, b in self.ends(template, hashes[start:])]
+        return max(found, key=lambda m: (m[0], m[1] - m[2]), default=(0, 0, 0))
 
 
 def matches(index: Index, hashes: np.ndarray, least: float = LEAST) -> list[tuple[int, int, int, int]]:
     """(template, first word, last word, words matched) of each match in a text."""
-    found = set()
-    for template, start in index.candidates(hashes):
-        n, a, b = index.align(template, hashes, start)
-        if n >= least * len(index.words[template]):
-            found.add((template, a, b, n))
     kept: list[tuple[int, int, int, int]] = []
-    for m in sorted(found, key=lambda m: (-m[3], len(index.words[m[0]]), m[2] - m[1], m[1], m[0])):
-        if not any(m[1] <= k[2] and k[1] <= m[2] for k in kept):
-            kept.append(m)
+    regions = [(0, len(hashes))]
+    while regions:
+        lo, hi = regions.pop()
+        part = hashes[lo:hi]
+        found = [(t, a, b, n) for t in index.present(part, least) for n, a, b in index.ends(t, part) if n >= least * len(index.words[t])]
+        taken = np.zeros(hi - lo, bool)
+        new = []
+        for m in sorted(found, key=lambda m: (-m[3], len(index.words[m[0]]), m[2] - m[1], m[1], m[0])):
+            if not taken[m[1] : m[2] + 1].any():
+                taken[m[1] : m[2] + 1] = True
+                new.append((m[0], lo + m[1], lo + m[2], m[3]))
+        if new:
+            # What lies between may hold matches whose alignments were drawn into those taken.
+            kept += new
+            cuts = [lo, *(x for m in sorted(new, key=lambda m: m[1]) for x in (m[1], m[2] + 1)), hi]
+            regions += [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b]
     return sorted(kept, key=lambda m: (m[1], m[0]))
 
 
