@@ -1,12 +1,12 @@
-"""License scans: winnowed fingerprints of templates, an inverted index, and banded alignment.
-
-Templates and texts are sequences of normal words (lower-case, marks at the ends dropped). Every GRAM
-words of a template are hashed, and of each WINDOW hashes in a row the smallest is a fingerprint. The
-inverted index of all fingerprints, whose size is that of the templates and never of the corpus, goes
-to the executors. A text with a gram of the index, and with enough of a template's words in any order,
-is aligned with the template: for each word where an alignment can end, the one with the highest
-2 * words matched - words added between them, of equals that with more words. This tolerates added,
-missing and changed words, and never joins two copies into one. Alignments that cover LEAST of the
+"""License scans: an index of words that no match can do without, and alignment with templates.
+
+Templates and texts are sequences of normal words (lower-case, marks at the ends dropped). A match may
+lack a few of a template's words; of the longest words, one more than that go to the index, so each
+match has one of them, however it is changed. The index, whose size is that of the templates and never
+of the corpus, goes to the executors. A text with a word of the index, and with enough of a template's
+words in any order, is aligned with the template: for each word where an alignment can end, the one with
+the highest 2 * words matched - words added between them, of equals that with more words. This tolerates
+added, missing and changed words, and never joins two copies into one. Alignments that cover LEAST of the
 template's words are matches, with the span of the words they aligned; where they overlap, the better
 one stays, and the words between those that stay are aligned again until no alignment is left.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from shirabe.llm import words as W
 
-GRAM, WINDOW, LEAST = 3, 2, 0.8
+LEAST = 0.8
 _SHIFT = 1 << 31  # a score and a first word in one number
 
 #: Short notices and opening words of public license texts.
@@ -63,27 +63,24 @@ def _trimmed(w: W.Words) -> W.Words:
     return W.Words(w.lo, w.hi, w.data, w.bounds, starts, ends, w.first, W._hashes(w.data, starts, ends))
 
 
-def _winnow(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of a template and their places: in each WINDOW grams the smallest, the last of
-    equals."""
-    grams = W.gram_hashes(hashes, min(GRAM, len(hashes)), GRAM)
-    if len(grams) <= WINDOW:
-        return grams, np.arange(len(grams))
-    at = sorted({i + WINDOW - 1 - int(np.argmin(grams[i : i + WINDOW][::-1])) for i in range(len(grams) - WINDOW + 1)})
-    return grams[at], np.array(at)
+def _certain(words: np.ndarray, lengths: np.ndarray, least: float) -> np.ndarray:
+    """The longest words of a template, one more than a match may lack: each match has one of them."""
+    spare = len(words) - int(np.ceil(least * len(words)))
+    return words[np.argsort(-lengths, kind="stable")[: spare + 1]]
 
 
 class Index:
-    """Templates' word hashes and the inverted index of their fingerprints."""
+    """Templates' word hashes, and of each template words that every match has one of."""
 
-    def __init__(self, templates: Mapping[str, str]) -> None:
+    def __init__(self, templates: Mapping[str, str], least: float = LEAST) -> None:
         self.names = list(templates)
         self.words: list[np.ndarray] = []
         keys = []
-        for n, text in enumerate(templates.values()):
+        for text in templates.values():
             (w,) = W.word_chunks(pa.array([text]), lower=True, hashed=False)
-            self.words.append(_trimmed(w).hashes)
-            keys.append(_winnow(self.words[n])[0])
+            w = _trimmed(w)
+            self.words.append(w.hashes)
+            keys.append(_certain(w.hashes, w.ends - w.starts, least))
         self.keys = np.unique(np.concatenate(keys))
         self.sets = [np.unique(w) for w in self.words]
         self.vocabulary = np.unique(np.concatenate(self.words))
@@ -156,16 +153,15 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     """doc_id, license, coverage (share of the template's words), n_matched, first_word, last_word and
     start and end (code points) of each match."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    index = Index(templates)
+    index = Index(templates, least)
     names = ["doc_id", "license", "coverage", "n_matched", "first_word", "last_word", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in W.word_chunks(batch.column(1), lower=True, hashed=False):
                 w = _trimmed(raw)
-                # Few grams of a chunk are in the index; documents without one are passed over.
-                hit = np.isin(W.gram_hashes(w.hashes, GRAM, GRAM), index.keys)
-                docs_hit = np.unique(w.doc[: len(hit)][hit]) if hit.any() else []
+                # Documents without a word of the index have no match.
+                docs_hit = np.unique(w.doc[np.isin(w.hashes, index.keys)])
                 rows = []
                 for d in docs_hit:
                     a, b = w.first[d], w.first[d + 1]

@@ -91,3 +91,19 @@ def test_long_templates_equal_short_ones_word_for_word():
     t = index.words[0].tolist()
     for n, a, b in list(index.ends(0, h))[::17]:
         assert (n, a) == max(((ending(t, h[x : b + 1].tolist()), x) for x in range(b + 1)), key=lambda m: (3 * m[0] + m[1], m[0]))
+
+
+def test_each_match_is_a_candidate(spark):
+    """One word of each notice changed or missing, at each place: what aligns is found by the scan."""
+    short = {k: v for k, v in licenses.TEMPLATES.items() if len(v.split()) < 20}
+    index = licenses.Index(short)
+    texts = ["Released under an MIT License."]
+    for v in short.values():
+        own = v.split()
+        texts += [" ".join([*own[:k], *by, *own[k + 1 :]]) for k in range(len(own)) for by in (["changed"], [])]
+    want = sorted((i, index.names[t], a, b) for i, x in enumerate(texts) for t, a, b, _ in licenses.matches(index, hashed(x)))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), short).collect()
+    assert sorted((r["doc_id"], r["license"], r["first_word"], r["last_word"]) for r in rows) == want
+    assert want[0] == (0, "mit-notice", 0, 4)
+    for i, x in enumerate(texts):
+        assert sorted(m[1:] for m in want if m[0] == i) == sorted((index.names[t], a, b) for t, a, b, _ in brute(index, hashed(x).tolist()))
