@@ -7,7 +7,8 @@ of the corpus, goes to the executors. A text with a word of the index, and with
 words in any order, is aligned with the template: for each word where an alignment can end, the one with
 the highest 2 * words matched - words added between them, of equals that with more words. This tolerates
 added, missing and changed words, and never joins two copies into one. Alignments that cover LEAST of the
-template's words are matches, with the span of the words they aligned; where they overlap, the better
+template's words are matches, with the span of the words they aligned, if the span holds the words that
+tell the license from others (`required`: name, number of clauses, version), each phrase unbroken; where they overlap, the better
 one stays, and the words between those that stay are aligned again until no alignment is left.
 
 The few templates here are short notices and the opening words of common licenses; `templates` takes
@@ -21,7 +22,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,20 @@ TEMPLATES: dict[str, str] = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
 }
 
+#: What a match's stretch of text must hold, word for word, to bear the template's name.
+REQUIRED: dict[str, tuple[str, ...]] = {
+    "mit-notice": ("MIT",),
+    "apache-2.0-notice": ("Apache License", "2.0"),
+    "gpl-3.0-notice": ("GNU General Public License", "version 3"),
+    "cc-by-nc-4.0-notice": ("CC BY-NC 4.0",),
+    "cc-by-4.0-notice": ("CC BY 4.0",),
+    "cc0-notice": ("CC0",),
+    "bsd-3-notice": ("BSD 3-Clause",),
+    "mpl-2.0-notice": ("Mozilla Public License", "2.0"),
+    "gpl-3.0": ("GNU General Public License", "version 3"),
+    "apache-2.0": ("Apache License", "2.0"),
+}
+
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b"\"'()[]{}<>.,;:!?*#/|`~-_=")] = True
 
@@ -63,6 +78,11 @@ def _trimmed(w: W.Words) -> W.Words:
     return W.Words(w.lo, w.hi, w.data, w.bounds, starts, ends, w.first, W._hashes(w.data, starts, ends))
 
 
+def _words(text: str) -> W.Words:
+    (w,) = W.word_chunks(pa.array([text]), lower=True, hashed=False)
+    return _trimmed(w)
+
+
 def _certain(words: np.ndarray, lengths: np.ndarray, least: float) -> np.ndarray:
     """The longest words of a template, one more than a match may lack: each match has one of them."""
     spare = len(words) - int(np.ceil(least * len(words)))
@@ -72,15 +92,15 @@ def _certain(words: np.ndarray, lengths: np.ndarray, least: float) -> np.ndarray
 class Index:
     """Templates' word hashes, and of each template words that every match has one of."""
 
-    def __init__(self, templates: Mapping[str, str], least: float = LEAST) -> None:
+    def __init__(self, templates: Mapping[str, str], least: float = LEAST, required: Mapping[str, Sequence[str]] = REQUIRED) -> None:
         self.names = list(templates)
         self.words: list[np.ndarray] = []
         keys = []
         for text in templates.values():
-            (w,) = W.word_chunks(pa.array([text]), lower=True, hashed=False)
-            w = _trimmed(w)
+            w = _words(text)
             self.words.append(w.hashes)
             keys.append(_certain(w.hashes, w.ends - w.starts, least))
+        self.required = [[_words(x).hashes for x in required.get(n, ())] for n in self.names]
         self.keys = np.unique(np.concatenate(keys))
         self.sets = [np.unique(w) for w in self.words]
         self.vocabulary = np.unique(np.concatenate(self.words))
@@ -121,6 +141,10 @@ class Index:
             first = _SHIFT - 1 - top % _SHIFT
             yield (top // _SHIFT - first) // 3, first, p
 
+    def bears(self, template: int, stretch: np.ndarray) -> bool:
+        """Whether a stretch of text holds what the template's name requires."""
+        return all(any((stretch[i : i + len(x)] == x).all() for i in np.flatnonzero(stretch[: len(stretch) - len(x) + 1] == x[0])) for x in self.required[template])
+
     def align(self, template: int, hashes: np.ndarray, start: int) -> tuple[int, int, int]:
         """(words matched, first, last) of the alignment with most words in the text from start."""
         found = [(n, a + start, b + start) for n, a, b in self.ends(template, hashes[start:])]
@@ -134,7 +158,7 @@ def matches(index: Index, hashes: np.ndarray, least: float = LEAST) -> list[tupl
     while regions:
         lo, hi = regions.pop()
         part = hashes[lo:hi]
-        found = [(t, a, b, n) for t in index.present(part, least) for n, a, b in index.ends(t, part) if n >= least * len(index.words[t])]
+        found = [(t, a, b, n) for t in index.present(part, least) for n, a, b in index.ends(t, part) if n >= least * len(index.words[t]) and index.bears(t, part[a : b + 1])]
         taken = np.zeros(hi - lo, bool)
         new = []
         for m in sorted(found, key=lambda m: (-m[3], len(index.words[m[0]]), m[2] - m[1], m[1], m[0])):
@@ -149,11 +173,11 @@ def matches(index: Index, hashes: np.ndarray, least: float = LEAST) -> list[tupl
     return sorted(kept, key=lambda m: (m[1], m[0]))
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", required: Mapping[str, Sequence[str]] = REQUIRED) -> DataFrame:
     """doc_id, license, coverage (share of the template's words), n_matched, first_word, last_word and
     start and end (code points) of each match."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    index = Index(templates, least)
+    index = Index(templates, least, required)
     names = ["doc_id", "license", "coverage", "n_matched", "first_word", "last_word", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

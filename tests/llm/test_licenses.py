@@ -39,7 +39,7 @@ def brute(index, h, least=licenses.LEAST):
         for b in range(len(h)):
             if h[b] in t:
                 k, a = max(((ending(t, h[a : b + 1]), a) for a in range(b + 1)), key=lambda m: (3 * m[0] + m[1], m[0]))
-                if k >= least * len(t):
+                if k >= least * len(t) and all(any(h[i : i + len(x)] == x.tolist() for i in range(a, b + 2 - len(x))) for x in index.required[n]):
                     found.append((n, a, b, k))
     new = []
     for m in sorted(found, key=lambda m: (-m[3], len(index.words[m[0]]), m[2] - m[1], m[1], m[0])):
@@ -107,3 +107,17 @@ def test_each_match_is_a_candidate(spark):
     assert want[0] == (0, "mit-notice", 0, 4)
     for i, x in enumerate(texts):
         assert sorted(m[1:] for m in want if m[0] == i) == sorted((index.names[t], a, b) for t, a, b, _ in brute(index, hashed(x).tolist()))
+
+
+def test_other_licenses_and_prose_have_no_match():
+    others = (
+        "Released under the BSD License.", "Released under the new license.", "Licensed under the Educational Community License, Version 2.0",
+        "Licensed under the Apache License, Version 1.1.", "Licensed under the Academic Free License, Version 2.0.",
+        "This work is licensed under the GNU General Public License, version 1.", "This work is licensed under the GNU Foo General Public License, version 3.",
+        "Licensed under CC BY-ND 4.0.", "Licensed under CC BY 3.0.", "Licensed under the BSD 4-Clause License.", "Licensed under the new 3-Clause License.",
+        "The film was released under the old license of the studio, and dedicated to the public domain under law.",
+    )
+    assert [named(x) for x in others] == [[]] * len(others)
+    for name, (first, *rest) in licenses.REQUIRED.items():
+        assert licenses.Index({name: licenses.TEMPLATES[name]}).bears(0, hashed(licenses.TEMPLATES[name])), (name, first, rest)
+    assert [x for x, *_ in named("Released under the MIT license. Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.")] == ["mit-notice", "cc-by-4.0-notice", "cc-by-nc-4.0-notice"]
