@@ -11,8 +11,8 @@ template's words are matches, with the span of the words they aligned, if the sp
 tell the license from others (`required`: name, number of clauses, version), each phrase unbroken; where they overlap, the better
 one stays, and the words between those that stay are aligned again until no alignment is left.
 
-The few templates here are short notices and the opening words of common licenses; `templates` takes
-any others.
+The templates here are whole license texts (folder license_texts), and short notices, headers and
+opening words as further ones; `templates` takes any others.
 
 Cases: null and empty text have no match; repeated rows are scanned each; of overlapping
 matches the one with most words stays, of equals that of the shorter template, then the first; a very
@@ -23,6 +23,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from shirabe.llm import words as W
 LEAST = 0.8
 _SHIFT = 1 << 31  # a score and a first word in one number
 
-#: Short notices and opening words of public license texts.
-TEMPLATES: dict[str, str] = {
+#: Short notices, headers of source files and opening words of public license texts.
+NOTICES: dict[str, str] = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -43,12 +44,31 @@ TEMPLATES: dict[str, str] = {
     "cc0-notice": "Dedicated to the public domain under CC0 1.0.",
     "bsd-3-notice": "Licensed under the BSD 3-Clause License.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nc-sa-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "bsd-2-notice": "Licensed under the BSD 2-Clause License.",
+    "isc-notice": "Released under the ISC License.",
+    "zlib-notice": "Released under the zlib License.",
+    "epl-2.0-notice": "This program is made available under the terms of the Eclipse Public License 2.0.",
+    "gpl-2.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "mit-opening": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "isc-opening": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "bsd-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
 }
+#: Whole license texts, one for each license and version, without title and copyright lines where those
+#: are the holder's own.
+WHOLE: dict[str, str] = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files("shirabe.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name)}
+TEMPLATES: dict[str, str] = NOTICES | WHOLE
 
 #: What a match's stretch of text must hold, word for word, to bear the template's name.
 REQUIRED: dict[str, tuple[str, ...]] = {
@@ -60,8 +80,30 @@ REQUIRED: dict[str, tuple[str, ...]] = {
     "cc0-notice": ("CC0",),
     "bsd-3-notice": ("BSD 3-Clause",),
     "mpl-2.0-notice": ("Mozilla Public License", "2.0"),
-    "gpl-3.0": ("GNU General Public License", "version 3"),
-    "apache-2.0": ("Apache License", "2.0"),
+    "gpl-2.0-notice": ("GNU General Public License", "version 2"),
+    "lgpl-2.1-notice": ("GNU Lesser General Public License", "version 2.1"),
+    "lgpl-3.0-notice": ("GNU Lesser General Public License", "version 3"),
+    "agpl-3.0-notice": ("GNU Affero General Public License", "version 3"),
+    "cc-by-sa-4.0-notice": ("CC BY-SA 4.0",),
+    "cc-by-nc-sa-4.0-notice": ("CC BY-NC-SA 4.0",),
+    "cc-by-nc-nd-4.0-notice": ("CC BY-NC-ND 4.0",),
+    "bsd-2-notice": ("BSD 2-Clause",),
+    "isc-notice": ("ISC",),
+    "zlib-notice": ("zlib",),
+    "epl-2.0-notice": ("Eclipse Public License", "2.0"),
+    "gpl-2.0-header": ("GNU General Public License", "version 2"),
+    "gpl-3.0-header": ("GNU General Public License", "version 3"),
+    "lgpl-2.1-header": ("GNU Lesser General Public License", "version 2.1"),
+    "lgpl-3.0-header": ("GNU Lesser General Public License", "version 3"),
+    "agpl-3.0-header": ("GNU Affero General Public License", "version 3"),
+    "apache-2.0-header": ("Apache License", "2.0"),
+    "mit": ("shall be included in all copies",),
+    "isc": ("appear in all copies",),
+    "bsd-3": ("neither the name",),
+    "gpl-3.0": ("Use with the GNU Affero General Public License",),
+    "apache-2.0": ("Apache License",),
+    "cc-by-sa-4.0": ("Attribution-ShareAlike 4.0",),
+    "mpl-1.1": ("Mozilla Public License",),
 }
 
 _EDGE = np.zeros(256, bool)
@@ -83,10 +125,15 @@ def _words(text: str) -> W.Words:
     return _trimmed(w)
 
 
-def _certain(words: np.ndarray, lengths: np.ndarray, least: float) -> np.ndarray:
-    """The longest words of a template, one more than a match may lack: each match has one of them."""
+LONG = 64  #: words of a long template
+
+
+def _certain(words: np.ndarray, lengths: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The longest words of a template, and how many of them each match has at least: one more than a
+    match may lack, of which it has one; in long templates twice as many, of which it has half."""
     spare = len(words) - int(np.ceil(least * len(words)))
-    return words[np.argsort(-lengths, kind="stable")[: spare + 1]]
+    n = min(len(words), 2 * spare + 1 if len(words) > LONG else spare + 1)
+    return words[np.argsort(-lengths, kind="stable")[:n]], n - spare
 
 
 class Index:
@@ -100,26 +147,44 @@ class Index:
             w = _words(text)
             self.words.append(w.hashes)
             keys.append(_certain(w.hashes, w.ends - w.starts, least))
+        self.keys = np.unique(np.concatenate([k for k, n in keys]))
+        self.few = np.isin(self.keys, np.concatenate([np.zeros(0, np.uint64), *(k for k, n in keys if n == 1)]))
+        self.many = min((n for _, n in keys if n > 1), default=0)
         self.required = [[_words(x).hashes for x in required.get(n, ())] for n in self.names]
-        self.keys = np.unique(np.concatenate(keys))
         self.sets = [np.unique(w) for w in self.words]
         self.vocabulary = np.unique(np.concatenate(self.words))
         self.bags = [(np.searchsorted(self.vocabulary, v), n) for v, n in (np.unique(w, return_counts=True) for w in self.words)]
-        self.places = [{int(x): np.flatnonzero(w == x) if len(w) > 64 else np.flatnonzero(w == x)[::-1].tolist() for x in np.unique(w)} for w in self.words]
+        self.places: dict[int, dict] = {}
+
+    def possible(self, w: W.Words) -> np.ndarray:
+        """The documents of a chunk with as many words of the index as a match has."""
+        at = np.minimum(np.searchsorted(self.keys, w.hashes), len(self.keys) - 1)
+        hit = self.keys[at] == w.hashes
+        doc = w.doc[hit]
+        few, all_ = (np.bincount(x, minlength=w.hi - w.lo) for x in (doc[self.few[at[hit]]], doc))
+        return np.flatnonzero((few > 0) | (all_ >= self.many) & (self.many > 0))
+
+    def _places(self, template: int) -> dict:
+        """Where the template has each of its words; from the last place in short templates."""
+        if template not in self.places:
+            w = self.words[template]
+            found = {int(x): np.flatnonzero(w == x) for x in self.sets[template]}
+            self.places[template] = found if len(w) > LONG else {x: at[::-1].tolist() for x, at in found.items()}
+        return self.places[template]
 
     def present(self, hashes: np.ndarray, least: float = LEAST) -> list[int]:
         """The templates of which a text has enough words, whatever their order."""
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         counts = np.bincount(at[self.vocabulary[at] == hashes], minlength=len(self.vocabulary))
-        return [t for t, (ids, n) in enumerate(self.bags) if np.minimum(counts[ids], n).sum() >= least * len(self.words[t])]
+        return [t for t, (ids, n) in enumerate(self.bags) if len(hashes) >= least * len(self.words[t]) and np.minimum(counts[ids], n).sum() >= least * len(self.words[t])]
 
     def ends(self, template: int, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(words matched, first, last) of the best alignment that ends at each word of the text that
         the template has. best[i] is the best with the template's first i words: 3 * matched + first
         orders alignments as 2 * matched - added does wherever they end, and of equals the one with
         more words has the earlier first word."""
-        at, m = self.places[template], len(self.words[template])
-        long = m > 64
+        at, m = self._places(template), len(self.words[template])
+        long = m > LONG
         best = np.full(m + 1, -_SHIFT, np.int64) if long else [-_SHIFT] * (m + 1)
         for p in np.flatnonzero(np.isin(hashes, self.sets[template])).tolist():
             fresh = (3 + p) * _SHIFT + _SHIFT - 1 - p
@@ -184,10 +249,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
         for batch in batches:
             for raw in W.word_chunks(batch.column(1), lower=True, hashed=False):
                 w = _trimmed(raw)
-                # Documents without a word of the index have no match.
-                docs_hit = np.unique(w.doc[np.isin(w.hashes, index.keys)])
                 rows = []
-                for d in docs_hit:
+                for d in index.possible(w):
                     a, b = w.first[d], w.first[d + 1]
                     for t, first, last, n in matches(index, w.hashes[a:b], least):
                         begin = w.bounds[d]

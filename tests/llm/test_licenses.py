@@ -121,3 +121,28 @@ def test_other_licenses_and_prose_have_no_match():
     for name, (first, *rest) in licenses.REQUIRED.items():
         assert licenses.Index({name: licenses.TEMPLATES[name]}).bears(0, hashed(licenses.TEMPLATES[name])), (name, first, rest)
     assert [x for x, *_ in named("Released under the MIT license. Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.")] == ["mit-notice", "cc-by-4.0-notice", "cc-by-nc-4.0-notice"]
+
+
+def test_whole_texts():
+    for name, text in licenses.WHOLE.items():
+        words = text.split()
+        n = len(words)
+        assert [x for x, *_ in named(f"Some words before. {text} Some words behind.")] == [name]
+        assert [x for x, *_ in named(text, least=0.8)][:1] == [name]
+        # The later part is not the whole.
+        assert name not in [x for x, *_ in named(" ".join(words[n // 2 :]))]
+    affero = licenses.WHOLE["gpl-3.0"].replace("Use with the GNU Affero General Public License", "Remote Network Interaction; Use with the GNU General Public License")
+    assert "gpl-3.0" not in [x for x, *_ in named(affero.replace("GNU GENERAL", "GNU AFFERO GENERAL"))]
+    assert {"gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "cc-by-sa-4.0", "unlicense", "zlib", "bsd-2", "bsd-3", "apache-2.0"} <= set(licenses.WHOLE)
+
+
+def test_whole_texts_changed_or_commented(spark):
+    rng = random.Random(6)
+    cases = {}
+    for name in ("mit", "bsd-2", "bsd-3", "isc", "zlib", "unlicense", "lgpl-3.0", "apache-2.0"):
+        text = licenses.WHOLE[name]
+        cases[name] = "\n".join(f" * {x}" for x in text.splitlines())
+        words = [x if rng.random() > 0.02 or x.lower() in ("neither", "name", "the", "apache", "license") else "other" for x in text.split()]
+        cases[name + " changed"] = " ".join(words)
+    rows = licenses.scan(spark.createDataFrame(list(cases.items()), "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in rows) == sorted((k, k.split()[0]) for k in cases)
