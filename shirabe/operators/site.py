@@ -27,19 +27,19 @@ def _head(rows: DataFrame, keys: list[str], order: str, shown: int) -> DataFrame
 
 
 def duplicates(pages: DataFrame, site: str, value: str, url: str, seq: str, shown: int = 3) -> DataFrame:
-    """Values that several pages of a site share: site, value, n, first_url and first_urls (the
-    first few). Counts are combined before the shuffle; no group is gathered."""
+    """Values that several pages of a site share: site, value, n, first_url, first_seq and first_urls
+    (the first few). Counts are combined before the shuffle; no group is gathered."""
     rows = pages.filter(F.col(value) != "").select(F.col(site).alias("site"), F.col(value).alias("value"), F.col(url).alias("url"), F.col(seq).alias("seq"))
-    counts = rows.groupBy("site", "value").agg(F.count("*").alias("n"), F.min_by("url", "seq").alias("first_url")).filter("n > 1")
+    counts = rows.groupBy("site", "value").agg(F.count("*").alias("n"), F.min_by("url", "seq").alias("first_url"), F.min("seq").alias("first_seq")).filter("n > 1")
     first = _head(rows, ["site", "value"], "seq", shown).groupBy("site", "value").agg(F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("firsts"))
     urls = F.array_join(F.transform("firsts", lambda s: s["url"]), ", ")
-    return counts.join(first, ["site", "value"]).select("site", "value", "n", "first_url", urls.alias("first_urls"))
+    return counts.join(first, ["site", "value"]).select("site", "value", "n", "first_url", "first_seq", urls.alias("first_urls"))
 
 
 def duplicate_findings(groups: DataFrame, rule: str, shown: int = 3) -> DataFrame:
     more = F.when(F.col("n") > shown, F.lit(" and more")).otherwise(F.lit(""))
     evidence = F.concat(F.substring("value", 1, 50), F.lit(": "), F.col("first_urls"), more)
-    return groups.select("site", F.lit(rule).alias("rule"), F.lit(rule.split(".")[0]).alias("category"), F.lit("warning").alias("severity"), F.col("first_url").alias("url"), evidence.alias("evidence"))
+    return groups.select("site", F.lit(rule).alias("rule"), F.lit(rule.split(".")[0]).alias("category"), F.lit("warning").alias("severity"), F.col("first_url").alias("url"), evidence.alias("evidence"), "first_seq")
 
 
 def broken_links(probes: DataFrame, shown: int = 3) -> DataFrame:

@@ -223,17 +223,65 @@ def _dup_sql(value: str) -> str:
 
 @query("q_dup_titles", _dup_sql("title"))
 def q_dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.duplicates(pages(spark, sf_dir), "url_host", "title", "url", "page_id")
+    return site.duplicates(pages(spark, sf_dir), "url_host", "title", "url", "page_id").drop("first_seq")
 
 
 @query("q_dup_descriptions", _dup_sql("description"))
 def q_dup_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.duplicates(pages(spark, sf_dir), "url_host", "description", "url", "page_id")
+    return site.duplicates(pages(spark, sf_dir), "url_host", "description", "url", "page_id").drop("first_seq")
 
 
 @query("q_dup_findings", f"SELECT site, 'meta.title.duplicate' AS rule, 'meta' AS category, 'warning' AS severity, first_url AS url, substring(value, 1, 50) || ': ' || first_urls || CASE WHEN n > 3 THEN ' and more' ELSE '' END AS evidence FROM ({_dup_sql('title')})")
 def q_dup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.duplicate_findings(q_dup_titles(spark, sf_dir), "meta.title.duplicate")
+    return site.duplicate_findings(site.duplicates(pages(spark, sf_dir), "url_host", "title", "url", "page_id"), "meta.title.duplicate").drop("first_seq")
+
+
+# --- whole audits: page findings and, after them, what several pages of a host share ------------
+
+_SHARED = (("title", "meta.title.duplicate"), ("description", "meta.description.duplicate"))
+_SHARED_SQL = "SELECT 1 AS part, url_host, MIN(page_id) AS page_id, min_by(url, page_id) AS url, {i} AS rule_ord, '{r}' AS rule, 'meta' AS category, 'warning' AS severity, substring({v}, 1, 50) || ': ' || array_to_string(list(url ORDER BY page_id)[1:3], ', ') || CASE WHEN COUNT(*) > 3 THEN ' and more' ELSE '' END AS evidence FROM pages_facts WHERE {v} <> '' GROUP BY url_host, {v} HAVING COUNT(*) > 1"
+WHOLE = f"{PAGES}, found AS MATERIALIZED (SELECT 0 AS part, * FROM ({rules.findings_sql('pages_facts', _KEYS)}) UNION ALL " + " UNION ALL ".join(_SHARED_SQL.format(i=len(rules.PAGE_RULES) + i, r=r, v=v) for i, (v, r) in enumerate(_SHARED)) + ")"
+_WHOLE_TIES = ["part", "page_id", "rule_ord"]
+WHOLE_TOP_SQL = TOP_SQL.replace("page_id, rule_ord", "part, page_id, rule_ord")
+
+
+def audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, audits) as found(), with the findings about a host; no robots, sitemap or probe is
+    known of the hosts of `pages`, so these are the duplicates. part: 0 for a page's, 1 for a host's."""
+    facts = pages(spark, sf_dir)
+    every = rules.findings(facts, _KEYS).select(F.lit(0).alias("part"), "*")
+    for i, (value, rule) in enumerate(_SHARED):
+        shared = site.duplicate_findings(site.duplicates(facts, "url_host", value, "url", "page_id"), rule)
+        every = every.unionByName(shared.select(F.lit(1).alias("part"), F.col("site").alias("url_host"), F.col("first_seq").alias("page_id"), "url", F.lit(len(rules.PAGE_RULES) + i).alias("rule_ord"), "rule", "category", "severity", "evidence"))
+    return every, facts.groupBy("url_host").agg(F.count("*").alias("pages"))
+
+
+@query("q_audit_findings", f"WITH {WHOLE} SELECT url_host, page_id, rule_ord, rule, category, severity, evidence FROM found")
+def q_audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(spark, sf_dir)[0].select("url_host", "page_id", "rule_ord", "rule", "category", "severity", "evidence")
+
+
+@query("q_audit_score_category", f"WITH {WHOLE}, {AUDITS}, {CATEGORY_SQL} SELECT url_host, category, label, score FROM scores")
+def q_audit_score_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, a = audited(spark, sf_dir)
+    return scoring.category_scores(f, a, ["url_host"])
+
+
+@query("q_audit_score_overall", f"WITH {WHOLE}, {AUDITS}, {OVERALL_SQL} SELECT * FROM overall")
+def q_audit_score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, a = audited(spark, sf_dir)
+    return scoring.overall_scores(f, a, ["url_host"])
+
+
+@query("q_audit_severity_counts", f"WITH {WHOLE} SELECT severity, category, COUNT(*) AS n FROM found GROUP BY ALL")
+def q_audit_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(spark, sf_dir)[0].groupBy("severity", "category").agg(F.count("*").alias("n"))
+
+
+@query("q_audit_verdict_bands", f"WITH {WHOLE}, {AUDITS}, {OVERALL_SQL} SELECT url_host, overall, {scoring.VERDICT_SQL.format('overall')} AS verdict, CASE WHEN overall >= 90 THEN 'good' WHEN overall >= 70 THEN 'mid' ELSE 'bad' END AS band FROM overall")
+def q_audit_verdict_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = q_audit_score_overall(spark, sf_dir)
+    return o.select("url_host", "overall", scoring.verdict(F.col("overall")).alias("verdict"), scoring.score_class(F.col("overall")).alias("band"))
 
 
 _SITES = """SELECT * FROM (VALUES
@@ -508,11 +556,14 @@ _PROMPT = f"""{_HEAD}, lines AS (
  UNION ALL SELECT url_host, 5, seq, '- ' || url || ' (' || title_width || ' cells, ' || text_length || ' characters)' FROM seqs WHERE seq <= {SETTINGS.prompt_pages} AND error = '') {_LINES}"""
 
 
-def _report_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+_WHOLE_HEAD = _HEAD.replace(FINDINGS, WHOLE).replace(TOP_SQL, WHOLE_TOP_SQL)
+
+
+def _report_parts(spark: SparkSession, sf_dir: str, findings: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]] = found) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     facts = pages(spark, sf_dir)
-    f, a = found(spark, sf_dir)
+    f, a = findings(spark, sf_dir)
     o = scoring.overall_scores(f, a, ["url_host"])
     heads = o.select("url_host", F.col("url_host").alias("name"), "overall", F.col("pages").alias("page_count"), "critical", "warning", "info", scoring.verdict(F.col("overall")).alias("verdict"))
     places = F.element_at(F.create_map(*[F.lit(x) for i, (c, _) in enumerate(CATEGORIES) for x in (c, i)]), F.col("category"))
@@ -534,6 +585,18 @@ def q_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.prompt(heads, cats, report.top(f, ["url_host"], ["page_id", "rule_ord"]), own, "url_host")
 
 
+@query("q_audit_report_markdown", _MARKDOWN.replace(_HEAD, _WHOLE_HEAD))
+def q_audit_report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads, cats, f, own = _report_parts(spark, sf_dir, audited)
+    return report.markdown(heads, cats, report.ordered(f, ["url_host"], _WHOLE_TIES), own, "url_host")
+
+
+@query("q_audit_prompt_text", _PROMPT.replace(_HEAD, _WHOLE_HEAD))
+def q_audit_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads, cats, f, own = _report_parts(spark, sf_dir, audited)
+    return report.prompt(heads, cats, report.top(f, ["url_host"], _WHOLE_TIES), own, "url_host")
+
+
 # --- differences and documents ---------------------------------------------------------------
 
 
@@ -557,4 +620,4 @@ def q_doc_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overall score, counts and verdict of each host."""
-    return q_score_overall(spark, sf_dir).withColumn("verdict", scoring.verdict(F.col("overall")))
+    return q_audit_score_overall(spark, sf_dir).withColumn("verdict", scoring.verdict(F.col("overall")))
