@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by level-wise doubling.
+"""Passages that repeat across documents, by one doubling of winnowed half windows.
 
 A window of `window` words in a document counts as repeated if its word sequence also starts in a
 document with a smaller id; every word that such a window covers is removed.
@@ -8,8 +8,8 @@ the smallest hash is its anchor (winnowing): equal windows have equal anchors at
 it is enough to count the anchors, about one for 13 words. Half windows that occur in one document
 only are dropped. Level 2 extends what is left to twice the length: only windows whose anchor was
 repeated are hashed and counted, each once, under its anchor. Windows repeated there are the
-result; with `levels` above 2 the first level starts at a quarter of the window, and so on, and
-ends where no candidates survive.
+result. There is this one doubling, behind winnowed anchors, and no loop over further levels; a
+window that is repeated has a repeated anchor, so none is lost.
 
 Documents with the same sequence of words are one document here, under the smallest id; the others
 lose all their words if they have a window at all.
