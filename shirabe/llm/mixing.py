@@ -6,6 +6,10 @@ repeats: documents are ranked by the odds of a random number divided by the odds
 inclusion probability (Pareto order sampling), and the smallest ranks are taken up to the rest of
 the target in words, so the drawn words miss it by at most half a document.
 
+All documents of a source have the same inclusion probability, the rest of its target over its size:
+the query's SQL fixes that draw. The ranks are then in the order of the random numbers alone, and the
+unequal-probability part of Pareto order sampling has no effect.
+
 The random number is a digest of the document's id and a seed, so reruns agree and nothing depends
 on partitions. No source is gathered in one task: sizes are summed by source and by bin of the
 rank, a running sum over the bins finds the bin in which the target is reached, and only that
