@@ -248,7 +248,7 @@ WHOLE_TOP_SQL = TOP_SQL.replace("page_id, rule_ord", "part, page_id, rule_ord")
 def audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(findings, audits) as found(), with the findings about a host; no robots, sitemap or probe is
     known of the hosts of `pages`, so these are the duplicates. part: 0 for a page's, 1 for a host's."""
-    facts = pages(spark, sf_dir)
+    facts = _keep("facts")(pages(spark, sf_dir).drop("html", "links"))  # read several times below
     every = rules.findings(facts, _KEYS).select(F.lit(0).alias("part"), "*")
     for i, (value, rule) in enumerate(_SHARED):
         shared = site.duplicate_findings(site.duplicates(facts, "url_host", value, "url", "page_id"), rule)
