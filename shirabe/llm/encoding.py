@@ -1,31 +1,76 @@
-"""Exact and fast token ids: texts are cut where no token can span, and each distinct cut is
-encoded once by the tokenizers library and kept.
+"""Exact and fast token ids: texts are cut where no token can span, the distinct cuts of a block are
+encoded once by the tokenizers library, and a bounded number of them is kept for later blocks.
 
-Two kinds of tokenizer files are told apart by how they treat a space:
+A cut may be made
 
-* ``SPACE_PREFIX`` (byte-level BPE): a single space between two visible characters always starts
-  a new pre-token together with what follows, and so does a single line feed.
-* ``SPACE_DROPPED`` (BPE with word ends): white space only separates.
+* before a space or line feed that follows a visible character: byte-level BPE starts a new pre-token
+  with a run of white space (its last space goes with what follows), and BPE with word ends drops white
+  space, so both treat what lies on either side apart;
+* before one of MARKS that follows an ASCII letter: letters and marks are never in one pre-token.
 
-Cutting there cannot change the ids. Texts with other white space are cut only at single spaces
-between visible characters; what lies between is encoded as it is.
+Everything runs on Arrow buffers: cuts are byte offsets into the block's text, Arrow's dictionary
+encoding finds the distinct ones (by their bytes, so no hash can mix up two), and the ids of all
+texts are one `take` from the distinct cuts' ids. Python works for distinct cuts only.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator
 
-SPACE_PREFIX, SPACE_DROPPED = "prefix", "dropped"
-#: Cuts kept in each worker, twice (a young and an old generation); about 170 MB each.
-KEPT = 1_000_000
+import numpy as np
+import pyarrow as pa
 
-MARKS = frozenset(".,;:!?")
+from shirabe.llm import words as W
 
-_ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
+SPACE_PREFIX, SPACE_DROPPED = "prefix", "dropped"
+#: Bytes of text encoded at a time (a longer text is a block of its own).
+BLOCK = 8 << 20
+#: Bytes kept in each worker, keys, ids and their overhead, twice (a young and an old generation).
+KEPT_BYTES = 96 << 20
+_OVERHEAD = 230
+
+MARKS = ".,;:!?"
+
+_MARK = np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x0A]] = True
+_ASCII_VISIBLE = np.zeros(256, bool)
+_ASCII_VISIBLE[0x21:0x7F] = True
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ascending byte offsets at which the texts between bounds may be cut, with the bounds themselves
+    (once each, empty texts aside)."""
+    n = len(data)
+    may = np.zeros(n, bool)
+    if n > 1:
+        last = data[:-1]
+        may[1:] = (_MARK[data[1:]] & _LETTER[last]) | (_SPACE[data[1:]] & _ASCII_VISIBLE[last])
+        # After other scripts: the character before must not be one of Unicode's spaces, which begin
+        # with C2, E1, E2 or E3 80.
+        other = np.flatnonzero(_SPACE[data[1:]] & (last >= 0x80)) + 1
+        if len(other):
+            lead2, lead3 = data[np.maximum(other - 2, 0)], data[np.maximum(other - 3, 0)]
+            two = (lead2 >= 0xC3) & (lead2 < 0xE0)
+            three = (lead3 >= 0xE4) & (lead3 < 0xF0) & (lead2 >= 0x80) & (lead2 < 0xC0)
+            kana = (lead3 == 0xE3) & (lead2 > 0x80) & (lead2 < 0xC0)
+            may[other[two | three | kana]] = True
+    inner = bounds[(bounds > 0) & (bounds < n)]
+    may[inner] = True
+    if n:
+        may[0] = True
+    return np.append(np.flatnonzero(may), n)
+
+
+def _binary(offsets: np.ndarray, data: pa.Buffer | None) -> pa.LargeBinaryArray:
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data if data is not None else pa.py_buffer(b"")]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
 
 
 class Encoder:
@@ -38,62 +83,113 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
         self.folds = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _cuts(self, text: str) -> list[str]:
-        """Cuts as keys: a first character of 0x00 marks a key that is encoded as it is, a line
-        feed one that starts with that line feed; any other stands after a space."""
-        if self.kind == SPACE_DROPPED:
-            return text.replace("\n", " ").split(" ")
-        if not text:
-            return []
-        if "\x00" in text:
-            return ["\x00" + text]
-        if _ODD.search(text):
-            cuts = _SAFE.split(text)
-            return ["\x00" + cuts[0], *[c[1:] for c in cuts[1:]]]
-        cuts = text.replace("\n", " \n").split(" ")
-        cuts[0] = "\x00" + cuts[0]
-        return cuts
-
-    def _text(self, key: str) -> str:
-        if self.kind == SPACE_DROPPED:
-            return key
-        return key[1:] if key[0] == "\x00" else key if key[0] == "\n" else " " + key
-
-    def _parts(self, key: str) -> tuple[str, ...]:
-        word = key.lower() if self.folds and key.isascii() else key
-        if word[-1:] in MARKS and len(word) > 1 and word[-2].isalpha() and word[0] != "\x00":
-            return word[:-1], (word[-1] if self.kind == SPACE_DROPPED else "\x00" + word[-1])
-        return (word,)
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        cuts = [self._cuts(t or "") for t in texts]
-        need = set().union(*cuts) - self.young.keys()
-        if len(self.young) + len(need) > KEPT:
-            self.old, self.young = self.young, {}
-            need = set().union(*cuts)
-        for key in need & self.old.keys():
-            self.young[key] = self.old[key]
-        fresh = need - self.young.keys()
-        # A mark after a letter begins a pre-token of its own, and where the tokenizer lower-cases,
-        # so can ASCII words be: both leave fewer cuts to encode.
-        parts = {k: self._parts(k) for k in fresh}
-        todo = list({k for p in parts.values() for k in p} - self.young.keys())
-        got = self.tokenizer.encode_batch_fast([self._text(k) for k in todo], add_special_tokens=False)
-        for key, e in zip(todo, got, strict=True):
-            self.young[key] = array("I", e.ids).tobytes()
-        for key, p in parts.items():
-            if len(p) == 2:
-                self.young[key] = self.young[p[0]] + self.young[p[1]]
-            elif p[0] is not key:
-                self.young[key] = self.young[p[0]]
-        find = self.young.__getitem__
-        return [b"".join(map(find, c)) for c in cuts]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def _key(self, cut: bytes) -> bytes:
+        """What stands for a cut: where white space is dropped, one space before it says nothing, and
+        where letters are folded, nor do capitals."""
+        if self.kind == SPACE_DROPPED and cut[:1] in (b" ", b"\n"):
+            cut = cut[1:]
+        return cut.lower() if self.folds and cut.isascii() else cut
+
+    def _ids(self, distinct: list[bytes]) -> list[bytes]:
+        keys = [self._key(c) for c in distinct]
+        young, old = self.young, self.old
+        fresh: dict[bytes, None] = {}
+        for key in keys:
+            if key not in young:
+                if (held := old.get(key)) is not None:
+                    young[key] = held
+                    self.size += len(key) + len(held) + _OVERHEAD
+                else:
+                    fresh[key] = None
+        if fresh:
+            got = self.tokenizer.encode_batch_fast([k.decode() for k in fresh], add_special_tokens=False)
+            for key, e in zip(fresh, got, strict=True):
+                young[key] = ids = array("I", e.ids).tobytes()
+                self.size += len(key) + len(ids) + _OVERHEAD
+        out = [young[k] for k in keys]
+        if self.size > KEPT_BYTES:
+            self.old, self.young, self.size = young, {}, 0
+        return out
+
+    def _block(self, data: np.ndarray, bounds: np.ndarray, end: bytes) -> tuple[pa.Buffer | None, np.ndarray]:
+        """(buffer of the ids of all texts, one after another, and each text's bounds in it)."""
+        at = cuts(data, bounds)
+        parts = _binary(at, pa.py_buffer(data)).dictionary_encode()
+        ids = self._ids(parts.dictionary.to_pylist())
+        where = parts.indices.to_numpy(zero_copy_only=False)
+        first = np.searchsorted(at[:-1], bounds)  # the first cut of each text
+        first[-1] = len(at) - 1
+        if end:  # one more cut behind each text
+            ids.append(end)
+            n = len(bounds) - 1
+            places = first[1:] + np.arange(n)
+            whole = np.full(len(where) + n, len(ids) - 1, where.dtype)
+            keep = np.ones(len(whole), bool)
+            keep[places] = False
+            whole[keep] = where
+            where, first = whole, first + np.arange(n + 1)
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(where))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        return taken.buffers()[2] if len(taken) else None, offsets[first]
+
+    def blocks(self, texts: pa.Array, end: bytes = b"") -> Iterator[tuple[int, int, pa.Buffer | None, np.ndarray]]:
+        """(lo, hi, ids, bounds) of runs of texts: bytes of the ids of texts lo..hi-1, each with `end`
+        behind it, and where each text's begin. Null counts as empty."""
+        for lo, hi, data, bounds in W.doc_chunks(texts, BLOCK):
+            yield lo, hi, *self._block(np.ascontiguousarray(data), bounds, end)
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> pa.LargeBinaryArray:
+        """The ids of each text, with `end` behind them."""
+        found = [_binary(bounds, ids) for _, _, ids, bounds in self.blocks(texts, end)]
+        return pa.concat_arrays(found) if found else pa.array([], pa.large_binary())
+
+
+def sliced(ids: pa.Buffer | None, bounds: np.ndarray) -> pa.LargeBinaryArray:
+    """The stretches of a block's ids between bounds, without copying them."""
+    return _binary(bounds, ids)
+
+
+class Decoder:
+    """Texts of ids. Byte-level vocabularies decode by a table of each id's bytes, all ids of a batch
+    at once; any other goes through the tokenizers library."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(self.tokenizer.to_str()).get("decoder") or {}
+        self.table = self._bytes() if kind.get("type") == "ByteLevel" else None
+
+    def _bytes(self) -> pa.Array:
+        """Byte-level vocabularies write a printable byte as itself, and the n-th other one as the
+        character 256 + n."""
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        special = self.tokenizer.get_added_tokens_decoder()
+        out = []
+        for i in range(self.tokenizer.get_vocab_size()):
+            token = self.tokenizer.id_to_token(i) or ""
+            out.append(token.encode() if i in special else bytes(of[c] for c in token))
+        return pa.array(out, pa.large_binary())
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of ids[bounds[i]:bounds[i + 1]]."""
+        if self.table is None:
+            return self.tokenizer.decode_batch([ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], skip_special_tokens=False)
+        if not len(ids):
+            return [""] * (len(bounds) - 1)
+        taken = self.table.take(pa.array(ids.astype(np.int64)))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+        return [t.decode("utf-8", "replace") for t in _binary(offsets[bounds], taken.buffers()[2]).to_pylist()]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def encoder(path: str, kind: str) -> Encoder:
@@ -103,6 +199,19 @@ def encoder(path: str, kind: str) -> Encoder:
     return _encoders[path, kind]
 
 
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
+
+
+def vocabulary(path: str) -> int:
+    """Number of ids of a tokenizer, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 

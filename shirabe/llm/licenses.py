@@ -117,7 +117,7 @@ def _trimmed(w: W.Words) -> W.Words:
         starts[m] += 1
     while len(m := np.flatnonzero((ends - starts > 1) & _EDGE[w.data[ends - 1]])):
         ends[m] -= 1
-    return W.Words(w.lo, w.hi, w.data, w.bounds, starts, ends, w.first, W._hashes(w.data, starts, ends))
+    return W.Words(w.lo, w.hi, w.data, w.bounds, starts, ends, w.first, W.byte_hashes(w.data, starts, ends))
 
 
 def _words(text: str) -> W.Words:

@@ -63,22 +63,18 @@ def token_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding.encoder(tokenizer, kind)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                row, piece, start, length, ids = [], [], [], [], []
-                for i, data in enumerate(enc.encode(part.column(1).to_pylist())):
-                    data += end
-                    n = len(data) // 4
-                    at, k, size = 0, 0, (n - 1) % capacity + 1
-                    while at < n:
-                        row.append(i)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(size)
-                        ids.append(data[4 * at : 4 * (at + size)])
-                        at, k, size = at + size, k + 1, capacity
+            for lo, hi, ids, bounds in enc.blocks(batch.column(1), end):
+                n = np.diff(bounds) // 4
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(hi - lo), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = (n - 1) % capacity + 1
+                start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first[row])
+                # Pieces follow one another in the block's ids, so they are stretches of one buffer.
+                at = np.append(bounds[row] + 4 * start, bounds[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                    [batch.column(0).take(pa.array(lo + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), encoding.sliced(ids, at).cast(pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 

@@ -120,7 +120,7 @@ def n_lines(w: W.Words) -> np.ndarray:
 
 def n_dup_lines(w: W.Words) -> np.ndarray:
     starts, ends, doc = _lines(w)
-    keys = _of_doc(W._hashes(w.data, starts, ends), doc)
+    keys = _of_doc(W.byte_hashes(w.data, starts, ends), doc)
     return np.bincount(doc[_later(keys)], minlength=w.hi - w.lo).astype(np.int64)
 
 

@@ -165,9 +165,9 @@ e AS (
     + len(regexp_extract_all(role || chr(10) || text, '</?s>|\[/?INST\]|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<</?SYS>>|\x{241B}')) AS inner_chars
   FROM t)
 SELECT conv_id, COUNT(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, sha256(text))) AS turns_sha256,
   COALESCE(SUM(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
-  sha256(COALESCE(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+  sha256(COALESCE(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, sha256(text)), '')) AS loss_sha256,
   SUM(inner_chars + 20)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """

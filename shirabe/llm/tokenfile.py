@@ -140,13 +140,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, do
         name = f"part-{task.partitionId():06d}.tokens.zst"
         attempt = f"{folder}/_{name}.{task.taskAttemptId()}"
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo, hi, ids, bounds in enc.blocks(batch.column(1), end):
                 if writer is None:
                     system.create_dir(folder, recursive=True)
                     writer = Writer(system.open_output_stream(attempt))
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    writer.add(key, ids + end)
+                view = memoryview(ids)
+                for key, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    writer.add(key, view[a:b])
         if writer is not None:
             writer.close()
             writer.out.close()

@@ -1,8 +1,8 @@
 """Vectorised word tables: words and their 64-bit hashes straight from Arrow's string buffers.
 
 A word is a run of bytes other than space and \\x09-\\x0D, which equals `[^\\x20\\x09-\\x0D]+` on the
-text. Hashes are polynomials over a table of random byte values modulo 2**64, taken from prefix
-sums, so a batch costs a few numpy passes and no Python work per word.
+text. Hashes come from a mixer that takes eight bytes of every word at a time, so a batch costs a few
+numpy passes and Python work only for words of more than LONG bytes.
 """
 
 from __future__ import annotations
@@ -23,17 +23,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _mix_int(x: int) -> int:
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-    return x ^ (x >> 31)
-
-
-_BYTE = np.array([_mix_int((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for i in range(256)], np.uint64)
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64 (splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -43,32 +32,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown as needed."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_INVERSE, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each span; equal sequences get equal hashes."""
-    n = len(values)
-    up, down = _powers.upto(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * down[:n], out=sums[1:])
-    length = (ends - starts).astype(np.uint64)
-    return mix((sums[ends] - sums[starts]) * up[starts] + length * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0x5851F42D4C957F2D
+_GOLD = 0x9E3779B97F4A7C15
+#: Spans of up to LONG bytes are hashed eight bytes at a time, all spans at once; longer ones (few,
+#: among words) one by one with XXH3, so that one endless word can't make many passes.
+LONG = 64
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span. Every eight bytes go through a bijective mixer that
+    is not linear in them, so sequences built of repeated or swapped parts have unrelated hashes."""
+    import xxhash
+
+    n = len(starts)
+    length = ends - starts
+    out = mix((length.astype(np.uint64) + np.uint64(1)) * np.uint64(_GOLD))
+    if not n:
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    at, left, rows = starts, length, None
+    if n and (over := length > LONG).any():
+        view = memoryview(np.ascontiguousarray(data))
+        for i in np.flatnonzero(over).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]])
+        rows = np.flatnonzero(~over)
+        at, left = starts[rows], length[rows]
+    masks = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+    while len(at):
+        part = eight[at] & masks[np.minimum(left, 8)]
+        if rows is None:
+            out = mix((out ^ part) * np.uint64(_BASE))
+        else:
+            out[rows] = mix((out[rows] ^ part) * np.uint64(_BASE))
+        more = np.flatnonzero(left > 8)
+        rows = more if rows is None else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    return out
 
 
 @dataclass
@@ -99,14 +100,14 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bounds, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
-def doc_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(lo, hi, bytes, bounds) of runs of documents of about CHUNK bytes; null counts as empty."""
+def doc_chunks(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, bytes, bounds) of runs of documents of about `chunk` bytes; null counts as empty."""
     if not len(texts):
         return
     bounds, data = _buffers(texts)
     lo, n = 0, len(bounds) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + CHUNK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + chunk, "right")) - 1)
         hi = min(hi, n)
         yield lo, hi, data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
         lo = hi
@@ -124,20 +125,6 @@ def _spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(begins), np.flatnonzero(stops) + 1
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Word hashes; a long text is hashed in pieces, cut between words, so the arrays stay small."""
-    if len(data) <= 2 * CHUNK or not len(starts):
-        return span_hashes(_BYTE[data], starts, ends)
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
-        a, b = starts[i], ends[j - 1]
-        out[i:j] = span_hashes(_BYTE[data[a:b]], starts[i:j] - a, ends[i:j] - a)
-        i = j
-    return out
-
-
 def word_chunks(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Iterator[Words]:
     """The word tables of a batch of texts, chunk by chunk. lower: A-Z count as a-z."""
     for lo, hi, data, bounds in doc_chunks(texts):
@@ -145,7 +132,7 @@ def word_chunks(texts: pa.Array, lower: bool = False, hashed: bool = True) -> It
             data = _LOWER[data]
         starts, ends = _spans(data, bounds)
         first = np.searchsorted(starts, bounds)
-        yield Words(lo, hi, data, bounds, starts, ends, first, _hashes(data, starts, ends) if hashed else None)
+        yield Words(lo, hi, data, bounds, starts, ends, first, byte_hashes(data, starts, ends) if hashed else None)
 
 
 def gram_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:

@@ -68,9 +68,10 @@ def test_word_table_equals_regex():
 @pytest.mark.parametrize(("name", "kind"), [(BYTE, encoding.SPACE_PREFIX), (WORDS, encoding.SPACE_DROPPED)])
 def test_encoding_is_exact(name, kind):
     rng = random.Random(4)
-    data = ["".join(rng.choice("ab .,!AÉé\n\t'1日　\x1c\x85<|>\x00") for _ in range(rng.randint(0, 30))) for _ in range(800)]
+    data = ["".join(rng.choice(["a", "b", "Word", " ", "  ", " \n", ".", ",", "!", "É", "é", "\u0301", "\n", "\t", "'s", "1", "日", "\u3000", "\u2003", "\xa0", "\x1c", "\x85", "<|>", "<|endoftext|>", "\x00", "Σ"]) for _ in range(rng.randint(0, 30))) for _ in range(800)]
     enc = encoding.Encoder(encoding.public_path(name), kind)
-    assert enc.encode(data) == [array("I", ids_of(name, t)).tobytes() for t in data]
+    assert enc.encode(pa.array(data)).to_pylist() == [array("I", ids_of(name, t)).tobytes() for t in data]
+    assert enc.encode(pa.array([None, "", "a b"]), b"end!").to_pylist()[:2] == [b"end!", b"end!"]
 
 
 @pytest.mark.parametrize("counts", [{}, {2048: 5}, {1: 3}, {700: 10, 690: 9, 650: 7, 1300: 5, 30: 40, 2048: 2}, {n: n % 7 for n in range(1, 2049)}])
@@ -357,3 +358,14 @@ def test_mixing(spark):
     assert again == {(r["doc_id"], r["mx_copies"]) for r in mixed}
     assert mixing.repeat(df).count() == sum(r["mx_copies"] for r in mixed)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_chat_ties_and_other_ids(spark):
+    turns = [("c", 1, "user", "b"), ("c", 1, "user", "a"), ("c", 1, "assistant", "z"), ("c", None, None, None), (None, 2, "user", "x"), ("c", 1, "user", "a")]
+    df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string").withColumn("tie", F.lit(1)).withColumn("ids", F.lit(2))
+    path = encoding.public_path(BYTE)
+    rows = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(df, path), path).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    own = sorted((t for t in turns if t[0] == "c"), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", digest(t[3] or "")))
+    assert rows["c"]["turns_sha256"] == digest("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own)) and rows["c"]["n_turns"] == 5
+    assert rows[None]["n_turns"] == 1
