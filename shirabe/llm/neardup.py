@@ -3,21 +3,31 @@
 1. Signatures. A document's set of word shingles is hashed, and every element gets a random
    permutation of the signature's positions: it offers the value j + r to its j-th position
    (correlated ranks, so variance is lower than MinHash's). Level j is worked off for all elements
-   at once, and stops as soon as every position of a document holds a value below j + 1.
+   at once, and stops as soon as every position of a document holds a value below j + 1. A byte of
+   each value is kept; a band is ROWS bytes and its number in one 64-bit integer, so the bands are
+   the whole signature.
 2. Documents with equal sets are one class from here on, named by the smallest doc_id.
-3. Bands of rows of the signature give buckets. With 32 bands of 4 rows a pair of similarity 0.8
-   shares no bucket with a probability of 5e-8.
-4. In each bucket every class is paired with two pivots (the class that meets most others, and the
-   smallest id), sets are compared in full, and the links are grouped. Then only buckets whose
-   members lie in different groups are left; each round pairs members with two other pivots of
-   each of their buckets, and once few pairs remain, all pairs across groups are compared. So no
-   candidate is dropped, and a bucket of copies never emits all its pairs.
-5. Grouping joins components by repeated hooking of the smaller label and pointer jumping
+3. Classes with an equal band share a bucket. With 36 bands of 7 rows a pair of similarity 0.8
+   shares none with a probability of 2e-4, one of 0.85 with 5e-7.
+4. Rounds of pivots: in each bucket with several groups every class is paired with one pivot (at first
+   the class that meets most others, later another by chance), and the pairs' links are grouped. Rounds
+   go on while they find links for a share MERGING of the open classes, so a bucket of copies never
+   emits its pairs.
+5. The rest: classes of one bucket that are still in different groups. An element that no class of
+   another group has can't be in an intersection that matters, so a class has an exact upper bound for
+   its intersection with any other group's; a pair is made, once, in the first bucket that both share,
+   if sizes and these bounds allow the similarity and the signatures are not MARGIN below it (4
+   standard deviations). Buckets of many classes are dealt out in blocks.
+6. Every link is confirmed on the full sets, before which the same estimate spares sets that are far
+   from it. Grouping joins components by repeated hooking of the smaller label and pointer jumping
    (union-find in rounds), on tables in the shared folder.
 
 Hot classes meet in partial aggregates; hot buckets are read by joins, which adaptive execution
 splits. Nothing is collected but counts.
 
+Elements are 64-bit hashes of words and their order, so two different shingles of a pair of documents
+are taken for one with a probability of 5e-20 for each two of them.
+
 Cases: null or wordless text has an empty set and no link; a null id can't be linked to and its row
 is kept with a null component; rows that share an id count as one document for links; a very long
 text is one row; an empty table gives an empty result; other columns pass through.
@@ -29,17 +39,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.llm import words as W
 from shirabe.llm.storage import small, store
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 36, 7
 M = BANDS * ROWS
-#: Rounds of pivots go on while more pairs than this for each class would be left to compare.
-PAIRS_EACH = 1
-ROUNDS = 6
+#: Rounds of pivots go on while one finds links for this share of the classes that are still open.
+MERGING = 0.02
+#: How far below the wanted similarity a signature's estimate may lie; its standard deviation is 0.025.
+MARGIN = 0.1
+#: Classes of a bucket that meet in one block of the last comparison.
+BLOCK = 1000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,10 +113,24 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, m: int = M) -> np.ndarr
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    keys = np.zeros((len(signature), bands), np.uint64)
+    """For each set its bands: a byte of each of `rows` values, and the band's number above them."""
+    tops = W.mix(signature) & np.uint64(0xFF)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64) << np.uint64(8 * rows), (len(signature), bands)).copy()
     for r in range(rows):
-        keys = W.mix(keys * np.uint64(0x5851F42D4C957F2D) + signature[:, r::rows][:, :bands])
-    return W.mix(keys + (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * _GOLD)
+        keys |= tops[:, r * bands : (r + 1) * bands] << np.uint64(8 * r)
+    return keys
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """The similarity as estimated from two arrays of bands: their share of equal bytes."""
+
+    def differing(z: Column) -> Column:
+        for n in (4, 2, 1):  # bit 0 of each byte: whether any of its bits is set
+            z = z.bitwiseOR(F.shiftrightunsigned(z, n))
+        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+
+    unlike = F.aggregate(F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q)), F.lit(0), lambda n, z: n + differing(z))
+    return 1 - unlike / F.lit(float(M))
 
 
 def _sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
@@ -145,7 +172,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, f"doc {id_type}, items binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     id_type = pairs.schema["a"].dataType.simpleString()
 
@@ -162,9 +189,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    left, right = sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, f"a {id_type}, b {id_type}")
+    like = likeness(F.col("x"), F.col("y")) >= percent / 100 - MARGIN
+    near = pairs.join(bands.select(F.col("rep").alias("a"), F.col("bands").alias("x")), "a").join(bands.select(F.col("rep").alias("b"), F.col("bands").alias("y")), "b")
+    near = near.filter(like).select("a", "b")
+    left, right = sets.select(F.col("doc").alias("a"), F.col("items").alias("p")), sets.select(F.col("doc").alias("b"), F.col("items").alias("q"))
+    return near.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,7 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Jumping: the label of the label.
         up = small(labels.select(F.col("node").alias("up"), F.col("label").alias("next")), n)
         stepped = hooked.join(up, hooked["label"] == up["up"]).select("node", "was", F.least("label", "next").alias("label"))
-        stepped = store(stepped, "labels", n)
+        stepped = store(stepped, "labels")
         labels = stepped.select("node", "label")
         if not stepped.filter("label != was").limit(1).count():
             return labels
@@ -197,7 +226,56 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     m = new.count()
     moved = labels.join(small(new, m), labels["label"] == new["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
     fresh = new.join(old, new["from"] == labels["node"], "left_anti").select(F.col("from").alias("node"), F.col("to").alias("label"))
-    return store(moved.unionByName(fresh), "labels", n + m)
+    return store(moved.unionByName(fresh), "labels")
+
+
+def _elements(nodes: DataFrame) -> DataFrame:
+    """rep, label and element of each element of the sets in nodes (rep, label, items)."""
+    id_type = nodes.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                items = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+                row = pa.array(np.repeat(np.arange(len(items)), [len(x) for x in items]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(np.concatenate(items))], ["rep", "label", "element"])
+
+    return nodes.select("rep", "label", "items").mapInArrow(run, f"rep {id_type}, label {id_type}, element bigint")
+
+
+def _across(open_: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket, lie in different groups and may be similar: each
+    once. open_: bucket, rep, n and label."""
+    nodes = store(open_.select("rep", "n", "label").distinct(), "neardup-nodes")
+    elements = store(_elements(nodes.join(sets, nodes["rep"] == sets["doc"])), "neardup-elements")
+    outside = elements.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("element")
+    most = elements.join(outside, "element").groupBy("rep").agg(F.countDistinct("element").alias("most"))
+    # At most `most` elements in common with any class of another group: intersection and union follow.
+    nodes = nodes.join(most, "rep").filter(F.lit(100) * F.col("most") >= F.lit(percent) * F.col("n"))
+    nodes = store(nodes.join(bands, "rep"), "neardup-bounds")
+    rows = open_.select("bucket", "rep").join(nodes, "rep")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rows = store(rows.join(sizes.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket"), "neardup-rest")
+    # Blocks: one side is dealt out, the other goes to all of its bucket's blocks.
+    x = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks").alias("x")
+    y = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").alias("y")
+    both = F.least("x.most", "y.most")
+    number = F.shiftrightunsigned("x.bucket", 8 * ROWS)
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(True)) - 1
+    meets = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label"))
+    meets = meets & (F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n"))
+    meets = meets & (F.lit(100 + percent) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n")))
+    meets = meets & (first == number) & (likeness(F.col("x.bands"), F.col("y.bands")) >= percent / 100 - MARGIN)
+    return x.join(y, meets).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets that hold classes of different groups, with each class's group."""
+    named = buckets.join(small(labels, labels.count()), buckets["rep"] == labels["node"], "left")
+    named = named.select("bucket", "rep", "n", "degree", F.coalesce("label", "rep").alias("label"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    return store(named.join(several, "bucket"), "neardup-open")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,45 +288,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).filter("low != high").select("bucket", "size")
     buckets = store(buckets.join(shared, "bucket"), "neardup-shared")
     # How many meet a class in its buckets: highest for the middle of a group of near copies.
-    degree = buckets.groupBy("rep").agg(F.sum("size").alias("degree"))
+    degree = store(buckets.groupBy("rep").agg(F.sum("size").alias("degree")), "neardup-degree")
     members = degree.count()
     buckets = store(buckets.drop("size").join(small(degree, members), "rep"), "neardup-buckets")
-    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(degree.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    bands = store(classes.select("rep", "bands").join(small(degree.select("rep"), members), "rep", "left_semi"), "neardup-bands")
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(small(degree.select(F.col("rep").alias("doc")), members), "doc", "left_semi")
     # Rows that share an id may have different texts; one set for each is enough.
     sets = store(_sets(texts, shingle).distinct(), "neardup-sets")
-    near_size = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    labels: DataFrame | None = None
-    for turn in range(ROUNDS):
-        if labels is None:
-            # First the middle of each bucket and its smallest id are pivots.
-            open_ = buckets.withColumn("label", F.col("rep"))
-            orders = [(-F.col("degree")).alias("o"), F.lit(0).cast("long").alias("o")]
-        else:
-            known = small(labels, labels.count())
-            named = buckets.join(known, buckets["rep"] == labels["node"], "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-            sums = named.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
-            sums = sums.agg(F.count("*").alias("groups"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("groups > 1")
-            sums = store(sums, "neardup-apart")
-            left = sums.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if not left:
-                break
-            open_ = named.join(sums.select("bucket"), "bucket")
-            if left <= PAIRS_EACH * members + 1000 or turn == ROUNDS - 1:
-                mine = open_.select("bucket", F.col("rep").alias("a"), "n", F.col("label").alias("la"))
-                other = open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
-                pairs = mine.join(other, (mine["bucket"] == other["bucket"]) & (F.col("la") < F.col("lb")) & near_size).select("a", "b").distinct()
-                labels = _merged(labels, store(_verified(pairs, sets, percent), "neardup-links", members))
-                break
-            open_ = store(open_, "neardup-open")
-            # Then others, another in each bucket, so that a class meets many.
-            orders = [F.xxhash64("rep", "bucket", F.lit(2 * turn + i)).alias("o") for i in (0, 1)]
-        pivots = open_.groupBy("bucket").agg(*[F.min(F.struct(o, "rep", "n", "label")).alias(f"p{i}") for i, o in enumerate(orders)])
-        both = [F.struct(F.col(f"p{i}.rep").alias("b"), F.col(f"p{i}.n").alias("m"), F.col(f"p{i}.label").alias("lb")) for i in (0, 1)]
-        pivots = pivots.select("bucket", F.explode(F.array_distinct(F.array(*both))).alias("p")).select("bucket", "p.*")
-        pairs = open_.join(pivots, "bucket").filter("label != lb").filter(near_size)
+    open_ = buckets.withColumn("label", F.col("rep"))
+    labels = None
+    turn = 0
+    while members:
+        # First the middle of each bucket is its pivot; then others, another in each bucket.
+        order = -F.col("degree") if not turn else F.xxhash64("rep", "bucket", F.lit(turn))
+        pivots = open_.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "rep", "n", "label")).alias("p"))
+        pivots = pivots.select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.label").alias("lb"))
+        pairs = open_.join(pivots, "bucket").filter("label != lb").filter(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
         pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        labels = _merged(labels, store(_verified(pairs, sets, percent), "neardup-links", members))
-    assert labels is not None
+        links = store(_verified(pairs, bands, sets, percent), "neardup-links")
+        labels = _merged(labels, links)
+        open_ = _apart(buckets, labels)
+        turn += 1
+        left = open_.select("rep").distinct().count()
+        if links.count() < MERGING * left or not left:
+            break
+    if labels is not None and left:
+        labels = _merged(labels, store(_verified(_across(open_.drop("degree"), bands, sets, percent), bands, sets, percent), "neardup-links"))
+    if labels is None:
+        labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("nd_n", "nd_a", "nd_b", F.coalesce("label", "rep").alias("component"))
     named = sketch.drop("nd_bands").join(named, ["nd_n", "nd_a", "nd_b"], "left")
     component = F.when(F.col("nd_n") > 0, F.col("component")).otherwise(F.col("nd_doc"))

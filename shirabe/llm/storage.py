@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-ROWS_A_FILE = 250_000
 #: Narrow rows (two numbers) up to which a counted table is broadcast; about 4 MB.
 MOST_BROADCAST = 200_000
 
@@ -35,16 +35,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def store(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: cuts the lineage, survives lost executors, and lets
-    later reads pick columns. rows: a bound on its (narrow) rows, for fewer files where it is low."""
+    later reads pick columns. Adaptive execution joins small partitions into fewer files."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if rows is not None and rows // ROWS_A_FILE < 64:
-        df = df.coalesce(6 + rows // ROWS_A_FILE)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(names: Iterable[str], columns: Sequence[str]) -> dict[str, str]:
+    """For each name one that no column bears (regardless of case): itself, or with marks behind it."""
+    taken, out = {c.lower() for c in columns}, {}
+    for name in names:
+        found = name
+        while found.lower() in taken:
+            found += "_"
+        taken.add(found.lower())
+        out[name] = found
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
