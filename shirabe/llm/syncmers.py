@@ -6,15 +6,18 @@ letters one for a character. Of every K symbols in a row (a k-mer), those whose
 symbol, by hash, stands at the first or the last place are closed syncmers. Whether a k-mer is one
 depends on nothing outside it, so copies and moved passages choose the same anchors.
 
-The fingerprint is the KEPT smallest distinct hashes of the anchors, in hexadecimal. The likeness
-of two fingerprints is the share of the KEPT smallest hashes of both together that both have: an
-unbiased estimate of the Jaccard likeness of their anchor sets, exact while both have at most KEPT.
+The fingerprint is the KEPT smallest distinct hashes of the anchors, each with the place (symbols
+before it) where the anchor first stands. The likeness of two fingerprints is the share of the KEPT
+smallest hashes of both together that both have: an unbiased estimate of the Jaccard likeness of their
+anchor sets, exact while both have at most KEPT. `aligned` matches by position: of the anchors that
+both have, the share that lies on one diagonal, i.e. at one distance from each other's places (within
+SLACK symbols), which tells a shared passage from scattered common phrases.
 
 Cases: a text of fewer than K symbols has one anchor, itself; null is an empty text, whose
 fingerprint is empty; two empty fingerprints have likeness 1, an empty one and another 0; a very
 long text costs time in proportion to its length; an empty table gives an empty result. In
-`edited`, rows that repeat id and text wholly count once; rows that share an id are in order of
-the texts' hashes; null ids come last.
+`compare`, rows that share an id are in order of the texts' hashes, rows that repeat id and text
+follow one another, and each has its row in the result; null ids come last.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from shirabe.llm.storage import store
 
 K = 4
 KEPT = 64
+#: Symbols by which places on one diagonal may differ.
+SLACK = 8
 #: Cut behind every character other than an ASCII consonant.
 SYMBOL = r"(?<=[^b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])"
 HEX = 8
@@ -55,30 +60,58 @@ def _with(value: Column, use) -> Column:  # noqa: ANN001
 
 
 def fingerprint(text: Column, k: int = K, kept: int = KEPT) -> Column:
-    """The smallest distinct anchor hashes, HEX digits each. Null and '' give ''."""
-    low = F.slice(F.sort_array(F.array_compact(F.array_distinct(anchors(text, k)))), 1, kept)
-    digits = F.array_join(F.transform(low, lambda h: F.lpad(F.lower(F.hex(h)), HEX, "0")), "")
-    return F.when(text != "", digits).otherwise(F.lit(""))
+    """The smallest distinct anchor hashes in order, each as hash << 31 | place. Null and '' give none."""
+
+    def pick(found: Column) -> Column:
+        low = F.slice(F.sort_array(F.array_compact(F.array_distinct(found))), 1, kept)
+        return F.transform(low, lambda h: F.shiftleft(h, 31).bitwiseOR(F.array_position(found, h) - 1))
+
+    return F.when(text != "", _with(anchors(text, k), pick)).otherwise(F.array().cast("array<bigint>"))
+
+
+def written(print_: Column) -> Column:
+    """A fingerprint as text: HEX digits of each hash and as many of its place."""
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), HEX, "0")
+    return F.array_join(F.transform(print_, lambda v: F.concat(digits(F.shiftrightunsigned(v, 31)), digits(v.bitwiseAND(F.lit((1 << 31) - 1))))), "")
+
+
+def _hashes(print_: Column) -> Column:
+    return F.transform(print_, lambda v: F.shiftrightunsigned(v, 31))
 
 
 def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
     """The likeness of two fingerprints, 0 to 1."""
 
-    def hashes(x: Column) -> Column:
-        return F.regexp_extract_all(x, F.lit(f"(.{{{HEX}}})"), F.lit(1))
-
     def share(pair: Column) -> Column:
         both = F.slice(F.sort_array(F.array_union(pair["x"], pair["y"])), 1, kept)
         common = F.size(F.array_intersect(F.array_intersect(both, pair["x"]), pair["y"]))
         return common / F.size(both)
 
-    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(_with(F.struct(hashes(a).alias("x"), hashes(b).alias("y")), share))
+    either = F.size(a) + F.size(b) > 0
+    return F.when(~either, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_with(F.struct(_hashes(a).alias("x"), _hashes(b).alias("y")), share))
+
+
+def aligned(a: Column, b: Column, slack: int = SLACK) -> Column:
+    """Of the anchors that two fingerprints share, the share on their best diagonal; 0 if none is shared."""
+    place = lambda v: v.bitwiseAND(F.lit((1 << 31) - 1))
+
+    def best(pair: Column) -> Column:
+        common = F.array_intersect(_hashes(pair["x"]), _hashes(pair["y"]))
+        of = lambda side: F.filter(pair[side], lambda v: F.array_contains(common, F.shiftrightunsigned(v, 31)))
+        # Both are in order of their hashes, so the i-th of one is the i-th of the other.
+        shifts = F.zip_with(of("x"), of("y"), lambda v, w: place(v) - place(w))
+        on = lambda d: F.transform(F.array_distinct(d), lambda x: F.size(F.filter(d, lambda y: F.abs(y - x) <= slack)))
+        return F.when(F.size(common) > 0, F.array_max(on(shifts)) / F.size(common)).otherwise(F.lit(0.0))
+
+    return _with(F.struct(a.alias("x"), b.alias("y")), best)
 
 
 def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """sy_id, sy_tag, sy_chars and the same of the document before in order of ids (of the last,
-    for the first): narrow rows, in order by one range shuffle and numbered by partition counts."""
-    own = docs.select(F.col(doc_id).alias("sy_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("sy_tag"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("sy_chars"))
+    """sy_id, sy_tag, sy_chars, sy_n (rows that repeat them), sy_print (fingerprint) and id, tag and
+    length of the document before in order of ids (of the last, for the first): narrow rows, in order by
+    one range shuffle and numbered by partition counts."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.col(doc_id).alias("sy_id"), F.xxhash64(body).alias("sy_tag"), F.char_length(body).cast("long").alias("sy_chars"), fingerprint(body).alias("sy_print"))
     own = store(own, "syncmer-ids")
     order = [F.col("sy_id").asc_nulls_last(), F.col("sy_tag")]
     rows = own.groupBy("sy_id", "sy_tag").agg(F.max("sy_chars").alias("sy_chars"), F.count("*").alias("sy_n"))
@@ -96,25 +129,41 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = rows.select("pos", "sy_id", "sy_tag", "sy_chars", "sy_n")
     prior = rows.select((F.col("pos") + 1).alias("pos"), F.col("sy_id").alias("sy_prev"), F.col("sy_tag").alias("sy_prev_tag"), F.col("sy_chars").alias("sy_prev_chars"))
     prior = prior.withColumn("pos", F.when(F.col("pos") == total, F.lit(0)).otherwise(F.col("pos")).cast("long"))
-    return rows.join(prior, "pos").drop("pos")
+    placed = store(rows.join(prior, "pos").drop("pos"), "syncmer-places").alias("p")
+    # Rows that repeat id and text have one fingerprint.
+    prints = own.select("sy_id", "sy_tag", "sy_print")
+    prints = prints.alias("f") if not placed.filter("sy_n > 1").limit(1).count() else prints.groupBy("sy_id", "sy_tag").agg(F.min("sy_print").alias("sy_print")).alias("f")
+    same = F.col("p.sy_id").eqNullSafe(F.col("f.sy_id")) & (F.col("p.sy_tag") == F.col("f.sy_tag"))
+    return placed.join(prints, same).select("p.*", "f.sy_print")
 
 
 def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = 4) -> DataFrame:
-    """doc_id, text, edited and next: each document with the next one's text, and its own text with
-    the last floor(n / share) code points replaced by as many of the next one's first (or all)."""
-    places = store(neighbours(docs, doc_id, text), "syncmer-places")
+    """doc_id, n_chars, edited, fingerprint and next_print: each document's text with the last
+    floor(n / share) code points replaced by as many of the next one's first (or all), its own and the
+    next one's fingerprint."""
+    places = store(neighbours(docs, doc_id, text), "syncmer-prints")
     own = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("tag", F.xxhash64("body"))
-    if places.filter("sy_n > 1").limit(1).count():
-        own = own.dropDuplicates(["doc", "tag"])
-    own = own.join(places, own["doc"].eqNullSafe(places["sy_id"]) & (own["tag"] == places["sy_tag"]))
-    mine = own.select("doc", "tag", "body", "sy_chars")
+    same = own["doc"].eqNullSafe(places["sy_id"]) & (own["tag"] == places["sy_tag"])
+    names = ["doc", "tag", "body", *(c for c in places.columns if c not in ("sy_id", "sy_tag"))]
+    repeats = places.filter("sy_n > 1").limit(1).count() > 0
+    own = own.join(places, same).select(*names)
+    if repeats:  # each once here; its copies come back below
+        once = own.filter("sy_n > 1").groupBy("doc", "tag").agg(*[F.min(c).alias(c) for c in names[2:]])
+        own = own.filter("sy_n = 1").unionByName(once)
+    mine = own.select("doc", "tag", "body", "sy_chars", "sy_n", "sy_print")
     # What a document gives to the one before it: the head that is taken, and its fingerprint.
     head = F.substring("body", F.lit(1), F.floor(F.col("sy_prev_chars") / share).cast("int"))
-    given = own.select(F.col("sy_prev").alias("to"), F.col("sy_prev_tag").alias("to_tag"), head.alias("head"), fingerprint(F.col("body")).alias("next_print"))
+    given = own.select(F.col("sy_prev").alias("to"), F.col("sy_prev_tag").alias("to_tag"), head.alias("head"), F.col("sy_print").alias("next_print"))
     both = mine.join(given, mine["doc"].eqNullSafe(given["to"]) & (mine["tag"] == given["to_tag"]))
-    kept = (F.col("sy_chars") - F.floor(F.col("sy_chars") / share)).cast("int")
-    text_edited = F.concat(F.substring("body", F.lit(1), kept), F.col("head"))
-    return both.select(F.col("doc").alias("doc_id"), F.col("body").alias("text"), F.col("sy_chars").alias("n_chars"), text_edited.alias("edited"), fingerprint(F.col("body")).alias("fingerprint"), "next_print")
+    cut = F.floor(F.col("sy_chars") / share).cast("int")
+    begin = F.substring("body", F.lit(1), F.col("sy_chars").cast("int") - cut)
+    out = ["doc", "sy_chars", "edited", "sy_print", "next_print"]
+    rows = both.withColumn("edited", F.concat(begin, F.col("head"))).select(*out)
+    if repeats:  # of n equal rows all but the last are followed by their own text
+        more = mine.filter("sy_n > 1").withColumn("edited", F.concat(begin, F.substring("body", F.lit(1), cut))).withColumn("next_print", F.col("sy_print"))
+        more = more.withColumn("again", F.explode(F.sequence(F.lit(2).cast("long"), F.col("sy_n"))))
+        rows = rows.unionByName(more.select(*out))
+    return rows.withColumnsRenamed({"doc": "doc_id", "sy_chars": "n_chars", "sy_print": "fingerprint"})
 
 
 def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,7 +171,8 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = edited(docs, doc_id, text)
     rows = rows.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint",
-        fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print",
+        fingerprint(F.col("edited")).alias("edited_print"), "next_print",
     )
-    near = [likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next")]
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+    mine, changed, after = F.col("fingerprint"), F.col("edited_print"), F.col("next_print")
+    near = [likeness(mine, changed).alias("near_edited"), likeness(mine, after).alias("near_next"), aligned(mine, changed).alias("aligned_edited"), aligned(mine, after).alias("aligned_next")]
+    return rows.select("doc_id", "n_chars", "edited_sha256", written(mine).alias("fingerprint"), written(changed).alias("edited_fingerprint"), *near)
