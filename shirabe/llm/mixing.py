@@ -2,23 +2,23 @@
 
 Each source gets a target number of words. With a target of r times its size, every document of
 the source is copied floor(r) times for certain, and the rest of the target is drawn without
-repeats: documents are ranked by the odds of a random number divided by the odds of their
-inclusion probability (Pareto order sampling), and the smallest ranks are taken up to the rest of
-the target in words, so the drawn words miss it by at most half a document.
-
-All documents of a source have the same inclusion probability, the rest of its target over its size:
-the query's SQL fixes that draw. The ranks are then in the order of the random numbers alone, and the
-unequal-probability part of Pareto order sampling has no effect.
+repeats, with unequal probabilities: a document's inclusion probability is in proportion to its words,
+min(1, rate * words), where the rate of a source makes the expected words equal to the rest. Documents
+that come to 1 are certain. Ranks are the odds of a random number divided by the odds of the
+inclusion probability (Pareto order sampling; certain documents have rank 0), and the smallest ranks
+are taken. The sample's size is fixed in words, which is what targets are in: the cut lies where the
+drawn words come nearest to the rest, so they miss it by at most half a document.
 
 The random number is a digest of the document's id and a seed, so reruns agree and nothing depends
-on partitions. No source is gathered in one task: sizes are summed by source and by bin of the
-rank, a running sum over the bins finds the bin in which the target is reached, and only that
-bin's documents (about 1/BINS of the source) are put in order.
+on partitions. No source is gathered in one task: sizes are counted by source and value for the
+rates, words are summed by source and by bin of the rank, a running sum over the bins finds the bin in
+which the rest is reached, and only that bin's documents (about 1/BINS of the source) are put in order.
 
 Cases: null text has size 0; a null source is a source of its own, last in order; rows of size 0
 are taken 0 times; a null id counts as the string 'null' for its random number; repeated rows are
 separate rows and tie by their id only, ties are broken by size and text digest; an empty table
-gives an empty result; extra columns are kept, and clashing names are avoided by a prefix.
+gives an empty result; extra columns are kept, and a name of docs that clashes with one of the
+result's moves that one to the name with '_' behind it.
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shirabe.llm.storage import store
+from shirabe.llm.storage import store, unused
 
 BINS = 4096
 #: Rows up to which the table of sources is broadcast.
 MOST_BROADCAST = 100_000
+#: Columns that `mix` adds.
+ADDED = ("mx_size", "mx_source_size", "mx_target", "mx_copies")
 TIES = ("mx_id", "mx_size", "mx_tie")
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,10 +44,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def inclusion() -> Column:
+    """Inclusion probability of a row of mx_size words at its source's mx_rate."""
+    return F.least(F.lit(1.0), F.col("mx_rate") * F.col("mx_size"))
+
+
 def pareto_rank() -> Column:
     """Odds of the random number over odds of the inclusion probability."""
-    u, pi = F.col("mx_u"), F.col("mx_pi")
-    return (u / (1 - u)) / (pi / (1 - pi))
+    u, pi = F.col("mx_u"), inclusion()
+    return (u / (1 - u)) * ((1 - pi) / pi)
+
+
+def rank_bin() -> Column:
+    """Bins of ranks, in their order; ranks are from 0 to infinity, and cuts lie near 1."""
+    q = pareto_rank()
+    return F.floor(q / (1 + q) * BINS).cast("int")
+
+
+def rates(base: DataFrame, goals: DataFrame) -> DataFrame:
+    """mx_rated (source) and mx_rate: min(1, rate * words), times words, adds up to mx_rest over the
+    source. Documents from a size on are certain: the rate is the first, going down in size, that
+    leaves its own size below 1. One row for each size that a source has."""
+    sizes = base.filter("mx_size > 0").groupBy("mx_key", "mx_size").agg(F.count("*").alias("mx_n"))
+    down = Window.partitionBy("mx_key").orderBy(F.col("mx_size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.partitionBy("mx_key").orderBy(F.col("mx_size").desc()).rowsBetween(0, Window.unboundedFollowing)
+    n, size = F.col("mx_n"), F.col("mx_size")
+    sizes = sizes.withColumn("mx_larger", F.coalesce(F.sum(n * size).over(down), F.lit(0))).withColumn("mx_squares", F.sum(n * size * size).over(onward))
+    sizes = sizes.withColumnRenamed("mx_size", "mx_one").join(goals.select("mx_source", "mx_rest"), F.col("mx_key").eqNullSafe(F.col("mx_source")))
+    rate = (F.col("mx_rest") - F.col("mx_larger")) / F.col("mx_squares").cast("double")
+    sizes = sizes.withColumn("mx_rate", rate).filter(F.col("mx_rate") * F.col("mx_one") < 1)
+    return sizes.groupBy(F.col("mx_key").alias("mx_rated")).agg(F.max_by("mx_rate", "mx_one").alias("mx_rate"))
 
 
 def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[int], cap: int, share: float = 1.0) -> DataFrame:
@@ -109,15 +137,14 @@ def mix(
         "mx_target",
         F.least(F.floor(rate), F.lit(cap)).cast("long").alias("mx_whole"),
     )
-    goals = goals.withColumn("mx_pi", F.when(F.col("mx_source_size") > 0, F.col("mx_target") / F.col("mx_source_size") - F.col("mx_whole")).otherwise(0.0))
-    goals = goals.withColumn("mx_rest", F.col("mx_target") - F.col("mx_whole") * F.col("mx_source_size"))
-    goals = store(goals, "mix-targets")
+    goals = store(goals.withColumn("mx_rest", F.col("mx_target") - F.col("mx_whole") * F.col("mx_source_size")), "mix-targets")
+    goals = goals.join(rates(base, goals), F.col("mx_source").eqNullSafe(F.col("mx_rated")), "left").drop("mx_rated")
+    goals = store(goals.withColumn("mx_rate", F.when(F.col("mx_rest") > 0, F.col("mx_rate"))), "mix-rates")
     # A broadcast only where the count of sources shows that it is small; else a join by source,
     # which adaptive execution splits where a source is hot.
     small = F.broadcast if goals.count() <= MOST_BROADCAST else (lambda df: df)
-    ranked = base.join(small(goals.filter("mx_pi > 0")), F.col("mx_key").eqNullSafe(F.col("mx_source")))
-    ranked = ranked.withColumn("mx_bin", F.floor(F.col("mx_u") * BINS).cast("int"))
-    # All documents of a source have one inclusion probability, so bins of u are bins of the rank.
+    ranked = base.filter("mx_size > 0").join(small(goals.filter("mx_rate > 0")), F.col("mx_key").eqNullSafe(F.col("mx_source")))
+    ranked = ranked.withColumn("mx_bin", rank_bin())
     bins = ranked.groupBy("mx_source", "mx_bin", "mx_rest").agg(F.sum("mx_size").alias("mx_sum"))
     ahead = Window.partitionBy("mx_source").orderBy("mx_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("mx_before", F.coalesce(F.sum("mx_sum").over(ahead), F.lit(0)))
@@ -140,23 +167,24 @@ def mix(
     plan = plan.join(later, F.col("mx_source").eqNullSafe(F.col("mx_last_source")), "left")
     plan = store(plan.drop("mx_stop_source", "mx_last_source"), "mix-plan")
     if narrow:
-        rows = base.withColumnsRenamed({"mx_id": doc_id, "mx_key": source}).withColumns({"mx_id": F.col(doc_id), "mx_key": F.col(source)})
-        keep = [doc_id, source]
+        rows = base.withColumn("mx_row", F.struct(F.col("mx_id").alias(doc_id), F.col("mx_key").alias(source)))
     else:
-        rows, keep = docs.select(F.struct(*docs.columns).alias("mx_row"), *own), ["mx_row.*"]
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mx_row"), *own)
     rows = rows.join(small(plan), F.col("mx_key").eqNullSafe(F.col("mx_source")))
     key = F.struct(pareto_rank().alias("q"), *TIES)
-    inside = F.when(F.col("mx_stop").isNotNull(), key < F.col("mx_stop")).otherwise(
-        F.floor(F.col("mx_u") * BINS) <= F.coalesce(F.col("mx_last"), F.lit(BINS))
-    )
-    drawn = F.when((F.col("mx_pi") > 0) & inside, 1).otherwise(0)
-    return rows.select(
-        *keep, "mx_size", "mx_source_size", "mx_target", F.when(F.col("mx_size") > 0, F.col("mx_whole") + drawn).otherwise(0).cast("long").alias("mx_copies")
-    )
+    inside = F.when(F.col("mx_stop").isNotNull(), key < F.col("mx_stop")).otherwise(rank_bin() <= F.coalesce(F.col("mx_last"), F.lit(BINS)))
+    drawn = F.when((F.col("mx_rate") > 0) & inside, 1).otherwise(0)
+    copies = F.when(F.col("mx_size") > 0, F.col("mx_whole") + drawn).otherwise(0).cast("long")
+    kept = [doc_id, source] if narrow else docs.columns
+    names = unused(ADDED, kept)
+    found = zip(ADDED, (F.col("mx_size"), F.col("mx_source_size"), F.col("mx_target"), copies), strict=True)
+    return rows.select("mx_row.*", *[c.alias(names[n]) for n, c in found])
 
 
 def repeat(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs only."""
-    names = docs.columns
-    mixed = mix(docs, **options).filter("mx_copies > 0")  # type: ignore[arg-type]
-    return mixed.withColumn("mx_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mx_copies")))).select(*names)
+    copies = unused(ADDED, docs.columns)["mx_copies"]
+    again = unused(("mx_n",), [*docs.columns, *unused(ADDED, docs.columns).values()])["mx_n"]
+    mixed = mix(docs, **options).filter(F.col(copies) > 0)  # type: ignore[arg-type]
+    mixed = mixed.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
