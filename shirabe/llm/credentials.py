@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shirabe.llm.storage import store
+
 SCOPE = 200
 IDENTIFIER, SECRET, ENDPOINT = 0, 1, 2
 MARK = "[SECRET]"
@@ -88,7 +90,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = rows.select("cr_id", "cr_tag", "kind", (F.col("end") - F.col("length")).alias("start"), "end")
     role = F.element_at(F.array(*[F.lit(k.role) for k in KINDS]), F.col("kind") + 1)
     strong = F.element_at(F.array(*[F.lit(k.strong) for k in KINDS]), F.col("kind") + 1)
-    rows = rows.select("*", role.alias("role"), strong.alias("strong"), F.floor(F.col("start") / SCOPE).alias("bucket"))
+    # Narrow rows, written once: texts go through the patterns a single time.
+    rows = store(rows.select("*", role.alias("role"), strong.alias("strong"), F.floor(F.col("start") / SCOPE).alias("bucket")), "secret-parts")
 
     ends = rows.groupBy("cr_id", "cr_tag", "bucket", "role").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     near = ends.select("cr_id", "cr_tag", "role", "low", "high", "bucket", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"))
@@ -142,12 +145,14 @@ def listed(found: Column) -> Column:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = MARK) -> DataFrame:
-    """docs with every reported span (overlapping ones as one) replaced by mark; columns stay. Only
-    documents that match some pattern are shuffled."""
-    names = docs.columns
-    body = F.col(text)
+    """docs with every reported span (overlapping ones as one) replaced by mark; columns stay, whatever
+    they are called. Only documents that match some pattern are written, scanned and shuffled."""
+    body = F.col(f"`{text}`")
     some = F.coalesce(body.rlike("|".join(f"(?:{k.pattern})" for k in KINDS)), F.lit(False))
-    found = spans(docs.filter(some), doc_id, text)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("cr_row")
+    hit = docs.filter(some).select(row, F.col(f"`{doc_id}`").alias("cr_doc"), body.alias("cr_body"), F.xxhash64(body).alias("cr_own"))
+    hit = store(hit, "secret-texts")
+    found = spans(hit, "cr_doc", "cr_body")
     order = Window.partitionBy("cr_id", "cr_tag").orderBy("start", "end")
     ahead = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("fresh", F.coalesce((F.col("start") > ahead).cast("int"), F.lit(1)))
@@ -157,10 +162,9 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: st
     each = Window.partitionBy("cr_id", "cr_tag").orderBy("block")
     found = found.withColumn("from", F.coalesce(F.lag("b").over(each), F.lit(0)))
     found = found.groupBy("cr_id", "cr_tag").agg(F.array_sort(F.collect_list(F.struct(F.col("from").alias("from"), F.col("a").alias("to")))).alias("cr_gaps"), F.max("b").alias("cr_last"))
-    hit = docs.filter(some).withColumn("cr_own", F.xxhash64(F.coalesce(body, F.lit(""))))
-    hit = hit.join(found, hit[doc_id].eqNullSafe(found["cr_id"]) & (hit["cr_own"] == found["cr_tag"]), "left")
-    parts = F.transform("cr_gaps", lambda g: F.substr(body, (g["from"] + 1).cast("int"), (g["to"] - g["from"]).cast("int")))
-    tail = F.substr(body, (F.col("cr_last") + 1).cast("int"))
-    clean = F.when(F.col("cr_last").isNull(), body).otherwise(F.array_join(F.concat(parts, F.array(tail)), mark))
-    hit = hit.withColumn(text, clean).select(*names)
+    hit = hit.join(found, hit["cr_doc"].eqNullSafe(found["cr_id"]) & (hit["cr_own"] == found["cr_tag"]), "left")
+    parts = F.transform("cr_gaps", lambda g: F.substr("cr_body", (g["from"] + 1).cast("int"), (g["to"] - g["from"]).cast("int")))
+    tail = F.substr("cr_body", (F.col("cr_last") + 1).cast("int"))
+    clean = F.when(F.col("cr_last").isNull(), F.col("cr_body")).otherwise(F.array_join(F.concat(parts, F.array(tail)), mark))
+    hit = hit.select(*[clean.alias(c) if c == text else F.col("cr_row").getField(c).alias(c) for c in docs.columns])
     return docs.filter(~some).unionByName(hit)
