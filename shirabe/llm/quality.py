@@ -1,21 +1,21 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects documents by a measurement of the whole text. On a sample (SAMPLE documents from
-each input partition) every rule's seconds and share of rejections are measured; the rules then
-run in order of rejection per cost (as for independent filters, rejected share / seconds, highest
-first), and each sees only the documents that the rules before it have let pass. A document is
-kept when no rule rejects it, so the order changes the cost and never the verdict.
+each input partition) every rule's cost and share of rejections are measured; the rules then run in
+order of rejection per cost (as for independent filters, highest first), and each sees only the
+documents that the rules before it have let pass. A document is kept when no rule rejects it, so the
+order changes the cost and never the verdict.
 
 Measurements are numpy passes over the batch's bytes, one for all its documents.
 
 Cases: null and empty text have no words and are rejected for that; ties and repeated rows are
 judged each; a very long text is a batch of its own; an empty table gives an empty result; all
-other columns pass through, and added columns start with ql_.
+other columns pass through, and added columns start with ql_ (where docs has such a name, they get
+'_' behind it).
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from shirabe.llm import words as W
+from shirabe.llm.storage import unused
 
-#: Documents measured in each input partition to order the rules.
+#: Documents measured in each input partition (of its first batch) to order the rules.
 SAMPLE = 20
 WINDOW = 8
 
@@ -174,25 +176,44 @@ MEASURES: dict[str, Callable[[W.Words], np.ndarray]] = {
 }
 
 
+def _sorting(n: int) -> float:
+    return n * max(1.0, np.log2(max(n, 2)))
+
+
+#: Elements that each measure's passes go over.
+WORK: dict[str, Callable[[W.Words], float]] = {
+    "n_words": lambda w: w.hi - w.lo,
+    "word_chars": lambda w: 3.0 * len(w.data),
+    "n_symbols": lambda w: 1.0 * len(w.data),
+    "n_lines": lambda w: 1.0 * len(w.data),
+    "n_dup_lines": lambda w: 2.0 * len(w.data) + _sorting(int((w.data == 10).sum())),
+    "n_repeat_words": lambda w: 4.0 * WINDOW * len(w.starts) + _sorting(len(w.starts)),
+    "n_echo_words": lambda w: 1.0 * len(w.starts),
+    "n_upper": lambda w: 5.0 * len(w.data),
+    "n_lower": lambda w: 5.0 * len(w.data),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """rejects(texts) gives True for each document that the rule rejects."""
+    """rejects(texts) gives True for each document that the rule rejects; needs: its measures."""
 
     name: str
+    needs: tuple[str, ...]
     rejects: Callable[[Texts], np.ndarray]
 
 
 #: The rules; limits are far from what prose reaches.
-FEW_WORDS = Rule("few_words", lambda t: t.get("n_words") < 20)
-REPEATS = Rule("repeated_windows", lambda t: 100 * t.get("n_repeat_words") > 30 * t.get("n_words"))
+FEW_WORDS = Rule("few_words", ("n_words",), lambda t: t.get("n_words") < 20)
+REPEATS = Rule("repeated_windows", ("n_words", "n_repeat_words"), lambda t: 100 * t.get("n_repeat_words") > 30 * t.get("n_words"))
 RULES = (
     FEW_WORDS,
     REPEATS,
-    Rule("symbols", lambda t: 100 * t.get("n_symbols") > 30 * t.get("n_words")),
-    Rule("shouting", lambda t: t.get("n_upper") > t.get("n_lower")),
-    Rule("echo", lambda t: 100 * t.get("n_echo_words") > 30 * t.get("n_words")),
-    Rule("repeated_lines", lambda t: (t.get("n_dup_lines") >= 5) & (2 * t.get("n_dup_lines") > t.get("n_lines"))),
-    Rule("word_length", lambda t: (t.get("word_chars") < 2 * t.get("n_words")) | (t.get("word_chars") > 20 * t.get("n_words"))),
+    Rule("symbols", ("n_words", "n_symbols"), lambda t: 100 * t.get("n_symbols") > 30 * t.get("n_words")),
+    Rule("shouting", ("n_upper", "n_lower"), lambda t: t.get("n_upper") > t.get("n_lower")),
+    Rule("echo", ("n_words", "n_echo_words"), lambda t: 100 * t.get("n_echo_words") > 30 * t.get("n_words")),
+    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda t: (t.get("n_dup_lines") >= 5) & (2 * t.get("n_dup_lines") > t.get("n_lines"))),
+    Rule("word_length", ("n_words", "word_chars"), lambda t: (t.get("word_chars") < 2 * t.get("n_words")) | (t.get("word_chars") > 20 * t.get("n_words"))),
 )
 
 
@@ -209,49 +230,60 @@ def judge(texts: Texts, rules: Sequence[Rule]) -> np.ndarray:
     return verdict
 
 
+def sampled(texts: pa.Array, most: int = SAMPLE) -> pa.Array:
+    """The texts with the smallest hashes (of their first bytes), so a sample that depends on no order."""
+    bounds, data = W._buffers(texts)
+    hashes = W.byte_hashes(data, bounds[:-1], np.minimum(bounds[1:], bounds[:-1] + 64))
+    return texts.take(pa.array(np.argsort(hashes, kind="stable")[:most]))
+
+
 def order(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> list[Rule]:
-    """The rules by rejection per second, as measured on the sample. One row reaches the driver."""
+    """The rules by rejection per cost on a sample. Costs are the elements that a rule's measures go over
+    (WORK), so reruns agree. A row for each rule reaches the driver."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seconds, rejected, seen = [0.0] * len(rules), [0] * len(rules), 0
+        work, rejected, seen = [0.0] * len(rules), [0] * len(rules), 0
         for batch in batches:
-            for w in W.word_chunks(batch.column(0).slice(0, SAMPLE)):
+            for w in W.word_chunks(sampled(batch.column(0))):
                 seen += w.hi - w.lo
                 for i, rule in enumerate(rules):
-                    begin = time.perf_counter()
                     rejected[i] += int(rule.rejects(Texts(w)).sum())
-                    seconds[i] += time.perf_counter() - begin
+                    work[i] += sum(WORK[m](w) for m in rule.needs)
             break
-        yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "seconds": seconds, "rejected": rejected, "seen": [seen] * len(rules)})
+        yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "work": work, "rejected": rejected, "seen": [seen] * len(rules)})
 
-    got = docs.select(text).mapInArrow(measure, "rule bigint, seconds double, rejected bigint, seen bigint")
-    rows = got.groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("seen").alias("n")).collect()
-    gain = {r["rule"]: (r["r"] / r["n"]) / max(r["s"] / r["n"], 1e-12) if r["n"] else 0.0 for r in rows}
+    got = docs.select(F.col(f"`{text}`")).mapInArrow(measure, "rule bigint, work double, rejected bigint, seen bigint")
+    rows = got.groupBy("rule").agg(F.sum("work").alias("s"), F.sum("rejected").alias("r"), F.sum("seen").alias("n")).collect()
+    gain = {r["rule"]: (r["r"] / r["n"]) / max(r["s"] / r["n"], 1e-9) if r["n"] else 0.0 for r in rows}
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain.get(i, 0.0), i))]
 
 
-def cascade(docs: DataFrame, measures: Sequence[str] = (), rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """docs with ql_rejected_by (name of the first rule that rejects; null: kept) and, as ql_*, the
-    measures asked for."""
+def cascade(docs: DataFrame, measures: Sequence[str] = (), rules: Sequence[Rule] = RULES, text: str = "text", only: Sequence[str] | None = None) -> DataFrame:
+    """docs (or its columns `only`) with ql_rejected_by (name of the first rule that rejects; null: kept)
+    and, as ql_*, the measures asked for."""
     ordered = order(docs, rules, text)
-    names, at = docs.columns, docs.columns.index(text)
+    fields = [f for f in docs.schema if only is None or f.name in only]
+    added = unused(("ql_rejected_by", *(f"ql_{m}" for m in measures)), [f.name for f in fields])
     rule_names = pa.array([r.name for r in ordered])
+    packed = F.struct(*[F.col(f"`{f.name}`") for f in fields]).alias("row") if fields else F.lit(None).cast("int").alias("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in W.word_chunks(batch.column(at)):
+            for w in W.word_chunks(batch.column(1)):
                 texts = Texts(w)
                 made = [pa.array(texts.get(m)) for m in measures]
                 verdict = judge(texts, ordered)
                 by = rule_names.take(pa.array(verdict, mask=verdict < 0))
-                rows = batch.slice(w.lo, w.hi - w.lo)
-                yield pa.RecordBatch.from_arrays([*rows.columns, by, *made], [*names, "ql_rejected_by", *(f"ql_{m}" for m in measures)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), by, *made], ["row", "by", *(f"m{i}" for i in range(len(made)))])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    added = "".join(f", ql_{m} bigint" for m in measures)
-    return docs.mapInArrow(run, f"{fields}, ql_rejected_by string{added}")
+    own = docs.select(packed, F.col(f"`{text}`").alias("text"))
+    out = StructType([StructField("row", own.schema["row"].dataType), StructField("by", StringType()), *(StructField(f"m{i}", LongType()) for i in range(len(measures)))])
+    found = own.mapInArrow(run, out)
+    named = [F.col("by").alias(added["ql_rejected_by"]), *(F.col(f"m{i}").alias(added[f"ql_{m}"]) for i, m in enumerate(measures))]
+    return found.select(*[F.col("row").getField(f.name).alias(f.name) for f in fields], *named)
 
 
 def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    return cascade(docs, (), rules, text).filter("ql_rejected_by IS NULL").drop("ql_rejected_by")
+    by = unused(("ql_rejected_by",), docs.columns)["ql_rejected_by"]
+    return cascade(docs, (), rules, text).filter(F.col(by).isNull()).drop(by)

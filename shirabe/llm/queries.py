@@ -56,8 +56,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shirabe.llm.quality import cascade
 
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = cascade(docs, base).drop("text").withColumnsRenamed({f"ql_{m}": m for m in base})
+    judged = cascade(table(spark, sf_dir, "documents"), base, only=("doc_id",)).withColumnsRenamed({f"ql_{m}": m for m in base})
     failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
     return judged.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("ql_rejected_by").isNull()).alias("kept"))
 
@@ -114,13 +113,24 @@ t AS (
   FROM m WINDOW a AS (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM t),
+v AS (SELECT *, target - whole * source_size AS rest FROM p),
+z AS (SELECT source, size, COUNT(*)::BIGINT AS n FROM d WHERE size > 0 GROUP BY source, size),
+y AS (
+  SELECT z.source, z.size, v.rest,
+    COALESCE(SUM(n * size) OVER (PARTITION BY z.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS larger,
+    SUM(n * size * size) OVER (PARTITION BY z.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS squares
+  FROM z JOIN v ON z.source IS NOT DISTINCT FROM v.source),
+x AS (
+  SELECT source, max_by((rest - larger) / squares, size) AS rate FROM y WHERE (rest - larger) / squares * size < 1 GROUP BY source),
+r AS (
+  SELECT d.doc_id, d.size, d.u, v.source, v.source_size, v.target, v.whole, v.rest,
+    CASE WHEN d.size > 0 AND v.rest > 0 AND x.rate > 0 THEN least(1.0::DOUBLE, x.rate * d.size) END AS pi
+  FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source LEFT JOIN x ON v.source IS NOT DISTINCT FROM x.source),
+k AS (SELECT *, (u / (1 - u)) * ((1 - pi) / pi) AS rank FROM r),
 q AS (
-  SELECT d.doc_id, d.size, d.u, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-    CASE WHEN p.source_size > 0 THEN p.target / p.source_size - p.whole ELSE 0 END AS pi,
-    COALESCE(SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+  SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM k)
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN pi > 0 AND ahead + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (whole + CASE WHEN pi IS NOT NULL AND ahead + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q
 """
 

@@ -11,7 +11,7 @@ a temporary name that is then moved, so a task that is run again leaves the same
 
 Cases: null text is an empty document, which has just its end id; null ids come first; repeated
 rows are written each, in any order among themselves; an empty table writes no file; other columns
-are ignored.
+are ignored; ids that are not integers raise a TypeError.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from shirabe.llm import encoding
 from shirabe.llm.storage import new_path
@@ -153,7 +154,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int, do
             system.move(attempt, f"{folder}/{name}")
             yield pa.RecordBatch.from_pydict({"name": [name], "docs": [writer.docs], "ids": [writer.tokens]})
 
-    ordered = docs.select(F.col(doc_id).cast("long"), text).repartitionByRange(doc_id).sortWithinPartitions(doc_id)
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} must be an integer column, for the files' index holds integers of 64 bits")
+    ordered = docs.select(F.col(doc_id).cast("long").alias(doc_id), text).repartitionByRange(doc_id).sortWithinPartitions(doc_id)
     rows = ordered.mapInArrow(files, "name string, docs bigint, ids bigint").collect()
     return sorted((r["name"], r["docs"], r["ids"]) for r in rows)
 

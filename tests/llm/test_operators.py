@@ -299,22 +299,71 @@ def test_token_file_reads_only_what_is_wanted_and_sees_damage():
         list(tokenfile.Reader(io.BytesIO(bytes(bad))).documents())
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of integers: each is hashed with the hash before it as seed."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def prints(text):
+    """The fingerprint by its definition: {hash: first place} of the KEPT smallest."""
+    import xxhash
+
+    if not text:
+        return {}
+    symbols, at = [], 0
+    cut = [i + 1 for i, c in enumerate(text) if not re.match("[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]", c)]
+    for c in [*cut, len(text)]:
+        symbols.append(text[at:c])
+        at = c
+    h = []
+    for s in symbols:
+        x = xxhash.xxh64_intdigest(s.encode(), seed=42)
+        h.append(x - (1 << 64) if x >> 63 else x)
+    if len(h) < syncmers.K:
+        return {(spark_hash(*h) & (1 << 64) - 1) >> 32: 0}
+    found = {}
+    for i in range(len(h) - syncmers.K + 1):
+        mer = h[i : i + syncmers.K]
+        if min(mer) in (mer[0], mer[-1]):
+            found.setdefault((spark_hash(*mer) & (1 << 64) - 1) >> 32, i)
+    return {k: found[k] for k in sorted(found)[: syncmers.KEPT]}
+
+
+def shared(a, b):
+    """Likeness and aligned share of two fingerprints."""
+    if not a and not b:
+        return 1.0, 0.0
+    if not a or not b:
+        return 0.0, 0.0
+    both = sorted(a.keys() | b.keys())[: syncmers.KEPT]
+    shifts = [a[x] - b[x] for x in a.keys() & b.keys()]
+    best = max((sum(abs(x - y) <= syncmers.SLACK for y in shifts) for x in shifts), default=0)
+    return sum(x in a and x in b for x in both) / len(both), best / len(shifts) if shifts else 0.0
+
+
 def test_fingerprints(spark, docs):
     data, df = docs
-    rows = {r["doc_id"]: r for r in syncmers.compare(df).collect()}
-    ids = sorted(data)
-    for i, k in enumerate(ids):
-        text, after = data[k] or "", data[ids[(i + 1) % len(ids)]] or ""
+    twice = df.unionByName(df.filter("doc_id in (3, 1001)")).unionByName(df.filter("doc_id = 3")).withColumn("sy_tag", F.lit(1)).withColumn("body", F.lit("x"))
+    order = sorted([*data, 3, 3, 1001])
+    want = Counter()
+    for i, k in enumerate(order):
+        text, after = data[k] or "", data[order[(i + 1) % len(order)]] or ""
         cut = len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
-        r = rows[k]
-        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        assert (r["fingerprint"] == "") == (text == "")
-    assert rows[3]["fingerprint"] == rows[1004]["fingerprint"]
+        a, b, c = prints(text), prints(edited), prints(after)
+        written = lambda p: "".join(f"{x:08x}{at:08x}" for x, at in p.items())
+        near = (*shared(a, b), *shared(a, c))
+        want[(k, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(a), written(b), *(round(x, 12) for x in near))] += 1
+    got = Counter()
+    for r in syncmers.compare(twice).collect():
+        got[(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], *(round(r[c], 12) for c in ("near_edited", "aligned_edited", "near_next", "aligned_next")))] += 1
+    assert got == want
     assert syncmers.compare(empty(spark)).count() == 0
-    twice = df.unionByName(df.filter("doc_id = 3"))
-    assert syncmers.compare(twice).count() == len(data)
 
 
 def test_syncmer_choice_equals_definition(spark):
@@ -369,3 +418,48 @@ def test_chat_ties_and_other_ids(spark):
     own = sorted((t for t in turns if t[0] == "c"), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", digest(t[3] or "")))
     assert rows["c"]["turns_sha256"] == digest("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own)) and rows["c"]["n_turns"] == 5
     assert rows[None]["n_turns"] == 1
+
+
+def thue_morse(n, a, b):
+    x = [0]
+    while len(x) < n:
+        x += [1 - v for v in x]
+    return [(a, b)[v] for v in x[:n]]
+
+
+def test_sequences_that_linear_hashes_mix_up(spark):
+    one, two = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    many, more = " ".join(thue_morse(1024, "ab", "ba")), " ".join(thue_morse(1024, "ba", "ab"))
+    front = " ".join(f"w{i}" for i in range(49))
+    cases = {1: one, 2: two, 3: many, 4: more, 5: f"{front} {one}", 6: f"{front} {two}", 7: f"{one}\n{two}\n{one}"}
+    df = spark.createDataFrame(list(cases.items()), "doc_id bigint, text string")
+    near = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 4).collect()}
+    sets = {k: shingles(t, 4) for k, t in cases.items()}
+    for a in cases:
+        for b in cases:
+            if a < b and 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]):
+                assert near[a] != near[b]
+    assert near[1] != near[2]
+    removed = {r["doc_id"]: r["n_removed"] for r in repeats.digests(df.filter("doc_id IN (5, 6)"), 50).collect()}
+    assert removed == {5: 0, 6: 0}
+    lines = {r["doc_id"]: r["ql_n_dup_lines"] for r in quality.cascade(df, ("n_dup_lines",)).collect()}
+    assert lines[7] == 1
+    assert len({h for k in (1, 2) for h in next(iter(W.word_chunks(pa.array([cases[k]])))).hashes.tolist()}) == 2
+
+
+def test_clashing_names_and_text_ids(spark):
+    names = "cr_own cr_last cr_row mx_size mx_copies mx_key mx_row ql_rejected_by row m0 nd_out rp_doc doc body tag `a.b`".split()
+    data = [("one", "password=abcdefgh1 " + "word " * 30, "s"), ("two", "plain text " * 20 + " ".join(f"w{i}" for i in range(40)), "s"), (None, None, None)]
+    df = spark.createDataFrame(data, "doc_id string, text string, source string")
+    for i, n in enumerate(names):
+        df = df.withColumn(n.strip("`"), F.lit(i))
+    columns = df.columns
+    for out in (credentials.redact(df), quality.keep(df), mixing.repeat(df), neardup.keep_first(df)):
+        assert out.columns == columns
+        for r in out.collect():
+            assert [r[n.strip("`")] for n in names] == list(range(len(names)))
+    assert mixing.mix(df).columns == [*columns, "mx_size_", "mx_source_size", "mx_target", "mx_copies_"]
+    assert syncmers.compare(df).count() == 3 and repeats.digests(df).count() == 3 and credentials.scan(df).count() == 3
+    assert packing.pack_digests(df, encoding.public_path(BYTE)).count() == 3
+    with pytest.raises(TypeError):
+        tokenfile.write_and_read(df, encoding.public_path(WORDS))
