@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields
 
 #: The categories in order, and their labels.
 CATEGORIES = (
@@ -49,6 +50,9 @@ class Settings:
     probes: int = 20
     free_audits: int = 3
     free_advice: int = 5
+    sites: int = 20
+    max_pages: int = 5
+    max_pages_admin: int = 50
     audits_listed: int = 50
     documents_kept: int = 50
     prompt_findings: int = 40
@@ -56,4 +60,17 @@ class Settings:
     evidence_chars: int = 160
 
 
-THRESHOLDS, SETTINGS = Thresholds(), Settings()
+def overridden(kind: type, values: dict[str, str], prefix: str = "shirabe."):  # noqa: ANN201
+    """Thresholds or Settings with the values of `prefix`name (of the session's settings or the
+    environment), read as the type of the default; a value that can't be read raises a ValueError."""
+    found = {}
+    for f in fields(kind):
+        if (text := values.get(prefix + f.name)) not in (None, ""):
+            try:
+                found[f.name] = type(f.default)(text)
+            except ValueError as wrong:
+                raise ValueError(f"{prefix}{f.name} = {text!r} is no {type(f.default).__name__}") from wrong
+    return kind(**found)
+
+
+THRESHOLDS, SETTINGS = overridden(Thresholds, dict(os.environ), "SHIRABE_"), overridden(Settings, dict(os.environ), "SHIRABE_")

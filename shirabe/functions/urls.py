@@ -4,28 +4,31 @@ from __future__ import annotations
 
 from urllib.parse import urljoin
 
-from shirabe.functions.lazy import F
+from pyspark.sql import Column
 
 from shirabe.functions import dual as D
 from shirabe.functions.dual import Dual
+from shirabe.functions.lazy import F
 
 #: Names a directory is served under; the normal form drops them.
 INDEX = r"/(?:index\.html|index\.htm|index\.php|default\.html)$"
 #: Ports that must not be fetched.
 BLOCKED_PORTS = (22, 23, 25, 445, 3306, 5432, 6379, 11211, 11434)
 
+_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?"
+
 
 def scheme(url: Dual) -> Dual:
     return D.lower(D.extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
 
 
 def host(url: Dual) -> Dual:
-    """Lower case, without user and port."""
-    return D.lower(D.extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+    """Lower case, without user and port; an IPv6 literal keeps its brackets."""
+    return D.lower(D.extract(url, _AUTHORITY + r"(\[[^\]/?#]*\]|[^/:?#]*)", 1))
 
 
 def port(url: Dual) -> Dual:
-    return D.extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/:?#]*:([0-9]+)", 1)
+    return D.extract(url, _AUTHORITY + r"(?:\[[^\]/?#]*\]|[^/:?#\[]*):([0-9]+)", 1)
 
 
 def normalize(url: Dual) -> Dual:
@@ -53,28 +56,41 @@ def resolve(base: str, link: str) -> str:
         return ""
 
 
-def public_literal(url: Dual) -> Dual:
-    """True for an http(s) URL with no blocked port whose host isn't a private, loopback, link-local,
-    multicast, reserved or unspecified IPv4 literal or a local name. Names are checked against
-    resolved addresses by `operators.safety.validate`."""
-    h, p, s = host(url), port(url), scheme(url)
-    o = [D.extract(h, r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$", i) for i in (1, 2)]
-    a, b = (Dual(F.expr("0"), "0"),) * 2
-    a = Dual(F.when(o[0].col != "", o[0].col.cast("int")).otherwise(-1), f"(CASE WHEN {o[0].sql} <> '' THEN {o[0].sql}::INT ELSE -1 END)")
-    b = Dual(F.when(o[1].col != "", o[1].col.cast("int")).otherwise(-1), f"(CASE WHEN {o[1].sql} <> '' THEN {o[1].sql}::INT ELSE -1 END)")
-    bad = (
-        a.col.isin(0, 10, 127) | (a.col >= 224) | ((a.col == 169) & (b.col == 254)) | ((a.col == 172) & b.col.between(16, 31))
-        | ((a.col == 192) & (b.col == 168)) | ((a.col == 100) & b.col.between(64, 127)) | (h.col == "localhost") | (h.col == "")
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_QUAD = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
+#: A host that ends in a number is read as an address by resolvers, whatever its form.
+_NUMBER = r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)$"
+#: What a name is made of; full-width digits and dots turn into plain ones when names are resolved.
+_NAME = r"^[^\x00-\x20\x7F/?#@:\[\]%\\<>^|`{}\"\x{3002}\x{FF0E}\x{FF61}\x{FF10}-\x{FF19}]+$"
+_SIX = r"^\[[23][0-9a-f]{3}:(?:[0-9a-f]{0,4}:){0,6}[0-9a-f]{0,4}\]$"
+
+
+def public_host(name: Column) -> Column:
+    """Whether a host is a plain name, or an address outside every private, loopback, link-local,
+    shared, documentation, benchmark, multicast and reserved block. Any other numeric form (one number,
+    hexadecimal, octal, fewer than four parts) is refused, and so is IPv6 outside 2000::/3, with its
+    blocks for tunnels, documentation and protocol assignments."""
+    h = F.regexp_replace(name, r"\.+$", "")
+    a, b, c = (F.regexp_extract(h, _QUAD, i).try_cast("int") for i in (1, 2, 3))
+    closed = (
+        a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
+        | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
     )
-    bad_sql = (
-        f"({a.sql} IN (0, 10, 127) OR {a.sql} >= 224 OR ({a.sql} = 169 AND {b.sql} = 254) OR ({a.sql} = 172 AND {b.sql} BETWEEN 16 AND 31)"
-        f" OR ({a.sql} = 192 AND {b.sql} = 168) OR ({a.sql} = 100 AND {b.sql} BETWEEN 64 AND 127) OR {h.sql} IN ('localhost', ''))"
-    )
-    ports = [str(x) for x in BLOCKED_PORTS]
-    return Dual(
-        s.col.isin("http", "https") & ~p.col.isin(*ports) & ~bad,
-        f"({s.sql} IN ('http', 'https') AND {p.sql} NOT IN ({', '.join(D.quote(x) for x in ports)}) AND NOT {bad_sql})",
-    )
+    first, second = (F.conv(F.concat(F.lit("0"), F.regexp_extract(h, r"^\[([0-9a-f]{1,4}):([0-9a-f]{0,4})", i)), 16, 10).try_cast("int") for i in (1, 2))
+    colons, pairs = F.regexp_count(h, F.lit(":")), F.regexp_count(h, F.lit("::"))
+    whole = ((pairs == 0) & (colons == 7)) | ((pairs == 1) & (colons <= 7) & ~F.contains(h, F.lit(":::")))
+    ends = ~h.rlike(r"[^:]:\]$")
+    six = h.rlike(_SIX) & whole & ends & (first != 0x2002) & ~((first == 0x2001) & ((second < 0x200) | (second == 0xDB8))) & ~((first == 0x3FFF) & (second < 0x1000))
+    plain = h.rlike(_NAME) & ~h.rlike(_NUMBER) & (h != "localhost") & ~F.endswith(h, F.lit(".localhost"))
+    return F.when(h.rlike(_QUAD), ~closed).when(F.startswith(h, F.lit("[")), six).otherwise(plain)
+
+
+def public_literal(url: Dual) -> Column:
+    """True for an http(s) URL with no blocked port and a public host. Names are checked against
+    resolved addresses by `operators.safety.validate`."""
+    ports = [str(p) for p in BLOCKED_PORTS]
+    number = F.regexp_replace(port(url).col, "^0+(?=[0-9])", "")
+    return scheme(url).col.isin("http", "https") & ~number.isin(*ports) & public_host(host(url).col)
 
 
 def with_scheme(url: Dual) -> Dual:

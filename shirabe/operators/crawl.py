@@ -10,16 +10,24 @@ from shirabe.functions import urls as U
 
 
 def edges(facts: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, pos and target (normal form) of each internal link, in order of the page."""
-    rows = facts.select(key, "url", "url_host", F.posexplode("links").alias("pos", "href"))
-    base = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    full = F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("href"))
-    full = full.when(F.col("href").startswith("//"), F.concat("url_scheme_", F.lit(":"), "href")).when(F.col("href").startswith("/"), F.concat(base, F.col("href")))
-    rows = rows.withColumn("url_scheme_", F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))).withColumn("absolute", full).filter("absolute IS NOT NULL")
+    """key, url_host, pos and target (normal form) of each internal link, in order of the page. links are
+    whole addresses, as the parser resolves them against their page."""
+    rows = facts.select(key, "url_host", F.posexplode("links").alias("pos", "absolute"))
     rows = rows.filter(U.host(D.name("absolute")).col == F.col("url_host"))
     return rows.select(key, "url_host", "pos", U.normalize(D.name("absolute")).col.alias("target"))
 
 
+def seeds(sites: DataFrame, listed: DataFrame) -> DataFrame:
+    """site, node and pos: the base address of a site (site, base_url) and then, of the addresses that its
+    sitemap lists (site, pos, url), those of its own host, each once in order of first appearance."""
+    base = sites.select("site", U.normalize(D.name("base_url")).col.alias("node"), F.lit(-1).alias("at"), U.host(D.name("base_url")).col.alias("own"))
+    more = listed.select("site", U.normalize(D.name("url")).col.alias("node"), F.col("pos").alias("at"), U.host(D.name("url")).col.alias("host"))
+    more = more.join(base.select("site", "own"), "site").filter("host = own").select("site", "node", "at")
+    every = base.select("site", "node", "at").unionByName(more).groupBy("site", "node").agg(F.min("at").alias("at"))
+    order = Window.partitionBy("site").orderBy("at", "node")
+    return every.select("site", "node", (F.row_number().over(order) - 1).alias("pos"))
+
+
 def candidates(links: DataFrame, known: DataFrame, site: str, order: list[str], most: int = 20) -> DataFrame:
     """site, target and pos: internal links to no known page (url), each once in order of their first
     appearance, and no more than `most` for a site."""

@@ -37,10 +37,10 @@ def _text(lines: list[DataFrame], key: str) -> DataFrame:
     return rows.groupBy("key").agg(every.alias("r")).select(F.col("key").alias(key), F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("body"))
 
 
-def markdown(audits: DataFrame, categories: DataFrame, findings: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+def markdown(audits: DataFrame, categories: DataFrame, findings: DataFrame, pages: DataFrame, key: str, advice: DataFrame | None = None) -> DataFrame:
     """key and body. audits: key, name, overall, page_count, critical, warning, info, verdict;
     categories: key, place, label, score; findings: key, number, severity, url, rule, evidence;
-    pages: key, seq, url, title_width, text_length, error."""
+    pages: key, seq, url, title_width, text_length, error; advice: key, body."""
     f = F.format_string
     head = f("# Audit of %s\n\n- Pages: %d\n- Score: **%d** / 100\n\n%s\n", F.col("name"), F.col("page_count"), F.col("overall"), F.col("verdict"))
     counts = f("## Findings by severity\n\n- Critical: %d\n- Warning: %d\n- Info: %d\n", F.col("critical"), F.col("warning"), F.col("info"))
@@ -53,8 +53,10 @@ def markdown(audits: DataFrame, categories: DataFrame, findings: DataFrame, page
         _line(categories, key, 3, F.col("place"), f("- %s: %d", F.col("label"), F.col("score"))),
         _line(findings, key, 4, F.col("number"), F.concat(F.when(F.col("number") == 1, "\n## Findings\n\n").otherwise(""), found)),
         _line(pages.filter("error = ''"), key, 5, F.col("seq"), page),
-        _line(audits, key, 6, F.lit(0), F.lit("---\n\nEvery finding is a measured value; nothing is guessed.")),
+        _line(audits, key, 7, F.lit(0), F.lit("---\n\nEvery finding is a measured value; nothing is guessed.")),
     ]
+    if advice is not None:
+        lines.append(_line(advice.join(audits.select(key), key, "left_semi"), key, 6, F.lit(0), f("## Advice\n\n%s\n", F.col("body"))))
     return _text(lines, key)
 
 

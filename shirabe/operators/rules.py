@@ -16,7 +16,7 @@ from shirabe.config import THRESHOLDS as L
 
 @dataclass(frozen=True)
 class Rule:
-    """when and evidence are expressions that both Spark and the oracle read alike."""
+    """when and evidence are SQL expressions over facts."""
 
     id: str
     severity: str
@@ -38,12 +38,13 @@ def _cut(column: str, n: int) -> str:
     return f"substring({column}, 1, {n})"
 
 
+_TIMED = "concat(format_string('%.2f', elapsed), ' s, ', format_number(html_bytes, 0), ' bytes')"
 C, W, I = "critical", "warning", "info"  # noqa: E741
 PAGE_RULES: tuple[Rule, ...] = (
     Rule("crawl.noindex", C, "noindex", "CASE WHEN robots_meta = '' THEN 'noindex' ELSE robots_meta END", "Search engines are told not to index this page", "Remove noindex if the page should be found"),
     Rule("crawl.nofollow", W, "nofollow", "robots_meta", "Links on this page are not followed", "Remove nofollow"),
     Rule("crawl.error_status", C, "status >= 400", _n("status"), "The page answers with an error", "Repair the page or its links"),
-    Rule("crawl.redirect_chain", W, f"hops >= {L.min_chain}", f"concat({_n('hops - 1')}, ' redirects')", "The page is reached through redirects", "Link to the final address"),
+    Rule("crawl.redirect_chain", W, f"size(chain) >= {L.min_chain}", "array_join(slice(chain, 1, 4), ' -> ')", "The page is reached through redirects", "Link to the final address"),
     Rule("meta.title.missing", C, "title = ''", "'no title'", "There is no title", "Write a title"),
     Rule("meta.title.too_long", W, f"title_width > {L.title_max}", f"concat({_n('title_width')}, ': ', title)", "The title will be cut in results", "Shorten the title"),
     Rule("meta.title.too_short", W, f"title_width > 0 AND title_width < {L.title_min}", f"concat({_n('title_width')}, ': ', title)", "The title says little", "Describe the page in the title"),
@@ -53,7 +54,7 @@ PAGE_RULES: tuple[Rule, ...] = (
     Rule("meta.canonical.missing", I, "canonical = ''", "'no canonical'", "No canonical address is given", "Add one"),
     Rule("meta.canonical.conflict", W, "canonical_conflict", "canonical", "The canonical address is another page", "Check that this is meant"),
     Rule("heading.h1.missing", W, "h1_count = 0", "'0'", "There is no main heading", "Add one h1"),
-    Rule("heading.h1.multiple", I, "h1_count > 1", f"concat({_n('h1_count')}, ': ', h1_first)", "There are several main headings", "Keep one"),
+    Rule("heading.h1.multiple", I, "h1_count > 1", f"concat({_n('h1_count')}, ': ', array_join(slice(h1_texts, 1, 3), ' / '))", "There are several main headings", "Keep one"),
     Rule("heading.level_jump", I, "heading_jumps <> ''", "heading_jumps", "Heading levels are skipped", "Use levels in order"),
     Rule("heading.h1_equals_title", I, "h1_first <> '' AND h1_first = title", _cut("title", 60), "Heading and title are the same", "Let them complement each other"),
     Rule("structured.missing", W, "jsonld_count = 0", "'no structured data'", "There is no structured data", "Add JSON-LD"),
@@ -67,8 +68,8 @@ PAGE_RULES: tuple[Rule, ...] = (
     Rule("content.no_internal_link", W, "internal_link_count = 0", "'0'", "No link leads to the own site", "Add internal links"),
     Rule("mobile.viewport.missing", C, "viewport = ''", "'no viewport'", "Phones show the desktop layout", "Add a viewport"),
     Rule("mobile.viewport.no_zoom", I, "replace(viewport, ' ', '') LIKE '%user-scalable=no%' OR replace(viewport, ' ', '') LIKE '%maximum-scale=1%'", "viewport", "Readers can't zoom", "Allow zooming"),
-    Rule("speed.very_slow", C, f"elapsed >= {L.very_slow}", f"concat({_n('CAST(floor(elapsed * 100 + 0.5) AS INT)')}, ' cs, ', {_n('html_bytes')}, ' bytes')", "The answer is very slow", "Speed up the server"),
-    Rule("speed.slow", W, f"elapsed >= {L.slow} AND elapsed < {L.very_slow}", f"concat({_n('CAST(floor(elapsed * 100 + 0.5) AS INT)')}, ' cs, ', {_n('html_bytes')}, ' bytes')", "The answer is slow", "Speed up the server"),
+    Rule("speed.very_slow", C, f"elapsed >= {L.very_slow}", _TIMED, "The answer is very slow", "Speed up the server"),
+    Rule("speed.slow", W, f"elapsed >= {L.slow} AND elapsed < {L.very_slow}", _TIMED, "The answer is slow", "Speed up the server"),
     Rule("speed.blocking_scripts", I, f"blocking_scripts > {L.blocking_scripts}", _n("blocking_scripts"), "Scripts in the head block rendering", "Use async or defer"),
     Rule("security.no_https", C, "url_scheme <> 'https'", "url_scheme", "The page isn't encrypted", "Use HTTPS"),
     Rule("security.mixed_content", W, "url_scheme = 'https' AND mixed_content > 0", _n("mixed_content"), "Unencrypted parts are included", "Use HTTPS for them"),
@@ -89,11 +90,19 @@ def findings(facts: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = PAGE
     return facts.select(*keys, F.inline(F.array_compact(F.array(*hits))))
 
 
-def findings_sql(facts: str, keys: Sequence[str], rules: Sequence[Rule] = PAGE_RULES) -> str:
-    """The same as SQL over the relation facts, rule by rule."""
-    at = {r.id: i for i, r in enumerate(PAGE_RULES)}
-    one = "SELECT {k}, {i} AS rule_ord, '{r.id}' AS rule, '{r.category}' AS category, '{r.severity}' AS severity, {r.evidence} AS evidence FROM {f} WHERE {r.when}"
-    return " UNION ALL ".join(one.format(k=", ".join(keys), i=at.get(r.id, i) if rules is PAGE_RULES else i, r=r, f=facts) for i, r in enumerate(rules))
+#: Rules that users have added.
+_ADDED: list[Rule] = []
+
+
+def register(rule: Rule) -> None:
+    """Add a rule to those that `every` gives; its id must be new."""
+    if rule.id in {r.id for r in every()}:
+        raise ValueError(f"there is a rule {rule.id}")
+    _ADDED.append(rule)
+
+
+def every() -> tuple[Rule, ...]:
+    return PAGE_RULES + tuple(_ADDED)
 
 
 def by_category(category: str) -> tuple[Rule, ...]:

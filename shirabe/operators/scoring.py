@@ -56,7 +56,12 @@ def score_class(score: Column) -> Column:
     return F.when(score >= 90, "good").when(score >= 70, "mid").otherwise("bad")
 
 
-#: The same in SQL, for the oracle.
-VERDICT_SQL = "CASE WHEN {0} >= 90 THEN 'excellent' WHEN {0} >= 70 THEN 'good' WHEN {0} >= 50 THEN 'needs work' ELSE 'poor' END"
-WEIGHT_SQL = "CASE severity WHEN 'critical' THEN 25 WHEN 'warning' THEN 10 WHEN 'info' THEN 3 ELSE 5 END"
-SCORE_SQL = "greatest(0, least(100, floor(100 - COALESCE({0}, 0) / greatest({1}, 1)::DOUBLE + 0.5)))::INT"
+SEVERITY_LABELS = {"critical": "Critical", "warning": "Warning", "info": "Info"}
+
+
+def severity_label(severity: Column) -> Column:
+    """What reports call a severity; an unknown one stays as it is."""
+    out = severity
+    for name, label in SEVERITY_LABELS.items():
+        out = F.when(severity == name, label).otherwise(out)
+    return out

@@ -42,6 +42,24 @@ def duplicate_findings(groups: DataFrame, rule: str, shown: int = 3) -> DataFram
     return groups.select("site", F.lit(rule).alias("rule"), F.lit(rule.split(".")[0]).alias("category"), F.lit("warning").alias("severity"), F.col("first_url").alias("url"), evidence.alias("evidence"), "first_seq")
 
 
+def probe_status(probes: DataFrame) -> DataFrame:
+    """probes (head, get: statuses, 0 or null without an answer) with status: the answer to HEAD, or to GET
+    where HEAD is not allowed (405)."""
+    head, get = (F.coalesce(F.col(c), F.lit(0)) for c in ("head", "get"))
+    return probes.withColumn("status", F.when(head == 405, get).otherwise(head))
+
+
+def facts(sites: DataFrame, robots: DataFrame, parsed: DataFrame, sitemaps: DataFrame, broken: DataFrame) -> DataFrame:
+    """Facts of each site (site, base_url) as SITE_RULES read them. robots: site, body; parsed: of
+    parse_robots; sitemaps: of first_sitemap; broken: of broken_links."""
+    rows = sites.join(robots.select("site", F.col("body").alias("robots_txt")), "site", "left").join(parsed, "site", "left")
+    rows = rows.join(sitemaps.select("site", F.lit(True).alias("has_sitemap")), "site", "left").join(broken, "site", "left")
+    return rows.select(
+        "site", "base_url", "robots_txt", F.coalesce("blocks_all", F.lit(False)).alias("robots_blocks_all"), F.coalesce("sitemap", F.lit("")).alias("robots_sitemap"),
+        F.coalesce("has_sitemap", F.lit(False)).alias("sitemap_found"), F.coalesce("broken", F.lit("")).alias("broken"), F.coalesce("n", F.lit(0)).cast("long").alias("broken_count"),
+    )
+
+
 def broken_links(probes: DataFrame, shown: int = 3) -> DataFrame:
     """site, n and broken (the first as url(status)) from probes (site, pos, url, status). A probe
     that failed has status 0."""

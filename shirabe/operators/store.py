@@ -4,6 +4,8 @@ Tables are appended to, never updated in place: a status is the newest of its ro
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,157 @@ def current_status(log: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.substring("error", 1, 500))
 
 
+def append(rows: DataFrame, path: str, kind: str, **fixed: str) -> None:
+    """Append rows to a table of the store, with a new id (16 hexadecimal digits) and the time, where
+    they have none; `fixed` sets further columns."""
+    if kind not in TABLES:
+        raise ValueError(f"no table {kind}")
+    for name, value in fixed.items():
+        rows = rows.withColumn(name, F.lit(value))
+    if "id" in TABLES[kind] and "id" not in rows.columns:
+        rows = rows.withColumn("id", new_id())
+    if "created_at" in TABLES[kind] and "created_at" not in rows.columns:
+        rows = rows.withColumn("created_at", F.date_trunc("second", F.current_timestamp()))
+    rows.select(*TABLES[kind]).write.mode("append").parquet(f"{path}/{kind}")
+
+
+#: Columns of the store's tables.
+TABLES: dict[str, tuple[str, ...]] = {
+    "sites": ("id", "owner", "name", "url", "created_at"),
+    "audits": ("id", "site_id", "owner", "created_at"),
+    "statuses": ("audit_id", "status", "overall", "page_count", "categories", "counts", "error", "at"),
+    "findings": ("audit_id", "seq", "rule_ord", "rule", "category", "severity", "url", "evidence"),
+    "advice": ("id", "audit_id", "owner", "provider", "model", "body", "created_at"),
+    "usage": ("id", "owner", "kind", "created_at"),
+}
+
+
+def new_id() -> Column:
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)
+
+
+def start(path: str, audits: DataFrame) -> None:
+    """New audits (id, site_id, owner, created_at), running."""
+    append(audits, path, "audits")
+    _status(path, audits.select(F.col("id").alias("audit_id"), F.lit("running").alias("status"), F.col("created_at").alias("at")))
+
+
+def finish(path: str, scored: DataFrame) -> None:
+    """Audits that are done: audit_id, overall, page_count, categories and counts (nested), at."""
+    _status(path, scored.withColumn("status", F.lit("done")))
+
+
+def fail(path: str, failed: DataFrame) -> None:
+    """Audits that failed: audit_id, error (cut to 500 characters), at."""
+    _status(path, failed.withColumn("status", F.lit("failed")).withColumn("error", F.substring("error", 1, 500)))
+
+
+def _status(path: str, rows: DataFrame) -> None:
+    types = {"overall": "int", "page_count": "int", "categories": "string", "counts": "string", "error": "string"}
+    for name, kind in types.items():
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+        elif kind == "string" and rows.schema[name].dataType.simpleString() != "string":
+            rows = rows.withColumn(name, F.to_json(name))
+        rows = rows.withColumn(name, F.col(name).cast(kind))
+    append(rows, path, "statuses")
+
+
+def visible(rows: DataFrame, owner: str, admins: Sequence[str] = ()) -> DataFrame:
+    """Rows of an owner alone; an admin sees all."""
+    me = F.lit(owner)
+    return rows.filter(is_admin(me, admins) | (F.col("owner") == me))
+
+
+def visible_to(rows: DataFrame, viewers: DataFrame, name: str, admins: Sequence[str]) -> DataFrame:
+    """The rows that each viewer (name: the owner they are) sees: one join by owner; admins, of whom there
+    are as many as in `admins`, are joined with all."""
+    admin = is_admin(F.col(name), admins)
+    own = viewers.filter(~admin).join(rows, F.col(name) == F.col("owner"))
+    every = viewers.filter(admin).withColumn("all", F.lit(1)).join(rows.withColumn("everyone", F.lit(1)), F.col("all") == F.col("everyone")).drop("all", "everyone")
+    return own.unionByName(every)
+
+
+def is_admin(owner: Column, admins: Sequence[str]) -> Column:
+    return F.lower(F.regexp_replace(F.trim(owner), "^@+", "")).isin(*admins)
+
+
+def nested_audits(audits: DataFrame, findings: DataFrame, columns: Sequence[str] = ("rule", "category", "severity", "evidence")) -> DataFrame:
+    """audits (id and more) with findings, an array in order of severity, category, rule and place; empty
+    without one. An audit's findings are bounded by its pages."""
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    rows = findings.select("audit_id", F.struct(rank.alias("rank"), "category", "rule", "seq", F.struct(*columns).alias("f")).alias("s"))
+    nested = rows.groupBy("audit_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["f"]).alias("findings"))
+    none = F.array().cast(nested.schema["findings"].dataType)
+    out = audits.join(nested, audits["id"] == nested["audit_id"], "left").drop("audit_id")
+    return out.withColumn("findings", F.coalesce("findings", none))
+
+
+def latest_advice(advice: DataFrame) -> DataFrame:
+    """The newest advice of each audit; of equal times that with the greater id."""
+    return newest(advice, ["audit_id"], [F.col("created_at").desc(), F.col("id").desc()]).drop("rank")
+
+
+def audit_view(audits: DataFrame, sites: DataFrame, advice: DataFrame) -> DataFrame:
+    """audits with the name and address of their site, and their latest advice (null: none)."""
+    last = latest_advice(advice).select(F.col("audit_id").alias("id"), F.col("body").alias("advice"), F.col("model").alias("advice_model"))
+    named = sites.select(F.col("id").alias("site_id"), F.col("name").alias("site_name"), F.col("url").alias("site_url"))
+    return audits.join(named, "site_id", "left").join(last, "id", "left")
+
+
+def usage_status(owners: DataFrame, usage: DataFrame, sites: DataFrame, admins: Sequence[str], most_sites: int = SETTINGS.sites) -> DataFrame:
+    """For each owner (owner): plan, audits and advice used of the month (usage: owner, kind, used), their
+    limits (null: none), sites (owner) and their limit."""
+    used = usage.groupBy("owner").agg(*[F.sum(F.when(F.col("kind") == k, F.col("used"))).alias(f"{n}_used") for k, n in (("audit", "audits"), ("advice", "advice"))])
+    own = sites.groupBy("owner").agg(F.count("*").alias("sites"))
+    admin = is_admin(F.col("owner"), admins)
+    rows = owners.join(used, "owner", "left").join(own, "owner", "left")
+    limit = lambda n: F.when(~admin, F.lit(n))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return rows.select(
+        "owner", F.when(admin, "admin").otherwise("free").alias("plan"), count("audits_used"), limit(SETTINGS.free_audits).alias("audits_limit"), count("advice_used"),
+        limit(SETTINGS.free_advice).alias("advice_limit"), count("sites"), F.lit(most_sites).alias("sites_limit"),
+    )
+
+
+#: What the gateway lets through; everything else is refused.
+ROUTES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("/health|/api/usage", ("GET",)),
+    ("/api/sites", ("GET", "POST")),
+    ("/api/sites/[a-f0-9]{16}", ("DELETE",)),
+    ("/api/sites/[a-f0-9]{16}/audits", ("GET", "POST")),
+    ("/api/audits/[a-f0-9]{16}", ("GET",)),
+    ("/api/audits/[a-f0-9]{16}/advice", ("POST",)),
+    (r"/api/audits/[a-f0-9]{16}/report\.md", ("GET",)),
+)
+
+
+def route_allowed(path: Column, method: Column) -> Column:
+    allowed: Column = F.lit(False)
+    for pattern, methods in ROUTES:
+        allowed = allowed | (path.rlike(rf"\A(?:{pattern})\z") & method.isin(*methods))
+    return allowed
+
+
+def provider(owner: Column, admins: Sequence[str], paid: Column, local: str = "local", remote: str = "paid") -> Column:
+    """Which provider writes an owner's advice: admins' and unpaid ones go to the local one."""
+    return F.when(is_admin(owner, admins) | ~paid, local).otherwise(remote)
+
+
+def page_budget(requested: Column, admin: Column) -> Column:
+    """Pages that an audit may read: what is asked for, at most the plan's ceiling, at least 1."""
+    return F.greatest(F.lit(1), F.least(requested, F.when(admin, SETTINGS.max_pages_admin).otherwise(SETTINGS.max_pages)))
+
+
+def key_value(lines: DataFrame, name: str) -> DataFrame:
+    """value of the first line `name=value` in lines (pos, value) of a key file; comments and lines without
+    = are skipped, quotes around the value dropped."""
+    line = F.trim("value")
+    rows = lines.filter(~line.startswith("#") & line.contains("=")).select("pos", F.trim(F.regexp_extract(line, "^([^=]*)=", 1)).alias("key"), F.trim(F.regexp_extract(line, "^[^=]*=(.*)$", 1)).alias("value"))
+    rows = rows.filter(F.col("key") == name)
+    return rows.groupBy().agg(F.min_by(F.regexp_replace(F.regexp_replace("value", '^"+|"+$', ""), "^'+|'+$", ""), "pos").alias("value"))
+
+
 def mask_lite(details: DataFrame, lite: Column) -> DataFrame:
     """Empty findings and pages where lite."""
     empty = lambda c: F.when(lite, F.array().cast(details.schema[c].dataType)).otherwise(F.col(c)).alias(c)

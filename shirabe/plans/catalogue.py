@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shirabe.config import CATEGORIES, SETTINGS
 from shirabe.functions import dual as D
 from shirabe.functions import text as T
 from shirabe.functions import urls as U
-from shirabe.operators import compare, crawl, report, robots, rules, scoring, site, store
+from shirabe.operators import compare, crawl, report, robots, rules, safety, scoring, site, store
+from shirabe.plans import mutations as M
+from shirabe.plans import oracle as O
 from shirabe.plans.mutations import mutated, mutated_sql
 from shirabe.sources import facts as X
+from shirabe.sources import html
+from shirabe.storage import new_path, table
+from shirabe.storage import store as keep
 
 
 @dataclass(frozen=True)
@@ -36,33 +39,21 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def facts_of(pages: DataFrame) -> DataFrame:
+    """Facts as the parser reads them."""
+    return html.rule_facts(html.extract(pages))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.facts(mutated(spark, sf_dir))
+    return facts_of(mutated(spark, sf_dir))
 
 
 PAGES = f"pages_facts AS MATERIALIZED ({X.facts_sql(mutated_sql())})"
-RAW = "(SELECT page_id, url, html, 200 AS status, 0.2 AS elapsed, 1 AS hops FROM pages)"
+RAW = "(SELECT page_id, url, html FROM pages)"
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.facts(table(spark, sf_dir, "pages").selectExpr("page_id", "url", "html", "200 AS status", "0.2D AS elapsed", "1 AS hops"))
-
-
-def _keep(path_name: str) -> Callable[[DataFrame], DataFrame]:
-    """Writes a table to the shared folder (a temporary one where none is set) and reads it back."""
-
-    def keep(df: DataFrame) -> DataFrame:
-        spark = df.sparkSession
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/shirabe-plans"
-        path = f"{folder.rstrip('/')}/{path_name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
+    return facts_of(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 # --- extraction ------------------------------------------------------------------------------
@@ -124,230 +115,127 @@ def q_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select(*names.split(), F.expr("floor(elapsed * 1000 + 0.5) / 1000").alias("elapsed"))
 
 
-# --- rules and scores ------------------------------------------------------------------------
+# --- rules ------------------------------------------------------------------------------------
 
 _KEYS = ["url_host", "page_id", "url"]
 
 
 def _category_query(category: str) -> None:
     own = rules.by_category(category)
-    sql = f"WITH {PAGES} {rules.findings_sql('pages_facts', ['page_id'], own)}"
-    at = {r.id: i for i, r in enumerate(own)}
 
-    @query(f"q_rules_{category}", sql)
+    @query(f"q_rules_{category}", f"WITH {PAGES} {O.findings('pages_facts', 'page_id', O.PAGE_RULES, category)}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        assert at
         return rules.findings(pages(spark, sf_dir), ["page_id"], own)
 
 
 for _c, _ in CATEGORIES:
     _category_query(_c)
 
-FINDINGS = f"{PAGES}, found AS MATERIALIZED ({rules.findings_sql('pages_facts', _KEYS)})"
-AUDITS = "audits AS (SELECT url_host, COUNT(*) AS pages FROM pages_facts GROUP BY url_host)"
-
-
-def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(findings, audits): an audit is a host."""
-    facts = pages(spark, sf_dir)
-    return rules.findings(facts, _KEYS), facts.groupBy("url_host").agg(F.count("*").alias("pages"))
-
-
-@query("q_findings_all", f"WITH {FINDINGS} SELECT page_id, rule_ord, rule, category, severity, evidence FROM found")
-def q_findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir)[0].select("page_id", "rule_ord", "rule", "category", "severity", "evidence")
-
-
-_CATEGORY_VALUES = ", ".join(f"({i}, '{c}', '{n}')" for i, (c, n) in enumerate(CATEGORIES))
-CATEGORY_SQL = (
-    f"cats AS (SELECT * FROM (VALUES {_CATEGORY_VALUES}) v(place, category, label)), points AS (SELECT url_host, category, SUM({scoring.WEIGHT_SQL}) AS p FROM found GROUP BY ALL),"
-    f" scores AS (SELECT a.url_host, c.place, c.category, c.label, {scoring.SCORE_SQL.format('p.p', 'a.pages')} AS score FROM audits a CROSS JOIN cats c LEFT JOIN points p ON p.url_host = a.url_host AND p.category = c.category)"
-)
-
-
-@query("q_score_category", f"WITH {FINDINGS}, {AUDITS}, {CATEGORY_SQL} SELECT url_host, category, label, score FROM scores")
-def q_score_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, a = found(spark, sf_dir)
-    return scoring.category_scores(f, a, ["url_host"])
-
-
-OVERALL_SQL = (
-    f"overall AS (SELECT a.url_host, {scoring.SCORE_SQL.format(f'SUM({scoring.WEIGHT_SQL})', 'any_value(a.pages)')} AS overall, COUNT(*) FILTER (severity = 'critical') AS critical,"
-    " COUNT(*) FILTER (severity = 'warning') AS warning, COUNT(*) FILTER (severity = 'info') AS info, COUNT(severity) AS total, any_value(a.pages) AS pages"
-    " FROM audits a LEFT JOIN found f ON f.url_host = a.url_host GROUP BY a.url_host)"
-)
-
-
-@query("q_score_overall", f"WITH {FINDINGS}, {AUDITS}, {OVERALL_SQL} SELECT * FROM overall")
-def q_score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, a = found(spark, sf_dir)
-    return scoring.overall_scores(f, a, ["url_host"])
-
-
-@query("q_severity_counts", f"WITH {FINDINGS} SELECT severity, category, COUNT(*) AS n FROM found GROUP BY ALL")
-def q_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir)[0].groupBy("severity", "category").agg(F.count("*").alias("n"))
-
-
-@query("q_verdict_bands", f"WITH {FINDINGS}, {AUDITS}, {OVERALL_SQL} SELECT url_host, overall, {scoring.VERDICT_SQL.format('overall')} AS verdict, CASE WHEN overall >= 90 THEN 'good' WHEN overall >= 70 THEN 'mid' ELSE 'bad' END AS band FROM overall")
-def q_verdict_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, a = found(spark, sf_dir)
-    o = scoring.overall_scores(f, a, ["url_host"])
-    return o.select("url_host", "overall", scoring.verdict(F.col("overall")).alias("verdict"), scoring.score_class(F.col("overall")).alias("band"))
-
-
-_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
-ORDERED_SQL = f"ordered AS (SELECT *, row_number() OVER (PARTITION BY url_host ORDER BY {_RANK}, category, rule, page_id, rule_ord) AS number FROM found)"
-TOP_SQL = f"top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url_host ORDER BY {_RANK}, page_id, rule_ord) AS number FROM found) WHERE number <= {SETTINGS.prompt_findings})"
-
-
-@query("q_findings_ordered", f"WITH {FINDINGS}, {ORDERED_SQL} SELECT url_host, number, page_id, rule, severity FROM ordered")
-def q_findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.ordered(found(spark, sf_dir)[0], ["url_host"], ["page_id", "rule_ord"]).select("url_host", "number", "page_id", "rule", "severity")
-
-
-@query("q_top_findings", f"WITH {FINDINGS}, {TOP_SQL} SELECT url_host, number, page_id, rule, severity FROM top")
-def q_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.top(found(spark, sf_dir)[0], ["url_host"], ["page_id", "rule_ord"]).select("url_host", "number", "page_id", "rule", "severity")
-
 
-# --- site rules ------------------------------------------------------------------------------
+def _dup_sql(value: str, facts: str = "pages_facts") -> str:
+    return f"""SELECT url_host AS site, {value} AS value, COUNT(*) AS n, min_by(url, page_id) AS first_url, array_to_string((list(url ORDER BY page_id))[1:3], ', ') AS first_urls
+      FROM {facts} WHERE {value} <> '' GROUP BY ALL HAVING COUNT(*) > 1"""
 
 
-def _dup_sql(value: str) -> str:
-    return f"""WITH {PAGES}, g AS (
-      SELECT url_host AS site, {value} AS value, COUNT(*) AS n, min_by(url, page_id) AS first_url, list(url ORDER BY page_id) AS urls
-      FROM pages_facts WHERE {value} <> '' GROUP BY ALL HAVING COUNT(*) > 1)
-    SELECT site, value, n, first_url, array_to_string(urls[1:3], ', ') AS first_urls FROM g"""
-
-
-@query("q_dup_titles", _dup_sql("title"))
+@query("q_dup_titles", f"WITH {PAGES} {_dup_sql('title')}")
 def q_dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.duplicates(pages(spark, sf_dir), "url_host", "title", "url", "page_id").drop("first_seq")
 
 
-@query("q_dup_descriptions", _dup_sql("description"))
+@query("q_dup_descriptions", f"WITH {PAGES} {_dup_sql('description')}")
 def q_dup_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site.duplicates(pages(spark, sf_dir), "url_host", "description", "url", "page_id").drop("first_seq")
 
 
-@query("q_dup_findings", f"SELECT site, 'meta.title.duplicate' AS rule, 'meta' AS category, 'warning' AS severity, first_url AS url, substring(value, 1, 50) || ': ' || first_urls || CASE WHEN n > 3 THEN ' and more' ELSE '' END AS evidence FROM ({_dup_sql('title')})")
-def q_dup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site.duplicate_findings(site.duplicates(pages(spark, sf_dir), "url_host", "title", "url", "page_id"), "meta.title.duplicate").drop("first_seq")
-
-
-# --- whole audits: page findings and, after them, what several pages of a host share ------------
-
 _SHARED = (("title", "meta.title.duplicate"), ("description", "meta.description.duplicate"))
-_SHARED_SQL = "SELECT 1 AS part, url_host, MIN(page_id) AS page_id, min_by(url, page_id) AS url, {i} AS rule_ord, '{r}' AS rule, 'meta' AS category, 'warning' AS severity, substring({v}, 1, 50) || ': ' || array_to_string(list(url ORDER BY page_id)[1:3], ', ') || CASE WHEN COUNT(*) > 3 THEN ' and more' ELSE '' END AS evidence FROM pages_facts WHERE {v} <> '' GROUP BY url_host, {v} HAVING COUNT(*) > 1"
-WHOLE = f"{PAGES}, found AS MATERIALIZED (SELECT 0 AS part, * FROM ({rules.findings_sql('pages_facts', _KEYS)}) UNION ALL " + " UNION ALL ".join(_SHARED_SQL.format(i=len(rules.PAGE_RULES) + i, r=r, v=v) for i, (v, r) in enumerate(_SHARED)) + ")"
-_WHOLE_TIES = ["part", "page_id", "rule_ord"]
-WHOLE_TOP_SQL = TOP_SQL.replace("page_id, rule_ord", "part, page_id, rule_ord")
-
-
-def audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(findings, audits) as found(), with the findings about a host; no robots, sitemap or probe is
-    known of the hosts of `pages`, so these are the duplicates. part: 0 for a page's, 1 for a host's."""
-    facts = _keep("facts")(pages(spark, sf_dir).drop("html", "links"))  # read several times below
-    every = rules.findings(facts, _KEYS).select(F.lit(0).alias("part"), "*")
-    for i, (value, rule) in enumerate(_SHARED):
-        shared = site.duplicate_findings(site.duplicates(facts, "url_host", value, "url", "page_id"), rule)
-        every = every.unionByName(shared.select(F.lit(1).alias("part"), F.col("site").alias("url_host"), F.col("first_seq").alias("page_id"), "url", F.lit(len(rules.PAGE_RULES) + i).alias("rule_ord"), "rule", "category", "severity", "evidence"))
-    return every, facts.groupBy("url_host").agg(F.count("*").alias("pages"))
-
-
-@query("q_audit_findings", f"WITH {WHOLE} SELECT url_host, page_id, rule_ord, rule, category, severity, evidence FROM found")
-def q_audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audited(spark, sf_dir)[0].select("url_host", "page_id", "rule_ord", "rule", "category", "severity", "evidence")
+_EVIDENCE = "substring(value, 1, 50) || ': ' || first_urls || CASE WHEN n > 3 THEN ' and more' ELSE '' END"
 
 
-@query("q_audit_score_category", f"WITH {WHOLE}, {AUDITS}, {CATEGORY_SQL} SELECT url_host, category, label, score FROM scores")
-def q_audit_score_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, a = audited(spark, sf_dir)
-    return scoring.category_scores(f, a, ["url_host"])
+@query("q_dup_findings", f"WITH {PAGES} " + " UNION ALL ".join(f"SELECT site, '{r}' AS rule, 'meta' AS category, 'warning' AS severity, first_url AS url, {_EVIDENCE} AS evidence FROM ({_dup_sql(v)})" for v, r in _SHARED))
+def q_dup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = keep(pages(spark, sf_dir).select("url_host", "page_id", "url", "title", "description"), "facts")
+    found = [site.duplicate_findings(site.duplicates(facts, "url_host", v, "url", "page_id"), r).drop("first_seq") for v, r in _SHARED]
+    return found[0].unionByName(found[1])
 
 
-@query("q_audit_score_overall", f"WITH {WHOLE}, {AUDITS}, {OVERALL_SQL} SELECT * FROM overall")
-def q_audit_score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, a = audited(spark, sf_dir)
-    return scoring.overall_scores(f, a, ["url_host"])
+# --- what sites answer: robots.txt, sitemaps, links that lead nowhere ---------------------------------
 
 
-@query("q_audit_severity_counts", f"WITH {WHOLE} SELECT severity, category, COUNT(*) AS n FROM found GROUP BY ALL")
-def q_audit_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audited(spark, sf_dir)[0].groupBy("severity", "category").agg(F.count("*").alias("n"))
+def _answers(hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(robots, files): site and body; url and body (null: not there), of the sites in hosts (site)."""
+    files = None
+    for url, body in M.sitemap_files(duck=False):
+        one = hosts.selectExpr(f"{url} AS url", f"{body} AS body")
+        files = one if files is None else files.unionByName(one)
+    assert files is not None
+    return hosts.selectExpr("site", f"{M.robots_bodies(duck=False)} AS body"), files
 
 
-@query("q_audit_verdict_bands", f"WITH {WHOLE}, {AUDITS}, {OVERALL_SQL} SELECT url_host, overall, {scoring.VERDICT_SQL.format('overall')} AS verdict, CASE WHEN overall >= 90 THEN 'good' WHEN overall >= 70 THEN 'mid' ELSE 'bad' END AS band FROM overall")
-def q_audit_verdict_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = q_audit_score_overall(spark, sf_dir)
-    return o.select("url_host", "overall", scoring.verdict(F.col("overall")).alias("verdict"), scoring.score_class(F.col("overall")).alias("band"))
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(U.host(D.name("url")).col.alias("site")).distinct().withColumn("base_url", F.concat(F.lit("https://"), "site"))
 
 
-_SITES = """SELECT * FROM (VALUES
- ('https://a.jp', 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10) || 'Sitemap: https://a.jp/s.xml # x'),
- ('https://b.jp', 'User-agent: bot' || chr(10) || 'Disallow: /' || chr(10) || 'sitemap:https://b.jp/1.xml' || chr(10) || 'SITEMAP: https://b.jp/2.xml'),
- ('https://c.jp', 'user-agent: *' || chr(13) || chr(10) || 'User-Agent: bot' || chr(13) || chr(10) || 'disallow: /'),
- ('https://d.jp', ''), ('https://e.jp', NULL),
- ('https://f.jp', '# none' || chr(10) || 'User-agent: bot' || chr(10) || 'User-agent : *' || chr(10) || ' Disallow : / # all' || chr(10) || 'no colon')) v(site, body)"""
-_ROBOTS = f"""r AS ({_SITES}),
+_HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1))"
+_ANSWERS = f"""hosts AS (SELECT DISTINCT {_HOST_SQL} AS site FROM pages), r AS MATERIALIZED (SELECT site, {M.robots_bodies(duck=True)} AS body FROM hosts),
+ files AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {u} AS url, {b} AS body FROM hosts" for u, b in M.sitemap_files(duck=True))})"""
+_ROBOTS = f"""{_ANSWERS},
  l AS (SELECT site, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS raw FROM (SELECT site, string_split(regexp_replace(body, '\\r\\n?', chr(10), 'g'), chr(10)) AS x FROM r WHERE body IS NOT NULL)),
  k AS (SELECT site, pos, lower(trim(regexp_extract(s, '^([^:]*):', 1), ' ')) AS key, trim(regexp_extract(s, '^[^:]*:(.*)$', 1), ' ') AS value FROM (SELECT site, pos, trim(regexp_replace(raw, '#.*$', ''), ' ') AS s FROM l)),
  u AS (SELECT *, COALESCE(last_value(CASE WHEN key = 'user-agent' THEN value = '*' END IGNORE NULLS) OVER (PARTITION BY site ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS star FROM k),
- p AS (SELECT site, bool_or(key = 'disallow' AND star AND value = '/') AS blocks_all, COALESCE(min_by(value, pos) FILTER (key = 'sitemap' AND value <> ''), '') AS sitemap FROM u GROUP BY site)"""
+ p AS MATERIALIZED (SELECT site, bool_or(key = 'disallow' AND star AND value = '/') AS blocks_all, COALESCE(min_by(value, pos) FILTER (key = 'sitemap' AND value <> ''), '') AS sitemap FROM u GROUP BY site)"""
 
 
 @query("q_robots_parse", f"WITH {_ROBOTS} SELECT * FROM p")
 def q_robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robots.parse_robots(spark.sql(_SITES))
+    return robots.parse_robots(_answers(_hosts(spark, sf_dir))[0])
 
 
-_SITE_FACTS = f"WITH {_ROBOTS} SELECT r.site AS base_url, r.body AS robots_txt, COALESCE(p.blocks_all, false) AS robots_blocks_all, COALESCE(p.sitemap, '') AS robots_sitemap, r.site < 'https://d' AS sitemap_found, CASE WHEN r.site > 'https://c' THEN 'https://x(404)' ELSE '' END AS broken FROM r LEFT JOIN p USING (site)"
+_LOC_SQL = "regexp_extract_all(body, '(?is)<(?:[a-z0-9]+:)?loc\\b[^>]*>(.*?)</(?:[a-z0-9]+:)?loc\\s*>', 1)"
+_LOCS = f"list_filter(list_transform({_LOC_SQL}, lambda x: replace(trim(regexp_replace(trim(x), '^<!\\[CDATA\\[|\\]\\]>$', '', 'g')), '&amp;', '&')), lambda x: x <> '')"
+_NORMAL = "(lower(regexp_extract({0}, '^[^:]+://[^/?#]*')) || COALESCE(NULLIF(rtrim(regexp_replace(regexp_replace(regexp_extract(regexp_replace({0}, '^[^:]+://[^/?#]*', ''), '^[^?#]*'), ';[^/]*$', ''), '/(index\\.(html|htm|php)|default\\.html)$', '/'), '/'), ''), '/') || regexp_extract(regexp_replace({0}, '#.*$', ''), '\\?.+$'))"
+_SITEMAPS = f"""{_ROBOTS},
+ tried AS (SELECT site, 0 AS pos, sitemap AS url FROM p WHERE sitemap <> '' UNION ALL SELECT site, 1, 'https://' || site || '/sitemap.xml' FROM hosts),
+ got AS MATERIALIZED (SELECT site, arg_min(body, pos) AS body FROM (SELECT t.site, t.pos, f.body FROM tried t JOIN files f ON f.url = t.url WHERE f.body IS NOT NULL AND len({_LOC_SQL.replace('body', 'f.body')}) > 0) GROUP BY site),
+ a AS (SELECT site, regexp_matches(body, '(?i)<(?:[a-z0-9]+:)?sitemapindex\\b') AS idx, {_LOCS} AS locs FROM got),
+ own AS (SELECT site, 0 AS child, unnest(range(0, len(locs))) AS pos, unnest(locs) AS url FROM a WHERE NOT idx), kids AS (SELECT site, unnest(range(0, len(locs[1:5]))) AS child, unnest(locs[1:5]) AS file FROM a WHERE idx),
+ deep AS (SELECT k.site, k.child, unnest(range(0, len(d.locs))) AS pos, unnest(d.locs) AS url FROM kids k JOIN (SELECT url, {_LOCS} AS locs FROM files WHERE body IS NOT NULL) d ON d.url = k.file),
+ listed AS MATERIALIZED (SELECT site, (row_number() OVER (PARTITION BY site ORDER BY place_, url) - 1)::INT AS pos, url FROM (
+   SELECT site, {_NORMAL.format('url')} AS url, MIN((child, pos)) AS place_ FROM (SELECT * FROM own UNION ALL SELECT * FROM deep) WHERE NOT regexp_matches(url, '(?i)\\.xml(\\.gz)?$') GROUP BY ALL))"""
 
 
-@query("q_rules_site", f"WITH site_facts AS ({_SITE_FACTS}) {rules.findings_sql('site_facts', ['base_url'], site.SITE_RULES)}")
-def q_rules_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = spark.sql(_SITES)
+def _sitemaps(spark: SparkSession, sf_dir: str, hosts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(robots, parsed, first, listed): what the sites' robots.txt and sitemaps say."""
+    bodies, files = _answers(hosts)
     parsed = robots.parse_robots(bodies)
-    facts = bodies.join(parsed, "site", "left").selectExpr(
-        "site AS base_url", "body AS robots_txt", "coalesce(blocks_all, false) AS robots_blocks_all", "coalesce(sitemap, '') AS robots_sitemap",
-        "site < 'https://d' AS sitemap_found", "CASE WHEN site > 'https://c' THEN 'https://x(404)' ELSE '' END AS broken",
-    )
-    return rules.findings(facts, ["base_url"], site.SITE_RULES)
+    first = robots.first_sitemap(robots.candidates(hosts, parsed), files)
+    return bodies, parsed, first, robots.sitemap_urls(first.select("site", "body"), files.filter("body IS NOT NULL"))
 
 
-_XML = """SELECT * FROM (VALUES
- ('https://a.jp', '<urlset xmlns="x"><url><loc> https://a.jp/1 </loc></url><url><loc><![CDATA[https://a.jp/2?a=1&b=2]]></loc></url></urlset>'),
- ('https://b.jp', '<sm:urlset><sm:url><sm:loc>https://b.jp/x&amp;y</sm:loc></sm:url><sm:url><sm:loc>https://b.jp/old.xml</sm:loc></sm:url></sm:urlset>'),
- ('https://c.jp', '<sitemapindex><sitemap><loc>https://c.jp/a.xml</loc></sitemap><sitemap><loc>https://c.jp/b.xml.gz</loc></sitemap></sitemapindex>'),
- ('https://d.jp', '<urlset><url><loc>https://d.jp/1'), ('https://e.jp', '')) v(site, body)"""
-_CHILDREN = "SELECT * FROM (VALUES ('https://c.jp/a.xml', '<urlset><url><loc>https://c.jp/deep</loc></url></urlset>'), ('https://z.jp/a.xml', '<urlset><loc>https://z.jp/no</loc></urlset>')) v(url, body)"
-_LOCS = "list_transform(regexp_extract_all(body, {p}, 1), lambda x: replace(x, '&amp;', '&'))".format(p=D.quote(robots._LOC))
+@query("q_sitemap_urls", f"WITH {_SITEMAPS} SELECT site, pos, url FROM listed")
+def q_sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sitemaps(spark, sf_dir, _hosts(spark, sf_dir))[3]
 
 
 @query(
-    "q_sitemap_urls",
-    f"""WITH t AS ({_XML}), c AS ({_CHILDREN}),
- a AS (SELECT site, regexp_matches(body, '(?i)<(?:[A-Za-z0-9]+:)?sitemapindex\\b') AS idx, {_LOCS} AS locs FROM t),
- own AS (SELECT site, unnest(locs) AS url FROM a WHERE NOT idx), kids AS (SELECT site, unnest(locs[1:5]) AS child FROM a WHERE idx),
- deep AS (SELECT k.site, unnest(d.locs) AS url FROM kids k JOIN (SELECT url, {_LOCS} AS locs FROM c) d ON d.url = k.child)
-SELECT DISTINCT site, url FROM (SELECT * FROM own UNION ALL SELECT * FROM deep) WHERE NOT regexp_matches(url, '(?i)\\.xml(?:\\.gz)?$') AND url <> ''""",
+    "q_crawl_seeds",
+    f"""WITH {_SITEMAPS} SELECT site, node, (row_number() OVER (PARTITION BY site ORDER BY place_, node) - 1)::INT AS pos FROM (
+ SELECT site, node, MIN(place_) AS place_ FROM (SELECT site, 'https://' || site || '/' AS node, -1 AS place_ FROM hosts UNION ALL SELECT site, url, pos FROM listed WHERE {_HOST_SQL} = site) GROUP BY ALL)""",
 )
-def q_sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robots.sitemap_urls(spark.sql(_XML), spark.sql(_CHILDREN))
+def q_crawl_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = _hosts(spark, sf_dir)
+    return crawl.seeds(hosts, _sitemaps(spark, sf_dir, hosts)[3])
 
 
 # --- links and crawling ----------------------------------------------------------------------
 
-_HREF = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 _EDGES = f"""edge AS MATERIALIZED (
-  SELECT page_id, url_host, pos, {U.normalize(D.name("absolute")).sql} AS target FROM (
-    SELECT page_id, url_host, pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN url_scheme || ':' || href WHEN starts_with(href, '/') THEN {_HREF} || href END AS absolute
-    FROM (SELECT page_id, url, url_host, url_scheme, unnest(range(0, len(links))) AS pos, unnest(links) AS href FROM pages_facts))
-  WHERE absolute IS NOT NULL AND {U.host(D.name("absolute")).sql} = url_host)"""
+  SELECT page_id, url_host, pos, {_NORMAL.format('target')} AS target FROM (
+    SELECT page_id, url_host, unnest(range(0, len(whole)))::INT AS pos, unnest(whole) AS target FROM (
+      SELECT page_id, url_host, list_filter(list_transform(links, lambda href: {O.dots(O.ABSOLUTE)}), lambda x: regexp_matches(x, '(?i)^https?://')) AS whole FROM pages_facts))
+  WHERE lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) = url_host)"""
 
 
-@query("q_url_normalize", f"SELECT page_id, {U.normalize(D.name('url')).sql} AS normal, {U.host(D.name('url')).sql} AS host, {U.scheme(D.name('url')).sql} AS scheme FROM pages")
+@query("q_url_normalize", f"SELECT page_id, {_NORMAL.format('url')} AS normal, {_HOST_SQL} AS host, lower(regexp_extract(url, '^[^:]*')) AS scheme FROM pages")
 def q_url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = D.name("url")
     return table(spark, sf_dir, "pages").select("page_id", U.normalize(u).col.alias("normal"), U.host(u).col.alias("host"), U.scheme(u).col.alias("scheme"))
@@ -356,7 +244,7 @@ def q_url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 _URLS = "SELECT * FROM (VALUES ('https://a.jp/x/#top'), ('https://A.jp'), ('https://a.jp/'), ('https://a.jp/index.html'), ('https://a.jp/sub/index.php?q=1#f'), ('https://a.jp//'), ('https://a.jp/a;v=1'), ('https://a.jp/default.html'), ('https://a.jp/my-index.html'), ('http://u:p@b.jp:8080/c/'), ('https://a.jp/%E3%81%82+b'), ('https://a.jp/%zz')) v(url)"
 
 
-@query("q_url_cases", f"SELECT url, {U.normalize(D.name('url')).sql} AS normal, {U.host(D.name('url')).sql} AS host, {U.port(D.name('url')).sql} AS port, {U.percent_decode(D.name('url')).sql} AS decoded FROM ({_URLS})")
+@query("q_url_cases", f"SELECT url, {_NORMAL.format('url')} AS normal, {U.host(D.name('url')).sql} AS host, {U.port(D.name('url')).sql} AS port, {U.percent_decode(D.name('url')).sql} AS decoded FROM ({_URLS})")
 def q_url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = D.name("url")
     return spark.sql(_URLS).select("url", U.normalize(u).col.alias("normal"), U.host(u).col.alias("host"), U.port(u).col.alias("port"), U.percent_decode(u).col.alias("decoded"))
@@ -378,25 +266,31 @@ def q_internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.edges(pages(spark, sf_dir)).groupBy("url_host").agg(F.count("*").alias("links"), F.countDistinct("target").alias("targets"))
 
 
-@query(
-    "q_broken_candidates",
-    f"""WITH {PAGES}, {_EDGES}, fresh AS (
-  SELECT url_host, target, MIN((page_id, pos)) AS first_at FROM edge e WHERE NOT EXISTS (SELECT 1 FROM pages_facts p WHERE p.url_normal = e.target) GROUP BY ALL)
-SELECT * FROM (SELECT url_host, target, row_number() OVER (PARTITION BY url_host ORDER BY first_at, target)::INT AS pos FROM fresh) WHERE pos <= {SETTINGS.probes}""",
-)
-def q_broken_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = pages(spark, sf_dir)
+_CANDIDATES = f"""fresh AS (
+  SELECT url_host, target, MIN((page_id, pos)) AS first_at FROM edge e WHERE NOT EXISTS (SELECT 1 FROM pages_facts p WHERE {_NORMAL.format('p.url')} = e.target) GROUP BY ALL),
+ probe AS MATERIALIZED (SELECT * FROM (SELECT url_host, target, row_number() OVER (PARTITION BY url_host ORDER BY first_at, target)::INT AS pos FROM fresh) WHERE pos <= {SETTINGS.probes})"""
+_BROKEN = f"""{_CANDIDATES}, bad AS (SELECT * FROM (SELECT url_host AS site, pos, target AS url, CASE WHEN head = 405 THEN "get" ELSE head END AS status FROM (
+   SELECT *, {', '.join(f'{e} AS "{n}"' for n, e in M.probed(duck=True).items())} FROM probe)) WHERE status = 0 OR status >= 400),
+ broken AS MATERIALIZED (SELECT site, COUNT(*) AS n, array_to_string((list(url || '(' || status || ')' ORDER BY pos))[1:3], ', ') AS broken FROM bad GROUP BY site)"""
+
+
+def _candidates(facts: DataFrame) -> DataFrame:
     return crawl.candidates(crawl.edges(facts), facts.select(F.col("url_normal").alias("url")), "url_host", ["page_id", "pos"], SETTINGS.probes)
 
 
-@query(
-    "q_broken_links",
-    "WITH t AS (SELECT c_nationkey AS site, c_custkey AS pos, 'https://x/' || c_custkey AS url, CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 404 ELSE 200 END AS status FROM customer), b AS (SELECT * FROM t WHERE status = 0 OR status >= 400)"
-    " SELECT site, COUNT(*) AS n, array_to_string((list(url || '(' || status || ')' ORDER BY pos))[1:3], ', ') AS broken FROM b GROUP BY site",
-)
+def _broken(facts: DataFrame) -> DataFrame:
+    probes = _candidates(facts).selectExpr("url_host AS site", "pos", "target", *[f"{e} AS `{n}`" for n, e in M.probed(duck=False).items()])
+    return site.broken_links(site.probe_status(probes).withColumnRenamed("target", "url"))
+
+
+@query("q_broken_candidates", f"WITH {PAGES}, {_EDGES}, {_CANDIDATES} SELECT url_host, target, pos FROM probe")
+def q_broken_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(keep(pages(spark, sf_dir).select("page_id", "url_host", "url_normal", "links"), "facts"))
+
+
+@query("q_broken_links", f"WITH {PAGES}, {_EDGES}, {_BROKEN} SELECT * FROM broken")
 def q_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS site", "c_custkey AS pos", "concat('https://x/', c_custkey) AS url", "CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 404 ELSE 200 END AS status")
-    return site.broken_links(probes)
+    return _broken(keep(pages(spark, sf_dir).select("page_id", "url_host", "url_normal", "links"), "facts"))
 
 
 _GRAPH = "SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) AS dst, unnest([0, 1, 2]) AS pos FROM pages"
@@ -405,24 +299,163 @@ _GRAPH = "SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2, page_
 @query(
     "q_crawl_bfs",
     f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_GRAPH}) WHERE dst IN (SELECT page_id FROM pages)),
- walk(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 16)
+ walk(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 64)
 SELECT node, MIN(depth)::INT AS depth FROM walk GROUP BY node""",
 )
 def q_crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id")
     links = p.selectExpr("page_id AS src", "posexplode(array(2 * page_id + 1, 2 * page_id + 2, page_id div 3)) AS (pos, dst)")
-    links = _keep("links")(links.join(p.select(F.col("page_id").alias("dst")), "dst", "left_semi"))
+    links = keep(links.join(p.select(F.col("page_id").alias("dst")), "dst", "left_semi"), "links")
     seeds = spark.sql("SELECT CAST(0 AS BIGINT) AS node, 0 AS pos")
-    return crawl.breadth_first(links, seeds, 1_000_000, _keep("level")).select("node", "depth")
+    return crawl.breadth_first(links, seeds, 1_000_000, lambda df: keep(df, "level")).select("node", "depth")
 
 
-_ADDRESSES = "SELECT * FROM (VALUES ('http://127.0.0.1:8000/'), ('http://localhost/'), ('https://192.168.1.1:22/'), ('http://169.254.169.254/x'), ('https://10.0.0.1'), ('file:///etc/passwd'), ('ftp://example.com/'), ('example.com'), ('https://8.8.8.8/'), ('https://example.com:6379/'), ('https://172.20.1.1/'), ('https://172.32.1.1/'), ('http://224.0.0.1/'), ('http://0.0.0.0/'), ('https://a.jp:443/x')) v(raw)"
+_LITERALS = (
+    "http://127.0.0.1:8000/", "http://localhost/", "https://192.168.1.1:22/", "http://169.254.169.254/x", "https://10.0.0.1", "file:///etc/passwd", "ftp://example.com/", "example.com", "https://8.8.8.8/",
+    "https://example.com:6379/", "https://172.20.1.1/", "https://172.32.1.1/", "http://224.0.0.1/", "http://0.0.0.0/", "https://a.jp:443/x", "http://2130706433/", "http://127.1/", "http://127.0.0.1./",
+    "http://198.18.0.1/", "http://[::1]/", "http://[::ffff:10.0.0.1]/", "http://localhost./", "http://0x7f.0.0.1/", "http://0177.0.0.1/", "https://[2606:4700:4700::1111]/", "http://[2001:db8::1]/",
+    "http://[fe80::1]:80/", "http://[2002:a00:1::]/", "http://u:p@[2606:4700::1]:6379/", "http://a.b.0x1f/", "http://user@10.0.0.1/", "http://192.0.2.7/", "http://203.0.113.9/", "http://a.localhost/", "http://[::]/",
+)
+_ADDRESSES = "(" + "SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in _LITERALS) + ") v(raw)"
+_ADDRESSES += " UNION ALL SELECT 'http://' || (c_custkey * 37 % 256) || '.' || (c_custkey * 101 % 256) || '.' || (c_custkey % 256) || '.' || (c_nationkey + 1) || '/' FROM customer"
+_ADDRESSES += " UNION ALL SELECT 'http://' || o_orderkey * 2861 || CASE WHEN o_custkey % 3 = 0 THEN '.1/' ELSE '.example:' || o_custkey || '/' END FROM orders)"
+_SCHEMED = f"(SELECT raw, CASE WHEN regexp_matches(trim(raw), '^[A-Za-z][A-Za-z0-9+.-]*:') THEN trim(raw) ELSE 'https://' || trim(raw) END AS url FROM {_ADDRESSES})"
 
 
-@query("q_ssrf_literals", f"SELECT raw, {U.with_scheme(D.name('raw')).sql} AS url, {U.public_literal(U.with_scheme(D.name('raw'))).sql} AS accepted FROM ({_ADDRESSES})")
+@query("q_ssrf_literals", O.public(_SCHEMED)[1:-1])
 def q_ssrf_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for name in ("customer", "orders"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
     u = U.with_scheme(D.name("raw"))
-    return spark.sql(_ADDRESSES).select("raw", u.col.alias("url"), U.public_literal(u).col.alias("accepted"))
+    return spark.sql(_ADDRESSES[1:-1]).select("raw", u.col.alias("url")).select("raw", "url", U.public_literal(D.name("url")).alias("accepted"))
+
+
+@query(
+    "q_validate_urls",
+    f"""WITH h AS (SELECT DISTINCT {_HOST_SQL} AS site FROM pages), d AS (SELECT site, unnest(range(1 + length(site) % 3)) AS i FROM h),
+ ips AS (SELECT site, 'http://' || (length(site) * 7 + i * 83) % 256 || '.' || (ascii(site) * 3 + i) % 256 || '.1.1/' AS url, '' AS raw FROM d WHERE NOT starts_with(site, 'm.')),
+ ok AS (SELECT site, bool_and(accepted) AS public FROM (SELECT i.site, p.accepted FROM ips i JOIN {O.public('(SELECT DISTINCT raw, url FROM ips)')} p ON p.url = i.url) GROUP BY site)
+SELECT site AS raw, 'https://' || site AS url, COALESCE(public, false) AS accepted FROM h LEFT JOIN ok USING (site)""",
+)
+def q_validate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = _hosts(spark, sf_dir).select("site")
+    ips = hosts.filter("NOT startswith(site, 'm.')").selectExpr("site AS host", "explode(sequence(0, length(site) % 3)) AS i")
+    ips = ips.selectExpr("host", "concat((length(host) * 7 + i * 83) % 256, '.', (ascii(host) * 3 + i) % 256, '.1.1') AS ip")
+    return safety.validate(hosts.select(F.col("site").alias("raw")), ips)
+
+
+# --- whole audits: findings about pages and, after them, about their host; scores -----------------------
+
+#: Order of the findings about a host.
+_SITE_ORDER = ("crawl.robots.missing", "crawl.robots.disallow_all", "crawl.robots.no_sitemap", "crawl.sitemap.missing", "meta.title.duplicate", "meta.description.duplicate", "content.broken_link")
+_WHOLE = f"""WITH {PAGES}, {_EDGES.replace('FROM pages_facts', "FROM pages_facts WHERE error = ''")}, {_BROKEN.replace('FROM pages_facts p WHERE', "FROM pages_facts p WHERE p.error = '' AND")}, {_SITEMAPS},
+ ok AS MATERIALIZED (SELECT * FROM pages_facts WHERE error = ''),
+ audits AS MATERIALIZED (SELECT url_host, COUNT(*) FILTER (error = '') AS pages, COUNT(*) AS page_count FROM pages_facts GROUP BY url_host),
+ site_facts AS MATERIALIZED (SELECT r.site AS url_host, 'https://' || r.site AS base_url, r.body AS robots_txt, COALESCE(p.blocks_all, false) AS robots_blocks_all, COALESCE(p.sitemap, '') AS robots_sitemap,
+   g.site IS NOT NULL AS sitemap_found, COALESCE(b.broken, '') AS broken FROM r LEFT JOIN p USING (site) LEFT JOIN got g USING (site) LEFT JOIN broken b USING (site)
+   WHERE r.site IN (SELECT url_host FROM audits WHERE pages > 0)),
+ about AS ({O.findings('site_facts', 'url_host, base_url', O.SITE_RULES)} UNION ALL
+   {" UNION ALL ".join(f"SELECT site, first_url, 0, '{r}', 'meta', 'warning', {_EVIDENCE} FROM ({_dup_sql(v, 'ok')})" for v, r in _SHARED)}),
+ found AS MATERIALIZED (SELECT 0 AS part, url_host, page_id, url, rule_ord, rule, category, severity, evidence FROM ({O.findings('ok', 'url_host, page_id, url', O.PAGE_RULES)})
+   UNION ALL SELECT 1, url_host, NULL, base_url, list_position({list(_SITE_ORDER)}, rule) - 1, rule, category, severity, evidence FROM about)"""
+_TIES = ["part", "page_id", "rule_ord", "url", "evidence"]
+_CATS = f"""cats AS (SELECT * FROM (VALUES {O.CATEGORIES}) v(place, category, label)), points AS (SELECT url_host, category, SUM({O.WEIGHT}) AS p FROM found GROUP BY ALL),
+ scores AS (SELECT a.url_host, c.place, c.category, c.label, {O.SCORE.format('p.p', 'a.pages')} AS score FROM audits a CROSS JOIN cats c LEFT JOIN points p ON p.url_host = a.url_host AND p.category = c.category WHERE a.pages > 0)"""
+_OVERALL = f"""overall AS (SELECT a.url_host, {O.SCORE.format(f'SUM({O.WEIGHT})', 'any_value(a.pages)')} AS overall, COUNT(*) FILTER (severity = 'critical') AS critical,
+   COUNT(*) FILTER (severity = 'warning') AS warning, COUNT(*) FILTER (severity = 'info') AS info, COUNT(severity) AS total, any_value(a.pages) AS pages
+ FROM audits a LEFT JOIN found f ON f.url_host = a.url_host WHERE a.pages > 0 GROUP BY a.url_host)"""
+_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
+_TIES_SQL = "part, page_id NULLS FIRST, rule_ord, url, evidence"
+_ORDERED = f"ordered AS (SELECT *, row_number() OVER (PARTITION BY url_host ORDER BY {_RANK}, category, rule, {_TIES_SQL}) AS number FROM found)"
+_TOP = f"top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url_host ORDER BY {_RANK}, {_TIES_SQL}) AS number FROM found) WHERE number <= {SETTINGS.prompt_findings})"
+
+
+@dataclass(frozen=True)
+class Audits:
+    """facts: of all pages; findings: of pages and hosts; audits: pages (read without an error, what
+    scores divide by) and page_count of each host; sites: facts of hosts."""
+
+    facts: DataFrame
+    findings: DataFrame
+    audits: DataFrame
+    sites: DataFrame
+
+    @property
+    def scored(self) -> DataFrame:
+        """Audits with a page; one whose pages all failed has no score."""
+        return self.audits.filter("pages > 0")
+
+
+def audited(spark: SparkSession, sf_dir: str) -> Audits:
+    """An audit is a host of `pages`."""
+    facts = keep(pages(spark, sf_dir), "facts")  # read several times below
+    ok = facts.filter("error = ''")
+    counts = facts.groupBy("url_host").agg(F.count_if(F.col("error") == "").alias("pages"), F.count("*").alias("page_count"))
+    every = rules.findings(ok, _KEYS).select(F.lit(0).alias("part"), "*")
+    hosts = counts.filter("pages > 0").select(F.col("url_host").alias("site"), F.concat(F.lit("https://"), "url_host").alias("base_url"))
+    bodies, parsed, first, _ = _sitemaps(spark, sf_dir, hosts)
+    sites = keep(site.facts(hosts, bodies, parsed, first, _broken(ok)), "sites")
+    place = F.array_position(F.array(*[F.lit(r) for r in _SITE_ORDER]), F.col("rule")) - 1
+    columns = [F.lit(1).alias("part"), F.col("site").alias("url_host"), F.lit(None).cast("long").alias("page_id")]
+    about = rules.findings(sites, ["site", "base_url"], site.SITE_RULES).withColumnRenamed("base_url", "url").drop("rule_ord")
+    for value, rule in _SHARED:
+        about = about.unionByName(site.duplicate_findings(site.duplicates(ok, "url_host", value, "url", "page_id"), rule).drop("first_seq"))
+    every = every.unionByName(about.select(*columns, "url", place.cast("int").alias("rule_ord"), "rule", "category", "severity", "evidence"))
+    return Audits(facts, keep(every, "findings"), counts, sites)
+
+
+@query("q_rules_site", f"{_WHOLE} SELECT url_host AS site, rule, category, severity, evidence FROM about WHERE rule NOT LIKE '%.duplicate'")
+def q_rules_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.findings(audited(spark, sf_dir).sites, ["site"], site.SITE_RULES).drop("rule_ord")
+
+
+@query("q_site_summary", f"{_WHOLE} SELECT f.url_host AS site, robots_txt IS NOT NULL AS has_robots, robots_blocks_all, sitemap_found, COALESCE(b.n, 0)::BIGINT AS broken_count, f.broken FROM site_facts f LEFT JOIN broken b ON b.site = f.url_host")
+def q_site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(spark, sf_dir).sites.select("site", F.col("robots_txt").isNotNull().alias("has_robots"), "robots_blocks_all", "sitemap_found", "broken_count", "broken")
+
+
+@query("q_findings_all", f"{_WHOLE} SELECT url_host, page_id, url, rule_ord, rule, category, severity, evidence FROM found")
+def q_findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(spark, sf_dir).findings.drop("part")
+
+
+@query("q_score_category", f"{_WHOLE}, {_CATS} SELECT url_host, category, label, score FROM scores")
+def q_score_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = audited(spark, sf_dir)
+    return scoring.category_scores(a.findings, a.scored, ["url_host"])
+
+
+@query("q_score_overall", f"{_WHOLE}, {_OVERALL} SELECT * FROM overall")
+def q_score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = audited(spark, sf_dir)
+    return scoring.overall_scores(a.findings, a.scored, ["url_host"])
+
+
+@query("q_audit_status", f"{_WHOLE} SELECT url_host, page_count, pages, CASE WHEN pages = 0 THEN 'failed' ELSE 'done' END AS status FROM audits")
+def q_audit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(spark, sf_dir).audits.select("url_host", "page_count", "pages", F.when(F.col("pages") == 0, "failed").otherwise("done").alias("status"))
+
+
+@query("q_severity_counts", f"{_WHOLE} SELECT severity, CASE severity WHEN 'critical' THEN 'Critical' WHEN 'warning' THEN 'Warning' ELSE 'Info' END AS label, category, COUNT(*) AS n FROM found GROUP BY ALL")
+def q_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = audited(spark, sf_dir).findings.groupBy("severity", "category").agg(F.count("*").alias("n"))
+    return counts.withColumn("label", scoring.severity_label(F.col("severity")))
+
+
+@query("q_verdict_bands", f"{_WHOLE}, {_OVERALL} SELECT url_host, overall, {O.VERDICT.format('overall')} AS verdict, CASE WHEN overall >= 90 THEN 'good' WHEN overall >= 70 THEN 'mid' ELSE 'bad' END AS band FROM overall")
+def q_verdict_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = q_score_overall(spark, sf_dir)
+    return o.select("url_host", "overall", scoring.verdict(F.col("overall")).alias("verdict"), scoring.score_class(F.col("overall")).alias("band"))
+
+
+@query("q_findings_ordered", f"{_WHOLE}, {_ORDERED} SELECT url_host, number, page_id, rule, severity FROM ordered")
+def q_findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.ordered(audited(spark, sf_dir).findings, ["url_host"], _TIES).select("url_host", "number", "page_id", "rule", "severity")
+
+
+@query("q_top_findings", f"{_WHOLE}, {_TOP} SELECT url_host, number, page_id, rule, severity FROM top")
+def q_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.top(audited(spark, sf_dir).findings, ["url_host"], _TIES).select("url_host", "number", "page_id", "rule", "severity")
 
 
 # --- store -----------------------------------------------------------------------------------
@@ -495,10 +528,137 @@ def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one[0].unionByName(one[1]).unionByName(one[2])
 
 
-@query("q_retention_newest_n", f"SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT {SETTINGS.documents_kept}")
+_DOC_ID = "strftime(o_orderdate, '%Y%m%d-%H%M%S-') || CASE WHEN o_orderkey % 3 = 0 THEN 'XYZ' ELSE substring(md5(o_orderkey::VARCHAR), 1, 8) END"
+
+
+@query("q_retention_newest_n", f"SELECT id, o_custkey AS site_id, o_totalprice AS total FROM (SELECT *, {_DOC_ID} AS id FROM orders ORDER BY id DESC LIMIT {SETTINGS.documents_kept}) WHERE NOT ends_with(id, 'XYZ') ORDER BY id DESC LIMIT 20")
 def q_retention_newest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderdate AS created_at")
-    return rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(SETTINGS.documents_kept)
+    """Documents are written as JSON, of which the newest are kept, and the list of them is read back."""
+    path = new_path(spark, "documents")
+    rows = table(spark, sf_dir, "orders").select(_document_id().alias("id"), F.col("o_custkey").alias("site_id"), F.col("o_totalprice").alias("total"))
+    store.write_documents(rows, path)
+    return store.read_documents(spark, path, "id string, site_id bigint, total double")
+
+
+def _document_id():  # noqa: ANN202
+    tail = F.when(F.col("o_orderkey") % 3 == 0, "XYZ").otherwise(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 8))
+    return F.concat(F.date_format("o_orderdate", "yyyyMMdd-HHmmss-"), tail)
+
+
+@query(
+    "q_status_log",
+    "SELECT o_orderkey AS audit_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, CASE WHEN o_orderstatus = 'F' THEN (floor(o_totalprice) % 100)::INT END AS overall,"
+    " CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN substring(repeat('no answer ', 60), 1, 500) END AS error, CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 5 END AS critical FROM orders",
+)
+def q_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits are started, then finished or failed by appended rows; the newest row of each counts."""
+    path = new_path(spark, "audits")
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS site_id", "o_orderpriority AS owner", "o_orderdate AS created_at", "o_orderstatus", "o_totalprice")
+    later = rows.selectExpr("id AS audit_id", "o_orderstatus", "o_totalprice", "id", "created_at + INTERVAL 1 MINUTE AS at")
+    store.start(path, rows.select("id", "site_id", "owner", "created_at"))
+    store.finish(path, later.filter("o_orderstatus = 'F'").selectExpr("audit_id", "CAST(floor(o_totalprice) % 100 AS INT) AS overall", "1 AS page_count", "named_struct('critical', id % 5) AS counts", "at"))
+    store.fail(path, later.filter("o_orderstatus NOT IN ('F', 'O')").selectExpr("audit_id", "repeat('no answer ', 60) AS error", "at"))
+    log = spark.read.parquet(f"{path}/statuses")
+    counts = F.from_json("counts", "critical bigint")
+    return store.current_status(log).select("audit_id", "status", "overall", "error", counts["critical"].alias("critical"))
+
+
+_FOUND = "l_orderkey AS audit_id, l_linenumber AS seq, 'r' || l_suppkey AS rule, l_linestatus AS category, CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity, CAST(l_partkey AS STRING) AS evidence"
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audits = audit_log(spark, sf_dir).withColumnRenamed("audit_id", "id").select("id", "site_id")
+    return store.nested_audits(audits, table(spark, sf_dir, "lineitem").selectExpr(*_FOUND.split(", ")))
+
+
+@query(
+    "q_audit_nested",
+    f"""WITH f AS (SELECT {_FOUND} FROM lineitem), n AS (SELECT audit_id, COUNT(*) AS n, string_agg(severity || '/' || rule || '/' || evidence, ';' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, category, rule, seq, evidence) AS findings FROM f GROUP BY audit_id)
+SELECT o_orderkey AS id, COALESCE(n, 0)::INT AS n, COALESCE(findings, '') AS findings FROM orders LEFT JOIN n ON audit_id = o_orderkey""",
+)
+def q_audit_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.transform("findings", lambda f: F.concat_ws("/", f["severity"], f["rule"], f["evidence"]))
+    return _nested(spark, sf_dir).select("id", F.size("findings").alias("n"), F.array_join(told, ";").alias("findings"))
+
+
+@query("q_lite_mask", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN COALESCE(n, 0) ELSE 0 END::INT AS n FROM orders LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def q_lite_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.mask_lite(_nested(spark, sf_dir), F.col("site_id") % 4 != 0).select("id", F.size("findings").alias("n"))
+
+
+@query(
+    "q_audit_view",
+    "WITH a AS (SELECT user_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)"
+    " SELECT o_orderkey AS id, c_name AS site_name, 'https://' || c_custkey AS site_url, props AS advice, event_type AS advice_model FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN a ON user_id = o_orderkey AND r = 1",
+)
+def q_audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audits = audit_log(spark, sf_dir).selectExpr("audit_id AS id", "site_id")
+    sites = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name", "concat('https://', c_custkey) AS url")
+    advice = table(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id AS audit_id", "props AS body", "event_type AS model", "ts AS created_at")
+    return store.audit_view(audits, sites, advice).select("id", "site_name", "site_url", "advice", "advice_model")
+
+
+_ADMINS = ("7", "13")
+
+
+@query(
+    "q_usage_status",
+    f"""WITH o AS (SELECT DISTINCT user_id::VARCHAR AS owner FROM events), u AS (SELECT user_id::VARCHAR AS owner, COUNT(*) FILTER (event_type = 'view') AS a, COUNT(*) FILTER (event_type = 'click') AS b FROM events WHERE year(ts) = 2024 AND month(ts) = 1 GROUP BY 1),
+ s AS (SELECT (c_custkey % 50)::VARCHAR AS owner, COUNT(*) AS sites FROM customer GROUP BY 1)
+SELECT owner, CASE WHEN owner IN ('7', '13') THEN 'admin' ELSE 'free' END AS plan, COALESCE(a, 0) AS audits_used, CASE WHEN owner NOT IN ('7', '13') THEN {SETTINGS.free_audits} END AS audits_limit, COALESCE(b, 0) AS advice_used,
+ CASE WHEN owner NOT IN ('7', '13') THEN {SETTINGS.free_advice} END AS advice_limit, COALESCE(sites, 0) AS sites, {SETTINGS.sites} AS sites_limit FROM o LEFT JOIN u USING (owner) LEFT JOIN s USING (owner)""",
+)
+def q_usage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").selectExpr("CAST(user_id AS STRING) AS owner", "CASE event_type WHEN 'view' THEN 'audit' WHEN 'click' THEN 'advice' ELSE event_type END AS kind", "ts")
+    usage = store.usage_by_month(events, "owner", "kind", "ts").filter("month = DATE'2024-01-01'")
+    sites = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey % 50 AS STRING) AS owner")
+    return store.usage_status(events.select("owner").distinct(), usage, sites, _ADMINS)
+
+
+@query("q_visible_sites", "SELECT s_suppkey AS viewer, c_custkey AS id FROM supplier JOIN customer ON s_nationkey = c_nationkey OR s_nationkey = 7 WHERE s_suppkey % 5 = 2")
+def q_visible_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites that each of some viewers sees: own ones, or all for an admin (nation 7)."""
+    sites = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "CAST(c_nationkey AS STRING) AS owner")
+    own = table(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 2").selectExpr("s_suppkey AS viewer", "CAST(s_nationkey AS STRING) AS me")
+    seen = store.visible_to(sites, own, "me", ("7",))
+    return seen.select("viewer", "id")
+
+
+_PATHS = """SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN '/health' WHEN 1 THEN '/api/usage' WHEN 2 THEN '/api/sites' WHEN 3 THEN '/api/sites/' || h WHEN 4 THEN '/api/sites/' || h || '/audits' WHEN 5 THEN '/api/audits/' || h
+ WHEN 6 THEN '/api/audits/' || h || '/advice' WHEN 7 THEN '/api/audits/' || h || '/report.md' ELSE '/api/admin' END || CASE WHEN o_custkey % 7 = 0 THEN 'x' ELSE '' END AS path,
+ CASE o_custkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'DELETE' ELSE 'PUT' END AS method FROM (SELECT *, substring(md5(CAST(o_orderkey AS STRING)), 1, 16) AS h FROM orders)"""
+
+
+@query(
+    "q_routes",
+    f"""SELECT id, CASE WHEN path IN ('/health', '/api/usage') THEN method = 'GET' WHEN path = '/api/sites' THEN method = 'GET' OR method = 'POST' WHEN len(p) = 4 AND p[3] = 'sites' AND length(p[4]) = 16 AND p[4] NOT LIKE '%x%' THEN method = 'DELETE'
+ WHEN len(p) = 5 AND p[3] = 'sites' AND p[5] = 'audits' THEN method IN ('GET', 'POST') WHEN len(p) = 4 AND p[3] = 'audits' AND length(p[4]) = 16 THEN method = 'GET' WHEN len(p) = 5 AND p[5] = 'advice' THEN method = 'POST'
+ WHEN len(p) = 5 AND p[5] = 'report.md' THEN method = 'GET' ELSE false END AS allowed FROM (SELECT *, string_split(path, '/') AS p FROM ({_PATHS}))""",
+)
+def q_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_PATHS).select("id", store.route_allowed(F.col("path"), F.col("method")).alias("allowed"))
+
+
+@query(
+    "q_plans",
+    f"SELECT c_custkey AS id, CASE WHEN c_nationkey IN (7, 13) OR c_custkey % 2 = 1 THEN 'local' ELSE 'paid' END AS provider, greatest(1, least(c_custkey % 70, CASE WHEN c_nationkey IN (7, 13) THEN {SETTINGS.max_pages_admin} ELSE {SETTINGS.max_pages} END)) AS budget FROM customer",
+)
+def q_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owner = F.concat(F.lit(" @"), F.col("c_nationkey").cast("string"))
+    provider = store.provider(owner, _ADMINS, F.col("c_custkey") % 2 == 0)
+    budget = store.page_budget(F.col("c_custkey") % 70, store.is_admin(owner, _ADMINS))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), provider.alias("provider"), budget.alias("budget"))
+
+
+@query(
+    "q_key_file",
+    "SELECT trim(trim(trim(split_part(v, '=', 2)), chr(34)), chr(39)) AS value FROM (SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN '# ' || p_brand || '=none' WHEN p_partkey % 3 = 1 THEN p_brand ELSE '  ' || p_brand || ' = \"' || p_type || '\" ' END AS v FROM part)"
+    " WHERE NOT starts_with(trim(v), '#') AND contains(v, '=') AND trim(split_part(v, '=', 1)) = 'Brand#13' ORDER BY pos LIMIT 1",
+)
+def q_key_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = "CASE WHEN p_partkey % 3 = 0 THEN concat('# ', p_brand, '=none') WHEN p_partkey % 3 = 1 THEN p_brand ELSE concat('  ', p_brand, ' = \"', p_type, '\" ') END"
+    return store.key_value(table(spark, sf_dir, "part").selectExpr("p_partkey AS pos", f"{line} AS value"), "Brand#13")
 
 
 _TIMES = "SELECT * FROM (VALUES ('2024-01-31T15:00:00+00:00'), ('2024-02-29T23:59:59'), ('soon'), (NULL), ('2023-12-31T14:59:00Z')) v(raw)"
@@ -526,10 +686,9 @@ def q_width_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_WIDTHS).select("raw", T.visible_length(r).col.alias("width"), T.has_japanese(r).col.alias("ja"))
 
 
-@query("q_audit_id_format", f"SELECT o_orderkey AS id, regexp_matches(raw, '{store.AUDIT_ID}') AS valid FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d-%H%M%S-') || CASE WHEN o_orderkey % 3 = 0 THEN 'XYZ' ELSE substring(md5(o_orderkey::VARCHAR), 1, 8) END AS raw FROM orders)")
+@query("q_audit_id_format", f"SELECT o_orderkey AS id, length(raw) = 24 AND substring(raw, 9, 1) = '-' AND substring(raw, 16, 1) = '-' AND NOT contains(raw, 'X') AS valid FROM (SELECT o_orderkey, {_DOC_ID} AS raw FROM orders)")
 def q_audit_id_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.date_format("o_orderdate", "yyyyMMdd-HHmmss-"), F.when(F.col("o_orderkey") % 3 == 0, "XYZ").otherwise(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 8)))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), raw.rlike(store.AUDIT_ID).alias("valid"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _document_id().rlike(store.AUDIT_ID).alias("valid"))
 
 
 # --- reports ---------------------------------------------------------------------------------
@@ -537,16 +696,17 @@ def q_audit_id_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = (
     "SELECT url_host, string_agg(line, chr(10) ORDER BY section, place) AS body FROM lines GROUP BY url_host"
 )
-_HEAD = f"WITH {FINDINGS}, {AUDITS}, {OVERALL_SQL}, {CATEGORY_SQL}, {ORDERED_SQL}, {TOP_SQL}, seqs AS (SELECT url_host, url, title_width, text_length, row_number() OVER (PARTITION BY url_host ORDER BY page_id) AS seq, CASE WHEN status >= 400 THEN 'error' ELSE '' END AS error FROM pages_facts)"
+_HEAD = f"{_WHOLE}, {_OVERALL}, {_CATS}, {_ORDERED}, {_TOP}, advised AS ({M.advice_sql()}), seqs AS (SELECT url_host, url, title_width, text_length, row_number() OVER (PARTITION BY url_host ORDER BY page_id) AS seq, error FROM pages_facts WHERE url_host IN (SELECT url_host FROM overall))"
 _NL = "chr(10)"
 _MARKDOWN = f"""{_HEAD}, lines AS (
- SELECT url_host, 0 AS section, 0 AS place, '# Audit of ' || url_host || {_NL} || {_NL} || '- Pages: ' || pages || {_NL} || '- Score: **' || overall || '** / 100' || {_NL} || {_NL} || {scoring.VERDICT_SQL.format('overall')} || {_NL} AS line FROM overall
+ SELECT url_host, 0 AS section, 0 AS place, '# Audit of ' || url_host || {_NL} || {_NL} || '- Pages: ' || pages || {_NL} || '- Score: **' || overall || '** / 100' || {_NL} || {_NL} || {O.VERDICT.format('overall')} || {_NL} AS line FROM overall
  UNION ALL SELECT url_host, 1, 0, '## Findings by severity' || {_NL} || {_NL} || '- Critical: ' || critical || {_NL} || '- Warning: ' || warning || {_NL} || '- Info: ' || info || {_NL} FROM overall
  UNION ALL SELECT url_host, 2, 0, '## Scores by category' || {_NL} FROM overall
  UNION ALL SELECT url_host, 3, place, '- ' || label || ': ' || score FROM scores
  UNION ALL SELECT url_host, 4, number, CASE WHEN number = 1 THEN {_NL} || '## Findings' || {_NL} || {_NL} ELSE '' END || '### ' || number || '. [' || severity || '] ' || rule || {_NL} || {_NL} || '- Page: ' || url || {_NL} || '- Measured: ' || evidence || {_NL} FROM ordered
  UNION ALL SELECT url_host, 5, seq, '### ' || url || {_NL} || {_NL} || '- Title: ' || title_width || ' cells' || {_NL} || '- Text: ' || text_length || ' characters' || {_NL} FROM seqs WHERE error = ''
- UNION ALL SELECT url_host, 6, 0, '---' || {_NL} || {_NL} || 'Every finding is a measured value; nothing is guessed.' FROM overall) {_LINES}"""
+ UNION ALL SELECT o.url_host, 6, 0, '## Advice' || {_NL} || {_NL} || body || {_NL} FROM overall o JOIN advised USING (url_host)
+ UNION ALL SELECT url_host, 7, 0, '---' || {_NL} || {_NL} || 'Every finding is a measured value; nothing is guessed.' FROM overall) {_LINES}"""
 _PROMPT = f"""{_HEAD}, lines AS (
  SELECT url_host, 0 AS section, 0 AS place, 'Site: ' || url_host || {_NL} || 'Score: ' || overall || ' / pages: ' || pages || {_NL} || {_NL} || 'Scores:' AS line FROM overall
  UNION ALL SELECT url_host, 1, place, '- ' || label || ': ' || score FROM scores
@@ -556,45 +716,30 @@ _PROMPT = f"""{_HEAD}, lines AS (
  UNION ALL SELECT url_host, 5, seq, '- ' || url || ' (' || title_width || ' cells, ' || text_length || ' characters)' FROM seqs WHERE seq <= {SETTINGS.prompt_pages} AND error = '') {_LINES}"""
 
 
-_WHOLE_HEAD = _HEAD.replace(FINDINGS, WHOLE).replace(TOP_SQL, WHOLE_TOP_SQL)
-
-
-def _report_parts(spark: SparkSession, sf_dir: str, findings: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]] = found) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    facts = pages(spark, sf_dir)
-    f, a = findings(spark, sf_dir)
-    o = scoring.overall_scores(f, a, ["url_host"])
+def _report_parts(a: Audits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(audits, categories, pages) as reports read them; each is read several times."""
+    o = scoring.overall_scores(a.findings, a.scored, ["url_host"])
     heads = o.select("url_host", F.col("url_host").alias("name"), "overall", F.col("pages").alias("page_count"), "critical", "warning", "info", scoring.verdict(F.col("overall")).alias("verdict"))
     places = F.element_at(F.create_map(*[F.lit(x) for i, (c, _) in enumerate(CATEGORIES) for x in (c, i)]), F.col("category"))
-    cats = scoring.category_scores(f, a, ["url_host"]).withColumn("place", places)
+    cats = scoring.category_scores(a.findings, a.scored, ["url_host"]).withColumn("place", places)
     seq = F.row_number().over(Window.partitionBy("url_host").orderBy("page_id"))
-    own = facts.select("url_host", "url", "title_width", "text_length", seq.alias("seq"), F.when(F.col("status") >= 400, "error").otherwise("").alias("error"))
-    return heads, cats, f, own
+    own = a.facts.select("url_host", "url", "title_width", "text_length", seq.alias("seq"), "error").join(a.scored.select("url_host"), "url_host", "left_semi")
+    return keep(heads, "heads"), cats, own
 
 
 @query("q_report_markdown", _MARKDOWN)
 def q_report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads, cats, f, own = _report_parts(spark, sf_dir)
-    return report.markdown(heads, cats, report.ordered(f, ["url_host"], ["page_id", "rule_ord"]), own, "url_host")
+    a = audited(spark, sf_dir)
+    heads, cats, own = _report_parts(a)
+    advice = store.latest_advice(M.advice(spark, heads)).select(F.col("audit_id").alias("url_host"), "body")
+    return report.markdown(heads, cats, report.ordered(a.findings, ["url_host"], _TIES), own, "url_host", advice)
 
 
 @query("q_prompt_text", _PROMPT)
 def q_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads, cats, f, own = _report_parts(spark, sf_dir)
-    return report.prompt(heads, cats, report.top(f, ["url_host"], ["page_id", "rule_ord"]), own, "url_host")
-
-
-@query("q_audit_report_markdown", _MARKDOWN.replace(_HEAD, _WHOLE_HEAD))
-def q_audit_report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads, cats, f, own = _report_parts(spark, sf_dir, audited)
-    return report.markdown(heads, cats, report.ordered(f, ["url_host"], _WHOLE_TIES), own, "url_host")
-
-
-@query("q_audit_prompt_text", _PROMPT.replace(_HEAD, _WHOLE_HEAD))
-def q_audit_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads, cats, f, own = _report_parts(spark, sf_dir, audited)
-    return report.prompt(heads, cats, report.top(f, ["url_host"], _WHOLE_TIES), own, "url_host")
+    a = audited(spark, sf_dir)
+    heads, cats, own = _report_parts(a)
+    return report.prompt(heads, cats, report.top(a.findings, ["url_host"], _TIES), own, "url_host")
 
 
 # --- differences and documents ---------------------------------------------------------------
@@ -603,11 +748,9 @@ def q_audit_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_impl_diff", f"WITH {PAGES} SELECT 'rows' AS side, COUNT(*) AS n FROM pages_facts")
 def q_impl_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parser against the expressions: rows that differ (expected none) and the count of rows."""
-    from shirabe.sources.html import extract
-
     names = ["page_id", "title", "description", "viewport", "charset", "canonical", "h1_count", "text_length", "images_total", "images_without_alt", "link_count", "internal_link_count", "blocking_scripts", "jsonld_invalid"]
     base = mutated(spark, sf_dir)
-    parsed, told = extract(base).select(*names), X.facts(base).select(*[F.col(n).cast(t) for n, t in extract(base).select(*names).dtypes])
+    parsed, told = html.extract(base).select(*names), X.facts(base).select(*[F.col(n).cast(t) for n, t in html.extract(base).select(*names).dtypes])
     diff = compare.both_ways(parsed, told).groupBy("side").agg(F.count("*").alias("n"))
     return diff.unionByName(told.agg(F.count("*").alias("n")).select(F.lit("rows").alias("side"), "n"))
 
@@ -620,4 +763,4 @@ def q_doc_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overall score, counts and verdict of each host."""
-    return q_audit_score_overall(spark, sf_dir).withColumn("verdict", scoring.verdict(F.col("overall")))
+    return q_score_overall(spark, sf_dir).withColumn("verdict", scoring.verdict(F.col("overall")))

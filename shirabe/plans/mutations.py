@@ -65,18 +65,82 @@ def _changed() -> D.Dual:
     return D.swap(x, HEAD, D.case((D.expr("page_id % 7 = 3"), own), other=D.lit(HEAD)))
 
 
+#: Values that a fetch has, told by page_id: Spark's expression and DuckDB's, where they differ.
+_CHAIN = ", ".join(["url", *(f"url || '?hop={i}'" for i in range(1, 6))])
 TRANSPORT = {
-    "status": "CASE WHEN page_id % 20 = 0 THEN 404 ELSE 200 END",
-    "elapsed": "CAST(page_id % 40 AS DOUBLE) / 10",
-    "hops": "CAST(page_id % 4 AS INT)",
+    "status": ("CASE WHEN page_id % 20 = 0 THEN 404 ELSE 200 END",) * 2,
+    "elapsed": ("CAST(page_id % 40 AS DOUBLE) / 10",) * 2,
+    "chain": (f"slice(array({_CHAIN}), 1, CAST(page_id % 6 AS INT))", f"[{_CHAIN}][1:page_id % 6]"),
+    "error": ("CASE WHEN page_id % 25 = 24 OR contains(url, '.org/') THEN 'timeout' ELSE '' END",) * 2,
 }
 
 
 def mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url, html, status, elapsed, hops."""
+    """page_id, url, html, status, elapsed, chain (of redirects) and error (of the fetch)."""
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return df.select("page_id", "url", _changed().col.alias("html")).selectExpr("*", *[f"{e} AS {n}" for n, e in TRANSPORT.items()])
+    return df.select("page_id", "url", _changed().col.alias("html")).selectExpr("*", *[f"{e} AS {n}" for n, (e, _) in TRANSPORT.items()])
 
 
 def mutated_sql() -> str:
-    return "(SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in TRANSPORT.items()) + f" FROM (SELECT page_id, url, {_changed().sql} AS html FROM pages))"
+    return "(SELECT *, " + ", ".join(f"{e} AS {n}" for n, (_, e) in TRANSPORT.items()) + f" FROM (SELECT page_id, url, {_changed().sql} AS html FROM pages))"
+
+
+# --- what hosts answer -----------------------------------------------------------------------------
+
+_N = " || chr(10) || "
+#: Bodies of robots.txt, sitemap files and statuses of probes, chosen by a digest of the host or link.
+_ROBOTS = (
+    "NULL",
+    f"'User-agent: *'{_N}'Disallow: /'{_N}'Sitemap: https://' || site || '/s.xml # x'",
+    f"'User-agent: bot'{_N}'Disallow: /'{_N}'sitemap:https://' || site || '/1.xml'{_N}'SITEMAP: https://' || site || '/2.xml'",
+    "'user-agent: *' || chr(13) || chr(10) || 'User-Agent: bot' || chr(13) || chr(10) || 'disallow: /'",
+    "''",
+    f"'# none'{_N}'User-agent: bot'{_N}'User-agent : *'{_N}' Disallow : / # all'{_N}'no colon'",
+)
+_HOME = (
+    "NULL",
+    "'<urlset xmlns=\"x\"><url><loc> https://' || site || '/1 </loc></url><url><loc><![CDATA[https://' || site || '/2?a=1&b=2]]></loc></url></urlset>'",
+    "'<sm:urlset><sm:url><sm:loc>https://' || site || '/x&amp;y</sm:loc></sm:url><sm:url><sm:loc>https://' || site || '/old.xml</sm:loc></sm:url></sm:urlset>'",
+    "'<sitemapindex><sitemap><loc>https://' || site || '/a.xml</loc></sitemap><sitemap><loc>https://' || site || '/b.xml.gz</loc></sitemap></sitemapindex>'",
+    "'<urlset><url><loc>https://' || site || '/1'",
+)
+_NAMED = ("NULL", "'<urlset><url><loc>https://' || site || '/named/index.html</loc></url></urlset>'", "'not xml'")
+_CHILD = ("'<urlset><url><loc>https://' || site || '/deep</loc></url><url><loc>https://elsewhere.example/</loc></url></urlset>'", "''")
+
+
+def _digit(x: str, n: int, duck: bool, start: int = 1) -> str:
+    part = f"substring(md5({x}), {start}, 6)"
+    return f"CAST('0x' || {part} AS INT) % {n}" if duck else f"CAST(conv({part}, 16, 10) AS INT) % {n}"
+
+
+def _chosen(bodies: tuple[str, ...], start: int, duck: bool) -> str:
+    return f"CASE {_digit('site', len(bodies), duck, start)} " + " ".join(f"WHEN {i} THEN {b}" for i, b in enumerate(bodies)) + " END"
+
+
+def robots_bodies(duck: bool) -> str:
+    """An expression over site."""
+    return _chosen(_ROBOTS, 1, duck)
+
+
+def sitemap_files(duck: bool) -> tuple[tuple[str, str], ...]:
+    """(address, body) over site: the usual file, those that robots.txt may name, and an index's child."""
+    home, named, child = (_chosen(b, at, duck) for b, at in ((_HOME, 7), (_NAMED, 13), (_CHILD, 19)))
+    at = lambda name: f"'https://' || site || '/{name}'"
+    return (at("sitemap.xml"), home), (at("s.xml"), named), (at("1.xml"), named), (at("a.xml"), child)
+
+
+def probed(duck: bool) -> dict[str, str]:
+    """head and get (0: no answer) over target."""
+    digit = _digit("target", 6, duck)
+    return {"head": f"CASE {digit} WHEN 0 THEN 404 WHEN 1 THEN 405 WHEN 2 THEN 0 ELSE 200 END", "get": f"CASE {_digit('target', 2, duck, 7)} WHEN 0 THEN 200 ELSE 500 END"}
+
+
+def advice(spark: SparkSession, audits: DataFrame) -> DataFrame:
+    """Two pieces of advice for audits (url_host) whose name has an even number of letters."""
+    rows = audits.filter("length(url_host) % 2 = 0").selectExpr("url_host AS audit_id", "explode(array(1, 2)) AS n")
+    return rows.selectExpr("audit_id", "concat(audit_id, n) AS id", "timestamp('2024-01-01 00:00:00') + make_interval(0, 0, 0, n % 2) AS created_at", "concat('Advice ', n, ' for ', audit_id) AS body")
+
+
+def advice_sql() -> str:
+    """url_host and body of the newest of these."""
+    return "SELECT url_host, 'Advice 1 for ' || url_host AS body FROM overall WHERE length(url_host) % 2 = 0"

@@ -2,8 +2,8 @@
 
 One pass of built-in functions over html gives one row of facts for each page. It reads the common
 spelling of tags (attributes in double quotes, name before content); `sources.html` parses any.
-Facts are told as stages of named expressions, each stage using the names before it, so that the
-same definitions make the Spark plan and the oracle's SQL."""
+Facts are told as stages of named expressions, each stage using the names before it. The SQL of the
+stages is what DuckDB runs against the parser's facts, on pages whose spelling both read."""
 
 from __future__ import annotations
 
@@ -104,6 +104,9 @@ FACTS: Stage = {
     "canonical_conflict": Dual((F.col("canonical") != "") & (F.col("canonical_normal") != F.col("url_normal")), "(canonical <> '' AND canonical_normal <> url_normal)"),
     "h1_count": Dual(F.size(F.filter("levels", lambda v: v == "1")), "len(list_filter(levels, lambda v: v = '1'))::INT"),
     "h1_first": Dual(_strip(Dual(F.coalesce(F.get("h1_inner", 0), F.lit("")), "")).col, _strip(Dual(F.lit(""), "COALESCE(h1_inner[1], '')")).sql),
+    "h1_texts": Dual(
+        F.filter(F.transform("h1_inner", lambda h: _strip(Dual(h, "h")).col), lambda t: t != ""), f"list_filter(list_transform(h1_inner, lambda h: {_strip(Dual(F.lit(''), 'h')).sql}), lambda t: t <> '')"
+    ),
     "heading_jumps": Dual(F.array_join(F.slice("jumps", 1, 3), ", "), "COALESCE(array_to_string(jumps[1:3], ', '), '')"),
     "jsonld_types": Dual(
         F.expr("array_sort(array_distinct(filter(flatten(filter(transform(jsonld, a -> transform(a, o -> o.`@type`)), a -> a IS NOT NULL)), t -> t IS NOT NULL)))"),

@@ -32,17 +32,17 @@ def decode(body: bytes, content_type: str) -> str:
 
 
 def landed_pages(fetches: DataFrame) -> DataFrame:
-    """audit_id, seq, url, html, status, elapsed and hops of the HTML pages without an error."""
+    """audit_id, seq, url, html, status, elapsed and chain of the HTML pages without an error."""
     rows = fetches.filter((F.coalesce("error", F.lit("")) == "") & F.lower(F.coalesce("content_type", F.lit(""))).contains("html"))
-    rows = rows.select("audit_id", "seq", F.coalesce("final_url", "url").alias("url"), "status", "elapsed", F.size(F.coalesce("redirect_chain", F.array().cast("array<string>"))).alias("hops"), "content_type", "body")
-    names = ["audit_id", "seq", "url", "status", "elapsed", "hops", "html"]
+    rows = rows.select("audit_id", "seq", F.coalesce("final_url", "url").alias("url"), "status", "elapsed", F.coalesce("redirect_chain", F.array().cast("array<string>")).alias("chain"), "content_type", "body")
+    names = ["audit_id", "seq", "url", "status", "elapsed", "chain", "html"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             html = [decode(b or b"", t or "") for t, b in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(html, pa.string())], names)
 
-    return rows.mapInArrow(run, "audit_id string, seq int, url string, status int, elapsed double, hops int, html string")
+    return rows.mapInArrow(run, "audit_id string, seq int, url string, status int, elapsed double, chain array<string>, html string")
 
 
 def failed_audits(fetches: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def rule_facts(parsed: DataFrame) -> DataFrame:
-    """What `extract` gives, with the columns that rules read (status, elapsed and hops are the
+    """What `extract` gives, with the columns that rules read (status, elapsed and chain are the
     fetch's)."""
     from pyspark.sql import functions as F
 
@@ -225,6 +225,7 @@ def rule_facts(parsed: DataFrame) -> DataFrame:
             "canonical_conflict": (F.col("canonical") != "") & (normal[0] != normal[1]),
             "has_ja": T.has_japanese(D.name("text_sample")).col,
             "mojibake": T.mojibake(D.name("text_sample")).col,
+            "url_normal": U.normalize(D.name("url")).col,
             "url_scheme": U.scheme(D.name("url")).col,
             "url_host": U.host(D.name("url")).col,
         }
