@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shirabe.functions import dual as D
 from shirabe.functions import urls as U
+from shirabe.storage import numbered
 
 
 def edges(facts: DataFrame, key: str = "page_id") -> DataFrame:
@@ -37,26 +40,23 @@ def candidates(links: DataFrame, known: DataFrame, site: str, order: list[str],
     return first.select(site, "target", rank.alias("pos")).filter(F.col("pos") <= most)
 
 
-def breadth_first(links: DataFrame, seeds: DataFrame, most: int, store) -> DataFrame:  # noqa: ANN001
-    """node, depth and rank in the order in which a queue would emit them, at most `most` nodes.
-
-    links: src, dst, pos. One round a level: the frontier's links, in order of their source's rank
-    and their place, that were not seen. The loop runs over levels, never over rows; `store` writes
-    a level's table and cuts its lineage."""
-    seen = store(seeds.select("node", F.lit(0).alias("depth"), F.row_number().over(Window.orderBy("pos")).alias("rank")).filter(F.col("rank") <= most))
-    depth = 0
-    while True:
-        total = seen.count()
-        if total >= most:
-            return seen
-        frontier = seen.filter(F.col("depth") == depth)
-        found = links.join(frontier, links["src"] == frontier["node"]).groupBy("dst").agg(F.min(F.struct("rank", "pos")).alias("at"))
-        found = found.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
-        # No more than the budget of pages is ever ranked.
-        found = found.orderBy("at", "dst").limit(most - total)
-        depth += 1
-        level = found.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), (F.row_number().over(Window.orderBy("at", "dst")) + total).alias("rank"))
-        level = store(level)
-        if not level.limit(1).count():
-            return seen
-        seen = store(seen.unionByName(level))
+def breadth_first(links: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """node, depth and rank (from 1) in the order in which a queue would emit them, at most `most` nodes.
+
+    links: src, dst, pos; seeds: node, pos. One round a level: the frontier's links, in order of their
+    source's rank and their place, to nodes that no level has. The loop runs over levels, never over rows;
+    each level is written once and numbered by partitions."""
+    levels: list[DataFrame] = []
+    found = seeds.select("node", F.col("pos").alias("at"))
+    total = 0
+    while total < most:
+        level = numbered(found, [F.col("at"), F.col("node")], "crawl-level", "rank").filter(F.col("rank") < most - total)
+        level = level.select("node", F.lit(len(levels)).alias("depth"), (F.col("rank") + total + 1).alias("rank"))
+        if not (n := level.count()):
+            break
+        levels.append(level)
+        total += n
+        seen = reduce(DataFrame.unionByName, levels).select(F.col("node").alias("dst"))
+        found = links.join(level, links["src"] == level["node"]).groupBy("dst").agg(F.min(F.struct("rank", "pos")).alias("at"))
+        found = found.join(seen, "dst", "left_anti").select(F.col("dst").alias("node"), "at")
+    return reduce(DataFrame.unionByName, levels) if levels else seeds.select("node", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank")).limit(0)

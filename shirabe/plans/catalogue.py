@@ -303,11 +303,27 @@ _GRAPH = "SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2, page_
 SELECT node, MIN(depth)::INT AS depth FROM walk GROUP BY node""",
 )
 def q_crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawled(spark, sf_dir, 1 << 40).select("node", "depth")
+
+
+def _crawled(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id")
     links = p.selectExpr("page_id AS src", "posexplode(array(2 * page_id + 1, 2 * page_id + 2, page_id div 3)) AS (pos, dst)")
     links = keep(links.join(p.select(F.col("page_id").alias("dst")), "dst", "left_semi"), "links")
-    seeds = spark.sql("SELECT CAST(0 AS BIGINT) AS node, 0 AS pos")
-    return crawl.breadth_first(links, seeds, 1_000_000, lambda df: keep(df, "level")).select("node", "depth")
+    return crawl.breadth_first(links, spark.sql("SELECT CAST(0 AS BIGINT) AS node, 0 AS pos"), most)
+
+
+@query(
+    "q_crawl_budget",
+    f"""WITH RECURSIVE e AS (SELECT * FROM ({_GRAPH}) WHERE dst IN (SELECT page_id FROM pages)),
+ walk(node, depth, path) AS (SELECT 0::BIGINT, 0, []::INT[] UNION ALL SELECT e.dst, w.depth + 1, list_append(w.path, e.pos) FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 7),
+ best AS (SELECT node, MIN((depth, path)) AS b FROM walk GROUP BY node)
+SELECT node, b[1]::INT AS depth, rank FROM (SELECT *, row_number() OVER (ORDER BY b) AS rank FROM best) WHERE rank <= 60""",
+)
+def q_crawl_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pages that a queue emits. A queue's order is that of depth and then of the places of links on
+    the way, which the SQL tells by all ways of up to 7 links."""
+    return _crawled(spark, sf_dir, 60)
 
 
 _LITERALS = (

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str, number: str = "number") -> DataFrame:
+    """df, written in order, with each row's number from 0: one range shuffle, and the counts of its
+    partitions (a row each) before them. No task holds more than its partition."""
+    at = unused(("at_",), df.columns)["at_"]
+    rows = store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), name)
+    parts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright(at, 33).alias("p")).count().collect())
+    before, starts = 0, []
+    for p, n in parts:
+        starts.append((p, before))
+        before += n
+    # As many rows as partitions of the shuffle, whatever the input.
+    first = F.broadcast(df.sparkSession.createDataFrame(starts or [(0, 0)], "p_ bigint, first_ bigint"))
+    rows = rows.join(first, F.shiftright(at, 33) == F.col("p_")).withColumn(number, F.col("first_") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    return rows.drop("p_", "first_", at)
+
+
 def unused(names: Iterable[str], columns: Sequence[str]) -> dict[str, str]:
     """For each name one that no column bears (regardless of case): itself, or with marks behind it."""
     taken, out = {c.lower() for c in columns}, {}
