@@ -14,12 +14,12 @@
    go on while they find links for a share MERGING of the open classes, so a bucket of copies never
    emits its pairs.
 5. The rest: classes of one bucket that are still in different groups. An element that no class of
-   another group has can't be in an intersection that matters, so a class has an exact upper bound for
-   its intersection with any other group's; a pair is made, once, in the first bucket that both share,
-   if sizes and these bounds allow the similarity and the signatures are not MARGIN below it (4
-   standard deviations). Buckets of many classes are dealt out in blocks.
-6. Every link is confirmed on the full sets, before which the same estimate spares sets that are far
-   from it. Grouping joins components by repeated hooking of the smaller label and pointer jumping
+   another group has can't be in an intersection that matters; the others are counted in CELLS parts by
+   a digest. The lesser counts of two classes, added up, bound their intersection from above, exactly.
+   A pair is made, once, in the first bucket that both share, if sizes and this bound allow the
+   similarity. Buckets of many classes are dealt out in blocks.
+6. Every link is confirmed on the full sets. Before that, pairs with a pivot whose signatures are more
+   than MARGIN (4 standard deviations) below the similarity are left out. Grouping joins components by repeated hooking of the smaller label and pointer jumping
    (union-find in rounds), on tables in the shared folder.
 
 Hot classes meet in partial aggregates; hot buckets are read by joins, which adaptive execution
@@ -53,6 +53,8 @@ MERGING = 0.02
 MARGIN = 0.1
 #: Classes of a bucket that meet in one block of the last comparison.
 BLOCK = 1000
+#: Parts in which a class's elements are counted for that comparison.
+CELLS = 64
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,7 +174,14 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, f"doc {id_type}, items binary")
 
 
-def _verified(pairs: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures are not MARGIN below the wanted similarity."""
+    like = likeness(F.col("x"), F.col("y")) >= percent / 100 - MARGIN
+    both = pairs.join(bands.select(F.col("rep").alias("a"), F.col("bands").alias("x")), "a").join(bands.select(F.col("rep").alias("b"), F.col("bands").alias("y")), "b")
+    return both.filter(like).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     id_type = pairs.schema["a"].dataType.simpleString()
 
@@ -189,11 +198,8 @@ def _verified(pairs: DataFrame, bands: DataFrame, sets: DataFrame, percent: int)
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    like = likeness(F.col("x"), F.col("y")) >= percent / 100 - MARGIN
-    near = pairs.join(bands.select(F.col("rep").alias("a"), F.col("bands").alias("x")), "a").join(bands.select(F.col("rep").alias("b"), F.col("bands").alias("y")), "b")
-    near = near.filter(like).select("a", "b")
     left, right = sets.select(F.col("doc").alias("a"), F.col("items").alias("p")), sets.select(F.col("doc").alias("b"), F.col("items").alias("q"))
-    return near.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,8 +256,11 @@ def _across(open_: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -
     nodes = store(open_.select("rep", "n", "label").distinct(), "neardup-nodes")
     elements = store(_elements(nodes.join(sets, nodes["rep"] == sets["doc"])), "neardup-elements")
     outside = elements.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("element")
-    most = elements.join(outside, "element").groupBy("rep").agg(F.countDistinct("element").alias("most"))
-    # At most `most` elements in common with any class of another group: intersection and union follow.
+    # Only these can be in common with a class of another group: `most` of them in all, and `cells` by a
+    # digest of the element, from which upper bounds of the intersection and lower ones of the union follow.
+    cell = F.pmod("element", F.lit(CELLS))
+    cells = F.array(*[F.count_if(cell == i).cast("int") for i in range(CELLS)])
+    most = elements.join(outside, "element").groupBy("rep").agg(F.count("*").alias("most"), cells.alias("cells"))
     nodes = nodes.join(most, "rep").filter(F.lit(100) * F.col("most") >= F.lit(percent) * F.col("n"))
     nodes = store(nodes.join(bands, "rep"), "neardup-bounds")
     rows = open_.select("bucket", "rep").join(nodes, "rep")
@@ -260,13 +269,13 @@ def _across(open_: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -
     # Blocks: one side is dealt out, the other goes to all of its bucket's blocks.
     x = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks").alias("x")
     y = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").alias("y")
-    both = F.least("x.most", "y.most")
     number = F.shiftrightunsigned("x.bucket", 8 * ROWS)
     first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(True)) - 1
+    common = F.aggregate(F.zip_with("x.cells", "y.cells", lambda c, d: F.least(c, d)), F.lit(0), lambda n, c: n + c)
+    reach = lambda c: F.lit(100 + percent) * c >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
     meets = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.label") < F.col("y.label"))
     meets = meets & (F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n"))
-    meets = meets & (F.lit(100 + percent) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n")))
-    meets = meets & (first == number) & (likeness(F.col("x.bands"), F.col("y.bands")) >= percent / 100 - MARGIN)
+    meets = meets & reach(F.least("x.most", "y.most")) & (first == number) & reach(common)
     return x.join(y, meets).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
@@ -305,7 +314,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
         pivots = pivots.select("bucket", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.label").alias("lb"))
         pairs = open_.join(pivots, "bucket").filter("label != lb").filter(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
         pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        links = store(_verified(pairs, bands, sets, percent), "neardup-links")
+        links = store(_verified(_likely(pairs, bands, percent), sets, percent), "neardup-links")
         labels = _merged(labels, links)
         open_ = _apart(buckets, labels)
         turn += 1
@@ -313,7 +322,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
         if links.count() < MERGING * left or not left:
             break
     if labels is not None and left:
-        labels = _merged(labels, store(_verified(_across(open_.drop("degree"), bands, sets, percent), bands, sets, percent), "neardup-links"))
+        labels = _merged(labels, store(_verified(_across(open_.drop("degree"), bands, sets, percent), sets, percent), "neardup-links"))
     if labels is None:
         labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("nd_n", "nd_a", "nd_b", F.coalesce("label", "rep").alias("component"))

@@ -1,15 +1,13 @@
-"""Tables written to the folder that driver and executors share."""
+"""Tables in the shared folder, and which of them are small enough to broadcast."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterable, Sequence
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.storage import new_path, numbered, shared_dir, store, table, unused
+
+__all__ = ["new_path", "numbered", "shared_dir", "small", "store", "table", "unused"]
 
 #: Narrow rows (two numbers) up to which a counted table is broadcast; about 4 MB.
 MOST_BROADCAST = 200_000
@@ -18,43 +16,3 @@ MOST_BROADCAST = 200_000
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast where its count of narrow rows is low; else joins shuffle it."""
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"shirabe-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it back: cuts the lineage, survives lost executors, and lets
-    later reads pick columns. Adaptive execution joins small partitions into fewer files."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unused(names: Iterable[str], columns: Sequence[str]) -> dict[str, str]:
-    """For each name one that no column bears (regardless of case): itself, or with marks behind it."""
-    taken, out = {c.lower() for c in columns}, {}
-    for name in names:
-        found = name
-        while found.lower() in taken:
-            found += "_"
-        taken.add(found.lower())
-        out[name] = found
-    return out
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
