@@ -183,6 +183,67 @@ FROM e GROUP BY conv_id
 """
 
 
+#: Kinds of op2: name, role (0 identifier, 1 secret, 2 endpoint), strong, pattern, group that counts, its least
+#: length, what a match must contain. RE2 knows no lookaround: a longest run is what the leftmost match is.
+_OP2_KINDS = (
+    ("assign", 1, True, """((?i:password|passwd|secret|token|api_?key))["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ()),
+    ("access", 0, True, "AKIA[A-Z0-9]+", 0, 16, ()),
+    ("hex", 1, True, "[0-9a-f]+", 0, 32, ()),
+    ("key_id", 0, False, "\\b(?:ASIA|AROA|AIDA|ANPA)[A-Z0-9]{12,}", 0, 0, ()),
+    ("user", 0, False, """\\b(?i:user(?:_?name)?|login|client_?id|account)["']?\\x20*[:=]\\x20*["']?[A-Za-z0-9@._-]{3,}""", 0, 0, ()),
+    ("random", 1, False, "[A-Za-z0-9+/_-]+", 0, 20, ("[0-9]", "[A-Z]", "[a-z]")),
+    ("endpoint", 2, False, """\\bhttps?://[^\\x00-\\x20"'<>]+|\\b[a-z0-9.-]+\\.(?:amazonaws\\.com|azure\\.com|googleapis\\.com)\\b""", 0, 0, ()),
+)
+
+
+def _op2_kind(n: int, name: str, role: int, strong: bool, pattern: str, group: int, least: int, must: tuple[str, ...]) -> str:
+    p = pattern.replace("'", "''")
+    ok = " AND ".join([f"length(part) >= {least}", *(f"regexp_matches(found, '{m}')" for m in must)])
+    return f"""SELECT doc_id, {n} AS kind, '{name}' AS name, {role} AS role, {strong} AS strong, stop - length(found) AS start, stop, {ok} AS ok
+ FROM (SELECT *, SUM(length(gap) + length(found)) OVER (PARTITION BY doc_id ORDER BY i) AS stop
+  FROM (SELECT doc_id, unnest(range(len(f))) AS i, unnest(f) AS found, unnest(g[1:len(f)]) AS gap, unnest(q) AS part
+   FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS f, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', {group}) AS q FROM d)))"""
+
+
+_OP2_NEAR = "EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.role = {0} AND abs(o.start - m.start) <= 200)"
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
+m AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(_op2_kind(n, *k) for n, k in enumerate(_OP2_KINDS))}) WHERE ok),
+s AS (SELECT * FROM m WHERE strong OR CASE role WHEN 0 THEN {_OP2_NEAR.format(1)} WHEN 1 THEN {_OP2_NEAR.format(0)} ELSE {_OP2_NEAR.format(0)} AND {_OP2_NEAR.format(1)} END),
+g AS (SELECT doc_id, COUNT(*) FILTER (kind = 0) AS n_assign, COUNT(*) FILTER (kind = 1) AS n_access, COUNT(*) FILTER (kind = 2) AS n_hex,
+  string_agg(name || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind) AS spans,
+  COALESCE(string_agg(name || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind) FILTER (strong), '') AS base FROM s GROUP BY doc_id)
+SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+def _op5_sql(window: int = 50, levels: int = 10) -> str:
+    """Windows by their words; longer ones by the digests of their halves, as far as 50 * 2 ** 9 words."""
+    steps, found = [], []
+    for n in range(levels):
+        size = window << n
+        if n == 0:
+            steps.append("h0 AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM firsts WHERE len(w) >= 50))")
+        else:
+            steps.append(f"h{n} AS MATERIALIZED (SELECT a.doc_id, a.i, md5(a.h || b.h) AS h FROM r{n - 1} a JOIN r{n - 1} b ON b.doc_id = a.doc_id AND b.i = a.i + {size // 2})")
+        steps.append(f"r{n} AS MATERIALIZED (SELECT doc_id, i, h, low FROM h{n} JOIN (SELECT h, MIN(doc_id) AS low FROM h{n} GROUP BY h HAVING COUNT(DISTINCT doc_id) > 1) USING (h))")
+        found.append(f"SELECT DISTINCT doc_id, {size} AS size FROM r{n}")
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+c AS MATERIALIZED (SELECT doc_id, w, MIN(doc_id) OVER (PARTITION BY md5(array_to_string(w, ' '))) AS first FROM d),
+firsts AS (SELECT * FROM c WHERE first = doc_id),
+{", ".join(steps)},
+cover AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + {window})) AS j FROM r0 WHERE doc_id > low) GROUP BY doc_id),
+long AS (SELECT doc_id, MAX(size) AS longest FROM ({" UNION ALL ".join(found)}) GROUP BY doc_id),
+o AS (SELECT c.doc_id, w, c.first <> c.doc_id AS copy, COALESCE(js, []) AS js, COALESCE(longest, 0) AS longest FROM c LEFT JOIN cover USING (doc_id) LEFT JOIN long USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN copy AND len(w) >= {window} THEN len(w) ELSE len(js) END::BIGINT AS n_removed,
+  sha256(CASE WHEN copy AND len(w) >= {window} THEN '' ELSE COALESCE(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(js, j)), lambda j: w[j]), ' '), '') END) AS kept_sha256,
+  CASE WHEN copy AND len(w) >= {window} THEN {window} * (2 ** floor(log2(len(w) / {window}.0)))::BIGINT ELSE longest END::BIGINT AS longest
+FROM o
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -200,7 +261,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secrets": OP2_SQL,
         "op3_chat": OP3_SQL,
+        "op5_repeats": _op5_sql(),
         "op6_quality": OP6_SQL,
         "op10_mixing": OP10_SQL,
     }

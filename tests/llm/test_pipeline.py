@@ -1,16 +1,16 @@
-"""The pipeline's stages against what the operators decide, on the smallest tables."""
+"""Each stage of the pipeline, on what the stage before has kept, against plain definitions."""
 
-import re
+from collections import Counter, defaultdict
 
+import brute
 import corpus_pipeline
 from shirabe.llm.storage import new_path
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
 
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, seen = docs.columns, {}
+    columns, before = docs.columns, docs.collect()
+    seen = {}
     for name, stage in corpus_pipeline.STAGES:
         path = new_path(spark, f"test-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
@@ -19,13 +19,36 @@ def test_stages(spark, sf_dir):
             assert docs.columns == columns
         seen[name] = docs.collect()
     quality, near, secrets, mixed, packed = (seen[n] for n, _ in corpus_pipeline.STAGES)
-    assert all(len(WORD.findall(r["text"])) >= 20 for r in quality)
-    assert {r["doc_id"] for r in near} <= {r["doc_id"] for r in quality}
-    assert [r["doc_id"] for r in secrets].sort() == [r["doc_id"] for r in near].sort()
-    assert not any(re.search("AKIA[A-Z0-9]{12}", r["text"]) for r in secrets)
-    assert all(r["n_chars"] == len(r["text"]) for r in secrets)
-    assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in secrets} and mixed
-    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed}
+    row = lambda r: tuple(r[c] for c in columns)
+    assert Counter(map(row, quality)) == Counter(row(r) for r in before if brute.good(r["text"]))
+    label = brute.components({r["doc_id"]: r["text"] for r in quality}, 5)
+    assert Counter(map(row, near)) == Counter(row(r) for r in quality if label[r["doc_id"]] == r["doc_id"])
+    assert len(near) < len(quality) < len(before)
+
+    def clean(r):
+        text = brute.redacted(r["text"])
+        return tuple(text if c == "text" else len(text) if c == "n_chars" else r[c] for c in columns)
+
+    assert Counter(map(row, secrets)) == Counter(map(clean, near))
+    sizes, taken, most = Counter(), Counter(), Counter()
+    for r in secrets:
+        n = len(brute.WORD.findall(r["text"]))
+        sizes[r["source"]] += n
+        most[r["source"]] = max(most[r["source"]], n)
+    times = Counter(map(row, mixed))
+    assert set(times) <= set(map(row, secrets)) and max(times.values()) <= 3
+    for r in mixed:
+        taken[r["source"]] += len(brute.WORD.findall(r["text"]))
+    for source, target in brute.targets(sizes).items():
+        assert abs(taken[source] - target) <= most[source] / 2 + 1
+    brute.check_packing(packed, [(r["doc_id"], r["text"]) for r in mixed])
+
+
+def test_op1_query(spark, sf_dir):
+    from shirabe.llm.queries import op1_packing
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    brute.check_packing(op1_packing(spark, sf_dir).collect(), [(r["doc_id"], r["text"]) for r in docs])
 
 
 def test_queries_are_registered():
@@ -33,3 +56,16 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_near_duplicates_of_the_tables(spark, sf_dir):
+    from shirabe.llm.queries import op4_near_duplicates
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    label = brute.components({r["doc_id"]: r["text"] for r in docs}, 4)
+    got = {r["doc_id"]: r["component_id"] for r in op4_near_duplicates(spark, sf_dir).collect()}
+    assert got == label
+    groups = defaultdict(int)
+    for k in label.values():
+        groups[k] += 1
+    assert max(groups.values()) > 1
