@@ -26,6 +26,13 @@ def top(findings: DataFrame, keys: list[str], ties: list[str], n: int = SETTINGS
     return findings.withColumn("number", F.row_number().over(order)).filter(F.col("number") <= n)
 
 
+def escape_html(x: Column) -> Column:
+    """Text as it may stand in HTML, also in attributes."""
+    for text, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        x = F.replace(x, F.lit(text), F.lit(by))
+    return x
+
+
 def _line(df: DataFrame, key: str, section: int, place: Column, text: Column) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.lit(section).alias("section"), place.cast("long").alias("place"), text.alias("line"))
 

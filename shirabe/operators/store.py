@@ -114,6 +114,18 @@ def _status(path: str, rows: DataFrame) -> None:
     append(rows, path, "statuses")
 
 
+def get(rows: DataFrame, id_: object) -> DataFrame:
+    """The row with an id, or none."""
+    return rows.filter(F.col("id") == F.lit(id_))
+
+
+def listed(rows: DataFrame, owner: str, most: int | None = None) -> DataFrame:
+    """An owner's rows with their place, the newest first; of equal times the greater id."""
+    order = Window.partitionBy("owner").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    out = visible(rows, owner).withColumn("place", F.row_number().over(order))
+    return out if most is None else out.filter(F.col("place") <= most)
+
+
 def visible(rows: DataFrame, owner: str, admins: Sequence[str] = ()) -> DataFrame:
     """Rows of an owner alone; an admin sees all."""
     me = F.lit(owner)

@@ -109,6 +109,16 @@ def q_og_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "og_missing")
 
 
+@query("q_og_tags", f"WITH {PAGES} SELECT page_id, COALESCE(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '(?i)<meta\\s+property=\"(og:[a-z:_]+)\"', 1), lambda k: lower(k)))), ', '), '') AS og_keys FROM pages_facts")
+def q_og_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", F.array_join(F.array_sort(F.map_keys("og")), ", ").alias("og_keys"))
+
+
+@query("q_h1_texts", f"WITH {PAGES} SELECT page_id, len(list_filter(levels, lambda v: v = '1'))::INT AS h1_count, array_to_string(h1_texts, ' / ') AS h1_texts FROM pages_facts")
+def q_h1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", "h1_count", F.array_join("h1_texts", " / ").alias("h1_texts"))
+
+
 @query("q_page_summary", f"WITH {PAGES} SELECT page_id, url, status, floor(elapsed * 1000 + 0.5) / 1000 AS elapsed, title, title_width, description_width, h1_count, text_length, jsonld_list, images_total, images_without_alt, link_count, internal_link_count, viewport, lang, charset FROM pages_facts")
 def q_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = "page_id url status title title_width description_width h1_count text_length jsonld_list images_total images_without_alt link_count internal_link_count viewport lang charset"
@@ -504,6 +514,13 @@ def q_sites_with_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.join(last, "site_id", "left").select("site_id", "name", F.col("audit_id").alias("latest_audit"), F.col("total").alias("latest_total"))
 
 
+@query("q_site_list", "SELECT c_custkey AS id, c_name AS name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey DESC) AS place FROM customer WHERE c_nationkey = 7")
+def q_site_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of one owner, the newest first (the balance stands for the time)."""
+    sites = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS name", "CAST(c_nationkey AS STRING) AS owner", "c_acctbal AS created_at")
+    return store.listed(sites, "7").select("id", "name", F.col("place").cast("long").alias("place"))
+
+
 @query("q_audit_history", f"SELECT site_id, audit_id, number FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY created_at DESC, audit_id DESC) AS number FROM {_AUDIT_LOG}) WHERE number <= 5")
 def q_audit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.newest(audit_log(spark, sf_dir), ["site_id"], [F.col("created_at").desc(), F.col("audit_id").desc()], 5).select("site_id", "audit_id", F.col("rank").alias("number"))

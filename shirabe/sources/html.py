@@ -23,6 +23,27 @@ def norm(text: str) -> str:
     return _SPACE.sub(" ", text).strip(" ")
 
 
+class _Tag(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: dict[str, str] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.found is None:
+            self.found = {}
+            for name, value in attrs:
+                self.found.setdefault(name, value or "")
+
+
+def attributes(tag: str) -> dict[str, str]:
+    """Attributes of a start tag, quoted or not, names in lower case; one without a value has ''. Of equal
+    names the first counts."""
+    parser = _Tag()
+    parser.feed(tag)
+    parser.close()
+    return parser.found or {}
+
+
 class _Page(HTMLParser):
     """Collects what the facts need, in document order."""
 

@@ -209,3 +209,17 @@ def test_landing_stream(spark, tmp_path):
 
 def test_resolve():
     assert U.resolve("https://a.jp/x/y", "../z") == "https://a.jp/z" and U.resolve("https://a.jp", "http://[") == ""
+
+
+def test_attributes():
+    assert html.attributes("<IMG src=a.png alt='x > y' Data-N=\"1 &amp; 2\" async alt=second>") == {"src": "a.png", "alt": "x > y", "data-n": "1 & 2", "async": ""}
+    assert html.attributes("no tag") == {}
+
+
+def test_escaped_html(spark):
+    from pyspark.sql import functions as F
+
+    from shirabe.operators import report
+
+    df = spark.createDataFrame([("<a href='x'>\"&amp;\"</a>",)], "t string")
+    assert df.select(report.escape_html(F.col("t")).alias("t")).first()["t"] == "&lt;a href=&#39;x&#39;&gt;&quot;&amp;amp;&quot;&lt;/a&gt;"
