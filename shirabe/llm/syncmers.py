@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shirabe.llm.storage import store
+from shirabe.llm.storage import numbered, store
 
 K = 4
 KEPT = 64
@@ -37,18 +37,19 @@ HEX = 8
 
 
 def anchors(text: Column, k: int = K) -> Column:
-    """32-bit hashes of the closed syncmers of a text in order of their positions, null where a
-    k-mer is none. The smallest symbol stands at an edge if no inner one is smaller than both."""
+    """The closed syncmers of a text in order, each as its 32-bit hash << 31 | place, null where a k-mer is
+    none. The smallest symbol stands at an edge if no inner one is smaller than both."""
     hashes = F.transform(F.split(text, SYMBOL, -1), lambda s: F.xxhash64(s))
+    packed = lambda h: F.shiftleft(F.shiftrightunsigned(h, 32), 31)
 
     def chosen(h: Column) -> Column:
         def pick(x: Column, i: Column) -> Column:
             inner = [F.get(h, i + n) for n in range(1, k - 1)]
             last = F.get(h, i + (k - 1))
             low = F.least(*inner) if len(inner) > 1 else inner[0]
-            return F.when(F.least(x, last) <= low, F.shiftrightunsigned(F.xxhash64(x, *inner, last), 32))
+            return F.when(F.least(x, last) <= low, packed(F.xxhash64(x, *inner, last)).bitwiseOR(i.cast("long")))
 
-        whole = F.array(F.shiftrightunsigned(F.xxhash64(h), 32))
+        whole = F.array(packed(F.xxhash64(h)))
         return F.when(F.size(h) < k, whole).otherwise(F.transform(F.slice(h, 1, F.size(h) - (k - 1)), pick))
 
     return _with(hashes, chosen)
@@ -60,19 +61,35 @@ def _with(value: Column, use) -> Column:  # noqa: ANN001
 
 
 def fingerprint(text: Column, k: int = K, kept: int = KEPT) -> Column:
-    """The smallest distinct anchor hashes in order, each as hash << 31 | place. Null and '' give none."""
+    """The smallest distinct anchor hashes in order, each as hash << 31 | place. Null and '' give none.
 
-    def pick(found: Column) -> Column:
-        low = F.slice(F.sort_array(F.array_compact(F.array_distinct(found))), 1, kept)
-        return F.transform(low, lambda h: F.shiftleft(h, 31).bitwiseOR(F.array_position(found, h) - 1))
+    Of a long text, only the hashes below a bound are put in order, which is chosen so that 4 * kept are
+    expected; where fewer than `kept` distinct ones lie below it, all are."""
 
-    return F.when(text != "", _with(anchors(text, k), pick)).otherwise(F.array().cast("array<bigint>"))
+    def distinct(values: Column) -> Column:
+        """In order; of equal hashes the first place."""
+        same = lambda s, v, i: F.shiftrightunsigned(v, 31) == F.shiftrightunsigned(F.get(s, i - 1), 31)
+        return _with(F.sort_array(values), lambda s: F.filter(s, lambda v, i: (i == 0) | ~same(s, v, i)))
+
+    def pick(p: Column) -> Column:
+        found, bound = p["found"], p["bound"]
+        every = distinct(F.array_compact(found))
+        enough = lambda low: F.when(F.size(low) >= kept, low).otherwise(every)
+        return F.slice(F.when(bound.isNull(), every).otherwise(_with(distinct(F.filter(found, lambda v: v < bound)), enough)), 1, kept)
+
+    def bounded(found: Column) -> Column:
+        n = F.size(found)
+        bound = F.when(n > 8 * kept, (F.lit(float(1 << 63)) * (8 * kept) / n).cast("long"))
+        return _with(F.struct(found.alias("found"), bound.alias("bound")), pick)
+
+    return F.when(text != "", _with(anchors(text, k), bounded)).otherwise(F.array().cast("array<bigint>"))
 
 
 def written(print_: Column) -> Column:
     """A fingerprint as text: HEX digits of each hash and as many of its place."""
-    digits = lambda x: F.lpad(F.lower(F.hex(x)), HEX, "0")
-    return F.array_join(F.transform(print_, lambda v: F.concat(digits(F.shiftrightunsigned(v, 31)), digits(v.bitwiseAND(F.lit((1 << 31) - 1))))), "")
+    # A place has at most 31 bits, so a hash and a place in 64 bits are 2 * HEX digits.
+    both = lambda v: F.shiftleft(F.shiftrightunsigned(v, 31), 32).bitwiseOR(v.bitwiseAND(F.lit((1 << 31) - 1)))
+    return F.lower(F.array_join(F.transform(print_, lambda v: F.lpad(F.hex(both(v)), 2 * HEX, "0")), ""))
 
 
 def _hashes(print_: Column) -> Column:
@@ -95,58 +112,52 @@ def aligned(a: Column, b: Column, slack: int = SLACK) -> Column:
     """Of the anchors that two fingerprints share, the share on their best diagonal; 0 if none is shared."""
     place = lambda v: v.bitwiseAND(F.lit((1 << 31) - 1))
 
-    def best(pair: Column) -> Column:
-        common = F.array_intersect(_hashes(pair["x"]), _hashes(pair["y"]))
-        of = lambda side: F.filter(pair[side], lambda v: F.array_contains(common, F.shiftrightunsigned(v, 31)))
+    def on_best(d: Column) -> Column:
+        most = F.array_max(F.transform(F.array_distinct(d), lambda x: F.size(F.filter(d, lambda y: F.abs(y - x) <= slack))))
+        return F.when(F.size(d) > 0, most / F.size(d)).otherwise(F.lit(0.0))
+
+    def shifts(p: Column) -> Column:
+        of = lambda side: F.filter(p[side], lambda v: F.array_contains(p["common"], F.shiftrightunsigned(v, 31)))
         # Both are in order of their hashes, so the i-th of one is the i-th of the other.
-        shifts = F.zip_with(of("x"), of("y"), lambda v, w: place(v) - place(w))
-        on = lambda d: F.transform(F.array_distinct(d), lambda x: F.size(F.filter(d, lambda y: F.abs(y - x) <= slack)))
-        return F.when(F.size(common) > 0, F.array_max(on(shifts)) / F.size(common)).otherwise(F.lit(0.0))
+        return _with(F.zip_with(of("x"), of("y"), lambda v, w: place(v) - place(w)), on_best)
 
-    return _with(F.struct(a.alias("x"), b.alias("y")), best)
+    # Where nothing is shared there is nothing to match; equal fingerprints lie on one diagonal.
+    common = F.array_intersect(_hashes(a), _hashes(b))
+    return F.when((a == b) & (F.size(a) > 0), F.lit(1.0)).otherwise(_with(F.struct(a.alias("x"), b.alias("y"), common.alias("common")), shifts))
 
 
-def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """sy_id, sy_tag, sy_chars, sy_n (rows that repeat them), sy_print (fingerprint) and id, tag and
+def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(places, prints). places: sy_id, sy_tag, sy_chars, sy_n (rows that repeat them) and id, tag and
     length of the document before in order of ids (of the last, for the first): narrow rows, in order by
-    one range shuffle and numbered by partition counts."""
+    one range shuffle and numbered by partition counts. prints: pr_id, pr_tag and sy_print (fingerprint)."""
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(doc_id).alias("sy_id"), F.xxhash64(body).alias("sy_tag"), F.char_length(body).cast("long").alias("sy_chars"), fingerprint(body).alias("sy_print"))
     own = store(own, "syncmer-ids")
     order = [F.col("sy_id").asc_nulls_last(), F.col("sy_tag")]
     rows = own.groupBy("sy_id", "sy_tag").agg(F.max("sy_chars").alias("sy_chars"), F.count("*").alias("sy_n"))
-    rows = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("sy_at", F.monotonically_increasing_id()), "syncmer-order")
-    parts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright("sy_at", 33).alias("p")).count().collect())  # a row a partition
-    total = sum(n for _, n in parts)
-    first, before = {}, 0
-    for p, n in parts:
-        first[p] = before
-        before += n
-    spark = docs.sparkSession
-    firsts = spark.createDataFrame(list(first.items()) or [(0, 0)], "p bigint, first bigint")
-    # As many rows as partitions of the shuffle, whatever the input.
-    rows = rows.join(F.broadcast(firsts), F.shiftright("sy_at", 33) == F.col("p")).withColumn("pos", F.col("first") + F.col("sy_at").bitwiseAND((1 << 33) - 1))
-    rows = rows.select("pos", "sy_id", "sy_tag", "sy_chars", "sy_n")
+    rows = numbered(rows, order, "syncmer-order", "pos")
+    total = rows.count()
     prior = rows.select((F.col("pos") + 1).alias("pos"), F.col("sy_id").alias("sy_prev"), F.col("sy_tag").alias("sy_prev_tag"), F.col("sy_chars").alias("sy_prev_chars"))
     prior = prior.withColumn("pos", F.when(F.col("pos") == total, F.lit(0)).otherwise(F.col("pos")).cast("long"))
-    placed = store(rows.join(prior, "pos").drop("pos"), "syncmer-places").alias("p")
+    placed = store(rows.join(prior, "pos").drop("pos"), "syncmer-places")
+    prints = own.select(F.col("sy_id").alias("pr_id"), F.col("sy_tag").alias("pr_tag"), "sy_print")
     # Rows that repeat id and text have one fingerprint.
-    prints = own.select("sy_id", "sy_tag", "sy_print")
-    prints = prints.alias("f") if not placed.filter("sy_n > 1").limit(1).count() else prints.groupBy("sy_id", "sy_tag").agg(F.min("sy_print").alias("sy_print")).alias("f")
-    same = F.col("p.sy_id").eqNullSafe(F.col("f.sy_id")) & (F.col("p.sy_tag") == F.col("f.sy_tag"))
-    return placed.join(prints, same).select("p.*", "f.sy_print")
+    if placed.filter("sy_n > 1").limit(1).count():
+        prints = prints.groupBy("pr_id", "pr_tag").agg(F.min("sy_print").alias("sy_print"))
+    return placed, prints
 
 
 def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = 4) -> DataFrame:
     """doc_id, n_chars, edited, fingerprint and next_print: each document's text with the last
     floor(n / share) code points replaced by as many of the next one's first (or all), its own and the
     next one's fingerprint."""
-    places = store(neighbours(docs, doc_id, text), "syncmer-prints")
+    places, prints = neighbours(docs, doc_id, text)
     own = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("tag", F.xxhash64("body"))
     same = own["doc"].eqNullSafe(places["sy_id"]) & (own["tag"] == places["sy_tag"])
-    names = ["doc", "tag", "body", *(c for c in places.columns if c not in ("sy_id", "sy_tag"))]
+    names = ["doc", "tag", "body", "sy_chars", "sy_n", "sy_prev", "sy_prev_tag", "sy_prev_chars", "sy_print"]
     repeats = places.filter("sy_n > 1").limit(1).count() > 0
-    own = own.join(places, same).select(*names)
+    own = own.join(places, same)
+    own = own.join(prints, own["doc"].eqNullSafe(prints["pr_id"]) & (own["tag"] == prints["pr_tag"])).select(*names)
     if repeats:  # each once here; its copies come back below
         once = own.filter("sy_n > 1").groupBy("doc", "tag").agg(*[F.min(c).alias(c) for c in names[2:]])
         own = own.filter("sy_n = 1").unionByName(once)
