@@ -22,15 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from shirabe.llm import words as W
 
 SPACE_PREFIX, SPACE_DROPPED = "prefix", "dropped"
 #: Bytes of text encoded at a time (a longer text is a block of its own).
-BLOCK = 8 << 20
-#: Bytes kept in each worker, keys, ids and their overhead, twice (a young and an old generation).
-KEPT_BYTES = 96 << 20
-_OVERHEAD = 230
+BLOCK = 4 << 20
+#: Bytes of keys and ids kept in each worker, twice (a young and an old generation).
+KEPT_BYTES = 16 << 20
+#: Cuts handed to the library at a time; it holds an object of some hundred bytes for each.
+AT_ONCE = 10_000
 
 MARKS = ".,;:!?"
 
@@ -83,48 +85,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
         self.folds = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.size = 0
+        self.young = self.old = self._none()
 
-    def _key(self, cut: bytes) -> bytes:
-        """What stands for a cut: where white space is dropped, one space before it says nothing, and
+    @staticmethod
+    def _none() -> tuple[pa.Array, pa.Array]:
+        return pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def _keys(self, cuts_: pa.Array) -> pa.Array:
+        """What stands for each cut: where white space is dropped, one space before it says nothing, and
         where letters are folded, nor do capitals."""
-        if self.kind == SPACE_DROPPED and cut[:1] in (b" ", b"\n"):
-            cut = cut[1:]
-        return cut.lower() if self.folds and cut.isascii() else cut
-
-    def _ids(self, distinct: list[bytes]) -> list[bytes]:
-        keys = [self._key(c) for c in distinct]
-        young, old = self.young, self.old
-        fresh: dict[bytes, None] = {}
-        for key in keys:
-            if key not in young:
-                if (held := old.get(key)) is not None:
-                    young[key] = held
-                    self.size += len(key) + len(held) + _OVERHEAD
-                else:
-                    fresh[key] = None
-        if fresh:
-            got = self.tokenizer.encode_batch_fast([k.decode() for k in fresh], add_special_tokens=False)
-            for key, e in zip(fresh, got, strict=True):
-                young[key] = ids = array("I", e.ids).tobytes()
-                self.size += len(key) + len(ids) + _OVERHEAD
-        out = [young[k] for k in keys]
-        if self.size > KEPT_BYTES:
-            self.old, self.young, self.size = young, {}, 0
-        return out
+        keys = cuts_.cast(pa.large_string())
+        if self.kind == SPACE_DROPPED:
+            led = pc.or_(pc.starts_with(keys, " "), pc.starts_with(keys, "\n"))
+            keys = pc.if_else(led, pc.utf8_slice_codeunits(keys, 1), keys)
+        return pc.if_else(pc.string_is_ascii(keys), pc.ascii_lower(keys), keys) if self.folds else keys
+
+    def _encoded(self, keys: pa.Array) -> pa.Array:
+        """Ids by the library, for distinct keys."""
+        parts = []
+        for lo in range(0, len(keys), AT_ONCE):
+            got = self.tokenizer.encode_batch_fast(keys.slice(lo, AT_ONCE).to_pylist(), add_special_tokens=False)
+            parts.append(pa.array([array("I", e.ids).tobytes() for e in got], pa.large_binary()))
+        return pa.concat_arrays(parts) if parts else self._none()[1]
+
+    def _ids(self, distinct: pa.Array) -> pa.Array:
+        """Ids of distinct cuts. Keys are looked up in what is kept, by their bytes; the library encodes the
+        others. What is found in the old generation goes over to the young one."""
+        keys = self._keys(distinct)
+        n = len(self.young[0])
+        kept = [pa.concat_arrays(both) for both in zip(self.young, self.old, strict=True)]
+        at = pc.index_in(keys, value_set=kept[0])
+        fresh = keys.filter(pc.is_null(at)).unique()
+        known = pa.concat_arrays([kept[1], self._encoded(fresh)])
+        at = pc.coalesce(at, pc.add(pc.index_in(keys, value_set=fresh), len(kept[0])))
+        found = known.take(at)
+        again = np.unique(at.to_numpy(zero_copy_only=False))
+        again = pa.array(again[(again >= n) & (again < len(kept[0]))])
+        self.young = (pa.concat_arrays([self.young[0], kept[0].take(again), fresh]), pa.concat_arrays([self.young[1], kept[1].take(again), known.slice(len(kept[0]))]))
+        if sum(x.nbytes for x in self.young) > KEPT_BYTES:
+            self.old, self.young = self.young, self._none()
+        return found
 
     def _block(self, data: np.ndarray, bounds: np.ndarray, end: bytes) -> tuple[pa.Buffer | None, np.ndarray]:
         """(buffer of the ids of all texts, one after another, and each text's bounds in it)."""
         at = cuts(data, bounds)
         parts = _binary(at, pa.py_buffer(data)).dictionary_encode()
-        ids = self._ids(parts.dictionary.to_pylist())
+        ids = self._ids(parts.dictionary)
         where = parts.indices.to_numpy(zero_copy_only=False)
         first = np.searchsorted(at[:-1], bounds)  # the first cut of each text
         first[-1] = len(at) - 1
         if end:  # one more cut behind each text
-            ids.append(end)
+            ids = pa.concat_arrays([ids, pa.array([end], pa.large_binary())])
             n = len(bounds) - 1
             places = first[1:] + np.arange(n)
             whole = np.full(len(where) + n, len(ids) - 1, where.dtype)
@@ -132,7 +143,7 @@ class Encoder:
             keep[places] = False
             whole[keep] = where
             where, first = whole, first + np.arange(n + 1)
-        taken = pa.array(ids, pa.large_binary()).take(pa.array(where))
+        taken = ids.take(pa.array(where))
         offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
         return taken.buffers()[2] if len(taken) else None, offsets[first]
 
@@ -141,6 +152,7 @@ class Encoder:
         behind it, and where each text's begin. Null counts as empty."""
         for lo, hi, data, bounds in W.doc_chunks(texts, BLOCK):
             yield lo, hi, *self._block(np.ascontiguousarray(data), bounds, end)
+            pa.default_memory_pool().release_unused()
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> pa.LargeBinaryArray:
         """The ids of each text, with `end` behind them."""

@@ -8,7 +8,7 @@
    the whole signature.
 2. Documents with equal sets are one class from here on, named by the smallest doc_id.
 3. Classes with an equal band share a bucket. With 36 bands of 7 rows a pair of similarity 0.8
-   shares none with a probability of 2e-4, one of 0.85 with 5e-7.
+   shares none with a probability of 2e-4, one of 0.85 with 8e-7.
 4. Rounds of pivots: in each bucket with several groups every class is paired with one pivot (at first
    the class that meets most others, later another by chance), and the pairs' links are grouped. Rounds
    go on while they find links for a share MERGING of the open classes, so a bucket of copies never
@@ -156,6 +156,7 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
                     [batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(sizes), W.signed(keys[0]), W.signed(keys[1]), pa.FixedSizeListArray.from_arrays(flat, BANDS).cast(pa.list_(pa.int64()))],
                     ["nd_doc", "nd_n", "nd_a", "nd_b", "nd_bands"],
                 )
+        W.release()
 
     return docs.select(doc_id, text).mapInArrow(run, f"nd_doc {id_type}, nd_n bigint, nd_a bigint, nd_b bigint, nd_bands array<bigint>")
 
@@ -170,6 +171,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 elements, bounds = shingle_sets(w, shingle)
                 raw = [elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(raw, pa.binary())], ["doc", "items"])
+        W.release()
 
     return docs.select("doc", "text").mapInArrow(run, f"doc {id_type}, items binary")
 
@@ -197,6 +199,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = int((q[at] == p).sum())
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+        W.release()
 
     left, right = sets.select(F.col("doc").alias("a"), F.col("items").alias("p")), sets.select(F.col("doc").alias("b"), F.col("items").alias("q"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, f"a {id_type}, b {id_type}")

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shirabe.llm import encoding
+from shirabe.llm import words as W
 from shirabe.llm.storage import store
 
 CAPACITY = 2048
@@ -77,6 +78,7 @@ def token_pieces(
                     [batch.column(0).take(pa.array(lo + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), encoding.sliced(ids, at).cast(pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
+        W.release()
 
     return docs.select(doc_id, text).mapInArrow(cut, f"doc_id {id_type}, piece int, start bigint, length bigint, ids binary")
 

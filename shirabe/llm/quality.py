@@ -275,6 +275,7 @@ def cascade(docs: DataFrame, measures: Sequence[str] = (), rules: Sequence[Rule]
                 verdict = judge(texts, ordered)
                 by = rule_names.take(pa.array(verdict, mask=verdict < 0))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), by, *made], ["row", "by", *(f"m{i}" for i in range(len(made)))])
+        W.release()
 
     own = docs.select(packed, F.col(f"`{text}`").alias("text"))
     out = StructType([StructField("row", own.schema["row"].dataType), StructField("by", StringType()), *(StructField(f"m{i}", LongType()) for i in range(len(measures)))])

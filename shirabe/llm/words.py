@@ -7,6 +7,7 @@ numpy passes and Python work only for words of more than LONG bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -147,5 +148,15 @@ def gram_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
+def release() -> None:
+    """Give memory that is free back to the system. Workers live on from stage to stage beside the
+    executor's own memory, and allocators keep what a stage had at its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
