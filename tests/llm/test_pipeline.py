@@ -69,3 +69,26 @@ def test_near_duplicates_of_the_tables(spark, sf_dir):
     for k in label.values():
         groups[k] += 1
     assert max(groups.values()) > 1
+
+
+def test_comparison_across_groups(spark, monkeypatch):
+    """Near copies with edits in many places, of which few are alike: pivots find some links, the rest is
+    compared across groups, in small blocks."""
+    import random
+
+    from shirabe.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "MERGING", 1.0)
+    rng = random.Random(11)
+    base, texts = [f"w{i}" for i in range(120)], {}
+    for k in range(220):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(400)}"
+        texts[k] = " ".join(w)
+    texts |= {900: texts[3], 901: None, 902: "w1 w2 w3"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for n in (4, 5):
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, n).collect()}
+        assert got == brute.components(texts, n) and len(set(got.values())) > 10
