@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shirabe.llm.storage import store, unused
+from shirabe.llm.storage import numbered, store, unused
 
 BINS = 4096
 #: Rows up to which the table of sources is broadcast.
@@ -80,28 +80,23 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[i
     """source, source_size, target for each source: `share` of all words, split by weight (dealt
     to the sources in code point order, null last, repeating), no target above cap times its source.
 
-    Giving what exceeds a cap to the others by weight, again and again, ends where
-    target = min(cap * size, level * weight); the level follows from sums over the sources in the
-    order in which they reach their caps. One row per source is sorted here, never documents."""
+    Targets are min(cap * size, level * weight). The level rises from round to round as what exceeds a
+    cap goes to the others, and stays when no further source reaches its cap; a round sums one narrow row
+    per source, and three numbers reach the driver."""
     per = sizes.groupBy(F.col(source).alias("mx_source")).agg(F.sum(size).alias("mx_size"))
-    order = Window.orderBy(F.col("mx_source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(weights)
-    per = per.withColumn("mx_w", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (place + 1).cast("int")))
-    reach = Window.orderBy((F.lit(cap) * F.col("mx_size") / F.col("mx_w")).asc(), F.col("mx_source").asc_nulls_last())
-    before = reach.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    per = (
-        per.withColumn("mx_goal", F.lit(float(share)) * F.sum("mx_size").over(every))
-        .withColumn("mx_capped", F.coalesce(F.sum("mx_size").over(before), F.lit(0)) * F.lit(cap))
-        .withColumn("mx_left", F.sum("mx_w").over(every) - F.coalesce(F.sum("mx_w").over(before), F.lit(0)))
-        .withColumn("mx_level", (F.col("mx_goal") - F.col("mx_capped")) / F.col("mx_left"))
-        .withColumn("mx_free", F.col("mx_level") * F.col("mx_w") <= F.lit(cap) * F.col("mx_size"))
-    )
-    # The first that stays below its cap has the level; behind it the sums mean nothing.
-    whole = reach.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = F.first(F.when(F.col("mx_free"), F.col("mx_level")), ignorenulls=True).over(whole)
-    goal = F.least(F.col("mx_size") * F.lit(float(cap)), F.coalesce(level * F.col("mx_w"), F.col("mx_size") * F.lit(float(cap))))
-    return per.select("mx_source", "mx_size", goal.alias("mx_target"))
+    per = numbered(per, [F.col("mx_source").asc_nulls_last()], "mix-sources", "mx_place")
+    per = per.withColumn("mx_w", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("mx_place") % len(weights) + 1).cast("int")))
+    most = F.lit(cap) * F.col("mx_size")
+    goal = float(share) * float(per.agg(F.sum("mx_size")).first()[0] or 0)
+    level, capped = 0.0, -1
+    while True:
+        full = F.lit(level) * F.col("mx_w") > most
+        n, words, weight = per.agg(F.count_if(full), F.sum(F.when(full, F.col("mx_size"))), F.sum(F.when(~full, F.col("mx_w")))).first()
+        if n == capped or not weight:
+            break
+        capped, level = n, (goal - cap * float(words or 0)) / float(weight)
+    target = F.least(F.col("mx_size") * F.lit(float(cap)), F.lit(level) * F.col("mx_w") if weight else F.col("mx_size") * F.lit(float(cap)))
+    return per.select("mx_source", "mx_size", target.alias("mx_target"))
 
 
 def mix(
