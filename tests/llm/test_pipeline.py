@@ -92,3 +92,30 @@ def test_comparison_across_groups(spark, monkeypatch):
     for n in (4, 5):
         got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, n).collect()}
         assert got == brute.components(texts, n) and len(set(got.values())) > 10
+
+
+def test_stages_begin_lean(spark):
+    """Texts of one split reach Python workers in small batches, and free heap was given back before."""
+    import pyarrow as pa
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    full = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "'a' AS source", "repeat(concat('word', id, ' '), 10000) AS text", "0L AS n_chars")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, before)
+            count = full()
+            stage(spark, docs.limit(3), "")
+            assert full() > count, name
+            got = docs.select("text").mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+            assert sum(r["rows"] for r in got) == 400
+            assert max(r["bytes"] for r in got) < 2 * corpus_pipeline.BATCH_BYTES, name
+    finally:
+        spark.conf.set(key, before)
