@@ -94,6 +94,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.encoding import public_path
+    from shirabe.llm.tokencount import count_tokens
+
+    found = count_tokens(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), limit=2048)
+    return found.select("doc_id", F.col("tc_bytes").alias("n_bytes"), F.col("tc_tokens").alias("n_tokens"), F.col("tc_over").alias("over_limit"))
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -256,6 +264,7 @@ def queries() -> dict[str, Query]:
         "op8_token_files": op8_token_files,
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
+        "op11_token_counts": op11_token_counts,
     }
 
 
