@@ -102,6 +102,14 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("tc_bytes").alias("n_bytes"), F.col("tc_tokens").alias("n_tokens"), F.col("tc_over").alias("over_limit"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.veccodes import compress
+
+    found = compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    names = {"vc_code": "code", "vc_error": "error", "vc_label_error": "label_error", "vc_codebooks": "codebooks_sha256"}
+    return found.withColumnsRenamed(names)
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -252,6 +260,34 @@ FROM o
 """
 
 
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Each round's codebook and assignment as two tables, entries as lists of integers."""
+    near = """SELECT vec_id, label, part, x, arg_min(entry, (dist, entry)) AS entry, MIN(dist) AS dist
+ FROM (SELECT v.*, b.entry, list_sum(list_transform(list_zip(v.x, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM v JOIN b{0} b USING (part))
+ GROUP BY vec_id, label, part, x"""
+    steps = []
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({near.format(n)})")
+        steps.append(f"""m{n} AS (SELECT part, entry, list(y ORDER BY i) AS y FROM (
+ SELECT part, entry, i, floor_div(SUM(x[i])::BIGINT, COUNT(*)) AS y FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY part, entry, i) GROUP BY part, entry)""")
+        steps.append(f"b{n + 1} AS MATERIALIZED (SELECT part, entry, COALESCE(m{n}.y, b{n}.y) AS y FROM b{n} LEFT JOIN m{n} USING (part, entry))")
+    body = ",\n".join(steps)
+    body = body.replace("floor_div(SUM(x[i])::BIGINT, COUNT(*))", "(SUM(x[i])::BIGINT - ((SUM(x[i])::BIGINT % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*)")
+    return f"""
+WITH k AS (
+ SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS xs FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, label, part, xs[part * (len(xs) // {parts}) + 1:(part + 1) * (len(xs) // {parts})] AS x FROM (SELECT *, unnest(range({parts})) AS part FROM k)),
+b0 AS MATERIALIZED (SELECT part, entry, x AS y FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT {entries}) USING (vec_id)),
+{body},
+f AS MATERIALIZED ({near.format(rounds)}),
+c AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, SUM(dist)::BIGINT AS error FROM f GROUP BY vec_id, label)
+SELECT vec_id, code, error, (SUM(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+ sha256((SELECT string_agg(array_to_string(y, ','), ',' ORDER BY part, entry) FROM b{rounds})) AS codebooks_sha256
+FROM c
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
@@ -265,6 +301,7 @@ def queries() -> dict[str, Query]:
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
         "op11_token_counts": op11_token_counts,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
@@ -275,4 +312,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_repeats": _op5_sql(),
         "op6_quality": OP6_SQL,
         "op10_mixing": OP10_SQL,
+        "op12_vector_codes": _op12_sql(),
     }
