@@ -110,6 +110,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed(names)
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shirabe.llm.ranking import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -260,6 +266,20 @@ FROM o
 """
 
 
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, term, COUNT(*) AS tf FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents) GROUP BY doc_id, term),
+n AS MATERIALIZED (SELECT doc_id, SUM(tf)::BIGINT AS n FROM d GROUP BY doc_id),
+g AS (SELECT COUNT(*)::BIGINT AS docs, SUM(n)::BIGINT AS length FROM n),
+w AS (SELECT term, floor(1000.0::DOUBLE * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM (SELECT term, COUNT(*) AS df FROM d GROUP BY term), g),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, SUM(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+  FROM q JOIN d USING (term) JOIN w USING (term) JOIN n USING (doc_id), g GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
     """Each round's codebook and assignment as two tables, entries as lists of integers."""
     near = """SELECT vec_id, label, part, x, arg_min(entry, (dist, entry)) AS entry, MIN(dist) AS dist
@@ -302,6 +322,7 @@ def queries() -> dict[str, Query]:
         "op10_mixing": op10_mixing,
         "op11_token_counts": op11_token_counts,
         "op12_vector_codes": op12_vector_codes,
+        "op13_search": op13_search,
     }
 
 
@@ -313,4 +334,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality": OP6_SQL,
         "op10_mixing": OP10_SQL,
         "op12_vector_codes": _op12_sql(),
+        "op13_search": OP13_SQL,
     }

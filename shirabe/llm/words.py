@@ -20,8 +20,8 @@ CHUNK = 1 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, 9, 10, 11, 12, 13]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,8 +114,9 @@ def doc_chunks(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def _spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    word = _WORD[data]
+def spans(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of bytes of a kind, parted at the documents' bounds."""
+    word = kind[data]
     begins, stops = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     stops[:-1] &= ~word[1:]
@@ -130,8 +131,8 @@ def word_chunks(texts: pa.Array, lower: bool = False, hashed: bool = True) -> It
     """The word tables of a batch of texts, chunk by chunk. lower: A-Z count as a-z."""
     for lo, hi, data, bounds in doc_chunks(texts):
         if lower:
-            data = _LOWER[data]
-        starts, ends = _spans(data, bounds)
+            data = LOWER[data]
+        starts, ends = spans(data, bounds)
         first = np.searchsorted(starts, bounds)
         yield Words(lo, hi, data, bounds, starts, ends, first, byte_hashes(data, starts, ends) if hashed else None)
 
