@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shirabe.config import CATEGORIES, SETTINGS
@@ -18,7 +18,7 @@ from shirabe.plans import oracle as O
 from shirabe.plans.mutations import mutated, mutated_sql
 from shirabe.sources import facts as X
 from shirabe.sources import html
-from shirabe.storage import new_path, table
+from shirabe.storage import counted_small, new_path, numbered_within, table
 from shirabe.storage import store as keep
 
 
@@ -303,37 +303,67 @@ def q_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _broken(keep(pages(spark, sf_dir).select("page_id", "url_host", "url_normal", "links"), "facts"))
 
 
-_GRAPH = "SELECT page_id AS src, unnest([2 * page_id + 1, 2 * page_id + 2, page_id // 3]) AS dst, unnest([0, 1, 2]) AS pos FROM pages"
+# A crawl's web: an address of a host answers with one of the host's pages, chosen by the address's digest, or with
+# something other than a page. Seeds, links, and so the graph, are those that the parser finds.
+_CRAWL_SEEDS = """seed AS (SELECT site, node, row_number() OVER (PARTITION BY site ORDER BY place_, node) AS pos FROM (
+   SELECT site, node, MIN(place_) AS place_ FROM (SELECT site, 'https://' || site || '/' AS node, -1 AS place_ FROM hosts UNION ALL SELECT site, url, pos FROM listed WHERE {0} = site) GROUP BY ALL))""".format(_HOST_SQL)
 
 
-@query(
-    "q_crawl_bfs",
-    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_GRAPH}) WHERE dst IN (SELECT page_id FROM pages)),
- walk(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 64)
-SELECT node, MIN(depth)::INT AS depth FROM walk GROUP BY node""",
-)
+def _crawl_sql(budget: str, columns: str) -> str:
+    """The queue itself, taken from the front one address at a time: a list for each host."""
+    digit = lambda at: f"CAST('0x' || substring(md5(w.queue[w.i]), {at}, 6) AS BIGINT)"
+    return f"""WITH RECURSIVE {PAGES}, {_EDGES}, {_SITEMAPS}, {_CRAWL_SEEDS},
+ mine AS (SELECT page_id, url_host AS site, error, row_number() OVER (PARTITION BY url_host ORDER BY page_id) - 1 AS k, COUNT(*) OVER (PARTITION BY url_host) AS n FROM pages_facts),
+ content AS MATERIALIZED (SELECT o.*, COALESCE(l.links, []) AS links FROM mine o LEFT JOIN (SELECT page_id, list(target ORDER BY pos) AS links FROM edge GROUP BY page_id) l USING (page_id)),
+ start AS (SELECT site, list(node ORDER BY pos) AS queue, {budget} AS budget, (SELECT any_value(n) FROM mine o WHERE o.site = seed.site) AS n,
+   NOT EXISTS (SELECT 1 FROM listed WHERE listed.site = seed.site) AS expand FROM seed GROUP BY site),
+ walk(site, n, budget, expand, queue, depths, i, taken, node, depth, kind) AS (
+  SELECT site, n, budget, expand, queue, list_transform(queue, lambda x: 0), 1, 0, NULL::VARCHAR, NULL::INT, NULL::VARCHAR FROM start
+  UNION ALL
+  SELECT site, n, budget, expand, list_concat(queue, fresh), list_concat(depths, list_transform(fresh, lambda x: depths[i] + 1)), i + 1, taken + CASE kind WHEN 'other' THEN 0 ELSE 1 END, queue[i], depths[i], kind
+  FROM (SELECT *, CASE WHEN expand AND kind = 'page' THEN list_filter(links, lambda x, j: NOT list_contains(queue, x) AND list_position(links, x) = j) ELSE [] END AS fresh
+   FROM (SELECT w.site, w.n, w.budget, w.expand, w.queue, w.depths, w.i, w.taken, c.links, CASE WHEN {digit(7)} % 7 = 0 THEN 'other' WHEN c.error <> '' THEN 'failed' ELSE 'page' END AS kind
+    FROM walk w JOIN content c ON c.site = w.site AND c.k = {digit(1)} % w.n WHERE w.i <= len(w.queue) AND (w.budget IS NULL OR w.taken < w.budget))))
+SELECT {columns} FROM walk WHERE node IS NOT NULL"""
+
+
+def _crawled(spark: SparkSession, sf_dir: str, budget: Column) -> DataFrame:
+    hosts = _hosts(spark, sf_dir)
+    listed = keep(_sitemaps(spark, sf_dir, hosts)[3], "listed")
+    facts = keep(pages(spark, sf_dir).select("page_id", "url_host", "error", "links"), "facts")
+    links = crawl.edges(facts).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]).alias("links"))
+    content = keep(numbered_within(facts.select("page_id", "url_host", "error"), "url_host", [F.col("page_id")], "content", "k").join(links, "page_id", "left"), "content")
+    content = content.select(F.col("url_host").alias("of"), "k", F.col("error") != "", F.coalesce("links", F.array().cast("array<string>")).alias("links")).toDF("of", "k", "down", "links")
+    sizes = keep(facts.groupBy(F.col("url_host").alias("host")).agg(F.count("*").alias("n")), "sizes")
+    few = counted_small(sizes)
+
+    def fetch(asked: DataFrame) -> DataFrame:
+        digit = lambda at: F.conv(F.substring(F.md5("node"), at, 6), 16, 10).cast("long")
+        at = asked.join(few(sizes), F.col("site") == F.col("host")).withColumn("which", digit(1) % F.col("n"))
+        got = at.join(content, (F.col("site") == F.col("of")) & (F.col("which") == F.col("k")))
+        kind = F.when(digit(7) % 7 == 0, crawl.OTHER).when(F.col("down"), crawl.FAILED).otherwise(crawl.PAGE)
+        return got.select("site", "node", kind.alias("kind"), "links")
+
+    # A site whose sitemap lists addresses is read by those alone.
+    mapped = listed.select("site").distinct().withColumn("mapped", F.lit(True))
+    audits = hosts.join(mapped, "site", "left").select("site", budget.alias("budget"), F.col("mapped").isNull().alias("expand"))
+    return crawl.breadth_first(crawl.seeds(hosts, listed), fetch, audits)
+
+
+@query("q_crawl_bfs", _crawl_sql("NULL::BIGINT", "site, node, depth, kind"))
 def q_crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _crawled(spark, sf_dir, 1 << 40).select("node", "depth")
+    """All that each host's links lead to."""
+    return _crawled(spark, sf_dir, F.lit(None).cast("long")).select("site", "node", "depth", "kind")
 
 
-def _crawled(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id")
-    links = p.selectExpr("page_id AS src", "posexplode(array(2 * page_id + 1, 2 * page_id + 2, page_id div 3)) AS (pos, dst)")
-    links = keep(links.join(p.select(F.col("page_id").alias("dst")), "dst", "left_semi"), "links")
-    return crawl.breadth_first(links, spark.sql("SELECT CAST(0 AS BIGINT) AS node, 0 AS pos"), most)
+_ASKED = "length(site) * 7 % 60"
+_BUDGET_SQL = f"greatest(1, least({_ASKED}, CASE WHEN length(site) % 3 = 0 THEN {SETTINGS.max_pages_admin} ELSE {SETTINGS.max_pages} END))"
 
 
-@query(
-    "q_crawl_budget",
-    f"""WITH RECURSIVE e AS (SELECT * FROM ({_GRAPH}) WHERE dst IN (SELECT page_id FROM pages)),
- walk(node, depth, path) AS (SELECT 0::BIGINT, 0, []::INT[] UNION ALL SELECT e.dst, w.depth + 1, list_append(w.path, e.pos) FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 7),
- best AS (SELECT node, MIN((depth, path)) AS b FROM walk GROUP BY node)
-SELECT node, b[1]::INT AS depth, rank FROM (SELECT *, row_number() OVER (ORDER BY b) AS rank FROM best) WHERE rank <= 60""",
-)
+@query("q_crawl_budget", _crawl_sql(_BUDGET_SQL, "site, node, depth, kind, CASE WHEN kind <> 'other' THEN taken END AS place"))
 def q_crawl_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first pages that a queue emits. A queue's order is that of depth and then of the places of links on
-    the way, which the SQL tells by all ways of up to 7 links."""
-    return _crawled(spark, sf_dir, 60)
+    """What each host's audit visits under its own page budget, in the order of its queue."""
+    return _crawled(spark, sf_dir, store.page_budget(F.expr(_ASKED), F.expr("length(site) % 3 = 0")))
 
 
 _LITERALS = (

@@ -5,20 +5,23 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Narrow rows up to which a counted table is broadcast; about 4 MB.
+MOST_BROADCAST = 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one that all sessions of
+    the application use, in local mode only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"shirabe-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = "file://" + os.path.join(tempfile.gettempdir(), f"shirabe-{spark.sparkContext.applicationId}")
     return found.rstrip("/")
 
 
@@ -51,6 +54,27 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, number: str = "n
     return rows.drop("p_", "first_", at)
 
 
+def numbered_within(df: DataFrame, key: str, order: Sequence[Column], name: str, number: str = "number") -> DataFrame:
+    """df, a stored table, with each row's number from 0 within its key. Up to MOST_BROADCAST rows in all, a window
+    finds it. More are written again in order of key and order: one range shuffle, and a count for each key and
+    partition, so a key with very many rows fills as many partitions as they need."""
+    at, part = unused(("at_", "part_"), df.columns).values()
+    if df.count() <= MOST_BROADCAST:
+        return df.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long") - 1)
+    rows = df.repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order).withColumn(at, F.monotonically_increasing_id())
+    rows = store(rows, name).withColumn(part, F.shiftright(at, 33))
+    runs = rows.groupBy(F.col(key).alias("k_"), F.col(part).alias("p_")).agg(F.min(at).alias("first_"), F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("k_").orderBy("p_").rowsBetween(Window.unboundedPreceding, -1))
+    runs = store(runs.select("k_", "p_", (F.col("first_") - F.coalesce(before, F.lit(0))).alias("base_")), f"{name}-runs")
+    found = rows.join(counted_small(runs)(runs), F.col(key).eqNullSafe(F.col("k_")) & (F.col(part) == F.col("p_")))
+    return found.withColumn(number, F.col(at) - F.col("base_")).drop("k_", "p_", "base_", at, part)
+
+
+def counted_small(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How to join tables of as many narrow rows as df has: broadcast up to MOST_BROADCAST rows, else shuffled."""
+    return F.broadcast if df.count() <= MOST_BROADCAST else (lambda other: other)
+
+
 def unused(names: Iterable[str], columns: Sequence[str]) -> dict[str, str]:
     """For each name one that no column bears (regardless of case): itself, or with marks behind it."""
     taken, out = {c.lower() for c in columns}, {}
