@@ -1,6 +1,4 @@
-"""Operators over the audit store: latest, quota, lists, retention, cascades and status.
-
-Tables are appended to, never updated in place: a status is the newest of its rows."""
+"""Operators over the tables of the audit store (`archive` keeps them): latest, quota, lists, retention and status."""
 
 from __future__ import annotations
 
@@ -38,87 +36,12 @@ def over_quota(usage: DataFrame, limits: dict[str, int]) -> DataFrame:
     return usage.withColumn("limit", limit).withColumn("exceeded", F.coalesce(F.col("used") >= F.col("limit"), F.lit(False)))
 
 
-def delete_sites(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """What stays of sites, audits, findings and advice when sites (id) are deleted."""
-    gone = gone.select(F.col("id").alias("site_id"))
-    audits = tables["audits"]
-    lost = audits.join(gone, "site_id", "left_semi").select(F.col("id").alias("audit_id"))
-    out = dict(tables)
-    out["sites"] = tables["sites"].join(gone.withColumnRenamed("site_id", "id"), "id", "left_anti")
-    out["audits"] = audits.join(gone, "site_id", "left_anti")
-    for name in ("findings", "advice"):
-        if name in tables:
-            out[name] = tables[name].join(lost, "audit_id", "left_anti")
-    return out
-
-
 def current_status(log: DataFrame) -> DataFrame:
     """The newest row of each audit in a log of status rows (audit_id, status, error, at)."""
     rows = newest(log, ["audit_id"], [F.col("at").desc(), F.col("status").asc()]).drop("rank")
     return rows.withColumn("error", F.substring("error", 1, 500))
 
 
-def append(rows: DataFrame, path: str, kind: str, **fixed: str) -> None:
-    """Append rows to a table of the store, with a new id (16 hexadecimal digits) and the time, where
-    they have none; `fixed` sets further columns."""
-    if kind not in TABLES:
-        raise ValueError(f"no table {kind}")
-    for name, value in fixed.items():
-        rows = rows.withColumn(name, F.lit(value))
-    if "id" in TABLES[kind] and "id" not in rows.columns:
-        rows = rows.withColumn("id", new_id())
-    if "created_at" in TABLES[kind] and "created_at" not in rows.columns:
-        rows = rows.withColumn("created_at", F.date_trunc("second", F.current_timestamp()))
-    rows.select(*TABLES[kind]).write.mode("append").parquet(f"{path}/{kind}")
-
-
-#: Columns of the store's tables.
-TABLES: dict[str, tuple[str, ...]] = {
-    "sites": ("id", "owner", "name", "url", "created_at"),
-    "audits": ("id", "site_id", "owner", "created_at"),
-    "statuses": ("audit_id", "status", "overall", "page_count", "categories", "counts", "error", "at"),
-    "findings": ("audit_id", "seq", "rule_ord", "rule", "category", "severity", "url", "evidence"),
-    "advice": ("id", "audit_id", "owner", "provider", "model", "body", "created_at"),
-    "usage": ("id", "owner", "kind", "created_at"),
-}
-
-
-def new_id() -> Column:
-    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)
-
-
-def start(path: str, audits: DataFrame) -> None:
-    """New audits (id, site_id, owner, created_at), running."""
-    append(audits, path, "audits")
-    _status(path, audits.select(F.col("id").alias("audit_id"), F.lit("running").alias("status"), F.col("created_at").alias("at")))
-
-
-def finish(path: str, scored: DataFrame) -> None:
-    """Audits that are done: audit_id, overall, page_count, categories and counts (nested), at."""
-    _status(path, scored.withColumn("status", F.lit("done")))
-
-
-def fail(path: str, failed: DataFrame) -> None:
-    """Audits that failed: audit_id, error (cut to 500 characters), at."""
-    _status(path, failed.withColumn("status", F.lit("failed")).withColumn("error", F.substring("error", 1, 500)))
-
-
-def _status(path: str, rows: DataFrame) -> None:
-    types = {"overall": "int", "page_count": "int", "categories": "string", "counts": "string", "error": "string"}
-    for name, kind in types.items():
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast(kind))
-        elif kind == "string" and rows.schema[name].dataType.simpleString() != "string":
-            rows = rows.withColumn(name, F.to_json(name))
-        rows = rows.withColumn(name, F.col(name).cast(kind))
-    append(rows, path, "statuses")
-
-
-def get(rows: DataFrame, id_: object) -> DataFrame:
-    """The row with an id, or none."""
-    return rows.filter(F.col("id") == F.lit(id_))
-
-
 def listed(rows: DataFrame, owner: str, most: int | None = None) -> DataFrame:
     """An owner's rows with their place, the newest first; of equal times the greater id."""
     order = Window.partitionBy("owner").orderBy(F.col("created_at").desc(), F.col("id").desc())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from shirabe.config import CATEGORIES, SETTINGS
 from shirabe.functions import dual as D
 from shirabe.functions import text as T
 from shirabe.functions import urls as U
-from shirabe.operators import compare, crawl, report, robots, rules, safety, scoring, site, store
+from shirabe.operators import archive, compare, crawl, report, robots, rules, safety, scoring, site, store
 from shirabe.plans import mutations as M
 from shirabe.plans import oracle as O
 from shirabe.plans.mutations import mutated, mutated_sql
@@ -575,20 +576,60 @@ def q_site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("owner")).agg(F.count("*").alias("sites"))
 
 
+def _archive(spark: SparkSession) -> archive.Archive:
+    return archive.Archive(spark, new_path(spark, "archive"), period="yyyy")
+
+
+def _ids(to: archive.Archive):  # noqa: ANN202
+    """Ids of rows with a site's and an audit's number."""
+    site_ = to.issued(F.col("site"))
+    return site_, to.issued(F.col("audit"), site_)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> archive.Archive:
+    """A store: customers are sites, orders their audits, line items findings; every fourth audit has advice."""
+    to = _archive(spark)
+    site_, audit = _ids(to)
+    sites = table(spark, sf_dir, "customer").selectExpr("c_custkey AS site", "c_name AS name", "CAST(c_nationkey AS STRING) AS owner", "TIMESTAMP'2024-01-01' AS created_at")
+    to.append(sites.withColumn("id", site_), "sites")
+    audits = table(spark, sf_dir, "orders").selectExpr("o_custkey AS site", "o_orderkey AS audit", "o_orderpriority AS owner", "o_orderdate AS created_at")
+    to.start(audits.select(audit.alias("id"), site_.alias("site_id"), "owner", "created_at"))
+    found = table(spark, sf_dir, "lineitem").join(audits.selectExpr("audit AS l_orderkey", "site"), "l_orderkey").withColumnRenamed("l_orderkey", "audit")
+    to.append(found.select(audit.alias("audit_id"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("r"), "l_suppkey").alias("rule")), "findings")
+    told = audits.filter("audit % 4 = 0").select(audit.alias("audit_id"), "owner", F.col("audit").cast("string").alias("body"), "created_at")
+    to.append(told, "advice", provider="local")
+    return to
+
+
 @query(
     "q_cascade_delete",
-    "WITH a AS (SELECT * FROM orders WHERE o_custkey % 10 <> 3) SELECT 'sites' AS name, COUNT(*) AS rows_left FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT 'audits', COUNT(*) FROM a"
-    " UNION ALL SELECT 'findings', COUNT(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3)",
+    "WITH a AS (SELECT * FROM orders WHERE o_custkey % 10 <> 3) SELECT 'sites' AS name, COUNT(*) AS rows_left FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT 'audits', COUNT(*) FROM a UNION ALL SELECT 'statuses', COUNT(*) FROM a"
+    " UNION ALL SELECT 'advice', COUNT(*) FROM a WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'findings', COUNT(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3)",
 )
 def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {
-        "sites": table(spark, sf_dir, "customer").selectExpr("c_custkey AS id"),
-        "audits": table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS site_id"),
-        "findings": table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS audit_id", "l_linenumber AS seq"),
-    }
-    left = store.delete_sites(tables, tables["sites"].filter("id % 10 = 3"))
-    one = [df.agg(F.count("*").alias("rows_left")).select(F.lit(n).alias("name"), "rows_left") for n, df in left.items()]
-    return one[0].unionByName(one[1]).unionByName(one[2])
+    """A tenth of the sites is deleted from a store, which is then read again."""
+    to = _stored(spark, sf_dir)
+    to.delete_sites(table(spark, sf_dir, "customer").filter("c_custkey % 10 = 3").selectExpr("c_custkey AS site").select(to.issued(F.col("site")).alias("id")))
+    one = [to.read(n).agg(F.count("*").alias("rows_left")).select(F.lit(n).alias("name"), "rows_left") for n in ("sites", "audits", "statuses", "advice", "findings")]
+    return reduce(DataFrame.unionByName, one)
+
+
+@query(
+    "q_store_lookup",
+    """WITH s AS (SELECT MAX(o_custkey) AS site FROM orders), a AS (SELECT o_orderkey FROM orders, s WHERE o_custkey = site AND o_orderdate >= DATE '1995-01-01')
+SELECT 'site' AS kind, c_custkey AS number, c_name AS name FROM customer, s WHERE c_custkey = site UNION ALL SELECT 'audit', o_orderkey, NULL FROM a
+UNION ALL SELECT 'finding', l_orderkey, l_linenumber::VARCHAR FROM lineitem JOIN a ON l_orderkey = o_orderkey UNION ALL SELECT 'advice', o_orderkey, o_orderkey::VARCHAR FROM a WHERE o_orderkey % 4 = 0""",
+)
+def q_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One site by its id, its audits since a month, and what belongs to them."""
+    to = _stored(spark, sf_dir)
+    id_ = table(spark, sf_dir, "orders").agg(F.max("o_custkey").alias("site")).select(to.issued(F.col("site"))).first()[0]
+    audits = to.audits_of(id_, "1995")
+    number = lambda c: to.number_of(F.col(c)).alias("number")
+    found = [to.get("sites", id_).select(F.lit("site").alias("kind"), number("id"), "name"), audits.select(F.lit("audit"), number("id"), F.lit(None).cast("string"))]
+    for kind, name, told in (("findings", "finding", "seq"), ("advice", "advice", "body")):
+        found.append(to.children_of(kind, audits).select(F.lit(name), number("audit_id"), F.col(told).cast("string")))
+    return reduce(DataFrame.union, found)
 
 
 _DOC_ID = "strftime(o_orderdate, '%Y%m%d-%H%M%S-') || CASE WHEN o_orderkey % 3 = 0 THEN 'XYZ' ELSE substring(md5(o_orderkey::VARCHAR), 1, 8) END"
@@ -615,15 +656,17 @@ def _document_id():  # noqa: ANN202
 )
 def q_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits are started, then finished or failed by appended rows; the newest row of each counts."""
-    path = new_path(spark, "audits")
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS site_id", "o_orderpriority AS owner", "o_orderdate AS created_at", "o_orderstatus", "o_totalprice")
-    later = rows.selectExpr("id AS audit_id", "o_orderstatus", "o_totalprice", "id", "created_at + INTERVAL 1 MINUTE AS at")
-    store.start(path, rows.select("id", "site_id", "owner", "created_at"))
-    store.finish(path, later.filter("o_orderstatus = 'F'").selectExpr("audit_id", "CAST(floor(o_totalprice) % 100 AS INT) AS overall", "1 AS page_count", "named_struct('critical', id % 5) AS counts", "at"))
-    store.fail(path, later.filter("o_orderstatus NOT IN ('F', 'O')").selectExpr("audit_id", "repeat('no answer ', 60) AS error", "at"))
-    log = spark.read.parquet(f"{path}/statuses")
+    to = _archive(spark)
+    site_, audit = _ids(to)
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS site", "o_orderkey AS audit", "o_orderpriority AS owner", "o_orderdate AS created_at", "o_orderstatus", "o_totalprice")
+    rows = rows.withColumn("id", audit)
+    later = rows.selectExpr("id AS audit_id", "o_orderstatus", "o_totalprice", "audit", "created_at + INTERVAL 1 MINUTE AS at")
+    to.start(rows.select("id", site_.alias("site_id"), "owner", "created_at"))
+    to.finish(later.filter("o_orderstatus = 'F'").selectExpr("audit_id", "CAST(floor(o_totalprice) % 100 AS INT) AS overall", "1 AS page_count", "named_struct('critical', audit % 5) AS counts", "at"))
+    to.fail(later.filter("o_orderstatus NOT IN ('F', 'O')").selectExpr("audit_id", "repeat('no answer ', 60) AS error", "at"))
     counts = F.from_json("counts", "critical bigint")
-    return store.current_status(log).select("audit_id", "status", "overall", "error", counts["critical"].alias("critical"))
+    last = store.current_status(to.read("statuses"))
+    return last.select(to.number_of(F.col("audit_id")).alias("audit_id"), "status", "overall", "error", counts["critical"].alias("critical"))
 
 
 _FOUND = "l_orderkey AS audit_id, l_linenumber AS seq, 'r' || l_suppkey AS rule, l_linestatus AS category, CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity, CAST(l_partkey AS STRING) AS evidence"
