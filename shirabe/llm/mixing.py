@@ -9,14 +9,15 @@ inclusion probability (Pareto order sampling; certain documents have rank 0), an
 are taken. The sample's size is fixed in words, which is what targets are in: the cut lies where the
 drawn words come nearest to the rest, so they miss it by at most half a document.
 
-The random number is a digest of the document's id and a seed, so reruns agree and nothing depends
-on partitions. No source is gathered in one task: sizes are counted by source and value for the
+The random number is a digest of the document's id and a seed, and, of equal rows from the second on, their
+number among them, so reruns agree and nothing depends on partitions. No source is gathered in one task: sizes are counted by source and value for the
 rates, words are summed by source and by bin of the rank, a running sum over the bins finds the bin in
 which the rest is reached, and only that bin's documents (about 1/BINS of the source) are put in order.
 
 Cases: null text has size 0; a null source is a source of its own, last in order; rows of size 0
 are taken 0 times; a null id counts as the string 'null' for its random number; repeated rows are
-separate rows and tie by their id only, ties are broken by size and text digest; an empty table
+separate rows with random numbers of their own, and as they are alike it doesn't matter which of them is taken; ties
+are broken by id, size, text digest and number; very long texts count as one document of their size; an empty table
 gives an empty result; extra columns are kept, and a name of docs that clashes with one of the
 result's moves that one to the name with '_' behind it.
 """
@@ -28,14 +29,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shirabe.llm.storage import numbered, store, unused
+from shirabe.llm.storage import numbered, numbered_within, small, store, unused
 
 BINS = 4096
 #: Rows up to which the table of sources is broadcast.
 MOST_BROADCAST = 100_000
 #: Columns that `mix` adds.
 ADDED = ("mx_size", "mx_source_size", "mx_target", "mx_copies")
-TIES = ("mx_id", "mx_size", "mx_tie")
+TIES = ("mx_id", "mx_size", "mx_tie", "mx_number")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,6 +62,20 @@ def rank_bin() -> Column:
     return F.floor(q / (1 + q) * BINS).cast("int")
 
 
+def equal_rows(base: DataFrame) -> DataFrame | None:
+    """mx_same (place of the row) and mx_more (its number, from 0) of rows that equal others; None without any. Counts
+    find the sets of equal rows, and only these rows are numbered, by range partitions where they are many."""
+    by = ["mx_key", "mx_id", "mx_size", "mx_tie"]
+    sets = base.groupBy(*by).agg(F.count("*").alias("mx_n")).filter("mx_n > 1").select(F.struct(*by).alias("mx_set"))
+    sets = store(sets, "mix-equal")
+    if not (n := sets.count()):
+        return None
+    rows = base.select(F.struct(*by).alias("mx_which"), F.col("mx_at").alias("mx_same"))
+    rows = rows.join(small(sets, n), F.col("mx_which").eqNullSafe(F.col("mx_set")), "left_semi")
+    rows = numbered_within(store(rows, "mix-again"), "mx_which", [F.col("mx_same")], "mix-numbers", "mx_more")
+    return store(rows.select("mx_same", "mx_more"), "mix-numbers")
+
+
 def rates(base: DataFrame, goals: DataFrame) -> DataFrame:
     """mx_rated (source) and mx_rate: min(1, rate * words), times words, adds up to mx_rest over the
     source. Documents from a size on are certain: the rate is the first, going down in size, that
@@ -112,18 +127,21 @@ def mix(
     narrow: bool = False,
 ) -> DataFrame:
     """Rows of docs with mx_size, mx_source_size, mx_target and mx_copies (how often the mix takes
-    the row). narrow: keep only the id and the source of docs; texts are then read once."""
-    digest = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(f":{seed}")))
+    the row). narrow: keep only the id and the source of docs. Texts are read and their words counted once."""
+    kept = [doc_id, source] if narrow else docs.columns
+    own = [F.col(source).alias("mx_key"), word_count(F.col(text)).alias("mx_size"), F.col(doc_id).alias("mx_id"), F.xxhash64(F.col(text)).alias("mx_tie")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("mx_row")
+    wide = store(docs.select(row, *own, F.monotonically_increasing_id().alias("mx_at")), "mix-rows")
+    again = equal_rows(wide.drop("mx_row"))
+    if again is None:
+        wide = wide.withColumn("mx_number", F.lit(0).cast("long"))
+    else:
+        wide = wide.join(small(again, again.count()), F.col("mx_at") == F.col("mx_same"), "left").withColumn("mx_number", F.coalesce("mx_more", F.lit(0).cast("long"))).drop("mx_same", "mx_more")
+    number = F.when(F.col("mx_number") > 0, F.concat(F.lit(":"), F.col("mx_number").cast("string"))).otherwise(F.lit(""))
+    digest = F.md5(F.concat(F.coalesce(F.col("mx_id").cast("string"), F.lit("null")), F.lit(f":{seed}"), number))
     # 48 bits, never 0 or 1
-    uniform = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    own = [
-        F.col(source).alias("mx_key"),
-        word_count(F.col(text)).alias("mx_size"),
-        uniform.alias("mx_u"),
-        F.col(doc_id).alias("mx_id"),
-        F.xxhash64(F.col(text)).alias("mx_tie"),
-    ]
-    base = store(docs.select(*own), "mix-sizes")
+    wide = wide.withColumn("mx_u", (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48))
+    base = wide.drop("mx_row")
     goals = source_targets(base, "mx_key", "mx_size", weights, cap, share)
     rate = F.when(F.col("mx_size") > 0, F.col("mx_target") / F.col("mx_size")).otherwise(F.lit(0.0))
     goals = goals.select(
@@ -137,8 +155,8 @@ def mix(
     goals = store(goals.withColumn("mx_rate", F.when(F.col("mx_rest") > 0, F.col("mx_rate"))), "mix-rates")
     # A broadcast only where the count of sources shows that it is small; else a join by source,
     # which adaptive execution splits where a source is hot.
-    small = F.broadcast if goals.count() <= MOST_BROADCAST else (lambda df: df)
-    ranked = base.filter("mx_size > 0").join(small(goals.filter("mx_rate > 0")), F.col("mx_key").eqNullSafe(F.col("mx_source")))
+    few = F.broadcast if goals.count() <= MOST_BROADCAST else (lambda df: df)
+    ranked = base.filter("mx_size > 0").join(few(goals.filter("mx_rate > 0")), F.col("mx_key").eqNullSafe(F.col("mx_source")))
     ranked = ranked.withColumn("mx_bin", rank_bin())
     bins = ranked.groupBy("mx_source", "mx_bin", "mx_rest").agg(F.sum("mx_size").alias("mx_sum"))
     ahead = Window.partitionBy("mx_source").orderBy("mx_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +164,7 @@ def mix(
     edge = bins.filter("mx_before < mx_rest AND mx_before + mx_sum >= mx_rest").select(
         F.col("mx_source").alias("mx_edge_source"), F.col("mx_bin").alias("mx_edge"), "mx_before"
     )
-    edge = ranked.join(small(edge), F.col("mx_source").eqNullSafe(F.col("mx_edge_source")) & (F.col("mx_bin") == F.col("mx_edge")))
+    edge = ranked.join(few(edge), F.col("mx_source").eqNullSafe(F.col("mx_edge_source")) & (F.col("mx_bin") == F.col("mx_edge")))
     run = Window.partitionBy("mx_source").orderBy(pareto_rank().asc(), *(F.col(c).asc_nulls_first() for c in TIES)).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("mx_ahead", F.col("mx_before") + F.coalesce(F.sum("mx_size").over(run), F.lit(0)))
     # The first row that is not drawn: a row is drawn while its middle lies below the target.
@@ -161,16 +179,11 @@ def mix(
     later = edge.groupBy("mx_source").agg(F.max("mx_bin").alias("mx_last")).withColumnRenamed("mx_source", "mx_last_source")
     plan = plan.join(later, F.col("mx_source").eqNullSafe(F.col("mx_last_source")), "left")
     plan = store(plan.drop("mx_stop_source", "mx_last_source"), "mix-plan")
-    if narrow:
-        rows = base.withColumn("mx_row", F.struct(F.col("mx_id").alias(doc_id), F.col("mx_key").alias(source)))
-    else:
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mx_row"), *own)
-    rows = rows.join(small(plan), F.col("mx_key").eqNullSafe(F.col("mx_source")))
+    rows = wide.join(few(plan), F.col("mx_key").eqNullSafe(F.col("mx_source")))
     key = F.struct(pareto_rank().alias("q"), *TIES)
     inside = F.when(F.col("mx_stop").isNotNull(), key < F.col("mx_stop")).otherwise(rank_bin() <= F.coalesce(F.col("mx_last"), F.lit(BINS)))
     drawn = F.when((F.col("mx_rate") > 0) & inside, 1).otherwise(0)
     copies = F.when(F.col("mx_size") > 0, F.col("mx_whole") + drawn).otherwise(0).cast("long")
-    kept = [doc_id, source] if narrow else docs.columns
     names = unused(ADDED, kept)
     found = zip(ADDED, (F.col("mx_size"), F.col("mx_source_size"), F.col("mx_target"), copies), strict=True)
     return rows.select("mx_row.*", *[c.alias(names[n]) for n, c in found])

@@ -119,8 +119,8 @@ def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         (('0x' || substr(md5(COALESCE(doc_id::VARCHAR, 'null') || ':mix'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-  FROM documents),
+         (('0x' || substr(md5(COALESCE(doc_id::VARCHAR, 'null') || ':mix' || CASE WHEN again > 0 THEN ':' || again ELSE '' END), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u, again
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS again FROM documents)),
 s AS (SELECT source, SUM(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM s),
 l AS (
@@ -145,12 +145,12 @@ y AS (
 x AS (
   SELECT source, max_by((rest - larger) / squares, size) AS rate FROM y WHERE (rest - larger) / squares * size < 1 GROUP BY source),
 r AS (
-  SELECT d.doc_id, d.size, d.u, v.source, v.source_size, v.target, v.whole, v.rest,
+  SELECT d.doc_id, d.size, d.u, d.again, v.source, v.source_size, v.target, v.whole, v.rest,
     CASE WHEN d.size > 0 AND v.rest > 0 AND x.rate > 0 THEN least(1.0::DOUBLE, x.rate * d.size) END AS pi
   FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source LEFT JOIN x ON v.source IS NOT DISTINCT FROM x.source),
 k AS (SELECT *, (u / (1 - u)) * ((1 - pi) / pi) AS rank FROM r),
 q AS (
-  SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM k)
+  SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, again ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM k)
 SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN pi IS NOT NULL AND ahead + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM q

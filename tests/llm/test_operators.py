@@ -463,3 +463,34 @@ def test_clashing_names_and_text_ids(spark):
     assert packing.pack_digests(df, encoding.public_path(BYTE)).count() == 3
     with pytest.raises(TypeError):
         tokenfile.write_and_read(df, encoding.public_path(WORDS))
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_mixing_of_equal_rows(spark, monkeypatch, most):
+    """Equal rows are drawn one by one; operator and SQL agree on how many of them."""
+    import duckdb
+
+    from shirabe import storage
+    from shirabe.llm import queries as Q
+
+    monkeypatch.setattr(storage, "MOST_BROADCAST", most)
+    ten = " ".join(["word"] * 10)
+    tables = [
+        [(1, ten, "a")] * 100 + [(2, ten, "b")] * 100,
+        [(1, ten, "a")] * 60 + [(2, ten + " more", "a")] * 40 + [(3, ten, "b")] * 70 + [(None, ten, None)] * 30 + [(4, "", "b")] * 3,
+    ]
+    for rows in tables:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+        for narrow in (True, False):
+            got = mixing.mix(docs, (2, 1), 3, narrow=narrow).collect()
+            assert len(got) == len(rows)
+            for source in {r["source"] for r in got}:
+                own = [r for r in got if r["source"] == source]
+                assert abs(sum(r["mx_copies"] * r["mx_size"] for r in own) - own[0]["mx_target"]) <= max(r["mx_size"] for r in own) / 2
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+        want = sorted(con.execute(Q.OP10_SQL).fetchall(), key=str)
+        docs.write.mode("overwrite").parquet(path := storage.new_path(spark, "equal") + "/documents.parquet")
+        found = Q.op10_mixing(spark, path.removesuffix("/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken").collect()
+        assert sorted(map(tuple, found), key=str) == want
