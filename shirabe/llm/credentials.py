@@ -77,12 +77,21 @@ def _matches(text: Column, number: int, kind: Kind) -> Column:
     return F.when(text.rlike(kind.pattern), rows).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,length:int,ok:boolean>>"))
 
 
+def matches(text: Column) -> Column:
+    """All matches of all kinds in a text."""
+    return F.concat(*[_matches(text, n, k) for n, k in enumerate(KINDS)])
+
+
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """cr_id, cr_tag (of the text), kind (number), start, end of every reported span."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("cr_id"), F.xxhash64(body).alias("cr_tag"), body.alias("cr_text"))
-    every = F.concat(*[_matches(F.col("cr_text"), n, k) for n, k in enumerate(KINDS)])
-    rows = base.select("cr_id", "cr_tag", F.explode(every).alias("m")).select("cr_id", "cr_tag", "m.*")
+    return linked_spans(base.select("cr_id", "cr_tag", F.explode(matches(F.col("cr_text"))).alias("m")))
+
+
+def linked_spans(found: DataFrame) -> DataFrame:
+    """The spans to report of matches (cr_id, cr_tag, m)."""
+    rows = found.select("cr_id", "cr_tag", "m.*")
     # Rows with equal id and text give equal matches: one of each.
     rows = rows.groupBy("cr_id", "cr_tag", "kind", "i").agg(*[F.min(c).alias(c) for c in ("gap", "length", "ok")])
     upto = Window.partitionBy("cr_id", "cr_tag", "kind").orderBy("i")
@@ -146,13 +155,14 @@ def listed(found: Column) -> Column:
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = MARK) -> DataFrame:
     """docs with every reported span (overlapping ones as one) replaced by mark; columns stay, whatever
-    they are called. Only documents that match some pattern are written, scanned and shuffled."""
+    they are called. Rows are written once with their matches, so texts go through the patterns a single time; only
+    rows with a match are shuffled."""
     body = F.col(f"`{text}`")
-    some = F.coalesce(body.rlike("|".join(f"(?:{k.pattern})" for k in KINDS)), F.lit(False))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("cr_row")
-    hit = docs.filter(some).select(row, F.col(f"`{doc_id}`").alias("cr_doc"), body.alias("cr_body"), F.xxhash64(body).alias("cr_own"))
-    hit = store(hit, "secret-texts")
-    found = spans(hit, "cr_doc", "cr_body")
+    rows = docs.select(row, F.monotonically_increasing_id().alias("cr_at"), matches(F.coalesce(body, F.lit(""))).alias("cr_matches"))
+    rows = store(rows, "secret-rows")
+    some = F.size("cr_matches") > 0
+    found = linked_spans(rows.filter(some).select(F.col("cr_at").alias("cr_id"), F.lit(0).alias("cr_tag"), F.explode("cr_matches").alias("m")))
     order = Window.partitionBy("cr_id", "cr_tag").orderBy("start", "end")
     ahead = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("fresh", F.coalesce((F.col("start") > ahead).cast("int"), F.lit(1)))
@@ -162,9 +172,10 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: st
     each = Window.partitionBy("cr_id", "cr_tag").orderBy("block")
     found = found.withColumn("from", F.coalesce(F.lag("b").over(each), F.lit(0)))
     found = found.groupBy("cr_id", "cr_tag").agg(F.array_sort(F.collect_list(F.struct(F.col("from").alias("from"), F.col("a").alias("to")))).alias("cr_gaps"), F.max("b").alias("cr_last"))
-    hit = hit.join(found, hit["cr_doc"].eqNullSafe(found["cr_id"]) & (hit["cr_own"] == found["cr_tag"]), "left")
-    parts = F.transform("cr_gaps", lambda g: F.substr("cr_body", (g["from"] + 1).cast("int"), (g["to"] - g["from"]).cast("int")))
-    tail = F.substr("cr_body", (F.col("cr_last") + 1).cast("int"))
-    clean = F.when(F.col("cr_last").isNull(), F.col("cr_body")).otherwise(F.array_join(F.concat(parts, F.array(tail)), mark))
+    own = F.col("cr_row").getField(text)
+    hit = rows.filter(some).join(found, F.col("cr_at") == F.col("cr_id"), "left")
+    parts = F.transform("cr_gaps", lambda g: F.substr(own, (g["from"] + 1).cast("int"), (g["to"] - g["from"]).cast("int")))
+    tail = F.substr(own, (F.col("cr_last") + 1).cast("int"))
+    clean = F.when(F.col("cr_last").isNull(), own).otherwise(F.array_join(F.concat(parts, F.array(tail)), mark))
     hit = hit.select(*[clean.alias(c) if c == text else F.col("cr_row").getField(c).alias(c) for c in docs.columns])
-    return docs.filter(~some).unionByName(hit)
+    return rows.filter(~some).select("cr_row.*").unionByName(hit)
