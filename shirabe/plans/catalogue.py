@@ -13,12 +13,13 @@ from shirabe.config import CATEGORIES, SETTINGS
 from shirabe.functions import dual as D
 from shirabe.functions import text as T
 from shirabe.functions import urls as U
-from shirabe.operators import archive, compare, crawl, report, robots, rules, safety, scoring, site, store
+from shirabe.operators import admission, archive, compare, crawl, report, robots, rules, safety, scoring, site, store
 from shirabe.plans import mutations as M
 from shirabe.plans import oracle as O
 from shirabe.plans.mutations import mutated, mutated_sql
 from shirabe.sources import facts as X
 from shirabe.sources import html
+from shirabe.streaming import usage
 from shirabe.storage import counted_small, new_path, numbered_within, table
 from shirabe.storage import store as keep
 
@@ -571,6 +572,51 @@ def q_quota_exceeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.over_quota(q_usage_month(spark, sf_dir), _LIMITS)
 
 
+#: Requests: an event asks at its time, runs for a while told by its id, and every fifth fails.
+_REQUESTS = 'event_id AS id, user_id::VARCHAR AS owner, event_type AS kind, ts AS start, CASE WHEN event_id % 5 <> 0 THEN ts + to_hours(event_id * 37 % 120) END AS "end"'
+_QUOTA = {"view": SETTINGS.free_audits, "click": SETTINGS.free_advice, "purchase": 1}
+_LIMIT_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in _QUOTA.items()) + " END"
+_ADMIT = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, {_LIMIT_SQL} AS lim, row_number() OVER (PARTITION BY owner, kind ORDER BY start, id) AS i FROM (SELECT {_REQUESTS} FROM events)),
+ walk(id, owner, kind, i, used, accepted) AS (
+  SELECT NULL::BIGINT, owner, kind, 0::BIGINT, []::TIMESTAMP[], false FROM (SELECT DISTINCT owner, kind FROM e)
+  UNION ALL
+  SELECT id, owner, kind, i, CASE WHEN ok AND "end" IS NOT NULL THEN list_append(used, "end") ELSE used END, ok FROM (
+   SELECT e.*, w.used, e.lim IS NULL OR e.owner IN ('7', '13') OR len(list_filter(w.used, lambda x: x <= e.start AND date_trunc('month', x) = date_trunc('month', e.start))) < e.lim AS ok
+   FROM walk w JOIN e ON e.owner = w.owner AND e.kind = w.kind AND e.i = w.i + 1))
+"""
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = "CASE WHEN event_id % 5 <> 0 THEN ts + make_interval(0, 0, 0, 0, CAST(event_id * 37 % 120 AS INT)) END"
+    asked = table(spark, sf_dir, "events").selectExpr("event_id AS id", "CAST(user_id AS STRING) AS owner", "event_type AS kind", "ts AS start", f"{end} AS end")
+    return admission.admit(asked, _QUOTA, _ADMINS)
+
+
+@query("q_admission", _ADMIT + "SELECT id, owner, kind, accepted FROM walk WHERE i > 0")
+def q_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which requests a monthly quota lets through; the SQL takes them one by one."""
+    return _admitted(spark, sf_dir).select("id", "owner", "kind", "accepted")
+
+
+@query("q_admission_usage", _ADMIT + """SELECT w.owner, w.kind, date_trunc('month', "end")::DATE AS month, COUNT(*) AS used FROM walk w JOIN e USING (id) WHERE w.i > 0 AND w.accepted AND "end" IS NOT NULL GROUP BY ALL""")
+def q_admission_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the admitted requests use, appended to the store and counted from it."""
+    to = _archive(spark)
+    to.append(admission.usage(_admitted(spark, sf_dir)), "usage")
+    return store.usage_by_month(to.read("usage"), "owner", "kind", "created_at")
+
+
+@query("q_usage_stream", "SELECT user_id::VARCHAR AS owner, event_type AS kind, date_trunc('month', ts)::DATE AS month, COUNT(*) AS used FROM events GROUP BY ALL")
+def q_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly usage from a stream that gets the events in no order, in several files, a tenth of them twice."""
+    landing, sink, state = (new_path(spark, f"usage-{n}") for n in ("landing", "sink", "state"))
+    events = table(spark, sf_dir, "events").selectExpr("CAST(event_id AS STRING) AS id", "CAST(user_id AS STRING) AS owner", "event_type AS kind", "ts AS at")
+    twice = events.unionByName(events.filter("xxhash64(id) % 10 = 0")).withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(4)))
+    twice.repartition("part").drop("part").write.parquet(landing)
+    usage.count_usage(spark, landing, sink, state, late="1000 days", files=2).awaitTermination()
+    return usage.usage_counts(spark, sink)
+
+
 @query("q_site_counts", "SELECT c_mktsegment AS owner, COUNT(*) AS sites FROM customer GROUP BY 1")
 def q_site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("owner")).agg(F.count("*").alias("sites"))
