@@ -60,8 +60,12 @@ _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _QUAD = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 #: A host that ends in a number is read as an address by resolvers, whatever its form.
 _NUMBER = r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)$"
-#: What a name is made of; full-width digits and dots turn into plain ones when names are resolved.
-_NAME = r"^[^\x00-\x20\x7F/?#@:\[\]%\\<>^|`{}\"\x{3002}\x{FF0E}\x{FF61}\x{FF10}-\x{FF19}]+$"
+#: What a name is made of: ASCII letters, digits, and letters that stay what they are when names are mapped for lookup.
+#: Anything else (circled, raised and full-width characters, other dots, ignorable ones) may turn into an address or
+#: into localhost there, so it is refused.
+_NAME = r"^[a-z0-9._\-\x{DF}-\x{F6}\x{F8}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{3B1}-\x{3C9}\x{430}-\x{45F}\x{3005}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{30FC}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]+$"
+#: A backslash counts as a slash with many clients; neither it nor white space or control characters may stand before the path.
+_BENT = r"^[^/?#]*(?://)?[^/?#]*[\x00-\x20\x7F\\]"
 _SIX = r"^\[[23][0-9a-f]{3}:(?:[0-9a-f]{0,4}:){0,6}[0-9a-f]{0,4}\]$"
 
 
@@ -90,7 +94,7 @@ def public_literal(url: Dual) -> Column:
     resolved addresses by `operators.safety.validate`."""
     ports = [str(p) for p in BLOCKED_PORTS]
     number = F.regexp_replace(port(url).col, "^0+(?=[0-9])", "")
-    return scheme(url).col.isin("http", "https") & ~number.isin(*ports) & public_host(host(url).col)
+    return scheme(url).col.isin("http", "https") & ~url.col.rlike(_BENT) & ~number.isin(*ports) & public_host(host(url).col)
 
 
 def with_scheme(url: Dual) -> Dual:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shirabe.config import SETTINGS
+from shirabe.storage import counted_small, unused
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -55,13 +56,23 @@ def visible(rows: DataFrame, owner: str, admins: Sequence[str] = ()) -> DataFram
     return rows.filter(is_admin(me, admins) | (F.col("owner") == me))
 
 
+#: Parts that rows are dealt to where admins are too many to be broadcast.
+PARTS = 64
+
+
 def visible_to(rows: DataFrame, viewers: DataFrame, name: str, admins: Sequence[str]) -> DataFrame:
-    """The rows that each viewer (name: the owner they are) sees: one join by owner; admins, of whom there
-    are as many as in `admins`, are joined with all."""
+    """The rows that each viewer (name: the owner they are) sees: one join by owner; an admin sees all. The result has
+    a row for each pair, so rows times admins are its size. Rows are dealt to parts by their hash, and every part
+    meets each admin: those are broadcast where their count is low, else sent once to each part."""
     admin = is_admin(F.col(name), admins)
     own = viewers.filter(~admin).join(rows, F.col(name) == F.col("owner"))
-    every = viewers.filter(admin).withColumn("all", F.lit(1)).join(rows.withColumn("everyone", F.lit(1)), F.col("all") == F.col("everyone")).drop("all", "everyone")
-    return own.unionByName(every)
+    all_ = viewers.filter(admin)
+    few = counted_small(all_)
+    parts = 1 if few is F.broadcast else PARTS
+    at, part = unused(("at", "part"), [*rows.columns, *viewers.columns]).values()
+    dealt = rows.withColumn(at, F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    every = few(all_.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))).join(dealt, F.col(part) == F.col(at))
+    return own.unionByName(every.drop(at, part))
 
 
 def is_admin(owner: Column, admins: Sequence[str]) -> Column:

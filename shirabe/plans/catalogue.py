@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -373,8 +373,10 @@ _LITERALS = (
     "https://example.com:6379/", "https://172.20.1.1/", "https://172.32.1.1/", "http://224.0.0.1/", "http://0.0.0.0/", "https://a.jp:443/x", "http://2130706433/", "http://127.1/", "http://127.0.0.1./",
     "http://198.18.0.1/", "http://[::1]/", "http://[::ffff:10.0.0.1]/", "http://localhost./", "http://0x7f.0.0.1/", "http://0177.0.0.1/", "https://[2606:4700:4700::1111]/", "http://[2001:db8::1]/",
     "http://[fe80::1]:80/", "http://[2002:a00:1::]/", "http://u:p@[2606:4700::1]:6379/", "http://a.b.0x1f/", "http://user@10.0.0.1/", "http://192.0.2.7/", "http://203.0.113.9/", "http://a.localhost/", "http://[::]/",
+    "http://127.0.0.①/", "http://127.0.0.¹/", "http://ｌｏｃａｌｈｏｓｔ/", "http://ⓛocalhost/", "http://loc\u00adalhost/", "http://127.0.0.1\\@example.com/", "http://127。0。0。1/", "https://日本語.jp/", "http://Éa.example/",
+    "http://a_b.example/", "http://exa mple.com/", "http://a.example/x\\y", "http://ĳ.example/", "http://a\u200bb.example/", "http://10.0.0.1%2f.example/",
 )
-_ADDRESSES = "(" + "SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in _LITERALS) + ") v(raw)"
+_ADDRESSES = "(" + "SELECT * FROM (VALUES " + ", ".join("('" + x.replace(chr(92), "' || chr(92) || '") + "')" for x in _LITERALS) + ") v(raw)"
 _ADDRESSES += " UNION ALL SELECT 'http://' || (c_custkey * 37 % 256) || '.' || (c_custkey * 101 % 256) || '.' || (c_custkey % 256) || '.' || (c_nationkey + 1) || '/' FROM customer"
 _ADDRESSES += " UNION ALL SELECT 'http://' || o_orderkey * 2861 || CASE WHEN o_custkey % 3 = 0 THEN '.1/' ELSE '.example:' || o_custkey || '/' END FROM orders)"
 _SCHEMED = f"(SELECT raw, CASE WHEN regexp_matches(trim(raw), '^[A-Za-z][A-Za-z0-9+.-]*:') THEN trim(raw) ELSE 'https://' || trim(raw) END AS url FROM {_ADDRESSES})"
@@ -428,38 +430,63 @@ _ORDERED = f"ordered AS (SELECT *, row_number() OVER (PARTITION BY url_host ORDE
 _TOP = f"top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url_host ORDER BY {_RANK}, {_TIES_SQL}) AS number FROM found) WHERE number <= {SETTINGS.prompt_findings})"
 
 
-@dataclass(frozen=True)
 class Audits:
-    """facts: of all pages; findings: of pages and hosts; audits: pages (read without an error, what
-    scores divide by) and page_count of each host; sites: facts of hosts."""
+    """Audits of the hosts of `pages`; each table is written when it is first asked for, and once.
+
+    facts: of all pages; audits: pages (read without an error, what scores divide by) and page_count of each host;
+    sites: facts of hosts; findings: of pages and hosts."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return keep(pages(self.spark, self.sf_dir), "facts")
+
+    @cached_property
+    def read(self) -> DataFrame:
+        return self.facts.filter("error = ''")
 
-    facts: DataFrame
-    findings: DataFrame
-    audits: DataFrame
-    sites: DataFrame
+    @cached_property
+    def audits(self) -> DataFrame:
+        return keep(self._counted(self.facts), "audits")
+
+    @staticmethod
+    def _counted(facts: DataFrame) -> DataFrame:
+        return facts.groupBy("url_host").agg(F.count_if(F.col("error") == "").alias("pages"), F.count("*").alias("page_count"))
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """audits, without the parser: hosts and errors are known before it."""
+        fetched = mutated(self.spark, self.sf_dir).select(U.host(D.name("url")).col.alias("url_host"), "error")
+        return self._counted(fetched)
 
     @property
     def scored(self) -> DataFrame:
         """Audits with a page; one whose pages all failed has no score."""
         return self.audits.filter("pages > 0")
 
+    @cached_property
+    def sites(self) -> DataFrame:
+        hosts = self.scored.select(F.col("url_host").alias("site"), F.concat(F.lit("https://"), "url_host").alias("base_url"))
+        bodies, parsed, first, _ = _sitemaps(self.spark, self.sf_dir, hosts)
+        return keep(site.facts(hosts, bodies, parsed, first, _broken(self.read)), "sites")
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        every = rules.findings(self.read, _KEYS).select(F.lit(0).alias("part"), "*")
+        place = F.array_position(F.array(*[F.lit(r) for r in _SITE_ORDER]), F.col("rule")) - 1
+        columns = [F.lit(1).alias("part"), F.col("site").alias("url_host"), F.lit(None).cast("long").alias("page_id")]
+        about = rules.findings(self.sites, ["site", "base_url"], site.SITE_RULES).withColumnRenamed("base_url", "url").drop("rule_ord")
+        for value, rule in _SHARED:
+            about = about.unionByName(site.duplicate_findings(site.duplicates(self.read, "url_host", value, "url", "page_id"), rule).drop("first_seq"))
+        every = every.unionByName(about.select(*columns, "url", place.cast("int").alias("rule_ord"), "rule", "category", "severity", "evidence"))
+        return keep(every, "findings")
+
 
 def audited(spark: SparkSession, sf_dir: str) -> Audits:
     """An audit is a host of `pages`."""
-    facts = keep(pages(spark, sf_dir), "facts")  # read several times below
-    ok = facts.filter("error = ''")
-    counts = facts.groupBy("url_host").agg(F.count_if(F.col("error") == "").alias("pages"), F.count("*").alias("page_count"))
-    every = rules.findings(ok, _KEYS).select(F.lit(0).alias("part"), "*")
-    hosts = counts.filter("pages > 0").select(F.col("url_host").alias("site"), F.concat(F.lit("https://"), "url_host").alias("base_url"))
-    bodies, parsed, first, _ = _sitemaps(spark, sf_dir, hosts)
-    sites = keep(site.facts(hosts, bodies, parsed, first, _broken(ok)), "sites")
-    place = F.array_position(F.array(*[F.lit(r) for r in _SITE_ORDER]), F.col("rule")) - 1
-    columns = [F.lit(1).alias("part"), F.col("site").alias("url_host"), F.lit(None).cast("long").alias("page_id")]
-    about = rules.findings(sites, ["site", "base_url"], site.SITE_RULES).withColumnRenamed("base_url", "url").drop("rule_ord")
-    for value, rule in _SHARED:
-        about = about.unionByName(site.duplicate_findings(site.duplicates(ok, "url_host", value, "url", "page_id"), rule).drop("first_seq"))
-    every = every.unionByName(about.select(*columns, "url", place.cast("int").alias("rule_ord"), "rule", "category", "severity", "evidence"))
-    return Audits(facts, keep(every, "findings"), counts, sites)
+    return Audits(spark, sf_dir)
 
 
 @query("q_rules_site", f"{_WHOLE} SELECT url_host AS site, rule, category, severity, evidence FROM about WHERE rule NOT LIKE '%.duplicate'")
@@ -491,7 +518,7 @@ def q_score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_audit_status", f"{_WHOLE} SELECT url_host, page_count, pages, CASE WHEN pages = 0 THEN 'failed' ELSE 'done' END AS status FROM audits")
 def q_audit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audited(spark, sf_dir).audits.select("url_host", "page_count", "pages", F.when(F.col("pages") == 0, "failed").otherwise("done").alias("status"))
+    return audited(spark, sf_dir).outcomes.select("url_host", "page_count", "pages", F.when(F.col("pages") == 0, "failed").otherwise("done").alias("status"))
 
 
 @query("q_severity_counts", f"{_WHOLE} SELECT severity, CASE severity WHEN 'critical' THEN 'Critical' WHEN 'warning' THEN 'Warning' ELSE 'Info' END AS label, category, COUNT(*) AS n FROM found GROUP BY ALL")

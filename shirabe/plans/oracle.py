@@ -98,13 +98,17 @@ def public(raw: str) -> str:
     closed = [(0, 8), (10 << 24, 8), (100 << 24 | 64 << 16, 10), (127 << 24, 8), (169 << 24 | 254 << 16, 16), (172 << 24 | 16 << 16, 12), (192 << 24, 24), (192 << 24 | 2 << 8, 24),
               (192 << 24 | 168 << 16, 16), (198 << 24 | 18 << 16, 15), (198 << 24 | 51 << 16 | 100 << 8, 24), (203 << 24 | 113 << 8, 24), (224 << 24, 3)]
     blocks = " OR ".join(f"({number}) // {1 << (32 - bits)} = {base >> (32 - bits)}" for base, bits in closed)
+    # Code points of digits and of letters that lookups leave as they are.
+    letters = ((48, 57), (97, 122), (0xDF, 0xF6), (0xF8, 0x131), (0x134, 0x13E), (0x141, 0x148), (0x14A, 0x17E), (0x3B1, 0x3C9), (0x430, 0x45F), (0x3005, 0x3005), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x30FC, 0x30FC), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+    letter = "(" + " OR ".join(f"unicode(c) BETWEEN {lo} AND {hi}" for lo, hi in letters) + ")"
     return f"""(SELECT raw, url, lower(regexp_extract(url, '^[^:]*')) IN ('http', 'https')
       AND COALESCE(TRY_CAST(NULLIF(regexp_extract(rest, ':([0-9]+)$', 1), '') AS BIGINT), 80) NOT IN (22, 23, 25, 445, 3306, 5432, 6379, 11211, 11434)
       AND CASE
         WHEN starts_with(host, '[') THEN len(groups) = 8 AND list_bool_and(list_transform(groups, lambda g: regexp_matches(g, '^[0-9a-f]{{1,4}}$')))
           AND g1 BETWEEN 8192 AND 16383 AND g1 <> 8194 AND NOT (g1 = 8193 AND (g2 < 512 OR g2 = 3512)) AND NOT (g1 = 16383 AND g2 < 4096)
         WHEN len(parts) = 4 AND list_bool_and(list_transform(parts, lambda p: regexp_matches(p, '^(0|[1-9][0-9]{{0,2}})$') AND TRY_CAST(p AS INT) <= 255)) THEN NOT ({blocks})
-        ELSE host <> '' AND host <> 'localhost' AND NOT ends_with(host, '.localhost') AND NOT regexp_matches(parts[-1], '^([0-9]+|0x[0-9a-f]*)$') AND NOT regexp_matches(host, '[\\x00-\\x20@\\[\\]%\\\\<>^|`{{}}"]') END AS accepted
+        ELSE host <> '' AND host <> 'localhost' AND NOT ends_with(host, '.localhost') AND NOT regexp_matches(parts[-1], '^([0-9]+|0x[0-9a-f]*)$') AND list_bool_and(list_transform(string_split(host, ''), lambda c: c IN ('.', '_', '-') OR {letter})) END
+        AND list_bool_and(list_transform(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*'), ''), lambda c: unicode(c) > 32 AND unicode(c) NOT IN (92, 127))) AS accepted
      FROM (SELECT *, TRY_CAST(parts[1] AS BIGINT) AS a, TRY_CAST(parts[2] AS BIGINT) AS b, TRY_CAST(parts[3] AS BIGINT) AS c, TRY_CAST(parts[4] AS BIGINT) AS d,
         TRY_CAST('0x' || groups[1] AS BIGINT) AS g1, TRY_CAST('0x' || groups[2] AS BIGINT) AS g2
       FROM (SELECT *, string_split(host, '.') AS parts,
