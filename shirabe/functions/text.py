@@ -23,14 +23,14 @@ MOJIBAKE = r"[\x{C3}\x{C2}][\x{80}-\x{BF}]|\x{FFFD}{2,}"
 
 
 @cache
-def wide() -> str:
-    """A class of the characters that take a full cell: East Asian width W, F or A, from the
-    character database."""
+def wide(full: str = "WFA") -> str:
+    """A class of the characters that take a full cell: East Asian width W, F or A unless told otherwise, from
+    the character database."""
     spans: list[list[int]] = []
     for code in range(sys.maxunicode + 1):
         if 0xD800 <= code <= 0xDFFF:
             continue
-        if unicodedata.east_asian_width(chr(code)) in "WFA":
+        if unicodedata.east_asian_width(chr(code)) in full:
             if spans and spans[-1][1] == code - 1:
                 spans[-1][1] = code
             else:
@@ -44,15 +44,15 @@ def norm(x: Dual) -> Dual:
     return Dual(F.trim(one.col), f"trim({one.sql}, ' ')")
 
 
-def visible_length(x: Dual) -> Dual:
+def visible_length(x: Dual, full: str = "WFA") -> Dual:
     """Width in full cells, rounded up: wide characters count 1, others half."""
-    n, w = D.length(x), D.count(x, wide())
+    n, w = D.length(x), D.count(x, wide(full))
     return Dual(F.ceil((n.col + w.col) / 2).cast("int"), f"ceil(({n.sql} + {w.sql}) / 2.0)::INT")
 
 
-def has_japanese(x: Dual) -> Dual:
+def has_japanese(x: Dual, letters: str = JAPANESE) -> Dual:
     """Enough Japanese characters, in number and in share of all."""
-    n, j = D.length(x), D.count(x, JAPANESE)
+    n, j = D.length(x), D.count(x, letters)
     least, share = THRESHOLDS.japanese_least, THRESHOLDS.japanese_share
     return Dual((j.col >= least) & (j.col >= F.lit(share) * n.col), f"({j.sql} >= {least} AND {j.sql} >= {share}::DOUBLE * {n.sql})")
 

@@ -13,7 +13,7 @@ from shirabe.config import CATEGORIES, SETTINGS
 from shirabe.functions import dual as D
 from shirabe.functions import text as T
 from shirabe.functions import urls as U
-from shirabe.operators import admission, archive, compare, crawl, report, robots, rules, safety, scoring, site, store
+from shirabe.operators import admission, archive, compare, crawl, dialects, report, robots, rules, safety, scoring, site, store
 from shirabe.plans import mutations as M
 from shirabe.plans import oracle as O
 from shirabe.plans.mutations import mutated, mutated_sql
@@ -934,6 +934,47 @@ def q_impl_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.unionByName(told.agg(F.count("*").alias("n")).select(F.lit("rows").alias("side"), "n"))
 
 
+# The two implementations as dialects: facts of each as the SQL tells them.
+_OTHER_RULES = tuple(r for r in O.PAGE_RULES if r[0] != "crawl.redirect_chain")
+_CELLS = {c: f"ceil((length({c}) + len(regexp_extract_all({c}, '{T.wide('WF')}'))) / 2.0)::INT" for c in ("title", "description")}
+_JA = "len(regexp_extract_all(text_sample, '[\\x{3041}-\\x{309F}\\x{30A1}-\\x{30FA}\\x{4E00}-\\x{9FFF}]'))"
+_DIALECTS = f"""WITH {PAGES}, ok AS MATERIALIZED (SELECT * FROM pages_facts WHERE error = ''),
+ one AS (SELECT * REPLACE ({_CELLS['title']} AS title_width, {_CELLS['description']} AS description_width, {_JA} >= 40 AND {_JA} >= 0.08::DOUBLE * length(text_sample) AS has_ja, round(elapsed, 3) AS elapsed) FROM ok),
+ two AS (SELECT * REPLACE (0 AS blocking_scripts, {_NORMAL.format('canonical')} AS canonical_normal, {_NORMAL.format('url')} AS url_normal) FROM ok),
+ found AS MATERIALIZED (SELECT 'left' AS side, url_host, rule, category, severity FROM ({O.findings('two', 'url_host', O.PAGE_RULES)}) UNION ALL SELECT 'right', url_host, rule, category, severity FROM ({O.findings('one', 'url_host', _OTHER_RULES)})),
+ audits AS (SELECT url_host, COUNT(*) AS pages FROM ok GROUP BY 1), sides AS (SELECT unnest(['left', 'right']) AS side),
+ lists AS (SELECT url_host, rule, COUNT(*) FILTER (side = 'left') AS left_n, COUNT(*) FILTER (side = 'right') AS right_n FROM found GROUP BY ALL HAVING left_n <> right_n)"""
+_SIDES = f"""o AS (SELECT a.url_host, s.side, {O.SCORE.format(f'SUM({O.WEIGHT})', 'any_value(a.pages)')} AS overall, COUNT(*) FILTER (severity = 'critical') || '/' || COUNT(*) FILTER (severity = 'warning') || '/' || COUNT(*) FILTER (severity = 'info') AS counts
+   FROM audits a CROSS JOIN sides s LEFT JOIN found f ON f.url_host = a.url_host AND f.side = s.side GROUP BY ALL),
+ k AS (SELECT a.url_host, s.side, c.category, {O.SCORE.format(f'SUM({O.WEIGHT})', 'any_value(a.pages)')} AS score FROM audits a CROSS JOIN sides s CROSS JOIN (SELECT * FROM (VALUES {O.CATEGORIES}) v(place, category, label)) c
+   LEFT JOIN found f ON f.url_host = a.url_host AND f.side = s.side AND f.category = c.category GROUP BY ALL),
+ m AS (SELECT url_host, side, string_agg(category || score, ',' ORDER BY category) AS parts FROM k GROUP BY ALL)"""
+
+
+def _dialect_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    facts = Audits(spark, sf_dir).read
+    left, right = (keep(dialects.findings(facts, d, ["url_host"]), d.name) for d in (dialects.SERVICE, dialects.SINGLE_FILE))
+    return left, right, facts.groupBy("url_host").agg(F.count("*").alias("pages"))
+
+
+@query("q_dialect_rules", f"{_DIALECTS} SELECT url_host, rule, left_n, right_n FROM lists")
+def q_dialect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the two implementations find differently often in an audit."""
+    left, right, _ = _dialect_findings(spark, sf_dir)
+    return dialects.rule_differences(left, right, "url_host")
+
+
+@query(
+    "q_dialect_verdicts",
+    f"""{_DIALECTS}, {_SIDES} SELECT l.url_host, l.overall AS left_overall, r.overall AS right_overall, l.overall = r.overall AS same_overall, l.counts = r.counts AS same_counts, p.parts = q.parts AS same_categories,
+ NOT EXISTS (SELECT 1 FROM lists x WHERE x.url_host = l.url_host) AS same_rules FROM o l JOIN o r ON r.url_host = l.url_host AND r.side = 'right' JOIN m p ON p.url_host = l.url_host AND p.side = 'left' JOIN m q ON q.url_host = l.url_host AND q.side = 'right' WHERE l.side = 'left'""",
+)
+def q_dialect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the two implementations agree on each audit."""
+    left, right, audits = _dialect_findings(spark, sf_dir)
+    return dialects.verdicts(left, right, audits, "url_host")
+
+
 @query("q_doc_thin", f"SELECT doc_id, length(regexp_replace(text, '{T.SPACE}+', '', 'g'))::INT AS text_length FROM documents WHERE length(regexp_replace(text, '{T.SPACE}+', '', 'g')) < 300")
 def q_doc_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = D.length(D.sub(D.name("text"), T.SPACE + "+", "")).col
