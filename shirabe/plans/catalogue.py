@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shirabe.config import CATEGORIES, SETTINGS
 from shirabe.functions import dual as D
+from shirabe.functions import jsonld
 from shirabe.functions import text as T
 from shirabe.functions import urls as U
 from shirabe.operators import admission, archive, compare, crawl, dialects, report, robots, rules, safety, scoring, site, store
@@ -106,6 +107,13 @@ def q_jsonld_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "jsonld_list", "jsonld_count", "jsonld_invalid", "has_breadcrumb")
 
 
+@query("q_jsonld_variant", f"WITH {PAGES} SELECT page_id, jsonld_list, jsonld_count, jsonld_invalid FROM pages_facts")
+def q_jsonld_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same facts without the parser, from documents as VARIANT."""
+    found = mutated(spark, sf_dir).select("page_id", jsonld.types(F.col("html")).alias("types"), jsonld.invalid(F.col("html")).alias("jsonld_invalid"))
+    return found.select("page_id", F.array_join("types", ", ").alias("jsonld_list"), F.size("types").alias("jsonld_count"), "jsonld_invalid")
+
+
 @query("q_og_missing", f"WITH {PAGES} SELECT page_id, og_missing FROM pages_facts")
 def q_og_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "og_missing")
