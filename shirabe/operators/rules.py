@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shirabe.config import THRESHOLDS as L
@@ -81,8 +82,9 @@ PAGE_RULES: tuple[Rule, ...] = (
 )
 
 
-def findings(facts: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = PAGE_RULES) -> DataFrame:
-    """keys, rule_ord, rule, category, severity and evidence of every hit."""
+def findings(facts: DataFrame, keys: Sequence[str], rules: Sequence[Rule] | None = None) -> DataFrame:
+    """keys, rule_ord, rule, category, severity and evidence of every hit; of all page rules, unless given some."""
+    rules = every() if rules is None else rules
     hits = [
         F.when(F.expr(r.when), F.struct(F.lit(i).alias("rule_ord"), F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.expr(r.evidence).alias("evidence")))
         for i, r in enumerate(rules)
@@ -101,9 +103,26 @@ def register(rule: Rule) -> None:
     _ADDED.append(rule)
 
 
+#: A table of rules: valid_from is the day from which on a rule holds, of rules with one id the last that does.
+TABLE = "place int, id string, severity string, predicate string, evidence string, message string, action string, valid_from date"
+
+
+def to_table(spark: SparkSession, rules: Sequence[Rule], valid_from: date) -> DataFrame:
+    rows = [(i, r.id, r.severity, r.when, r.evidence, r.message, r.action, valid_from) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, TABLE)
+
+
+def from_table(table: DataFrame, on: date) -> tuple[Rule, ...]:
+    """The rules of a table that hold on a day, in order of place and id. A rule that is empty then (no predicate) holds no
+    more. Rules are settings: they are read to the driver, which makes the plan of them."""
+    rows = table.filter(F.col("valid_from") <= F.lit(on)).groupBy("id").agg(F.max_by(F.struct("place", "severity", "predicate", "evidence", "message", "action"), "valid_from").alias("r"))
+    rows = rows.select("id", "r.*").filter("predicate IS NOT NULL").orderBy("place", "id").collect()
+    return tuple(Rule(r["id"], r["severity"], r["predicate"], r["evidence"] or "''", r["message"] or "", r["action"] or "") for r in rows)
+
+
 def every() -> tuple[Rule, ...]:
     return PAGE_RULES + tuple(_ADDED)
 
 
 def by_category(category: str) -> tuple[Rule, ...]:
-    return tuple(r for r in PAGE_RULES if r.category == category)
+    return tuple(r for r in every() if r.category == category)

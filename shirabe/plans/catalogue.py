@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shirabe import sql
 from shirabe.config import CATEGORIES, SETTINGS
 from shirabe.functions import dual as D
 from shirabe.functions import jsonld
@@ -141,17 +143,38 @@ _KEYS = ["url_host", "page_id", "url"]
 
 
 def _category_query(category: str) -> None:
-    own = rules.by_category(category)
-
     @query(f"q_rules_{category}", f"WITH {PAGES} {O.findings('pages_facts', 'page_id', O.PAGE_RULES, category)}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rules.findings(pages(spark, sf_dir), ["page_id"], own)
+        return rules.findings(pages(spark, sf_dir), ["page_id"], rules.by_category(category))
 
 
 for _c, _ in CATEGORIES:
     _category_query(_c)
 
 
+_TABLE_RULES = tuple(
+    (r, "critical", w, e) if r == "content.thin" else (r, s, w, e) for r, s, w, e in O.PAGE_RULES if r != "social.og.partial"
+) + (("content.no_image", "info", "images_total = 0", "length(title) || ' characters of title'"),)
+
+
+@query("q_rules_table", f"WITH {PAGES} SELECT page_id, rule, category, severity, evidence FROM ({O.findings('pages_facts', 'page_id', _TABLE_RULES)})")
+def q_rules_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules kept as a table: one is made graver from a day on, one is given up, an own one is new, a later one doesn't
+    hold yet."""
+    path = new_path(spark, "rules")
+    rules.to_table(spark, rules.PAGE_RULES, date(2024, 1, 1)).write.parquet(path)
+    thin = next(r for r in rules.PAGE_RULES if r.id == "content.thin")
+    later = [
+        (21, thin.id, "critical", thin.when, thin.evidence, thin.message, thin.action, date(2024, 5, 1)),
+        (20, "social.og.partial", None, None, None, None, None, date(2024, 5, 1)),
+        (99, "content.no_image", "info", "images_total = 0", "concat(char_length(title), ' characters of title')", None, None, date(2024, 5, 1)),
+        (99, "content.later", "info", "true", "''", None, None, date(2030, 1, 1)),
+    ]
+    spark.createDataFrame(later, rules.TABLE).write.mode("append").parquet(path)
+    held = rules.from_table(spark.read.parquet(path), date(2024, 6, 1))
+    return rules.findings(pages(spark, sf_dir), ["page_id"], held).drop("rule_ord")
+
+
 def _dup_sql(value: str, facts: str = "pages_facts") -> str:
     return f"""SELECT url_host AS site, {value} AS value, COUNT(*) AS n, min_by(url, page_id) AS first_url, array_to_string((list(url ORDER BY page_id))[1:3], ', ') AS first_urls
       FROM {facts} WHERE {value} <> '' GROUP BY ALL HAVING COUNT(*) > 1"""
@@ -286,6 +309,18 @@ def q_internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.edges(pages(spark, sf_dir)).groupBy("url_host").agg(F.count("*").alias("links"), F.countDistinct("target").alias("targets"))
 
 
+@query("q_sql_links", f"WITH pages_facts AS MATERIALIZED ({X.facts_sql(RAW)}), {_EDGES} SELECT page_id, pos, target, title_width FROM edge JOIN (SELECT page_id, title_width FROM pages_facts) USING (page_id)")
+def q_sql_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and widths by SQL alone."""
+    sql.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("sql_pages")
+    return spark.sql("""
+      SELECT t.page_id, l.pos, normal_url(l.target) AS target, t.title_width
+      FROM (SELECT p.*, display_width(norm_text(f.value)) AS title_width FROM sql_pages p, LATERAL page_facts(p.url, p.html) f WHERE f.name = 'title') t,
+        LATERAL page_links(t.url, t.html) l
+      WHERE url_host(l.target) = url_host(t.url)""")
+
+
 _CANDIDATES = f"""fresh AS (
   SELECT url_host, target, MIN((page_id, pos)) AS first_at FROM edge e WHERE NOT EXISTS (SELECT 1 FROM pages_facts p WHERE {_NORMAL.format('p.url')} = e.target) GROUP BY ALL),
  probe AS MATERIALIZED (SELECT * FROM (SELECT url_host, target, row_number() OVER (PARTITION BY url_host ORDER BY first_at, target)::INT AS pos FROM fresh) WHERE pos <= {SETTINGS.probes})"""
