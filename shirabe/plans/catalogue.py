@@ -14,6 +14,7 @@ from shirabe import sql
 from shirabe.config import CATEGORIES, SETTINGS
 from shirabe.functions import dual as D
 from shirabe.functions import jsonld
+from shirabe.functions.resolve import resolve
 from shirabe.functions import text as T
 from shirabe.functions import urls as U
 from shirabe.operators import admission, archive, compare, crawl, dialects, report, robots, rules, safety, scoring, site, store
@@ -304,6 +305,14 @@ def q_links_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.edges(pages(spark, sf_dir)).select("page_id", "pos", "target")
 
 
+@query("q_links_resolved", f"WITH {PAGES}, {_EDGES} SELECT page_id, pos, target FROM edge")
+def q_links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edges without the parser: links as pages spell them, resolved in columns."""
+    found = X.facts(mutated(spark, sf_dir))
+    whole = F.filter(F.transform("links", lambda x: resolve(F.col("url"), x)), lambda x: x.rlike("(?i)^https?://"))
+    return crawl.edges(found.withColumn("links", whole)).select("page_id", "pos", "target")
+
+
 @query("q_internal_links", f"WITH {PAGES}, {_EDGES} SELECT url_host, COUNT(*) AS links, COUNT(DISTINCT target) AS targets FROM edge GROUP BY url_host")
 def q_internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.edges(pages(spark, sf_dir)).groupBy("url_host").agg(F.count("*").alias("links"), F.countDistinct("target").alias("targets"))
