@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects documents by a measurement of the whole text. On a sample (SAMPLE documents from
-each input partition) every rule's cost and share of rejections are measured; the rules then run in
+Each rule rejects documents by a measurement of the whole text. On a sample (about SAMPLE documents
+of all) every rule's cost and share of rejections are measured; the rules then run in
 order of rejection per cost (as for independent filters, highest first), and each sees only the
 documents that the rules before it have let pass. A document is kept when no rule rejects it, so the
 order changes the cost and never the verdict.
@@ -28,8 +28,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from shirabe.llm import words as W
 from shirabe.llm.storage import unused
 
-#: Documents measured in each input partition (of its first batch) to order the rules.
-SAMPLE = 20
+#: Documents measured to order the rules: about so many of any table, chosen by the hash of their text. Equal texts are
+#: chosen together.
+SAMPLE = 2000
 WINDOW = 8
 
 _SYMBOL = np.zeros(256, bool)
@@ -230,29 +231,24 @@ def judge(texts: Texts, rules: Sequence[Rule]) -> np.ndarray:
     return verdict
 
 
-def sampled(texts: pa.Array, most: int = SAMPLE) -> pa.Array:
-    """The texts with the smallest hashes (of their first bytes), so a sample that depends on no order."""
-    bounds, data = W._buffers(texts)
-    hashes = W.byte_hashes(data, bounds[:-1], np.minimum(bounds[1:], bounds[:-1] + 64))
-    return texts.take(pa.array(np.argsort(hashes, kind="stable")[:most]))
-
-
 def order(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> list[Rule]:
-    """The rules by rejection per cost on a sample. Costs are the elements that a rule's measures go over
+    """The rules by rejection per cost on a sample of about SAMPLE documents, chosen by a hash of the text before any
+    reaches Python, so it depends on no order, partition or batch. Costs are the elements that a rule's measures go over
     (WORK), so reruns agree. A row for each rule reaches the driver."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, rejected, seen = [0.0] * len(rules), [0] * len(rules), 0
         for batch in batches:
-            for w in W.word_chunks(sampled(batch.column(0))):
+            for w in W.word_chunks(batch.column(0)):
                 seen += w.hi - w.lo
                 for i, rule in enumerate(rules):
                     rejected[i] += int(rule.rejects(Texts(w)).sum())
                     work[i] += sum(WORK[m](w) for m in rule.needs)
-            break
         yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "work": work, "rejected": rejected, "seen": [seen] * len(rules)})
 
-    got = docs.select(F.col(f"`{text}`")).mapInArrow(measure, "rule bigint, work double, rejected bigint, seen bigint")
+    one = docs.select(F.col(f"`{text}`").alias("text"))
+    one = one.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, one.count() // SAMPLE))) == 0)
+    got = one.mapInArrow(measure, "rule bigint, work double, rejected bigint, seen bigint")
     rows = got.groupBy("rule").agg(F.sum("work").alias("s"), F.sum("rejected").alias("r"), F.sum("seen").alias("n")).collect()
     gain = {r["rule"]: (r["r"] / r["n"]) / max(r["s"] / r["n"], 1e-9) if r["n"] else 0.0 for r in rows}
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain.get(i, 0.0), i))]
