@@ -12,8 +12,7 @@ again as the input of the next.
   a repeated document is a repeated row.
 * packing: the token pieces of all rows with their sequence and offset.
 
-An executor's memory is its heap, its buffers outside the heap and its Python workers, and the first two
-stay from stage to stage at the highest any stage has had. So each stage begins with `lean`.
+Python workers get texts in small batches, as executor and worker hold a batch several times over.
 """
 
 from __future__ import annotations
@@ -32,39 +31,36 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Bytes of a batch for Python workers. Spark's own limit lets all texts of a split be one batch, which
 #: executor and worker hold several times over, for each core.
 BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def lean(spark: SparkSession) -> None:
-    """Small batches for Python workers from here on, and the executors' free heap back to the system: a
-    full collection in a task for each core. Rows do not depend on either."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    cores = spark.sparkContext.defaultParallelism
-    collect = F.reflect(F.lit("java.lang.System"), F.lit("gc"))
-    spark.range(0, cores, 1, cores).select(collect.alias("gc")).write.format("noop").mode("overwrite").save()
+def small_batches(spark: SparkSession) -> None:
+    """Small batches for Python workers from here on; rows don't depend on it. `run` puts the setting back."""
+    spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lean(spark)
+    small_batches(spark)
     return quality.keep(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lean(spark)
+    small_batches(spark)
     return neardup.keep_first(docs, shingle=5, percent=80)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lean(spark)
+    small_batches(spark)
     return credentials.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lean(spark)
+    small_batches(spark)
     return mixing.repeat(docs, weights=(1, 2, 3), cap=3)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lean(spark)
+    small_batches(spark)
     return packing.pack_digests(docs, public_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
@@ -82,13 +78,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    bytes_ = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(bytes_)
+    before = spark.conf.get(_BYTES)
     try:
         for name, stage in STAGES:
             path = new_path(spark, f"pipeline-{name}")
             stage(spark, docs, sf_dir).write.parquet(path)
             docs = spark.read.parquet(path)
     finally:
-        spark.conf.set(bytes_, before)
+        spark.conf.set(_BYTES, before)
     return docs
