@@ -1,22 +1,32 @@
-"""License scans: an index of words that no match can do without, and alignment with templates.
-
-Templates and texts are sequences of normal words (lower-case, marks at the ends dropped). A match may
-lack a few of a template's words; of the longest words, one more than that go to the index, so each
-match has one of them, however it is changed. The index, whose size is that of the templates and never
-of the corpus, goes to the executors. A text with a word of the index, and with enough of a template's
-words in any order, is aligned with the template: for each word where an alignment can end, the one with
-the highest 2 * words matched - words added between them, of equals that with more words. This tolerates
-added, missing and changed words, and never joins two copies into one. Alignments that cover LEAST of the
-template's words are matches, with the span of the words they aligned, if the span holds the words that
-tell the license from others (`required`: name, number of clauses, version), each phrase unbroken; where they overlap, the better
-one stays, and the words between those that stay are aligned again until no alignment is left.
+"""License scans: winnowed fingerprints of templates in an inverted index, and banded alignment.
+
+Templates and texts are sequences of normal words (lower-case, marks at the ends dropped). Of a long template (more
+than LONG words) every GRAM words in a row are hashed, of every WINDOW hashes in a row the least is a fingerprint, and
+the index has for each fingerprint its templates and places. A text's own hashes are looked up there: a stretch of
+GRAM + WINDOW - 1 words that text and template share has a fingerprint, and as a match may lack a fifth of the
+template's words, some four in a row are left unless words were added between them. Hits of a template on neighbouring
+diagonals (place in the text less place in the template) make a candidate: the stretch of text that a match around
+those diagonals can take, if it has enough of the template's words in any order. It is aligned in a band of BAND of
+the template's words around the diagonals, and at least BAND_LEAST.
+
+Short templates (notices, headers) are too short for fingerprints: of the longest words, one more than a match may lack
+go to the index, so each match has one of them, however it is changed, and they are aligned without a band. The
+index, whose size is that of the templates and never of the corpus, goes to the executors.
+
+An alignment is, for each word where one can end, the one with the highest 2 * words matched - words added between them,
+of equals that with more words. This tolerates added, missing and changed words, and never joins two copies into
+one. Alignments that cover LEAST of the template's words are matches, with the span of the words they aligned, if the
+span holds the words that tell the license from others (`required`: name, number of clauses, version), each phrase
+unbroken; where they overlap, the better one stays, and the words between those that stay are searched again until
+nothing is found. `matches(..., exact=True)` aligns every template with enough words, without fingerprints and bands.
 
 The templates here are whole license texts (folder license_texts), and short notices, headers and
-opening words as further ones; `templates` takes any others.
+opening words as further ones; `templates` takes any others. Templates that repeat a text each match it; of equals the
+first stays.
 
 Cases: null and empty text have no match; repeated rows are scanned each; of overlapping
 matches the one with most words stays, of equals that of the shorter template, then the first; a very
-long text is aligned in time linear in its words that the template has; an empty table gives an empty
+long text is scanned as a whole, its candidates each in time linear in their words; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -126,43 +136,95 @@ def _words(text: str) -> W.Words:
 
 
 LONG = 64  #: words of a long template
+#: Words that a hash is of, and hashes in a row of which the least is a fingerprint.
+GRAM, WINDOW = 3, 2
+#: Half the width of a band: a share of the template's words, and the least.
+BAND, BAND_LEAST = 0.25, 48
 
 
-def _certain(words: np.ndarray, lengths: np.ndarray, least: float) -> tuple[np.ndarray, int]:
-    """The longest words of a template, and how many of them each match has at least: one more than a
-    match may lack, of which it has one; in long templates twice as many, of which it has half."""
+def winnowed(hashes: np.ndarray) -> np.ndarray:
+    """Places of the fingerprints: in every WINDOW hashes the least, of equals the last."""
+    if len(hashes) <= WINDOW:
+        return np.arange(len(hashes))[np.argmin(hashes) :][:1] if len(hashes) else np.zeros(0, np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)[:, ::-1]
+    return np.unique(np.arange(len(rows)) + WINDOW - 1 - rows.argmin(axis=1))
+
+
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    return W.gram_hashes(hashes, GRAM, 7)
+
+
+def _certain(words: np.ndarray, lengths: np.ndarray, least: float) -> np.ndarray:
+    """The longest words of a short template, one more than a match may lack, so that it has one."""
     spare = len(words) - int(np.ceil(least * len(words)))
-    n = min(len(words), 2 * spare + 1 if len(words) > LONG else spare + 1)
-    return words[np.argsort(-lengths, kind="stable")[:n]], n - spare
+    return words[np.argsort(-lengths, kind="stable")[: spare + 1]]
 
 
 class Index:
-    """Templates' word hashes, and of each template words that every match has one of."""
+    """Templates' word hashes; postings of the long ones' fingerprints; words of the short ones that a match has one of."""
 
     def __init__(self, templates: Mapping[str, str], least: float = LEAST, required: Mapping[str, Sequence[str]] = REQUIRED) -> None:
         self.names = list(templates)
         self.words: list[np.ndarray] = []
-        keys = []
-        for text in templates.values():
+        keys, posted = [np.zeros(0, np.uint64)], []
+        for t, text in enumerate(templates.values()):
             w = _words(text)
             self.words.append(w.hashes)
-            keys.append(_certain(w.hashes, w.ends - w.starts, least))
-        self.keys = np.unique(np.concatenate([k for k, n in keys]))
-        self.few = np.isin(self.keys, np.concatenate([np.zeros(0, np.uint64), *(k for k, n in keys if n == 1)]))
-        self.many = min((n for _, n in keys if n > 1), default=0)
+            if len(w.hashes) > LONG:
+                grams = _grams(w.hashes)
+                at = winnowed(grams)
+                posted.append((grams[at], np.full(len(at), t), at))
+            else:
+                keys.append(_certain(w.hashes, w.ends - w.starts, least))
+        self.keys = np.unique(np.concatenate(keys))
+        prints, owner, place = (np.concatenate(x) for x in zip(*posted, strict=True)) if posted else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(prints, kind="stable")
+        self.prints, self.owner, self.place = prints[order], owner[order], place[order]
         self.required = [[_words(x).hashes for x in required.get(n, ())] for n in self.names]
         self.sets = [np.unique(w) for w in self.words]
-        self.vocabulary = np.unique(np.concatenate(self.words))
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
         self.bags = [(np.searchsorted(self.vocabulary, v), n) for v, n in (np.unique(w, return_counts=True) for w in self.words)]
         self.places: dict[int, dict] = {}
 
     def possible(self, w: W.Words) -> np.ndarray:
-        """The documents of a chunk with as many words of the index as a match has."""
-        at = np.minimum(np.searchsorted(self.keys, w.hashes), len(self.keys) - 1)
-        hit = self.keys[at] == w.hashes
-        doc = w.doc[hit]
-        few, all_ = (np.bincount(x, minlength=w.hi - w.lo) for x in (doc[self.few[at[hit]]], doc))
-        return np.flatnonzero((few > 0) | (all_ >= self.many) & (self.many > 0))
+        """The documents of a chunk with a word of a short template's index or a fingerprint of a long one."""
+        found = w.doc[np.isin(w.hashes, self.keys)]
+        grams = np.flatnonzero(np.isin(_grams(w.hashes), self.prints))
+        doc = w.doc
+        grams = grams[doc[grams] == doc[grams + GRAM - 1]] if len(grams) else grams
+        return np.union1d(found, doc[grams])
+
+    def candidates(self, hashes: np.ndarray, least: float = LEAST) -> list[tuple[int, int, int, int, int]]:
+        """(template, first, end, lowest and highest diagonal of the band) of each stretch of a text that may hold a match
+        with a long template."""
+        grams = _grams(hashes)
+        lo, hi = np.searchsorted(self.prints, grams, "left"), np.searchsorted(self.prints, grams, "right")
+        n = hi - lo
+        at = np.repeat(np.arange(len(grams)), n)
+        posting = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        owner, diagonal = self.owner[posting], at - self.place[posting]
+        found = []
+        for t in np.unique(owner).tolist():
+            size = len(self.words[t])
+            band = max(BAND_LEAST, int(BAND * size))
+            own = np.unique(diagonal[owner == t])
+            cut = np.flatnonzero(np.diff(own) > band) + 1
+            for group in np.split(own, cut):
+                low, high = int(group[0]) - band, int(group[-1]) + band
+                first, end = max(0, low), min(len(hashes), high + size)
+                if self.enough(t, hashes[first:end], least):
+                    found.append((t, first, end, low, high))
+        return found
+
+    def enough(self, template: int, hashes: np.ndarray, least: float = LEAST) -> bool:
+        """Whether a text has enough of a template's words, whatever their order."""
+        need = least * len(self.words[template])
+        if len(hashes) < need:
+            return False
+        own = hashes[np.isin(hashes, self.sets[template])]
+        ids, n = self.bags[template]
+        counts = np.bincount(np.searchsorted(self.vocabulary, own), minlength=len(self.vocabulary))
+        return bool(np.minimum(counts[ids], n).sum() >= need)
 
     def _places(self, template: int) -> dict:
         """Where the template has each of its words; from the last place in short templates."""
@@ -178,21 +240,33 @@ class Index:
         counts = np.bincount(at[self.vocabulary[at] == hashes], minlength=len(self.vocabulary))
         return [t for t, (ids, n) in enumerate(self.bags) if len(hashes) >= least * len(self.words[t]) and np.minimum(counts[ids], n).sum() >= least * len(self.words[t])]
 
-    def ends(self, template: int, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def ends(self, template: int, hashes: np.ndarray, band: tuple[int, int] | None = None) -> Iterator[tuple[int, int, int]]:
         """(words matched, first, last) of the best alignment that ends at each word of the text that
-        the template has. best[i] is the best with the template's first i words: 3 * matched + first
+        the template has, within a band of diagonals if one is given (long templates). best[i] is the best with the template's first i words: 3 * matched + first
         orders alignments as 2 * matched - added does wherever they end, and of equals the one with
         more words has the earlier first word."""
         at, m = self._places(template), len(self.words[template])
         long = m > LONG
         best = np.full(m + 1, -_SHIFT, np.int64) if long else [-_SHIFT] * (m + 1)
+        reach = 0
         for p in np.flatnonzero(np.isin(hashes, self.sets[template])).tolist():
             fresh = (3 + p) * _SHIFT + _SHIFT - 1 - p
             where = at[int(hashes[p])]
             if long:
+                end = m
+                if band:
+                    # Only the template's words within the band; best is up to date as far as the band has reached.
+                    end = min(m, p - band[0] + 1)
+                    if end > reach:
+                        rest = best[reach : end + 1]
+                        np.maximum.accumulate(rest, out=rest)
+                        reach = end
+                    where = where[np.searchsorted(where, p - band[1]) : np.searchsorted(where, end)]
+                    if not len(where):
+                        continue
                 values = np.maximum(best[where] + 3 * _SHIFT, fresh)
                 best[where + 1] = np.maximum(best[where + 1], values)
-                rest = best[where[0] + 1 :]
+                rest = best[where[0] + 1 : end + 1]
                 np.maximum.accumulate(rest, out=rest)
                 top = int(values.max())
             else:
@@ -216,14 +290,21 @@ class Index:
         return max(found, key=lambda m: (m[0], m[1] - m[2]), default=(0, 0, 0))
 
 
-def matches(index: Index, hashes: np.ndarray, least: float = LEAST) -> list[tuple[int, int, int, int]]:
-    """(template, first word, last word, words matched) of each match in a text."""
+def matches(index: Index, hashes: np.ndarray, least: float = LEAST, exact: bool = False) -> list[tuple[int, int, int, int]]:
+    """(template, first word, last word, words matched) of each match in a text; exact: without fingerprints and bands."""
     kept: list[tuple[int, int, int, int]] = []
     regions = [(0, len(hashes))]
     while regions:
         lo, hi = regions.pop()
         part = hashes[lo:hi]
-        found = [(t, a, b, n) for t in index.present(part, least) for n, a, b in index.ends(t, part) if n >= least * len(index.words[t]) and index.bears(t, part[a : b + 1])]
+        tried = [(t, 0, len(part), None) for t in index.present(part, least) if exact or len(index.words[t]) <= LONG]
+        if not exact:
+            tried += [(t, a, b, (low - a, high - a)) for t, a, b, low, high in index.candidates(part, least)]
+        found = []
+        for t, begin, end, band in tried:
+            need = least * len(index.words[t])
+            found += [(t, begin + a, begin + b, n) for n, a, b in index.ends(t, part[begin:end], band) if n >= need and index.bears(t, part[begin + a : begin + b + 1])]
+        found = list(dict.fromkeys(found))
         taken = np.zeros(hi - lo, bool)
         new = []
         for m in sorted(found, key=lambda m: (-m[3], len(index.words[m[0]]), m[2] - m[1], m[1], m[0])):

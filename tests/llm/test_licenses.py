@@ -146,3 +146,70 @@ def test_whole_texts_changed_or_commented(spark):
         cases[name + " changed"] = " ".join(words)
     rows = licenses.scan(spark.createDataFrame(list(cases.items()), "doc_id string, text string")).collect()
     assert sorted((r["doc_id"], r["license"]) for r in rows) == sorted((k, k.split()[0]) for k in cases)
+
+
+def changed(rng, words, share):
+    """Words of a template with some missing, changed or added."""
+    out = []
+    for x in words:
+        r = rng.random()
+        out += [] if r < share / 3 else ["other"] if r < 2 * share / 3 else [x, "added"] if r < share else [x]
+    return out
+
+
+def test_fingerprints_and_bands_find_what_the_exact_way_finds():
+    """Whole texts with up to a fourth of their words edited, between prose and pieces of others."""
+    rng = random.Random(8)
+    names = ["mit", "bsd-2", "bsd-3", "isc", "zlib", "unlicense", "0bsd", "ncsa", "unicode-3.0", "ofl-1.1"]
+    index = licenses.Index({n: licenses.WHOLE[n] for n in names} | {k: v for k, v in licenses.NOTICES.items() if k in ("mit-notice", "mit-opening", "bsd-opening", "apache-2.0-header")})
+    prose = [f"word{i}" for i in range(60)] + "the of this license software and or to in any copyright".split()
+    all_, got, same, wrong = 0, 0, 0, 0
+    for k in range(120):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            own = licenses.WHOLE[rng.choice(names)].split()
+            own = changed(rng, own, rng.choice([0, 0.05, 0.15, 0.25]))
+            if rng.random() < 0.2:
+                own = own[: len(own) // 2]
+            words += [rng.choice(prose) for _ in range(rng.choice([0, 5, 300]))] + own
+        h = hashed(" ".join(words))
+        want, found = licenses.matches(index, h, exact=True), licenses.matches(index, h)
+        all_ += len(want)
+        # Without a band an alignment may draw a last word or two from far behind; the stretch is then longer.
+        got += sum(any(f[0] == w[0] and f[1] <= w[2] and w[1] <= f[2] and f[3] >= 0.97 * w[3] for f in found) for w in want)
+        same += len(set(want) & set(found))
+        wrong += sum(f[0] not in [m[0] for m in licenses.matches(index, h[f[1] : f[2] + 1], exact=True)] for f in found)
+    assert all_ > 120 and got == all_ and same >= 0.97 * all_ and not wrong, (all_, got, same, wrong)
+
+
+def test_winnowing_leaves_no_gap():
+    rng = random.Random(9)
+    for n in (1, 2, 3, 50):
+        h = np.array([rng.randrange(6) for _ in range(n)], np.uint64)
+        at = set(licenses.winnowed(h).tolist())
+        for i in range(max(1, n - licenses.WINDOW + 1)):
+            window = h[i : i + licenses.WINDOW].tolist()
+            assert any(i + k in at and window[k] == min(window) for k in range(len(window)))
+
+
+def test_banded_alignment_equals_the_unbanded_one_within_its_band():
+    index = licenses.Index({"long": " ".join(f"w{k % 70}" for k in range(200))})
+    rng = random.Random(10)
+    words = [x for x in index.words[0].tolist() if rng.random() > 0.1]
+    h = np.array([1, 2, 3, *words[:90], 4, 5, *words[90:]], np.uint64)
+    assert list(index.ends(0, h, (-300, 300))) == list(index.ends(0, h))
+    best = lambda found: max(found, key=lambda m: (m[0], -m[2]))
+    assert best(index.ends(0, h, (-30, 10))) == best(index.ends(0, h))
+
+
+def test_licenses_in_odd_tables(spark):
+    """Nulls, repeated rows, clashing names, a very long text, templates that repeat."""
+    mit = licenses.WHOLE["mit"]
+    rows = [(1, None, "x"), (2, "", "x"), (3, mit, "x"), (3, mit, "x"), (None, "Released under the MIT License.", "y"), (4, "hay " * 200_000 + mit + " hay" * 1000, "z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, license string").withColumnRenamed("license", "coverage")
+    got = licenses.scan(df).collect()
+    assert sorted((str(r["doc_id"]), r["license"]) for r in got) == [("3", "mit"), ("3", "mit"), ("4", "mit"), ("None", "mit-notice")]
+    assert [r["first_word"] for r in got if r["doc_id"] == 4] == [200_000]
+    assert licenses.scan(df.limit(0)).collect() == []
+    twice = licenses.Index({"one": mit, "two": mit})
+    assert [twice.names[m[0]] for m in licenses.matches(twice, hashed(mit))] == ["one"]

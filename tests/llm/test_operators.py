@@ -263,12 +263,15 @@ def test_alignment_equals_full_dynamic_programming():
     rng = random.Random(5)
     for n, words in enumerate(index.words):
         text = [x for x in words if rng.random() > 0.1]
-        a, b = list(words), text
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a)):
-            for j in range(len(b)):
-                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        assert index.align(n, np.array(text, np.uint64), 0)[0] == table[-1][-1] or len(words) > 100
+        if len(words) < 250:
+            a, b = list(words), text
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+            assert table[-1][-1] == len(text)
+        # What is left of the words in their order all aligns, however long the template.
+        assert index.align(n, np.array(text, np.uint64), 0)[0] == len(text)
 
 
 def test_token_files(spark, docs):
