@@ -17,7 +17,7 @@ from shirabe.functions import jsonld
 from shirabe.functions.resolve import resolve
 from shirabe.functions import text as T
 from shirabe.functions import urls as U
-from shirabe.operators import admission, archive, compare, crawl, dialects, report, robots, rules, safety, scoring, site, store
+from shirabe.operators import admission, archive, compare, crawl, dialects, documents, report, robots, rules, safety, scoring, site, store
 from shirabe.plans import mutations as M
 from shirabe.plans import oracle as O
 from shirabe.plans.mutations import mutated, mutated_sql
@@ -285,12 +285,13 @@ def q_url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.normalize(u).col.alias("normal"), U.host(u).col.alias("host"), U.scheme(u).col.alias("scheme"))
 
 
-_URLS = "SELECT * FROM (VALUES ('https://a.jp/x/#top'), ('https://A.jp'), ('https://a.jp/'), ('https://a.jp/index.html'), ('https://a.jp/sub/index.php?q=1#f'), ('https://a.jp//'), ('https://a.jp/a;v=1'), ('https://a.jp/default.html'), ('https://a.jp/my-index.html'), ('http://u:p@b.jp:8080/c/'), ('https://a.jp/%E3%81%82+b'), ('https://a.jp/%zz')) v(url)"
+_URLS = "SELECT CASE page_id % 4 WHEN 0 THEN url || '/index.html' WHEN 1 THEN url || ';v=1' WHEN 2 THEN url || '%20x+y' ELSE url END AS url FROM pages UNION ALL SELECT * FROM (VALUES ('https://a.jp/x/#top'), ('https://A.jp'), ('https://a.jp/'), ('https://a.jp/index.html'), ('https://a.jp/sub/index.php?q=1#f'), ('https://a.jp//'), ('https://a.jp/a;v=1'), ('https://a.jp/default.html'), ('https://a.jp/my-index.html'), ('http://u:p@b.jp:8080/c/'), ('https://a.jp/%E3%81%82+b'), ('https://a.jp/%zz')) v(url)"
 
 
 @query("q_url_cases", f"SELECT url, {_NORMAL.format('url')} AS normal, {U.host(D.name('url')).sql} AS host, {U.port(D.name('url')).sql} AS port, {U.percent_decode(D.name('url')).sql} AS decoded FROM ({_URLS})")
 def q_url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = D.name("url")
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
     return spark.sql(_URLS).select("url", U.normalize(u).col.alias("normal"), U.host(u).col.alias("host"), U.port(u).col.alias("port"), U.percent_decode(u).col.alias("decoded"))
 
 
@@ -769,6 +770,22 @@ def q_retention_newest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_documents(spark, path, "id string, site_id bigint, total double")
 
 
+@query(
+    "q_documents",
+    f"""SELECT id, CASE WHEN ok THEN o_custkey END AS site_id, CASE WHEN ok THEN o_totalprice::DOUBLE END AS total, ok AS readable
+ FROM (SELECT *, {_DOC_ID} AS id, o_orderkey % 7 <> 0 AS ok FROM orders WHERE o_orderkey % 3 <> 0 ORDER BY id DESC LIMIT 20)""",
+)
+def q_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents saved as a file each in two batches, some of them broken, and the list that is read back."""
+    path = new_path(spark, "documents")
+    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select("o_orderkey", _document_id().alias("id"), F.col("o_custkey").alias("site_id"), F.col("o_totalprice").cast("double").alias("total"))
+    told = F.when(F.col("o_orderkey") % 7 == 0, '{"total": ').otherwise(F.to_json(F.struct("site_id", "total")))
+    for half in (0, 1):
+        documents.save(rows.filter(F.col("o_orderkey") % 2 == half).select("id", told.alias("body")), path, body="body")
+    found = documents.listed(spark, path, "site_id bigint, total double")
+    return found.select("id", "site_id", "total", F.col("_corrupt").isNull().alias("readable"))
+
+
 def _document_id():  # noqa: ANN202
     tail = F.when(F.col("o_orderkey") % 3 == 0, "XYZ").otherwise(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 8))
     return F.concat(F.date_format("o_orderdate", "yyyyMMdd-HHmmss-"), tail)
@@ -892,29 +909,32 @@ def q_key_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.key_value(table(spark, sf_dir, "part").selectExpr("p_partkey AS pos", f"{line} AS value"), "Brand#13")
 
 
-_TIMES = "SELECT * FROM (VALUES ('2024-01-31T15:00:00+00:00'), ('2024-02-29T23:59:59'), ('soon'), (NULL), ('2023-12-31T14:59:00Z')) v(raw)"
+_TIMES = "SELECT CAST(o_orderdate AS STRING) || CASE o_orderkey % 3 WHEN 0 THEN '+00:00' WHEN 1 THEN 'Z' ELSE '' END AS raw FROM orders UNION ALL SELECT * FROM (VALUES ('2024-01-31T15:00:00+00:00'), ('2024-02-29T23:59:59'), ('soon'), (NULL), ('2023-12-31T14:59:00Z')) v(raw)"
 
 
 @query("q_jst_format", f"SELECT raw, CASE WHEN raw IS NULL THEN '-' ELSE COALESCE(strftime(TRY_CAST(raw AS TIMESTAMPTZ) AT TIME ZONE 'UTC' + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M JST'), raw) END AS jst FROM ({_TIMES})")
 def q_jst_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     return spark.sql(_TIMES).select("raw", store.to_jst(F.col("raw")).alias("jst"))
 
 
-_NAMES = "SELECT * FROM (VALUES (' @Taro '), ('@@JIRO'), ('hana@ko'), (''), ('@')) v(raw)"
+_NAMES = "SELECT CASE c_custkey % 3 WHEN 0 THEN ' @' WHEN 1 THEN '@@' ELSE '' END || c_name || CASE c_custkey % 2 WHEN 0 THEN '@ ' ELSE '' END AS raw FROM customer UNION ALL SELECT * FROM (VALUES (' @Taro '), ('@@JIRO'), ('hana@ko'), (''), ('@')) v(raw)"
 
 
 @query("q_username_norm", f"SELECT raw, {T.username(D.name('raw')).sql} AS name FROM ({_NAMES})")
 def q_username_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
     return spark.sql(_NAMES).select("raw", T.username(D.name("raw")).col.alias("name"))
 
 
-_WIDTHS = "SELECT * FROM (VALUES ('ＡＢＣＤＥ'), ('abcdefghij'), ('AI活用'), (''), ('ｱｲｳ é①'), ('𠮷野家 — …')) v(raw)"
+_WIDTHS = "SELECT CAST(doc_id AS STRING) AS name, COALESCE(text, '') AS raw FROM documents UNION ALL SELECT raw, raw FROM (VALUES ('ＡＢＣＤＥ'), ('abcdefghij'), ('AI活用'), (''), ('ｱｲｳ é①'), ('𠮷野家 — …')) v(raw)"
 
 
-@query("q_width_cases", f"SELECT raw, {T.visible_length(D.name('raw')).sql} AS width, {T.has_japanese(D.name('raw')).sql} AS ja FROM ({_WIDTHS})")
+@query("q_width_cases", f"SELECT name, {T.visible_length(D.name('raw')).sql} AS width, {T.has_japanese(D.name('raw')).sql} AS ja FROM ({_WIDTHS})")
 def q_width_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = D.name("raw")
-    return spark.sql(_WIDTHS).select("raw", T.visible_length(r).col.alias("width"), T.has_japanese(r).col.alias("ja"))
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return spark.sql(_WIDTHS).select("name", T.visible_length(r).col.alias("width"), T.has_japanese(r).col.alias("ja"))
 
 
 @query("q_audit_id_format", f"SELECT o_orderkey AS id, length(raw) = 24 AND substring(raw, 9, 1) = '-' AND substring(raw, 16, 1) = '-' AND NOT contains(raw, 'X') AS valid FROM (SELECT o_orderkey, {_DOC_ID} AS raw FROM orders)")
