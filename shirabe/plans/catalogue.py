@@ -14,6 +14,7 @@ from shirabe import sql
 from shirabe.config import CATEGORIES, SETTINGS
 from shirabe.functions import dual as D
 from shirabe.functions import jsonld
+from shirabe.functions.entities import unescape
 from shirabe.functions.resolve import resolve
 from shirabe.functions import text as T
 from shirabe.functions import urls as U
@@ -117,6 +118,18 @@ def q_jsonld_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.array_join("types", ", ").alias("jsonld_list"), F.size("types").alias("jsonld_count"), "jsonld_invalid")
 
 
+_UNESCAPED = "html"
+for _name, _char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("copy", "chr(169)"), ("middot", "chr(183)"), ("nbsp", "chr(160)"), ("amp", "'&'")):
+    _UNESCAPED = f"regexp_replace({_UNESCAPED}, '&{_name};?', {_char}, 'g')"
+
+
+@query("q_entities", f"SELECT page_id, md5(u) AS digest, (length(html) - length(u))::INT AS shorter FROM (SELECT page_id, html, {_UNESCAPED} AS u FROM {mutated_sql()})")
+def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages with all character references replaced; the SQL knows those that the tables have."""
+    rows = mutated(spark, sf_dir).select("page_id", "html", unescape(F.col("html")).alias("u"))
+    return rows.select("page_id", F.md5("u").alias("digest"), (F.char_length("html") - F.char_length("u")).alias("shorter"))
+
+
 @query("q_og_missing", f"WITH {PAGES} SELECT page_id, og_missing FROM pages_facts")
 def q_og_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", "og_missing")
