@@ -30,7 +30,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Bytes of a batch for Python workers. Spark's own limit lets all texts of a split be one batch, which
 #: executor and worker hold several times over, for each core.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
