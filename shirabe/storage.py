@@ -35,7 +35,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again (others are left alone)."""
+    for df in tables:
+        if path := df.__dict__.pop("_stored", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str, number: str = "number") -> DataFrame:
