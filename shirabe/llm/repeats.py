@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.llm import words as W
-from shirabe.llm.storage import store
+from shirabe.llm.storage import discard, store
 
 WINDOW = 50
 
@@ -163,19 +163,20 @@ def _longest(level: DataFrame, window: int) -> DataFrame:
     """rp_doc and longest: the last length, from window on and doubling, at which the document has a
     repeated window. level: rp_doc, start, anchor and hash of the windows repeated at the first."""
     size, found = window, level.select("rp_doc").distinct().withColumn("longest", F.lit(window).cast("long"))
-    found = [store(found, "repeats-longest")]
+    found, before = [store(found, "repeats-longest")], level
     while True:
         # One window for each place, also where rows repeat an id.
         level = level.groupBy("rp_doc", "start").agg(F.min(F.struct("anchor", "hash")).alias("w")).select("rp_doc", "start", "w.anchor", "w.hash")
         after = level.select(F.col("rp_doc").alias("d"), (F.col("start") - size).alias("s"), F.xxhash64("anchor", "hash").alias("then"))
         pairs = level.join(after, (level["rp_doc"] == after["d"]) & (level["start"] == after["s"])).select("rp_doc", "start", "anchor", F.xxhash64("hash", "then").alias("hash"))
         pairs = store(pairs, "repeats-extended")
-        level = _repeated(pairs).drop("low")
-        level = store(level, "repeats-level")
+        discard(before)
+        before = level = store(_repeated(pairs).drop("low"), "repeats-level")
+        discard(pairs)
         if not level.limit(1).count():
             break
         size *= 2
-        found.append(level.select("rp_doc").distinct().withColumn("longest", F.lit(size).cast("long")))
+        found.append(store(level.select("rp_doc").distinct().withColumn("longest", F.lit(size).cast("long")), "repeats-longest"))
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
@@ -183,8 +184,11 @@ def _longest(level: DataFrame, window: int) -> DataFrame:
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """The windows (rp_doc, start, anchor, hash) that occur in two documents, with the smallest as low."""
+    """The windows (rp_doc, start, anchor, hash) that occur in two documents, with the smallest as low. What occurs twice is
+    written before it meets the windows again, so both sides of the join are plain and a window of very many documents is
+    split over tasks."""
     twice = windows.groupBy("anchor", "hash").agg(F.min("rp_doc").alias("low"), F.max("rp_doc").alias("high")).filter("low < high").select("anchor", "hash", "low")
+    twice = store(twice, "repeats-twice")
     return windows.join(twice, ["anchor", "hash"]).select("rp_doc", "start", "anchor", "hash", "low")
 
 
@@ -204,12 +208,15 @@ def find(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: st
     # Level 1: half windows, of the first of each kind, that occur in two documents or more.
     level = rows.select("rp_doc", F.explode("anchors").alias("anchor"))
     twice = level.groupBy("anchor").agg(F.min("rp_doc").alias("low"), F.max("rp_doc").alias("high")).filter("low < high").select("anchor")
+    twice = store(twice, "repeats-halves")
     alive = level.join(twice, "anchor").groupBy("rp_doc").agg(F.collect_set("anchor").alias("alive"))
     # Level 2: the windows around them. The list of a document is bounded by its own length.
     alive = store(alive, "repeats-alive")
     candidates = store(own.join(alive, own["doc"] == alive["rp_doc"]).select("doc", "text", "alive"), "repeats-candidates")
     # Windows found twice in rows that share id and text are one.
-    level = store(_repeated(store(_windows(candidates, window, half), "repeats-windows")), "repeats-level")
+    windows = store(_windows(candidates, window, half), "repeats-windows")
+    level = store(_repeated(windows), "repeats-level")
+    discard(windows, seen, alive)
     hits = store(level.filter("rp_doc > low").groupBy("rp_doc").agg(F.collect_set("start").alias("starts")), "repeats-hits")
     longest = _longest(level.drop("low"), window)
     reach = F.when(F.col("copy") & (F.col("n_words") >= window), F.expr(f"bigint({window} * pow(2, floor(log2(n_words / {window}))))")).otherwise(F.coalesce("longest", F.lit(0)))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shirabe.storage import new_path, numbered, numbered_within, shared_dir, store, table, unused
+from shirabe.storage import discard, new_path, numbered, numbered_within, shared_dir, store, table, unused
 
-__all__ = ["new_path", "numbered", "numbered_within", "shared_dir", "small", "store", "table", "unused"]
+__all__ = ["discard", "new_path", "numbered", "numbered_within", "shared_dir", "small", "store", "table", "unused"]
 
 #: Narrow rows (two numbers) up to which a counted table is broadcast; about 4 MB.
 MOST_BROADCAST = 200_000
