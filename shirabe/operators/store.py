@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,23 +57,35 @@ def visible(rows: DataFrame, owner: str, admins: Sequence[str] = ()) -> DataFram
     return rows.filter(is_admin(me, admins) | (F.col("owner") == me))
 
 
-#: Parts that rows are dealt to where admins are too many to be broadcast.
-PARTS = 64
+#: Pairs of a viewer and a row that a task makes, about.
+MOST_PAIRS = 10_000_000
 
 
 def visible_to(rows: DataFrame, viewers: DataFrame, name: str, admins: Sequence[str]) -> DataFrame:
     """The rows that each viewer (name: the owner they are) sees: one join by owner; an admin sees all. The result has
-    a row for each pair, so rows times admins are its size. Rows are dealt to parts by their hash, and every part
-    meets each admin: those are broadcast where their count is low, else sent once to each part."""
+    a row for each pair, so it grows with rows times viewers and the file sizes of the tables don't tell the work:
+    pairs are counted first, by owner, and dealt to as many tasks as they need."""
     admin = is_admin(F.col(name), admins)
-    own = viewers.filter(~admin).join(rows, F.col(name) == F.col("owner"))
-    all_ = viewers.filter(admin)
-    few = counted_small(all_)
-    parts = 1 if few is F.broadcast else PARTS
+    own, all_ = viewers.filter(~admin), viewers.filter(admin)
+    sizes = own.groupBy(F.col(name).alias("by_")).agg(F.count("*").alias("m_")).join(rows.groupBy("owner").agg(F.count("*").alias("n_")), F.col("by_") == F.col("owner"))
+    pairs = sizes.agg(F.sum(F.col("m_").cast("double") * F.col("n_"))).first()[0] or 0.0
+    return _met(own, rows, pairs, [(name, "owner")]).unionByName(_met(all_, rows, float(all_.count()) * rows.count(), []))
+
+
+def _met(viewers: DataFrame, rows: DataFrame, pairs: float, on: Sequence[tuple[str, str]]) -> DataFrame:
+    """viewers and rows with equal columns, in tasks of about MOST_PAIRS of their pairs: rows are dealt to parts, and each
+    part meets the viewers, who are broadcast where their count is low, else sent once to each part."""
+    parts = max(1, math.ceil(pairs / MOST_PAIRS))
+    few = counted_small(viewers)
+    cells = 1 if few is F.broadcast else parts
     at, part = unused(("at", "part"), [*rows.columns, *viewers.columns]).values()
-    dealt = rows.withColumn(at, F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
-    every = few(all_.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))).join(dealt, F.col(part) == F.col(at))
-    return own.unionByName(every.drop(at, part))
+    dealt = rows.withColumn(at, F.pmod(F.xxhash64(*rows.columns), F.lit(cells)))
+    every = viewers.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    if few is not F.broadcast:
+        dealt, every = dealt.repartition(parts, *[r for _, r in on], at), every.repartition(parts, *[v for v, _ in on], part)
+    elif parts > 1:
+        dealt = dealt.repartition(parts)
+    return few(every).join(dealt, [*[F.col(v) == F.col(r) for v, r in on], F.col(part) == F.col(at)]).drop(at, part)
 
 
 def is_admin(owner: Column, admins: Sequence[str]) -> Column:

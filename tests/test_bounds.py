@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
+from shirabe import storage
+from shirabe.operators import store
 from shirabe.sources import html
 
 
@@ -34,3 +38,19 @@ def test_a_worker_makes_facts_of_a_part_of_a_batch(spark):
     for b in found:
         sizes = b.column("html_bytes").to_pylist()
         assert len(sizes) == 1 or (len(sizes) <= html.MOST_PAGES and sum(sizes) <= html.MOST_BYTES)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_pairs_of_viewers_and_sites_are_dealt_to_tasks(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(storage, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(store, "MOST_PAIRS", 2000, raising=False)
+    sites = [(i, "hot" if i % 4 else str(i % 40)) for i in range(1200)] + [(5000, None)]
+    viewers = [(i, "hot" if i < 10 else "@Boss" if i < 15 else str(i)) for i in range(40)] + [(900, None)]
+    rows = spark.createDataFrame(sites, "id int, owner string").coalesce(1)
+    seen = store.visible_to(rows, spark.createDataFrame(viewers, "viewer int, me string"), "me", ("boss",)).select("viewer", "id")
+    expected = [(v, i) for v, me in viewers for i, o in sites if me == "@Boss" or (me is not None and me == o)]
+    assert sorted(tuple(r) for r in seen.collect()) == sorted(expected)
+    largest = seen.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    if broadcast:  # one file of sites: not one task with all pairs
+        assert largest <= 2 * 2000 < len(expected) / 3
