@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shirabe import storage
 from shirabe.operators import store
+from shirabe.plans.catalogue import QUERIES
 from shirabe.sources import html
 
 
@@ -54,3 +55,9 @@ def test_pairs_of_viewers_and_sites_are_dealt_to_tasks(spark, monkeypatch, broad
     largest = seen.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     if broadcast:  # one file of sites: not one task with all pairs
         assert largest <= 2 * 2000 < len(expected) / 3
+
+
+@pytest.mark.parametrize("name", ["q_dup_titles", "q_dup_descriptions"])
+def test_pages_are_parsed_once_for_duplicates(spark, sf_dir, name):
+    plan = QUERIES[name].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 1
