@@ -61,3 +61,10 @@ def test_pairs_of_viewers_and_sites_are_dealt_to_tasks(spark, monkeypatch, broad
 def test_pages_are_parsed_once_for_duplicates(spark, sf_dir, name):
     plan = QUERIES[name].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") <= 1
+
+
+def test_table_functions_get_few_pages_at_a_time(spark, sf_dir):
+    found = QUERIES["q_sql_links"].run(spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+    assert found.count()
