@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,29 @@ def test_table_functions_get_few_pages_at_a_time(spark, sf_dir):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
     assert found.count()
+
+
+def test_objects_of_a_worker_do_not_grow_with_the_batch(spark):
+    def peak(n):  # noqa: ANN001, ANN202
+        body = "<title>t</title>" + "".join(f'<a href="/{i}">x</a>' for i in range(20))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"https://a.example/{i}" for i in range(n)]), pa.array([body] * n)], ["page_id", "url", "html"])
+        run = html.extract(_Caught(spark.createDataFrame([(1, "", "")], "page_id bigint, url string, html string").schema))
+        tracemalloc.start()
+        try:
+            assert sum(b.num_rows for b in run(iter([batch]))) == n
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    peak(10)  # what is made once
+    assert peak(2048) < 1.5 * peak(512)
+
+
+def test_batches_of_long_pages_end_by_bytes(spark):
+    def sizes(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "bytes"])
+
+    pages = spark.range(900, numPartitions=1).select("id", F.repeat(F.lit("x" * 1000), 100).alias("html"))
+    found = pages.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+    assert sum(r["n"] for r in found) == 900 and max(r["bytes"] for r in found) < (64 << 20) + (1 << 20)
