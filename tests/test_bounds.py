@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tracemalloc
 
 import pyarrow as pa
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shirabe import storage
-from shirabe.operators import store
+from shirabe.operators import crawl, store
+from shirabe.plans import catalogue
 from shirabe.plans.catalogue import QUERIES
 from shirabe.sources import html
 
@@ -96,3 +98,24 @@ def test_batches_of_long_pages_end_by_bytes(spark):
     pages = spark.range(900, numPartitions=1).select("id", F.repeat(F.lit("x" * 1000), 100).alias("html"))
     found = pages.mapInArrow(sizes, "n bigint, bytes bigint").collect()
     assert sum(r["n"] for r in found) == 900 and max(r["bytes"] for r in found) < (64 << 20) + (1 << 20)
+
+
+def test_lists_of_links_are_not_broadcast(spark, sf_dir, monkeypatch):
+    plans, whole = [], storage.store
+
+    def seen(df, name):  # noqa: ANN001, ANN202
+        plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return whole(df, name)
+
+    monkeypatch.setattr(catalogue, "keep", seen)
+    monkeypatch.setattr(crawl, "store", seen)
+    QUERIES["q_crawl_bfs"].run(spark, sf_dir)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    joins = 0
+    for lines in plans:
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                under = itertools.takewhile(lambda x, d=depth(line): depth(x) > d, lines[i + 1 :])
+                assert not any("links#" in x for x in under)
+                joins += 1
+    assert joins
