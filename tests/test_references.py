@@ -7,7 +7,7 @@ from shirabe.plans.catalogue import QUERIES
 from shirabe.sources import html
 
 ENDS = ("&quot", "&quot;", "&qu", "&lt", "&gt", "&#39", "&#39;", "&copy", "&amp", "&am", "&quotx;", "&AMP", "&amp;quot")
-QUERY_NAMES = ("q_findings_all",)
+QUERY_NAMES = tuple("q_findings_all q_h1_texts".split())
 
 
 @pytest.fixture(scope="module")
