@@ -7,7 +7,7 @@ from shirabe.plans.catalogue import QUERIES
 from shirabe.sources import html
 
 ENDS = ("&quot", "&quot;", "&qu", "&lt", "&gt", "&#39", "&#39;", "&copy", "&amp", "&am", "&quotx;", "&AMP", "&amp;quot")
-QUERY_NAMES = tuple("q_findings_all q_h1_texts q_impl_diff q_title_width q_rules_heading q_rules_meta q_rules_table q_sql_links q_page_extract q_page_summary".split())
+QUERY_NAMES = tuple("q_findings_all q_h1_texts q_impl_diff q_title_width q_rules_heading q_rules_meta q_rules_table q_sql_links q_page_extract q_page_summary q_report_markdown".split())
 
 
 @pytest.fixture(scope="module")
